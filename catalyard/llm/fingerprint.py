@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fingerprint string")
 
 
-def in_order(docs: DataFrame, part_bytes: int = 16 << 20, max_parts: int = 4096) -> tuple[DataFrame, int]:
+def in_order(docs: DataFrame, part_bytes: int = 4 << 20, max_parts: int = 4096) -> tuple[DataFrame, int]:
     """``docs`` (doc_id, text) dealt to numbered parts by descending doc_id (nulls last), and the number of parts.
 
     Each part also gets, marked ``guest``, the first document of the next part that has any; the last part gets the

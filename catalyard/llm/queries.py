@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprint, mixing, quality_rules, simhash, toxicity, url_filter
+from . import chat_format, fingerprint, mixing, packing, quality_rules, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
+    "op2_token_ids": tokens.op2_token_ids,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_packing": packing.op8_packing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }

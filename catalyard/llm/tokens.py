@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import zstandard
@@ -24,20 +23,36 @@ from tokenizers import Tokenizer
 
 from .common import discard, documents, small_batches, stored, table
 
-#: Unicode's White_Space, which is what the tokenizers' patterns take as \\s.
-_WHITE = "\t-\r \x85\xa0  -     　"
-_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_EDGE = re.compile(f"[{_WHITE}]")
-#: Words that a worker remembers; beyond, it starts anew.
-CACHE = 2_000_000
+#: Unicode's White_Space, which is what the tokenizers' patterns take as \s, but for space and line end.
+_ODD_WHITE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNIT = re.compile(f"[ \n{_ODD_WHITE}]*[^ \n{_ODD_WHITE}]+|[ \n{_ODD_WHITE}]+")
+_ODD = re.compile(f"[{_ODD_WHITE}]")
+#: Bytes that such white space begins with; other characters may share them.
+_SUSPECT = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+_DOUBLE = [b"  ", b" \n", b"\n ", b"\n\n"]
+#: Units that a worker remembers; beyond, it starts anew.
+CACHE = 1_500_000
+
+
+class _Index(dict):
+    """Numbers units as they come; ``new`` lists those that haven't been encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, unit: bytes) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
 
 
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, each distinct word once.
 
-    A unit is white space and the word after it (``spaced``: for vocabularies whose pieces keep the white space) or a
-    word alone (for those that drop it and lower-case). No piece crosses a unit's ends, so ids of units are ids of the
-    text. Special tokens in texts are ordinary text.
+    A unit is a word with the white space before it (``spaced``: for vocabularies whose pieces keep white space) or a
+    word alone (for those that drop it and lower-case). No piece crosses a unit's ends, so the ids of its units are the
+    ids of a text. Special tokens in texts are ordinary text.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -49,66 +64,65 @@ class Encoder:
         self._start()
 
     def _start(self) -> None:
-        self.index: dict = {}
+        self.index = _Index()
         self.flat, self.used = np.empty(1 << 20, dtype=self.dtype), 0
         self.start, self.size = np.empty(1 << 18, dtype=np.int64), np.empty(1 << 18, dtype=np.int64)
 
-    def _learn(self, units: list) -> None:
-        texts = [u if isinstance(u, str) else u.decode() for u in units]
-        found: list = [None] * len(texts)
-        easy = [i for i, t in enumerate(texts) if "<|" not in t]
-        for a in range(0, len(easy), 2000):  # many words in one call, parted by a special token
-            some = easy[a : a + 2000]
-            ids = np.array(self.marked.encode(self.mark.join(texts[i] for i in some), add_special_tokens=False).ids, dtype=np.int64)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:
-                continue
-            for i, x in zip(some, np.split(ids, cuts)):
-                found[i] = x[1:] if i != some[0] else x
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, e in zip(rest, self.plain.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            found[i] = np.array(e.ids, dtype=np.int64)
-        n, at = np.array([len(x) for x in found], dtype=np.int64), len(self.index)
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while at + len(units) > len(self.start):
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of each text's; many texts go in one call, parted by a special token."""
+        if not any("<|" in t for t in texts):
+            ids = np.array(self.marked.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            cuts = np.r_[-1, np.flatnonzero(ids == self.mark_id), len(ids)]
+            if len(cuts) == len(texts) + 1:
+                return ids[ids != self.mark_id], np.diff(cuts) - 1
+        ids = [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=np.int64), np.array([len(x) for x in ids])
+
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        at = len(self.index) - len(new)
+        while len(self.index) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.concatenate(found)
-        self.start[at : at + len(units)] = self.used + np.cumsum(n) - n
-        self.size[at : at + len(units)] = n
-        self.used += total
-        self.index.update(zip(units, range(at, at + len(units))))
+        for a in range(0, len(new), 500):
+            some = new[a : a + 500]
+            ids, n = self._encoded([u.decode() for u in some])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.start[at + a : at + a + len(some)] = self.used + np.cumsum(n) - n
+            self.size[at + a : at + a + len(some)] = n
+            self.used += len(ids)
 
-    def _units(self, text: bytes) -> list:
+    def _units(self, text: bytes) -> list[bytes]:
         if not self.spaced:
             return text.lower().split()
-        parts = text.replace(b"\n", b" \n").split(b" ")
-        if self._clean(parts):
-            return parts
-        return _UNIT.findall(text.decode())
-
-    def _clean(self, parts: list) -> bool:
-        """Whether white space in the text is single spaces or line ends between words."""
-        raise NotImplementedError
+        if not text:
+            return []
+        odd = any(x in text for x in _DOUBLE) or text[0] in b" \n" or text[-1] in b" \n"
+        if odd or len(text.translate(None, b"\t\x0b\x0c\r")) < len(text) or any(x in text for x in _SUSPECT):
+            plain = text.decode()
+            if odd or _ODD.search(plain):
+                return [u.encode() for u in _UNIT.findall(plain)]
+        # Only single spaces and line ends, between words; a space goes to the word after it.
+        return text.replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n").split(b"\x00") if b"\x00" not in text else [
+            u.encode() for u in _UNIT.findall(text.decode())
+        ]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each UTF-8 text."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the UTF-8 texts, one text after another, and the number of each text's."""
+        if len(self.index) > CACHE:
+            self._start()
         units = [self._units(t) for t in texts]
-        index = self.index
-        new = {u for us in units for u in us if u not in index}
-        if new:
-            if len(index) + len(new) > CACHE:
-                self._start()
-                index, new = self.index, {u for us in units for u in us}
-            self._learn(list(new))
-        count = np.array([len(u) for u in units])
-        at = np.fromiter((index[u] for us in units for u in us), dtype=np.int64, count=int(count.sum()))
-        start, size = self.start[at], self.size[at]
+        count = np.array([len(u) for u in units], dtype=np.int64)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(units)), dtype=np.int64, count=int(count.sum()))
+        if self.index.new:
+            self._learn()
+        size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.r_[0, ends][np.cumsum(count)[:-1]] if len(texts) > 1 else []
-        return np.split(ids, cuts) if texts else []
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
+        upto = np.r_[0, ends][np.cumsum(count)]
+        return ids, np.diff(np.r_[0, upto])
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -119,3 +133,186 @@ def encoder(path: str, spaced: bool) -> Encoder:
     if (path, spaced) not in _encoders:
         _encoders[path, spaced] = Encoder(path, spaced)
     return _encoders[path, spaced]
+
+
+def encoded(docs: DataFrame, path: str, spaced: bool, end: int, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary: 16 or 32 bits each, little-endian) and ``more``; ``end`` follows each document's ids.
+
+    Whole texts are encoded; null texts are empty and have only the end id. Repeated rows stay repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, spaced)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist())
+            upto = np.cumsum(n)
+            ids = np.insert(ids, upto, end).astype(enc.dtype)
+            offsets = pa.array(np.r_[0, upto + np.arange(1, len(n) + 1)] * enc.dtype.itemsize, pa.int64())
+            blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(ids.tobytes())])
+            cols = [b.column(0), pa.array(n + 1, pa.int64()), blob.cast(pa.binary()), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", *more])
+
+    small_batches(docs.sparkSession)
+    d = documents(docs, *more)
+    rest = [d.schema[c] for c in more]
+    fields = [d.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *rest]
+    return d.mapInArrow(run, T.StructType(fields))
+
+
+def id_width(path: str) -> np.dtype:
+    return np.dtype("<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
+
+
+# ---- the file format ----
+
+_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+
+
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit ``ranks``."""
+    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF).astype(np.int64)
+    code = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
+    code[: len(ranks)] = size - 1
+    control = code.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
+    wide = ranks.astype("<u4").view("u1").reshape(-1, 4)
+    return control.astype(np.uint8).tobytes(), wide[np.arange(4) < size[:, None]].tobytes()
+
+
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The ``n`` ranks of ``encode_ranks``."""
+    size = _LENGTHS[np.frombuffer(control, "u1")].reshape(-1)[:n]
+    start = np.cumsum(size) - size
+    padded = np.frombuffer(data + b"\0\0\0", "u1").astype(np.uint32)
+    out = padded[start] if n else np.zeros(0, dtype=np.uint32)
+    for k in range(1, int(size.max()) if n else 0):
+        more = size > k
+        out[more] |= padded[start[more] + k] << np.uint32(8 * k)
+    return out
+
+
+def _blocks(parts: Iterator[pa.RecordBatch], rank: np.ndarray, dtype: np.dtype, most: int) -> Iterator[tuple]:
+    """(first id, doc_ids, counts, control, data) of blocks of ``most`` ids or a document more."""
+    ids, docs, held = [], [], 0
+
+    def block() -> tuple:
+        control, data = encode_ranks(rank[np.concatenate(ids)])
+        return docs[0], list(docs), [len(x) for x in ids], control, data
+
+    for b in parts:
+        for doc_id, blob in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+            ids.append(np.frombuffer(blob, dtype))
+            docs.append(doc_id)
+            held += len(ids[-1])
+            if held >= most:
+                yield block()
+                ids, docs, held = [], [], 0
+    if docs:
+        yield block()
+
+
+def write_tokens(docs: DataFrame, where: str, path: str, spaced: bool = False, end: int = 1, block: int = 1 << 18) -> None:
+    """Encodes ``docs`` and writes ``where``/blocks and ``where``/ranking, in ascending doc_id order (nulls first).
+
+    Encoded texts are written once; ids are counted, and ranked, over all of them (the ranking is as long as the
+    vocabulary). A second pass sorts by range, ranks and packs. Rows of ``blocks`` are numbered by ``part``, the range,
+    and ``at`` within it.
+    """
+    spark = docs.sparkSession
+    width = id_width(path)
+    size = 1 << 8 * width.itemsize if width.itemsize == 2 else Tokenizer.from_file(path).get_vocab_size()
+    raw = stored(_squeezed(encoded(docs, path, spaced, end)), "tokens", "none")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            for blob in _restored(b.column(0)):
+                seen += np.bincount(np.frombuffer(blob, width), minlength=size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["id", "n"])
+
+    counts = raw.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    by_rank = [r.id for r in counts.orderBy(F.col("n").desc(), "id").collect()]  # at most one for each vocabulary entry
+    rank = np.zeros(size, dtype=np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    spark.createDataFrame([(list(map(int, by_rank)),)], "ids array<int>").write.parquet(f"{where}/ranking")
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        plain = (_plain(b) for b in batches)
+        for at, (first, doc_ids, counts, control, data) in enumerate(_blocks(plain, rank, width, block)):
+            row = {"part": [part], "at": [at], "doc_ids": [doc_ids], "counts": [counts], "control": [control], "data": [data]}
+            yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("at", pa.int32()), ("doc_ids", pa.list_(id_type)), ("counts", pa.list_(pa.int32())), ("control", pa.binary()), ("data", pa.binary())]))
+
+    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    schema = f"part int, at int, doc_ids array<{kind}>, counts array<int>, control binary, data binary"
+    ordered = raw.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered.mapInArrow(pack, schema).write.option("compression", "zstd").parquet(f"{where}/blocks")
+    discard(raw)
+
+
+def _squeezed(df: DataFrame) -> DataFrame:
+    """``ids`` compressed one by one, which keeps the shuffle and the written table small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1, write_checksum=False).compress
+        for b in batches:
+            i = b.schema.get_field_index("ids")
+            yield b.set_column(i, "ids", pa.array([squeeze(x) for x in b.column(i).to_pylist()], pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _restored(col: pa.Array) -> list[bytes]:
+    plain = zstandard.ZstdDecompressor().decompress
+    return [plain(x) for x in col.to_pylist()]
+
+
+def _plain(b: pa.RecordBatch) -> pa.RecordBatch:
+    return b.set_column(b.schema.get_field_index("ids"), "ids", pa.array(_restored(b.column("ids")), pa.binary()))
+
+
+def read_tokens(spark: SparkSession, where: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from files of ``write_tokens``; ids are unsigned 32-bit integers, little-endian,
+    and start counts the ids of all documents before."""
+    by_rank = np.array(spark.read.parquet(f"{where}/ranking").first().ids, dtype="<u4")
+    blocks = spark.read.parquet(f"{where}/blocks")
+    # Ids before a block: those of earlier parts (a row for each part) and of earlier blocks of its part.
+    count = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    sized = blocks.select("part", "at", count.alias("n"))
+    w = "(partition by part order by at rows between unbounded preceding and current row)"
+    inside = sized.select("part", "at", F.expr(f"sum(n) over {w} - n").alias("inside"))
+    parts = sized.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.select("part", F.expr("sum(n) over (order by part) - n").alias("before"))
+    starts = inside.join(before, "part").select("part", "at", (F.col("inside") + F.col("before")).alias("start"))
+    kind = dict(blocks.dtypes)["doc_ids"][6:-1]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                counts = np.array(r["counts"], dtype=np.int64)
+                ids = by_rank[decode_ranks(r["control"], r["data"], int(counts.sum()))]
+                ends = np.cumsum(counts)
+                blob = [x.tobytes() for x in np.split(ids, ends[:-1])]
+                cols = [r["doc_ids"], (r["start"] + ends - counts).tolist(), counts.tolist(), blob]
+                types = [b.schema.field("doc_ids").type.value_type, pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "start", "n_tokens", "ids"])
+
+    small_batches(spark, 8)  # rows are blocks here
+    joined = blocks.join(starts, ["part", "at"])
+    return joined.mapInArrow(unpack, f"doc_id {kind}, start long, n_tokens long, ids binary")
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from .common import shared_dir
+
+    where = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), where, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
