@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprint, mixing, packing, quality_rules, simhash, tokens, toxicity, url_filter
+from . import chat_format, context_tree, fingerprint, mixing, packing, quality_rules, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
+    "op1_context_tree": context_tree.op1_context_tree,
     "op2_token_ids": tokens.op2_token_ids,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_toxicity": toxicity.op4_toxicity,
