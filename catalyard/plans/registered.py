@@ -1,2 +1,464 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The registered queries: each operator over the given tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codes as C
+from ..functions import text as X
+from ..operators import maintain as D
+from ..operators import matching as M
+from ..operators import reports as R
+from ..operators import upsert as U
+from ..sources import readers as S
+from .tables import ADDITIONS, BATCH, CODES, GRANTEES, GRANTS, MASTER, RADIO, STATE, view
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None, *views: str) -> Callable:
+    """Registers a function of the views' frames."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_TITLE = "list_aggregate(list_transform(regexp_extract_all(lower(trim({})), '[a-z]+|[^a-z]+'), lambda x: upper(x[1:1]) || x[2:]), 'string_agg', '')"
+_B, _M = _TITLE.format("brand"), "upper(trim(model))"
+PAGES = "SELECT page_id, url, html FROM pages"
+DOCS = "SELECT doc_id, source, text FROM documents"
+NAMES = f"SELECT id, concat(brand, ' ', model, CASE WHEN id % 3 = 0 THEN ' (x)' WHEN id % 3 = 1 THEN ' Dual Band radio' ELSE '' END) AS name FROM ({RADIO}) r"
+FIELDS = ["fcc_id", "intro_year", "battery_mah", "dmr", "gps", "notes"]
+
+
+# ---- scalar functions ----
+
+
+@query("p1_title_case", f"SELECT ordinal, {_B} AS brand_title FROM ({ADDITIONS}) a", ADDITIONS)
+def _(a: DataFrame) -> DataFrame:
+    return a.select("ordinal", X.title_case(F.col("brand")).alias("brand_title"))
+
+
+@query("p2_normalize_model", f"SELECT ordinal, {_M} AS model_key FROM ({ADDITIONS}) a", ADDITIONS)
+def _(a: DataFrame) -> DataFrame:
+    return a.select("ordinal", X.normalize_model(F.col("model")).alias("model_key"))
+
+
+@query("p3_p4_numbers", f"""SELECT id, CASE WHEN regexp_matches(intro_year, '^[0-9.]*[0-9][0-9.]*$') THEN CAST(TRY_CAST(intro_year AS DOUBLE) AS INTEGER) END AS year,
+    TRY_CAST(nullif(regexp_extract(battery_mah, '[0-9]+'), '') AS INTEGER) AS battery FROM ({RADIO}) r""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return r.select("id", X.parse_year(F.col("intro_year")).alias("year"), X.parse_battery(F.col("battery_mah")).alias("battery"))
+
+
+@query("p5_split_product_name", f"""SELECT id, CASE WHEN regexp_matches(name, '(?i)^brand-1\\b') THEN 'Brand-1' ELSE regexp_extract(name, '^(\\S+)\\s', 1) END AS manufacturer,
+    CASE WHEN regexp_matches(name, '(?i)^brand-1\\b') THEN regexp_replace(regexp_replace(trim(name[8:]), '\\s*\\([^)]*\\)\\s*$', ''), '(?i)\\s+dual\\s*band.*$', '')
+    ELSE regexp_extract(name, '^\\S+\\s+(.*)$', 1) END AS model FROM ({NAMES}) n""", NAMES)
+def _(n: DataFrame) -> DataFrame:
+    return n.withColumn("p", X.split_product_name(F.col("name"), ["Brand-1"])).select("id", "p.manufacturer", "p.model")
+
+
+@query("p6_p7_make_id", f"""SELECT id, upper(regexp_replace(model, '[^A-Za-z0-9-]', '', 'g')) AS clean, code || '-' || upper(regexp_replace(model, '[^A-Za-z0-9-]', '', 'g')) AS fcc_id
+    FROM ({RADIO}) r LEFT JOIN ({CODES}) c USING (brand)""", f"SELECT r.id, r.model, c.code FROM ({RADIO}) r LEFT JOIN ({CODES}) c ON r.brand = c.brand")
+def _(r: DataFrame) -> DataFrame:
+    return r.select("id", X.clean_code(F.col("model")).alias("clean"), X.make_id(F.col("code"), F.col("model")).alias("fcc_id"))
+
+
+@query("p8_split_id", f"""SELECT id, CASE WHEN contains(fcc_id, '-') THEN split_part(fcc_id, '-', 1) ELSE '' END AS code,
+    CASE WHEN contains(fcc_id, '-') THEN substr(fcc_id, strpos(fcc_id, '-') + 1) ELSE '' END AS product FROM ({RADIO}) r""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return r.withColumn("s", X.split_id(F.col("fcc_id"))).select("id", "s.code", "s.product")
+
+
+@query("p9_sanitize_xml", r"""SELECT page_id, md5(replace(replace(regexp_replace(html, '&((amp|lt|gt|quot|apos)\b|#)', chr(1) || '\1', 'g'), '&', '&amp;'), chr(1), '&')) AS clean_md5 FROM pages""", PAGES)
+def _(p: DataFrame) -> DataFrame:
+    return p.select("page_id", F.md5(X.sanitize_xml(F.col("html")).cast("binary")).alias("clean_md5"))
+
+
+@query("p10_p11_compose_id", f"""SELECT id, regexp_replace(CASE WHEN starts_with(fcc_id, 'AB1') THEN fcc_id[4:] ELSE fcc_id END, '^-+', '') AS stripped,
+    CASE WHEN contains(fcc_id, '-') THEN 'Q1-' || fcc_id ELSE 'Q1' || fcc_id END AS composed FROM ({RADIO}) r""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    code = F.lit("AB1")
+    return r.select("id", X.strip_code_prefix(F.col("fcc_id"), code).alias("stripped"), X.compose_id(F.lit("Q1"), F.col("fcc_id")).alias("composed"))
+
+
+@query("p12_bands", f"""WITH g AS (SELECT *, TRY_CAST(lower_freq_mhz AS DOUBLE) AS l, TRY_CAST(upper_freq_mhz AS DOUBLE) AS u FROM ({GRANTS}) g)
+    SELECT bands, count(*) AS n FROM (SELECT CASE WHEN l IS NULL OR u IS NULL THEN '' ELSE concat_ws(',', CASE WHEN l < 30 OR u <= 30 THEN 'HF' END,
+      CASE WHEN (l < 1000 AND u > 300) OR (l <= 1000 AND u >= 1000) OR (l >= 300 AND u <= 1000) THEN 'UHF' END,
+      CASE WHEN (l < 300 AND u > 30) OR (l <= 300 AND u >= 300) OR (l >= 30 AND u <= 300) THEN 'VHF' END) END AS bands FROM g) GROUP BY bands""", GRANTS)
+def _(g: DataFrame) -> DataFrame:
+    bands = F.array_join(X.bands_of(F.col("lower_freq_mhz"), F.col("upper_freq_mhz")), ",")
+    return g.groupBy(bands.alias("bands")).agg(F.count("*").alias("n"))
+
+
+@query("p13_grant_note", f"""SELECT fcc_id, max('FCC Grant Date: ' || grant_date || '; Purpose: ' || application_purpose || '; Freq: ' || lower_freq_mhz || '-' || upper_freq_mhz || ' MHz') AS note
+    FROM ({GRANTS}) g GROUP BY fcc_id""", GRANTS)
+def _(g: DataFrame) -> DataFrame:
+    note = X.grant_note(*map(F.col, ("grant_date", "application_purpose", "lower_freq_mhz", "upper_freq_mhz")))
+    return g.groupBy("fcc_id").agg(F.max(note).alias("note"))
+
+
+@query("p14_p15_labels", f"""SELECT id, brand || ' ' || model AS label, brand || ' (' || fcc_id || ')' AS coded_label, CASE WHEN dmr = '' THEN '-' ELSE dmr END AS dmr_shown FROM ({RADIO}) r""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    b, m = F.col("brand"), F.col("model")
+    return r.select("id", X.product_label(b, m).alias("label"), X.brand_label(b, F.col("fcc_id")).alias("coded_label"), X.default_if_blank(F.col("dmr"), "-").alias("dmr_shown"))
+
+
+@query("p16_urls", f"""SELECT id, 'https://search.example/?q=' || replace(brand || ' ' || model, ' ', '%20') AS search_url, CASE WHEN contains(fcc_id, '-') THEN 'https://registry.example/' ||
+    split_part(fcc_id, '-', 1) || substr(fcc_id, strpos(fcc_id, '-') + 1) END AS registry_url FROM ({RADIO}) r""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    s = X.split_id(F.col("fcc_id"))
+    return r.select("id", X.search_url("https://search.example/?q=", F.col("brand"), F.col("model")).alias("search_url"), X.registry_url("https://registry.example/", s.code, s["product"]).alias("registry_url"))
+
+
+@query("p18_code_status", f"""SELECT b.brand, CASE WHEN c.code IS NOT NULL THEN 'known' WHEN b.brand LIKE '%1' THEN 'none expected' ELSE 'unknown' END AS status
+    FROM (SELECT DISTINCT brand FROM ({RADIO}) r) b LEFT JOIN ({CODES}) c USING (brand)""", RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    brands = r.select("brand").distinct()
+    return C.code_status(brands, c, brands.where("brand like '%1'"))
+
+
+# ---- filters ----
+
+
+@query("f1_drop_blank_keys", f"SELECT id FROM ({RADIO}) r WHERE trim(fcc_id) <> '' AND trim(dmr) <> ''", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return M.drop_blank_keys(r, "fcc_id", "dmr").select("id")
+
+
+@query("f2_search", f"SELECT id FROM ({RADIO}) r WHERE contains(upper(brand), 'AB1') OR contains(upper(model), 'AB1') OR contains(upper(fcc_id), 'AB1')", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.search(r, "ab1").select("id")
+
+
+@query("f3_filter_brand", f"SELECT id FROM ({RADIO}) r WHERE upper(brand) = 'BRAND-7'", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.filter_brand(r, "brand-7").select("id")
+
+
+@query("f4_admin_search", f"SELECT id FROM ({RADIO}) r WHERE (contains(upper(brand), 'BRAND') OR contains(upper(model), 'BRAND')) AND (contains(upper(brand), 'RING') OR contains(upper(model), 'RING'))", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.admin_search(r, " brand ring", ["brand", "model"]).select("id")
+
+
+@query("f5_facets", " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM ({RADIO}) r GROUP BY 2" for c in ("brand", "intro_year", "dmr", "gps")), RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.facets(r, ["brand", "intro_year", "dmr", "gps"])
+
+
+@query("f6_select_ids", f"SELECT * FROM ({RADIO}) r WHERE id IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49)", RADIO, "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 49")
+def _(r: DataFrame, ids: DataFrame) -> DataFrame:
+    return R.select_ids(r, ids)
+
+
+@query("f7_brand_prefix", f"SELECT id, model FROM ({RADIO}) r WHERE brand = 'Brand-7' AND starts_with(model, 's')", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.brand_prefix(r, "Brand-7", "s").select("id", "model")
+
+
+# ---- joins and set operations ----
+
+_KEYED = "(SELECT *, {b} AS b, {m} AS m FROM ({v}) v)"
+_MK, _AK = (_KEYED.format(b=_B, m=_M, v=v) for v in (MASTER, ADDITIONS))
+
+
+@query("j1_new_models", f"SELECT ordinal, brand, model FROM {_AK} a WHERE NOT EXISTS (SELECT 1 FROM {_MK} k WHERE k.b = a.b AND k.m = a.m)", ADDITIONS, MASTER)
+def _(a: DataFrame, m: DataFrame) -> DataFrame:
+    return M.new_models(a, m).select("ordinal", "brand", "model")
+
+
+@query("j2_attach_code", f"SELECT id, coalesce(code, '') AS code, coalesce(code || '-' || upper(regexp_replace(model, '[^A-Za-z0-9-]', '', 'g')), '') AS fcc_id FROM ({RADIO}) r LEFT JOIN ({CODES}) c USING (brand)", RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return M.attach_code(r.drop("fcc_id"), c).select("id", "code", "fcc_id")
+
+
+@query("j3_flag_exists", f"""SELECT id, CASE WHEN fcc_id = '' THEN '' WHEN EXISTS (SELECT 1 FROM ({RADIO}) k WHERE k.id % 2 = 0 AND k.fcc_id = r.fcc_id) THEN 'Yes' ELSE 'No' END AS exists FROM ({RADIO}) r""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return M.flag_exists(r, r.where("id % 2 = 0")).select("id", "exists")
+
+
+_RESOLVED = f"""SELECT g.fcc_id, arg_max(c.code, length(c.code)) AS grantee_code, max(c.code) AS c2 FROM (SELECT DISTINCT fcc_id FROM ({GRANTS}) g) g
+    LEFT JOIN (SELECT DISTINCT code FROM ({GRANTEES}) c) c ON starts_with(g.fcc_id, c.code) GROUP BY g.fcc_id"""
+_SPLIT = f"SELECT fcc_id, grantee_code, CASE WHEN grantee_code IS NULL THEN fcc_id ELSE regexp_replace(substr(fcc_id, length(grantee_code) + 1), '^-+', '') END AS product FROM ({_RESOLVED}) z"
+
+
+@query("j4_resolve_grantee", _SPLIT, GRANTS, GRANTEES)
+def _(g: DataFrame, c: DataFrame) -> DataFrame:
+    return M.resolve_grantee(g.select("fcc_id").distinct(), c)
+
+
+@query("j5_grantee_name", f"SELECT code, n, coalesce(name, code) AS name FROM (SELECT substr(fcc_id, 1, 3) AS code, count(*) AS n FROM ({GRANTS}) g GROUP BY 1) LEFT JOIN ({GRANTEES}) c USING (code)", GRANTS, GRANTEES)
+def _(g: DataFrame, c: DataFrame) -> DataFrame:
+    rows = g.groupBy(F.substring("fcc_id", 1, 3).alias("code")).agg(F.count("*").alias("n"))
+    return M.grantee_name(rows, c)
+
+
+@query("j6_missing_brands", f"SELECT brand AS name, max(code) AS code FROM (SELECT DISTINCT brand FROM ({RADIO}) r) LEFT JOIN ({CODES}) c USING (brand) GROUP BY 1", RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return M.missing_brands(r, c.select(F.col("brand").alias("name"), "code"))
+
+
+_FIRST = f"""SELECT ordinal, source_no, b AS brand, model, dmr, gps FROM (SELECT *, row_number() OVER (PARTITION BY b, m ORDER BY source_no, ordinal) AS n FROM
+    (SELECT ordinal, 0 AS source_no, b, m, model, dmr, '' AS gps FROM {_MK} UNION ALL SELECT ordinal, 1, b, m, model, '', gps FROM {_AK})) WHERE n = 1"""
+
+
+@query("u3_merge_catalogs", _FIRST, MASTER, ADDITIONS)
+def _(m: DataFrame, a: DataFrame) -> DataFrame:
+    return M.merge_catalogs(m, a)
+
+
+@query("u1_union_catalogs", f"SELECT ordinal, brand, model, dmr, '' AS gps, 0 AS source_no FROM ({MASTER}) m UNION ALL SELECT ordinal, brand, model, '', gps, 1 FROM ({ADDITIONS}) a", MASTER, ADDITIONS)
+def _(m: DataFrame, a: DataFrame) -> DataFrame:
+    return M.union_catalogs(m, a)
+
+
+@query("u2_reconcile", f"(SELECT b AS brand, m AS model, 'first' AS side FROM {_MK} EXCEPT SELECT b, m, 'first' FROM {_AK}) UNION ALL (SELECT b, m, 'second' FROM {_AK} EXCEPT SELECT b, m, 'second' FROM {_MK})", MASTER, ADDITIONS)
+def _(m: DataFrame, a: DataFrame) -> DataFrame:
+    return M.reconcile(m, a)
+
+
+@query("w2_last_wins", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2", "SELECT user_id, event_type, event_id FROM events")
+def _(e: DataFrame) -> DataFrame:
+    return M.last_wins(e, ["user_id", "event_type"], ["event_id"])
+
+
+_FILLED = " + ".join(f"CAST({c} <> '' AS INTEGER)" for c in FIELDS)
+
+
+@query("w1_first_wins", f"SELECT brand, model, min(id) AS id FROM ({RADIO}) r GROUP BY 1, 2", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return M.first_wins(r.select("brand", "model", "id"), ["brand", "model"], [F.col("id")])
+
+
+@query("w3_most_complete", f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY brand, model ORDER BY {_FILLED} DESC, id) AS k FROM ({RADIO}) r) WHERE k = 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return D.best_rows(r, FIELDS)
+
+
+# ---- aggregations and lists ----
+
+
+@query("a1_count_by_brand", f"SELECT brand, count(*) AS n FROM ({RADIO}) r GROUP BY 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.count_by_brand(r)
+
+
+@query("a2_count_by_brand_desc", f"SELECT brand, count(*) AS n, min(id) AS first_at FROM ({RADIO}) r GROUP BY 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.count_by_brand_desc(r, "id")
+
+
+@query("a3_top_brands", f"SELECT brand, count(*) AS n FROM ({_FIRST}) f GROUP BY 1 ORDER BY n DESC, brand LIMIT 10", MASTER, ADDITIONS)
+def _(m: DataFrame, a: DataFrame) -> DataFrame:
+    return R.top_brands(M.merge_catalogs(m, a))
+
+
+@query("a4_totals", f"SELECT count(*) AS n_rows, count(DISTINCT brand) AS n_brands FROM ({RADIO}) r", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.totals(r)
+
+
+_LACK = f"SELECT brand, count(*) AS n, arg_min(model, id) AS example FROM ({RADIO}) r WHERE brand NOT IN (SELECT brand FROM ({CODES}) c) GROUP BY 1"
+
+
+@query("a5_brands_without_code", _LACK, RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return R.brands_without_code(r, c, "id")
+
+
+PAPERS = "SELECT source, concat(source, '-', lang, ' ', text) AS body FROM documents"
+
+
+@query("a6_most_common_code", r"""SELECT source, upper(arg_min(code, (-n, code))) AS code FROM (SELECT source, code, count(*) AS n FROM
+    (SELECT source, unnest(regexp_extract_all(concat(source, '-', lang, ' ', text), '(?i)(?:^|[^\pL\pN_])([A-Z0-9]{3,5})-[A-Z0-9\-]+', 1)) AS code FROM documents) GROUP BY 1, 2) GROUP BY 1""", PAPERS)
+def _(p: DataFrame) -> DataFrame:
+    return R.most_common_code(p, "source", "body")
+
+
+_UPSERT = f"""WITH b AS (SELECT user_id, event_type, max(version) AS version, count(*) AS times FROM ({BATCH}) b GROUP BY 1, 2), s AS (SELECT * FROM ({STATE}) s)
+    SELECT user_id, event_type, coalesce(b.version, s.version) AS version, coalesce(CASE WHEN b.times > 0 AND s.version IS NULL THEN 'new' END, s.origin) AS origin,
+    CASE WHEN s.version IS NULL THEN TIMESTAMP '2021-01-01' ELSE s.created_at END AS created_at, CASE WHEN b.times > 0 THEN TIMESTAMP '2021-01-01' ELSE s.updated_at END AS updated_at,
+    CASE WHEN s.version IS NULL THEN 'created' WHEN b.times IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(b.times, 0) AS times FROM b FULL JOIN s USING (user_id, event_type)"""
+
+
+def _upserted(s: DataFrame, b: DataFrame, overwrite: bool) -> DataFrame:
+    return U.upsert(s, b, ["user_id", "event_type"], ["version", "updated_at"], ["at"], overwrite)
+
+
+@query("m1_upsert", _UPSERT, STATE, BATCH)
+def _(s: DataFrame, b: DataFrame) -> DataFrame:
+    return _upserted(s, b, True)
+
+
+@query("m1_insert_absent", f"""WITH b AS (SELECT user_id, event_type, min(version) AS version, count(*) AS times FROM ({BATCH}) b GROUP BY 1, 2), s AS (SELECT * FROM ({STATE}) s)
+    SELECT user_id, event_type, coalesce(s.version, b.version) AS version, coalesce(s.origin, 'new') AS origin,
+    CASE WHEN s.version IS NULL THEN 'created' WHEN b.times IS NULL THEN 'kept' ELSE 'skipped' END AS action FROM b FULL JOIN s USING (user_id, event_type)""", STATE, BATCH)
+def _(s: DataFrame, b: DataFrame) -> DataFrame:
+    return _upserted(s, b, False).select("user_id", "event_type", "version", "origin", "action")
+
+
+@query("a7_import_tally", f"""SELECT count(*) FILTER (action = 'created') AS created, CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS updated, CAST(0 AS BIGINT) AS skipped,
+    CAST(sum(times) AS BIGINT) AS total FROM ({_UPSERT}) u""", STATE, BATCH)
+def _(s: DataFrame, b: DataFrame) -> DataFrame:
+    return U.tally(_upserted(s, b, True))
+
+
+@query("p17_import_message", f"""SELECT CAST(count(*) FILTER (action = 'created') AS STRING) || ' created • ' || CAST(CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS STRING) || ' updated' AS message
+    FROM ({_UPSERT}) u""", STATE, BATCH)
+def _(s: DataFrame, b: DataFrame) -> DataFrame:
+    t = U.tally(_upserted(s, b, True))
+    return t.select(X.import_message(**{c: F.col(c) for c in ("created", "updated", "skipped")}).alias("message"))
+
+
+@query("a8_models_by_manufacturer", f"SELECT brand, count(*) AS n, string_agg(model, ', ' ORDER BY model) AS models FROM ({RADIO}) r GROUP BY 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.models_by_manufacturer(r)
+
+
+@query("a9_generation_tally", f"SELECT count(*) AS processed, count(code) AS generated, count(*) - count(code) AS without_code FROM ({RADIO}) r LEFT JOIN ({CODES}) c USING (brand)", RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return R.generation_tally(r, c)
+
+
+@query("a10_manual_queue", f"SELECT *, 'https://search.example/?q=' || replace(brand || ' ' || example, ' ', '%20') AS url FROM ({_LACK}) l WHERE brand NOT LIKE '%2_'", RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return R.manual_queue(r, c, r.where("brand like '%2_'").select("brand"), "id", "https://search.example/?q=")
+
+
+@query("a11_dedupe_batch", f"SELECT DISTINCT grantee_code, product FROM ({_SPLIT}) s", GRANTS, GRANTEES)
+def _(g: DataFrame, c: DataFrame) -> DataFrame:
+    return R.dedupe_batch(M.resolve_grantee(g, c), ["grantee_code", "product"])
+
+
+@query("t1_sort_catalog", f"SELECT id, brand, model FROM ({RADIO}) r", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.sort_catalog(r.select("id", "brand", "model"))
+
+
+@query("t2_recent", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10", "SELECT event_id, user_id, ts FROM events")
+def _(e: DataFrame) -> DataFrame:
+    return R.recent(e, 10, "ts", "event_id").select("event_id", "user_id")
+
+
+@query("t3_page", f"SELECT id, brand, model FROM ({RADIO}) r ORDER BY brand, model, id LIMIT 50 OFFSET 50", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.page(r, 2).select("id", "brand", "model")
+
+
+# ---- maintenance ----
+
+_SMALL = ["dmr", "gps"]
+
+
+@query("m4_merge_brand", f"""WITH r AS (SELECT model, brand, min(id) AS id, max(dmr) AS dmr, max(gps) AS gps, max(notes) AS notes FROM ({RADIO}) r GROUP BY 1, 2), s AS (SELECT * FROM r WHERE brand = 'Brand-7'), t AS (SELECT * FROM r WHERE brand = 'Brand-8')
+    SELECT * FROM r WHERE brand NOT IN ('Brand-7', 'Brand-8') UNION ALL
+    SELECT model, 'Brand-8', coalesce(t.id, s.id), CASE WHEN coalesce(t.dmr, '') IN ('', '0') THEN coalesce(s.dmr, t.dmr) ELSE t.dmr END, CASE WHEN coalesce(t.gps, '') IN ('', '0') THEN coalesce(s.gps, t.gps) ELSE t.gps END,
+    CASE WHEN t.id IS NULL OR t.notes = '' THEN coalesce(s.notes, t.notes) WHEN s.notes IS NULL OR s.notes = '' OR contains(t.notes, s.notes) THEN t.notes ELSE t.notes || chr(10) || s.notes END FROM t FULL JOIN s USING (model)""",
+    f"SELECT model, brand, min(id) AS id, max(dmr) AS dmr, max(gps) AS gps, max(notes) AS notes FROM ({RADIO}) r GROUP BY 1, 2")
+def _(r: DataFrame) -> DataFrame:
+    return D.merge_brand(r, "Brand-7", "Brand-8", _SMALL)
+
+
+@query("m5_clean_prefix", f"""WITH b AS (SELECT id, brand, model, starts_with(model, 's') AS had, CASE WHEN starts_with(model, 's') THEN regexp_replace(model[2:], '^-+', '') ELSE model END AS name, dmr FROM ({RADIO}) r WHERE brand = 'Brand-7'),
+    k AS (SELECT id, name, first_value(dmr IGNORE NULLS) OVER (PARTITION BY name ORDER BY dmr = '', had, model, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dmr, row_number() OVER (PARTITION BY name ORDER BY had, model, id) AS n FROM b)
+    SELECT id, 'Brand-7' AS brand, name AS model, dmr FROM k WHERE n = 1 UNION ALL SELECT id, brand, model, dmr FROM ({RADIO}) r WHERE brand <> 'Brand-7'""", f"SELECT id, brand, model, dmr FROM ({RADIO}) r")
+def _(r: DataFrame) -> DataFrame:
+    return D.clean_prefix(r, "Brand-7", "s", ["dmr"])
+
+
+@query("m6_dedupe_catalog", f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY brand, model ORDER BY {_FILLED} DESC, id) AS k FROM ({RADIO}) r),
+    n AS (SELECT brand, model, coalesce(string_agg(notes, chr(10) ORDER BY k) FILTER (notes <> ''), '') AS all_notes FROM k GROUP BY 1, 2)
+    SELECT k.id, brand, model, fcc_id, intro_year, battery_mah, dmr, gps, all_notes AS notes FROM k JOIN n USING (brand, model) WHERE k.k = 1""", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return D.dedupe_catalog(r, FIELDS)
+
+
+@query("m7_rename_brands", f"SELECT id, CASE WHEN brand IN ('Brand-7', 'Brand-9') THEN 'Other' ELSE brand END AS brand, brand IN ('Brand-7', 'Brand-9') AS renamed FROM ({RADIO}) r", RADIO,
+    "SELECT DISTINCT replace(p_brand, '#', '-') AS old, 'Other' AS new FROM part WHERE p_brand IN ('Brand#7', 'Brand#9')")
+def _(r: DataFrame, m: DataFrame) -> DataFrame:
+    return D.rename_brands(r.select("id", "brand"), m)
+
+
+_GROUPS = "SELECT p_partkey AS id, p_partkey % 100 AS group_id FROM part"
+_PICKS = "SELECT p_partkey % 100 AS group_id, CASE WHEN p_partkey % 3 = 0 THEN 'dmr' ELSE 'gps' END AS field, max(p_partkey) AS id FROM part WHERE p_partkey % 100 < 50 GROUP BY 1, 2"
+
+
+@query("m8_merge_selected", f"""WITH x AS (SELECT r.*, group_id FROM ({_GROUPS}) g JOIN ({RADIO}) r USING (id)),
+    s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY brand, model, id) AS n FROM x) WHERE n = 1), p AS (SELECT p.group_id, p.field, CASE WHEN p.field = 'dmr' THEN x.dmr ELSE x.gps END AS v FROM ({_PICKS}) p JOIN x USING (group_id, id))
+    SELECT group_id, s.id, coalesce((SELECT max(v) FROM p WHERE p.group_id = s.group_id AND field = 'dmr'), dmr) AS dmr, coalesce((SELECT max(v) FROM p WHERE p.group_id = s.group_id AND field = 'gps'), gps) AS gps FROM s""", RADIO, _GROUPS, _PICKS)
+def _(r: DataFrame, g: DataFrame, p: DataFrame) -> DataFrame:
+    return D.merge_selected(r, g, p, _SMALL)
+
+
+@query("m9_stamp_times", f"""SELECT user_id, event_type, CASE WHEN action = 'created' THEN TIMESTAMP '2022-02-02' ELSE created_at END AS created_at,
+    CASE WHEN action = 'kept' THEN updated_at ELSE TIMESTAMP '2022-02-02' END AS updated_at FROM ({_UPSERT}) u""", STATE, BATCH)
+def _(s: DataFrame, b: DataFrame) -> DataFrame:
+    return U.stamp_times(_upserted(s, b, True), F.lit("2022-02-02").cast("timestamp")).select("user_id", "event_type", "created_at", "updated_at")
+
+
+@query("m10_delete_ids", f"SELECT id FROM ({RADIO}) r WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", RADIO, "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 49")
+def _(r: DataFrame, ids: DataFrame) -> DataFrame:
+    return D.delete_ids(r, ids).select("id")
+
+
+@query("c1_check_unique", f"SELECT brand, model, count(*) AS n FROM ({RADIO}) r GROUP BY 1, 2 HAVING count(*) > 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return U.check_unique(r, ["brand", "model"])
+
+
+@query("c2_check_row", f"SELECT id, CASE WHEN length(fcc_id) > 12 THEN 'fcc_id is too long' WHEN length(model) > 10 THEN 'model is too long' END AS error FROM ({RADIO}) r", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return U.check_row(r, {"fcc_id": 12, "model": 10}, "intro_year").select("id", "error")
+
+
+@query("m2_import_radios", f"""WITH b AS (SELECT trim(brand) AS brand, trim(model) AS model, arg_max(gps, ordinal) AS gps, count(*) AS times FROM ({ADDITIONS}) a WHERE trim(brand) <> '' AND trim(model) <> '' GROUP BY 1, 2), t AS (SELECT brand, model, max(dmr) AS gps FROM ({MASTER}) m GROUP BY 1, 2)
+    SELECT brand, model, coalesce(b.gps, t.gps) AS gps, CASE WHEN t.gps IS NULL THEN 'created' WHEN b.gps IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(times, 0) AS times FROM b FULL JOIN t USING (brand, model)""",
+    f"SELECT brand, model, max(dmr) AS gps FROM ({MASTER}) m GROUP BY 1, 2", ADDITIONS)
+def _(t: DataFrame, a: DataFrame) -> DataFrame:
+    batch = M.drop_blank_keys(a, "brand", "model").select(X.strip_ws(F.col("brand")).alias("brand"), X.strip_ws(F.col("model")).alias("model"), "gps", "ordinal")
+    return U.upsert(t, batch, ["brand", "model"], ["gps"], ["ordinal"])
+
+
+_BRANDS = "SELECT concat('C', CAST(s_suppkey % 40 AS STRING)) AS code, concat('N', CAST(s_suppkey % 30 AS STRING)) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey % 5 > 0"
+_OLD_BRANDS = "SELECT concat('C', CAST(s_suppkey AS STRING)) AS code, concat('N', CAST(s_suppkey AS STRING)) AS name FROM supplier WHERE s_suppkey < 10"
+
+
+@query("m3_import_brands", f"""WITH f AS (SELECT code, min(pos) AS pos, arg_max(name, pos) AS name FROM ({_BRANDS}) b GROUP BY 1),
+    x AS (SELECT code, coalesce(f.name, o.name) AS name, o.name AS old, f.name AS new, CASE WHEN o.name IS NOT NULL THEN -1 ELSE f.pos END AS "at" FROM f FULL JOIN ({_OLD_BRANDS}) o USING (code))
+    SELECT code, name, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY x."at", code) > 1 THEN 'error' WHEN old IS NULL THEN 'created' WHEN new IS NULL THEN 'kept' ELSE 'updated' END AS status FROM x""", _OLD_BRANDS, _BRANDS)
+def _(o: DataFrame, b: DataFrame) -> DataFrame:
+    return U.import_brands(o, b, "pos")
+
+
+@query("m3_import_grantees", f"SELECT code, CASE WHEN coalesce(o.name, '') = '' THEN coalesce(b.name, '') ELSE o.name END AS name FROM ({_OLD_BRANDS}) o FULL JOIN (SELECT code, max(name) AS name FROM ({_BRANDS}) x GROUP BY 1) b USING (code)", _OLD_BRANDS, _BRANDS)
+def _(o: DataFrame, b: DataFrame) -> DataFrame:
+    return U.import_grantees(o, b)
+
+
+# ---- pages ----
+
+
+@query("s6_link_texts", """SELECT page_id, name FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href="[^"]*/[^"]*"[^>]*>([^<]*)</a>', 1))) AS name FROM pages) WHERE length(name) > 3""", PAGES)
+def _(p: DataFrame) -> DataFrame:
+    return S.link_texts(p, "/")
+
+
+@query("s6_extract_named_column", None, PAGES)
+def _(p: DataFrame) -> DataFrame:
+    return S.extract_named_column(p, "Product Name", "/")
+
+
+@query("wl2_ingest_grants", f"""SELECT DISTINCT coalesce(grantee_code, fcc_id) AS code, CASE WHEN contains(product, '-') THEN grantee_code || '-' || product ELSE grantee_code || product END AS composed FROM ({_SPLIT}) s WHERE grantee_code IS NOT NULL""", GRANTS, GRANTEES)
+def _(g: DataFrame, c: DataFrame) -> DataFrame:
+    r = R.dedupe_batch(M.resolve_grantee(g, c), ["grantee_code", "product"]).where("grantee_code is not null")
+    return r.select(F.col("grantee_code").alias("code"), X.compose_id(F.col("grantee_code"), F.col("product")).alias("composed")).distinct()
