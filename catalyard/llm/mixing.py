@@ -115,7 +115,7 @@ def landing(sizes: Sequence[float], chances: list[float]) -> list[float]:
         size, chance = np.array([sizes[i] for i in left]), np.array([chances[i] for i in left])
         ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
         off = ways - chance
-        cost = np.abs(off @ size) + 0.05 * size.mean() * np.abs(off.sum(axis=1))
+        cost = np.abs((off * size).sum(axis=1)) + 0.05 * size.mean() * np.abs(off.sum(axis=1))
         for i, x in zip(left, ways[int(cost.argmin())]):
             out[i] = float(x)
     return out

@@ -103,25 +103,33 @@ def _first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> t
 def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3, most: int = 3000) -> list[tuple[dict[int, int], int]]:
     """Patterns {length: times} and how many sequences use each, rounded down from the linear program's optimum.
 
-    No length gets more places than ``histogram`` has pieces of it. The program starts from patterns filled greedily and
+    Rounding down costs up to a sequence for each length, so the program isn't driven nearer to full sequences than a
+    hundredth of that. No length gets more places than ``histogram`` has pieces of it. The program starts from patterns filled greedily and
     takes in patterns whose price is over 1, several for each knapsack, until the bound that the prices prove or full sequences
-    prove, is within ``gap`` (or after ``most`` exchanges, which costs a little padding at worst).
+    prove, is within ``gap`` (or progress stalls, or after ``most`` exchanges; that costs a little padding at worst).
     """
     lengths = np.array(sorted(x for x, n in histogram.items() if 0 < x < capacity and n), dtype=np.int64)
     if not len(lengths):
         return []
     demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
     columns, x = _first_patterns(lengths, demand, capacity)
-    matrix = np.zeros((len(lengths), len(lengths)))
-    for r, column in enumerate(columns):
-        matrix[list(column), r] = list(column.values())
-    inverse = np.linalg.inv(matrix)
+    inverse = np.eye(len(lengths))
+    for r in range(len(columns) - 1, -1, -1):  # back substitution; a column has few entries
+        inverse[r] /= columns[r][r]
+        for i, times in columns[r].items():
+            if i != r:
+                inverse[i] -= times * inverse[r]
     prices = inverse.sum(axis=0)
-    exchanges, filled = 0, float(lengths @ demand) / capacity
+    exchanges, rounds, mark, filled = 0, 0, np.inf, float((lengths * demand).sum()) / capacity
     while exchanges < most:
         value, item = _knapsack(lengths, np.maximum(prices, 0), capacity)
-        if value[capacity] <= 1 + gap or x.sum() <= (1 + gap) * filled:
+        if value[capacity] <= 1 + gap or x.sum() <= (1 + gap) * filled + 0.01 * len(lengths):
             break
+        if rounds % 40 == 0:  # a degenerate program can exchange for long without getting better
+            if mark - x.sum() < gap / 4 * filled:
+                break
+            mark = x.sum()
+        rounds += 1
         best = np.maximum(prices, 0) + value[capacity - lengths]
         moved = 0
         for first in np.argsort(-best, kind="stable")[:12]:
@@ -129,10 +137,10 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3,
                 break
             new = _pattern(int(first), lengths, value, item, capacity)
             at, times = np.array(list(new)), np.array(list(new.values()), dtype=float)
-            cost = 1 - prices[at] @ times
+            cost = 1 - float((prices[at] * times).sum())
             if cost > -gap / 4:
                 continue
-            change = inverse[:, at] @ times
+            change = (inverse[:, at] * times).sum(axis=1)
             ratio = np.where(change > 1e-9, x / np.where(change > 1e-9, change, 1), np.inf)
             r = int(ratio.argmin())
             if not np.isfinite(ratio[r]):

@@ -70,29 +70,32 @@ def band_masks(n: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(parts, j)]
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     """BK-trees over integers, one for each group, held in arrays; children are keyed by distance to their parent."""
 
     def __init__(self, values: np.ndarray, groups: np.ndarray):
-        """``groups`` (0, 1, ...) must be sorted. The first member of a group is its root."""
-        n = len(values)
+        """``values``: rows of 64-bit words. ``groups`` (0, 1, ...) must be sorted; a group's first member is its root."""
+        n, self.span = len(values), BITS * values.shape[1] + 1
         self.values, self.parent, self.edge = values, np.full(n, -1), np.zeros(n, dtype=np.int64)
         first = np.r_[True, groups[1:] != groups[:-1]] if n else np.zeros(0, dtype=bool)
         self.roots = np.flatnonzero(first)
         rest = np.flatnonzero(~first)
         at = self.roots[groups[rest]]
         while len(rest):  # each turn gives every pending value to a child of the node it stands at
-            d = np.bitwise_count(values[rest] ^ values[at]).astype(np.int64)
-            key = at * (BITS + 1) + d
+            key = at * self.span + _distance(values[rest], values[at])
             order = np.argsort(key, kind="stable")
             rest, key = rest[order], key[order]
             new = np.r_[True, key[1:] != key[:-1]]
             child = rest[new]
-            self.parent[child], self.edge[child] = key[new] // (BITS + 1), key[new] % (BITS + 1)
+            self.parent[child], self.edge[child] = key[new] // self.span, key[new] % self.span
             at = np.repeat(child, np.diff(np.r_[np.flatnonzero(new), len(rest)]))
             rest, at = rest[~new], at[~new]
         inner = np.flatnonzero(self.parent >= 0)
-        keys = self.parent[inner] * (BITS + 1) + self.edge[inner]
+        keys = self.parent[inner] * self.span + self.edge[inner]
         order = np.argsort(keys)
         self.children, self.keys = inner[order], keys[order]
 
@@ -100,19 +103,19 @@ class Forest:
         """Pairs (query number, node) within ``radius``, following only edges that triangle inequality leaves."""
         who, node = np.arange(len(queries)), roots
         while len(who):
-            d = np.bitwise_count(queries[who] ^ self.values[node]).astype(np.int64)
+            d = _distance(queries[who], self.values[node])
             hit = d <= radius
             if hit.any():
                 yield who[hit], node[hit]
-            base = node * (BITS + 1)
+            base = node * self.span
             a = np.searchsorted(self.keys, base + np.maximum(d - radius, 0))
-            b = np.searchsorted(self.keys, base + np.minimum(d + radius, BITS), "right")
+            b = np.searchsorted(self.keys, base + np.minimum(d + radius, self.span - 1), "right")
             n = b - a
             who = np.repeat(who, n)
             node = self.children[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
 
 
-def _spanning(values: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
+def _spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
     """Joins a[i] with b[i] in ``label``, where every element points towards the smallest of its class."""
     while True:
         for _ in range(64):
@@ -128,36 +131,35 @@ def _spanning(values: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarra
         np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
 
 
-def _links(tables: list[np.ndarray], radius: int, block: int) -> np.ndarray:
-    """Pairs that connect what lies within ``radius`` in each group: the class's smallest member and each other one.
+def _links(group: np.ndarray, value: np.ndarray, own: np.ndarray, radius: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that connect what lies within ``radius`` in each group, one pair less than its members at most.
 
-    tables: group, value, own (1: the value stands in the group's tree), all sorted by group, own descending, value.
+    Sorted by group, then by own, descending (1: the value stands in the group's tree; all of a group ask it).
     """
-    group, value, own = tables
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     number = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1
-    lives = own == 1
-    tree_at = np.flatnonzero(lives)
+    tree_at = np.flatnonzero(own == 1)
     forest = Forest(value[tree_at], number[tree_at])
     root_of = np.full(len(start), -1)
     root_of[number[tree_at][forest.roots]] = forest.roots
     label = np.arange(len(value))
-    many = np.diff(np.r_[start, len(value)])[number] > 1
-    asks = np.flatnonzero(many & (root_of[number] >= 0))
+    # What is near its root is one class from the start; within it no pair needs a look, so only the others ask.
+    root = root_of[number]
+    asks = np.flatnonzero((root >= 0) & (tree_at[root] != label))
+    near = _distance(value[asks], value[tree_at[root[asks]]]) <= radius
+    label[asks[near]] = tree_at[root[asks[near]]]
+    asks = asks[~near]
     for i in range(0, len(asks), block):
         q = asks[i : i + block]
-        for who, node in forest.near(value[q], root_of[number[q]], radius):
+        for who, node in forest.near(value[q], root[q], radius):
             a, b = q[who], tree_at[node]
             keep = label[a] != label[b]
             if keep.any():
-                _spanning(value, a[keep], b[keep], label)
-    for _ in range(64):
-        up = label[label]
-        if (up == label).all():
-            break
-        label = up
+                _spanning(a[keep], b[keep], label)
+    while (label[label] != label).any():
+        label = label[label]
     linked = np.flatnonzero(label != np.arange(len(label)))
-    return np.stack([value[linked].view(np.int64), value[label[linked]].view(np.int64)])
+    return linked, label[linked]
 
 
 def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
@@ -183,7 +185,6 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
         banded = split.select("fp", "i", "key", "tree", (F.col("tree") == F.col("home")).cast("int").alias("own"))
     else:
         banded = banded.select("fp", "i", "key", F.lit(0).alias("tree"), F.lit(1).alias("own"))
-    block = 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -195,8 +196,8 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
         fp, i, key, tree, own = fp[order], i[order], key[order], tree[order], own[order]
         change = (np.diff(i) != 0) | (np.diff(key) != 0) | (np.diff(tree) != 0)
         group = np.r_[0, np.cumsum(change)]
-        u, v = _links([group, fp.view(np.uint64), own], radius, block)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        u, v = _links(group, fp.view(np.uint64)[:, None], own, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
 
     rows = math.ceil(n_fps * len(masks) / 500_000)
     parts = max(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -223,6 +224,96 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
     return each.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- similar sets of shingles ----
+
+#: 64-bit words of a sketch. Shingle sets of similarity J have sketches that differ in acos(2J / (1 + J)) / pi of the bits.
+SKETCH = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """The share of SimHash bits that differ, on average, between sets of a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of SKETCH words of the distinct ``hashes``, each widened by mixing; none: zeros."""
+    if not len(hashes):
+        return np.zeros(SKETCH, dtype=np.uint64)
+    h = np.unique(hashes).astype(np.uint64)[:, None] * _MIX
+    h = (h ^ h >> np.uint64(29)) * _MIX[::-1]
+    h ^= h >> np.uint64(32)
+    ones = np.unpackbits(h.view("u1"), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view(np.uint64)
+
+
+def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.03, missed: float = 0.02) -> DataFrame:
+    """(doc_id, component_id) of the documents that have an id, for links of about ``similarity`` or more.
+
+    Two texts are linked if the similarity of their sets of ``words``-word shingles, estimated from SimHash sketches of
+    64 * SKETCH bits, is ``similarity`` less ``slack`` or more. So far apart no band of bits need be equal: tables of
+    sampled bits deal the sketches to BK-trees, as many that a pair at ``similarity`` is missed by all tables with a
+    chance of ``missed``; the bits a table samples follow the number of sketches, so that chance fills no tree. Equal
+    sketches are one before that. A task returns a spanning forest, never all pairs.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketch(shingle_hashes(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            s = np.array(rows, dtype=np.uint64).reshape(-1, SKETCH).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, k]) for k in range(SKETCH))], ["doc_id", *names])
+
+    names = [f"s{k}" for k in range(SKETCH)]
+    small_batches(docs.sparkSession)
+    d = documents(docs).where("doc_id is not null")
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
+    each = stored(d.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sketches, schema), "sketches")
+    distinct = stored(each.groupBy(*names).agg(F.min("doc_id").alias("id")), "distinct-sketches")
+    n = distinct.count()
+    bits = max(10, math.ceil(math.log2(max(n, 2))) - 2)
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - differing(similarity)) ** bits))
+    radius = round(BITS * SKETCH * differing(similarity - slack))
+    rng = np.random.default_rng(5)
+    samples = [rng.choice(BITS * SKETCH, bits, replace=False) for _ in range(tables)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [b.column(c).to_numpy() for c in names]
+            bit = np.unpackbits(np.stack(s, axis=1).view("u1"), axis=1)
+            for t, sample in enumerate(samples):
+                key = bit[:, sample].astype(np.int64) @ (1 << np.arange(bits))
+                cols = [pa.array(np.full(len(key), t, dtype=np.int32)), pa.array(key), b.column("id"), *(pa.array(x) for x in s)]
+                yield pa.RecordBatch.from_arrays(cols, ["t", "key", "id", *names])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        all_ = pa.Table.from_batches(got)
+        t, key, i = (all_.column(c).to_numpy() for c in ("t", "key", "id"))
+        order = np.lexsort((i, key, t))
+        t, key, i = t[order], key[order], i[order]
+        value = np.stack([all_.column(c).to_numpy()[order] for c in names], axis=1).view(np.uint64)
+        group = np.r_[0, np.cumsum((np.diff(t) != 0) | (np.diff(key) != 0))]
+        u, v = _links(group, value, np.ones(len(i), dtype=np.int64), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(i[u]), pa.array(i[v])], ["u", "v"])
+
+    parts = max(math.ceil(n * tables / 300_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = distinct.mapInArrow(deal, "t int, key long, id long, " + ", ".join(f"{c} long" for c in names))
+    edges = stored(dealt.repartition(parts, "t", "key").mapInArrow(link, "u long, v long").distinct(), "links")
+    comp = components(edges)
+    named = distinct.join(comp, distinct.id == comp.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))
+    return each.join(named, names).select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of one document of each class of ``similar_copies``, that of the smallest doc_id; one row of each id.
+    Rows without an id stay."""
+    first = similar_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.select(*columns).join(first, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.select(*columns).where("doc_id is null"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

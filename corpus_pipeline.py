@@ -1,11 +1,15 @@
-"""The corpus pipeline: each stage is one operator, and reads what the stage before it wrote."""
+"""The corpus pipeline. Each stage is one operator over all that the stage before kept, and reads what that wrote.
+
+All stages but the last return the columns of ``documents``. Nulls, empty texts, repeated rows and empty tables are
+handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalyard.llm import quality_rules
+from catalyard.llm import mixing, packing, quality_rules, simhash, toxicity
 from catalyard.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,20 +18,52 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the base tests and the learned decision list keep."""
     rules = quality_rules.learned(docs, table(spark, sf_dir, "labels"))
-    rest = [F.col(c).alias(f"_{c}") for c in COLUMNS if c != "doc_id"]
-    carried = docs.select("doc_id", "text", *rest)
-    judged = quality_rules.judge_quality(carried, rules, *(f"_{c}" for c in COLUMNS if c != "doc_id"))
-    return judged.where("kept").select("doc_id", *(F.col(f"_{c}").alias(c) for c in COLUMNS if c != "doc_id"))
+    carried = [c for c in COLUMNS if c != "doc_id"]
+    kept = docs.select("doc_id", "text", *(F.col(c).alias(f"kept_{c}") for c in carried))
+    judged = quality_rules.judge_quality(kept, rules, *(f"kept_{c}" for c in carried))
+    return judged.where("kept").select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in carried))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents with a toxicity score under 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model, COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.without_copies(docs, COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the mix does: a row for each time."""
+    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid"))  # of rows as they lie in the files
+    sized = stored(mixing.word_counts(numbered, "source", "uid"), "sizes")
+    taken = mixing.mix(sized, "uid").where("copies > 0").select("uid", "copies")
+    again = numbered.join(taken, "uid").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 token ids."""
+    return packing.packed_digest(docs)
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", clean),
+    ("SimHash near-dedup", deduplicate),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
 
-#: The stages learn from labels, so SQL can't express them.
+#: The stages learn from labels and sample, so SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, over the table ``documents``."""
     out = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = stored(stage(spark, out, sf_dir), name.replace(" ", "-"))
+        out = stored(stage(spark, out, sf_dir), name.lower().replace(" ", "-"))
     return out
