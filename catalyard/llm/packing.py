@@ -104,7 +104,8 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3,
     """Patterns {length: times} and how many sequences use each, rounded down from the linear program's optimum.
 
     Rounding down costs up to a sequence for each length, so the program isn't driven nearer to full sequences than a
-    hundredth of that. No length gets more places than ``histogram`` has pieces of it. The program starts from patterns filled greedily and
+    hundredth of that. Patterns that would leave over a 256th of a sequence empty are not used: what they would hold is
+    cut instead. No length gets more places than ``histogram`` has pieces of it. The program starts from patterns filled greedily and
     takes in patterns whose price is over 1, several for each knapsack, until the bound that the prices prove or full sequences
     prove, is within ``gap`` (or progress stalls, or after ``most`` exchanges; that costs a little padding at worst).
     """
@@ -162,6 +163,8 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3,
             break
     left, out = demand.astype(np.int64), []
     for r in np.argsort(-x, kind="stable"):  # rounding errors must not give more places than pieces
+        if sum(int(lengths[i]) * k for i, k in columns[r].items()) < capacity - capacity // 256:
+            continue
         n = int(np.floor(x[r] + 1e-6))
         n = min([n, *(int(left[i] // k) for i, k in columns[r].items())])
         if n > 0:
