@@ -30,7 +30,7 @@ from .common import crc_remainder, small_batches, stored, table
 
 DEPTH = 5
 #: Bytes of text in a block, and blobs that meet in one group.
-BLOCK, FAN = 6 << 20, 64
+BLOCK, FAN = 8 << 20, 64
 #: Ends each text; no UTF-8 text holds it. Before a text stand zero bytes.
 END = b"\xff"
 TREE, WORDS = 0, 1
@@ -258,7 +258,7 @@ def _blocks(docs: DataFrame, n_buckets: int) -> DataFrame:
             ("doc_ids", pa.list_(ids_type)), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary()),
         ])
         none = {"doc_ids": [None], "held": [None], "sizes": [None], "texts": [None]}
-        text = zstandard.ZstdCompressor(3).compress(b"".join(texts))
+        text = zstandard.ZstdCompressor(6).compress(b"".join(texts))
         own = {"block": [name], "kind": [None], "bucket": [None], "keys": [None], "counts": [None]}
         sizes = [len(t) for t in texts]
         yield pa.RecordBatch.from_pydict(own | {"doc_ids": [ids], "held": [held], "sizes": [sizes], "texts": [text]}, schema)
