@@ -40,7 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid"))  # of rows as they lie in the files
     sized = stored(mixing.word_counts(numbered, "source", "uid"), "sizes")
     taken = mixing.mix(sized, "uid").where("copies > 0").select("uid", "copies")
-    again = numbered.join(taken, "uid").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    joined = numbered.join(taken.hint("merge"), "uid")  # small as files, but not bounded: no broadcast
+    again = joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return again.select(*COLUMNS)
 
 
