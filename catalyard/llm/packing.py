@@ -80,24 +80,37 @@ def _pattern(first: int, lengths: np.ndarray, value: np.ndarray, item: np.ndarra
     return out
 
 
-def _first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
-    """A pattern for each length, and how many sequences use it, that meet ``demand`` exactly: from the longest down, a
-    length's pattern is filled with the longest others of which enough are left. (The matrix is triangular.)"""
-    left, columns, x = demand.copy(), [{} for _ in lengths], np.zeros(len(lengths))
-    for i in range(len(lengths) - 1, -1, -1):
-        column = columns[i]
-        column[i] = int(max(1, capacity // lengths[i]))
-        space = capacity - column[i] * int(lengths[i])
-        x[i] = n = max(left[i], 0.0) / column[i]
-        left[i] = 0.0
-        j = min(i - 1, int(np.searchsorted(lengths, space, "right")) - 1)
-        while j >= 0 and space >= lengths[0]:
-            if times := min(int(space // lengths[j]), int(left[j] // n) if n else 0):
-                column[j] = times
-                space -= times * int(lengths[j])
-                left[j] -= times * n
+def _first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, list[int]]:
+    """A pattern for each length, how many sequences use it, and an order in which the patterns are triangular.
+
+    The longest length left, filled with the longest others that fit, is used until one of its lengths runs out; that
+    length's pattern it is. Together they meet ``demand`` exactly.
+    """
+    left, columns, x, order = demand.copy(), [{} for _ in lengths], np.zeros(len(lengths)), []
+    top = len(lengths) - 1
+    while True:
+        while top >= 0 and left[top] <= 0:
+            top -= 1
+        if top < 0:
+            break
+        column, space, j = {}, capacity, top
+        while j >= 0:
+            if left[j] > 0 and lengths[j] <= space:
+                column[j] = int(min(space // lengths[j], max(1, left[j])))
+                space -= column[j] * int(lengths[j])
             j = min(j - 1, int(np.searchsorted(lengths, space, "right")) - 1)
-    return columns, x
+        out = min(column, key=lambda i: (left[i] / column[i], -i))
+        n = left[out] / column[out]
+        for i, times in column.items():
+            left[i] = left[i] - n * times if left[i] - n * times > 1e-7 else 0.0
+        left[out] = 0.0
+        columns[out], x[out] = column, n
+        order.append(out)
+    for i in range(len(lengths)):
+        if not columns[i]:
+            columns[i] = {i: int(max(1, capacity // lengths[i]))}
+            order.append(i)
+    return columns, x, order
 
 
 def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3, most: int = 3000) -> list[tuple[dict[int, int], int]]:
@@ -113,9 +126,9 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3,
     if not len(lengths):
         return []
     demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
-    columns, x = _first_patterns(lengths, demand, capacity)
+    columns, x, order = _first_patterns(lengths, demand, capacity)
     inverse = np.eye(len(lengths))
-    for r in range(len(columns) - 1, -1, -1):  # back substitution; a column has few entries
+    for r in order:  # forward substitution; a column has few entries
         inverse[r] /= columns[r][r]
         for i, times in columns[r].items():
             if i != r:
