@@ -31,7 +31,7 @@ _ODD = re.compile(f"[{_ODD_WHITE}]")
 _SUSPECT = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _DOUBLE = [b"  ", b" \n", b"\n ", b"\n\n"]
 #: Units that a worker remembers; beyond, it starts anew.
-CACHE = 1_500_000
+CACHE = 1_000_000
 
 
 class _Index(dict):
@@ -56,10 +56,10 @@ class Encoder:
     """
 
     def __init__(self, path: str, spaced: bool):
-        self.spaced, self.plain, self.marked = spaced, Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.spaced, self.plain = spaced, Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.mark = "<|endoftext|>"
-        self.mark_id = self.marked.token_to_id(self.mark)
+        self.mark_id = self.plain.token_to_id(self.mark)
         self.dtype = np.dtype("<u2" if self.plain.get_vocab_size() <= 1 << 16 else "<u4")
         self._start()
 
@@ -71,7 +71,9 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's; many texts go in one call, parted by a special token."""
         if not any("<|" in t for t in texts):
-            ids = np.array(self.marked.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            self.plain.encode_special_tokens = False
+            ids = np.array(self.plain.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            self.plain.encode_special_tokens = True
             cuts = np.r_[-1, np.flatnonzero(ids == self.mark_id), len(ids)]
             if len(cuts) == len(texts) + 1:
                 return ids[ids != self.mark_id], np.diff(cuts) - 1
