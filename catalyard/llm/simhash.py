@@ -247,32 +247,188 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(h)).view(np.uint64)
 
 
-def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 0.03, missed: float = 0.02) -> DataFrame:
-    """(doc_id, component_id) of the documents that have an id, for links of about ``similarity`` or more.
-
-    Two texts are linked if the similarity of their sets of ``words``-word shingles, estimated from SimHash sketches of
-    64 * SKETCH bits, is ``similarity`` less ``slack`` or more. So far apart no band of bits need be equal: tables of
-    sampled bits deal the sketches to BK-trees, as many that a pair at ``similarity`` is missed by all tables with a
-    chance of ``missed``; the bits a table samples follow the number of sketches, so that chance fills no tree. Equal
-    sketches are one before that. A task returns a spanning forest, never all pairs.
+def _alike(x: np.ndarray, y: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    return common >= similarity * (x + y - common) - 1e-9
+
+
+class Postings:
+    """Which of some sets hold a hash; counts what another set shares with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.hashes, self.owners = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def like(self, s: np.ndarray, similarity: float) -> np.ndarray:
+        """Numbers of the sets whose Jaccard similarity with ``s`` is ``similarity`` or more."""
+        a, b = np.searchsorted(self.hashes, s), np.searchsorted(self.hashes, s, "right")
+        n = b - a
+        at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(s) else np.empty(0, dtype=np.int64)
+        common = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return np.flatnonzero(_alike(len(s), self.sizes, common, similarity) & ((common > 0) | (len(s) + self.sizes == 0)))
+
+
+def _exact_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sets`` that are alike, by breadth-first search among those not yet reached."""
+    left, links, queue = np.arange(len(sets)), [], []
+    index, held = Postings(sets), left
+    free = np.ones(len(sets), dtype=bool)
+    while len(left) or queue:
+        if not queue:
+            queue.append(int(left[0]))
+            free[left[0]] = False
+        x = queue.pop()
+        left = left[free[left]]
+        if not len(left):
+            break
+        if 2 * len(left) <= len(held):
+            index, held = Postings([sets[i] for i in left]), left
+        for y in held[index.like(sets[x], similarity)]:
+            if free[y]:
+                free[y] = False
+                links.append((x, int(y)))
+                queue.append(int(y))
+        left = left[free[left]]
+    return links
+
+
+def _cross_links(asks: list[tuple[int, np.ndarray]], rest: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (place in ``asks``, place in ``rest``) of sets that are alike and have different classes, one pair of two
+    classes at most; both hold (class, set)."""
+    index, cls, seen, links = Postings([s for _, s in rest]), [c for c, _ in rest], set(), []
+    for x, (c, s) in enumerate(asks):
+        for y in index.like(s, similarity):
+            pair = (min(c, cls[y]), max(c, cls[y]))
+            if c != cls[y] and pair not in seen:
+                seen.add(pair)
+                links.append((x, int(y)))
+    return links
+
+
+def _each_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each run of equal first ``keys`` columns, the last column being a set as bytes."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if r[:keys] != now:
+                if rows:
+                    yield rows
+                now, rows = r[:keys], []
+            rows.append((*r[keys:-1], np.frombuffer(r[-1], dtype=np.uint64)))
+    if rows:
+        yield rows
+
+
+def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+#: A cluster of more members or hashes than this is compared in blocks.
+MEMBERS, HASHES = 1024, 500_000
+#: Members of a large cluster that all of its blocks hold.
+PIVOTS = 8
+
+
+def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of a cluster with a Jaccard similarity of ``similarity``.
+
+    ``members`` (id, h, cluster) names texts of ``docs`` by doc_id and xxhash64 of the text. A cluster of over MEMBERS or
+    HASHES is cut into blocks, each with the same few pivots: what a block links, the pivots join with other blocks.
+    Only members outside the cluster's largest class so found then ask the other blocks, in blocks themselves.
+    """
+    spark = docs.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.unique(shingle_hashes(t, words)).astype(np.uint64) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            cols = [b.column(0), b.column(1), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "cluster", "n", "s"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_group(batches, 2):
+            if edges := [(rows[x][0], rows[y][0]) for x, y in _exact_links([r[1] for r in rows], similarity)]:
+                yield _edges_batch(edges)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_group(batches, 3):
+            asks, rest = ([r for r in rows if r[1] == k] for k in (1, 0))
+            found = _cross_links([r[2:] for r in asks], [r[2:] for r in rest], similarity)
+            if found:
+                yield _edges_batch([(asks[x][0], rest[y][0]) for x, y in found])
+
+    def blocks(total: str, count: str):
+        return F.greatest(F.ceil(F.col(total) / HASHES), F.ceil(F.col(count) / MEMBERS)).cast("int")
+
+    def parts(hashes: int) -> int:
+        return max(math.ceil(hashes / 2_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    texts = documents(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h"))
+    texts = texts.join(members.hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "cluster", "text")
+    held = stored(texts.mapInArrow(sets, "id long, cluster long, n long, s binary"), "shingle-sets")
+    sizes = held.groupBy("cluster").agg(F.sum("n").alias("hashes"), F.count("*").alias("members")).withColumn("blocks", blocks("hashes", "members"))
+    large = stored(sizes.where("blocks > 1"), "large-clusters")  # of HASHES or MEMBERS at least: few rows
+    hashes = held.agg(F.sum("n")).first()[0] or 0
+    cut = held.join(F.broadcast(large.select("cluster", "blocks", "members")), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("members")) < PIVOTS)
+    where = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
+    dealt = cut.select("cluster", F.explode(where).alias("block"), "id", "s")
+    dealt = dealt.repartition(parts(hashes), "cluster", "block").sortWithinPartitions("cluster", "block", "id")
+    first = stored(dealt.mapInArrow(within, "u long, v long"), "links")
+    if large.isEmpty():
+        return first
+    found = components(first)
+    of = cut.where("blocks > 1").join(found.hint("merge"), F.col("id") == F.col("node"), "left")
+    of = stored(of.select("cluster", "blocks", "id", "n", "s", F.coalesce("component", "id").alias("class")), "classed-sets")
+    classes = of.groupBy("cluster", "class").count()
+    most = classes.groupBy("cluster").agg(F.max_by("class", F.struct("count", "class")).alias("most"))
+    of = of.join(F.broadcast(most), "cluster")
+    asking = of.where("class <> most")
+    rounds = asking.groupBy("cluster").agg(F.sum("n").alias("hashes"), F.count("*").alias("members"))
+    rounds = stored(rounds.select("cluster", blocks("hashes", "members").alias("rounds")), "asking")
+    if rounds.isEmpty():
+        return first
+    turn = F.pmod(F.xxhash64("id", F.lit(2)), F.col("rounds")).cast("int")
+    of, asking = (x.join(F.broadcast(rounds), "cluster") for x in (of, asking))
+    asks = asking.select("cluster", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(1).alias("asks"), "class", "s")
+    rest = of.select("cluster", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("turn"), home.alias("block"), "id", F.lit(0).alias("asks"), "class", "s")
+    n = of.agg(F.sum(F.col("n") * F.col("rounds"))).first()[0] + asking.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    pairs = asks.union(rest).repartition(parts(n), "cluster", "turn", "block").sortWithinPartitions("cluster", "turn", "block")
+    return first.union(stored(pairs.mapInArrow(across, "u long, v long"), "links"))
+
+
+def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: float = 3.0, missed: float = 0.005) -> DataFrame:
+    """(doc_id, component_id) of the documents that have an id, for links of ``similarity`` or more.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more.
+    SimHash sketches of 64 * SKETCH bits only say which sets are compared: they cluster texts that differ in at most
+    ``spread`` standard deviations more bits than those at ``similarity`` do on average, and ``exact_links`` compares
+    within clusters. So far apart no band of bits need be equal: tables of sampled bits deal the sketches to BK-trees, as
+    many that a pair at ``similarity`` is missed by all tables with a chance of ``missed``; the bits a table samples
+    follow the number of sketches, so that chance fills no tree. Equal sketches are one before that. A task returns a
+    spanning forest, never all pairs.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [sketch(shingle_hashes(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             s = np.array(rows, dtype=np.uint64).reshape(-1, SKETCH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, k]) for k in range(SKETCH))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(s[:, k]) for k in range(SKETCH))], ["doc_id", "h", *names])
 
     names = [f"s{k}" for k in range(SKETCH)]
     small_batches(docs.sparkSession)
     d = documents(docs).where("doc_id is not null")
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names)
-    each = stored(d.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sketches, schema), "sketches")
-    distinct = stored(each.groupBy(*names).agg(F.min("doc_id").alias("id")), "distinct-sketches")
+    schema = "doc_id long, h long, " + ", ".join(f"{c} long" for c in names)
+    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    each = stored(d.mapInArrow(sketches, schema), "sketches")
+    distinct = each.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    distinct = stored(distinct.select(*names, F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")), "distinct-sketches")
     n = distinct.count()
     bits = max(10, math.ceil(math.log2(max(n, 2))) - 2)
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - differing(similarity)) ** bits))
-    radius = round(BITS * SKETCH * differing(similarity - slack))
+    share = differing(similarity)
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - share) ** bits))
+    radius = round(BITS * SKETCH * share + spread * math.sqrt(BITS * SKETCH * share * (1 - share)))
     rng = np.random.default_rng(5)
     samples = [rng.choice(BITS * SKETCH, bits, replace=False) for _ in range(tables)]
 
@@ -301,7 +457,9 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, sla
     parts = max(math.ceil(n * tables / 300_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = distinct.mapInArrow(deal, "t int, key long, id long, " + ", ".join(f"{c} long" for c in names))
     edges = stored(dealt.repartition(parts, "t", "key").mapInArrow(link, "u long, v long").distinct(), "links")
-    comp = components(edges)
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    members = stored(distinct.join(clusters.hint("merge"), distinct.id == clusters.node).select("id", "h", "cluster"), "members")
+    comp = components(exact_links(docs, members, words, similarity))
     named = distinct.join(comp, distinct.id == comp.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))
     return each.join(named, names).select("doc_id", "component_id")
 

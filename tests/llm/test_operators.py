@@ -304,6 +304,56 @@ def test_one_of_each_group_of_copies_stays(spark, docs):
     assert simhash.without_copies(cases.empty(spark), columns).count() == 0
 
 
+def _jaccard_pair(seed, n, similarity):
+    """Two texts of ``n`` different five-word shingles each, and their similarity."""
+    k = round(2 * n * similarity / (1 + similarity))
+    w = [f"w{seed}x{i}" for i in range(n + 4)]
+    return " ".join(w), " ".join(w[: k + 4] + [f"v{seed}x{i}" for i in range(n - k)]), k / (2 * n - k)
+
+
+def _copies_by_force(rows, k=5, least=0.8):
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    like = lambda a, b: a == b or len(a & b) >= least * len(a | b)
+    near = {i: [j for j in sets if like(sets[i], sets[j])] for i in sets}
+    label = {i: i for i in sets}
+    for _ in sets:
+        label = {i: min(label[j] for j in near[i]) for i in sets}
+    return label
+
+
+def test_similarity_decides_on_both_sides(spark):
+    rows, alike = [], {}
+    for p in range(240):
+        a, b, j = _jaccard_pair(p, 300, (0.75, 0.78, 0.805, 0.83)[p % 4])
+        rows += [(2 * p, a), (2 * p + 1, b)]
+        alike[p] = j >= 0.8
+    got = {r.doc_id: r.component_id for r in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = {p: got[2 * p] == got[2 * p + 1] for p in alike}
+    assert not any(joined[p] for p in alike if not alike[p])
+    assert sum(joined[p] for p in alike if alike[p]) >= 117
+
+
+def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng, rows = np.random.default_rng(8), []
+    for g in range(2):
+        w = [f"g{g}x{i}" for i in range(200)]
+        for i in range(60):
+            own = list(w)
+            for at in rng.choice(40, rng.integers(1, 5), replace=False):
+                own[5 * at] = f"c{g}x{i}x{at}"
+            rows.append((60 * g + i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.lit(0).cast("long").alias("cluster"))
+    got = {r.node: r.component for r in components.components(simhash.exact_links(docs, members, 5, 0.8)).collect()}
+    want = _copies_by_force(rows)
+    assert len(set(want.values())) > 2 and {i: got.get(i, i) for i, _ in rows} == want
+
+
 # ---- op9 ----
 
 
