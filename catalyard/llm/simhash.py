@@ -143,12 +143,13 @@ def _links(group: np.ndarray, value: np.ndarray, own: np.ndarray, radius: int, b
     root_of = np.full(len(start), -1)
     root_of[number[tree_at][forest.roots]] = forest.roots
     label = np.arange(len(value))
-    # What is near its root is one class from the start; within it no pair needs a look, so only the others ask.
+    # What is near its root is one class from the start; within it no pair of the tree needs a look, so of the tree only the
+    # others ask. Guests (own: 0) stand in no tree here, so nobody finds them: they ask always.
     root = root_of[number]
     asks = np.flatnonzero((root >= 0) & (tree_at[root] != label))
     near = _distance(value[asks], value[tree_at[root[asks]]]) <= radius
     label[asks[near]] = tree_at[root[asks[near]]]
-    asks = asks[~near]
+    asks = asks[~(near & (own[asks] == 1))]
     for i in range(0, len(asks), block):
         q = asks[i : i + block]
         for who, node in forest.near(value[q], root[q], radius):

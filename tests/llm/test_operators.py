@@ -286,6 +286,18 @@ def test_sharded_bands_lose_no_link(spark):
     assert {x: got.get(x, x) for x in fps} == label
 
 
+def test_guests_near_a_root_ask_the_tree():
+    """b-G-T-a, each 4 bits from the next, in the shard trees (a, G) and (b, T); T and G are guests near the other's root."""
+    a, t, g, b = 0x0, 0xF, 0xFF, 0xFFF
+    value = np.array([a, g, t, b, b, t, g, a], dtype=np.uint64)
+    u, v = simhash._links(np.repeat([0, 1], 4), value[:, None], np.array([1, 1, 0, 0] * 2), 4)
+    label = {x: x for x in (a, t, g, b)}
+    for _ in range(8):
+        for x, y in zip(value[u].tolist(), value[v].tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+    assert set(label.values()) == {a}
+
+
 def test_bk_tree_search_is_exact():
     rng = np.random.default_rng(4)
     values = rng.integers(0, 1 << 16, 500).astype(np.uint64)[:, None]
