@@ -34,19 +34,30 @@ TELLING = 24.0
 STEMS = (4, 6, 8)
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_SWAPS = {t.encode(): [x.encode() for x in ts if x != t] for ts in IDENTITY_TERMS.values() for t in ts}
+#: Each term, and its form with an s, and what it is swapped for: the others of its kind in the same form.
+_SWAPS = {(t + s).encode(): [(x + s).encode() for x in ts if x != t] for ts in IDENTITY_TERMS.values() for t in ts for s in ("", "s")}
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """What a text is scored by: its words, A-Z lower-cased (runs of ASCII letters, digits and non-ASCII bytes), and their
-    beginnings of 4, 6 and 8 bytes, marked ``*``, which cover inflected and compound forms."""
-    words = set(text.lower().translate(_SPACED).split())
+def plain_words(text: bytes) -> set[bytes]:
+    """A text's words, A-Z lower-cased: runs of ASCII letters, digits and non-ASCII bytes."""
+    return set(text.lower().translate(_SPACED).split())
+
+
+def with_beginnings(words: set[bytes]) -> set[bytes]:
+    """``words`` and their beginnings of 4, 6 and 8 bytes, marked ``*``, which cover inflected and compound forms."""
     return words.union(*({w[:k] + b"*" for w in words if len(w) > k} for k in STEMS))
 
 
-def swapped(words: set[bytes], turn: int) -> set[bytes]:
-    """``words`` with each identity term exchanged for the ``turn``-th other of its kind."""
-    return {_SWAPS[w][turn % len(_SWAPS[w])] if w in _SWAPS else w for w in words}
+def words_of(text: bytes) -> set[bytes]:
+    """What a text is scored by: its words and their beginnings."""
+    return with_beginnings(plain_words(text))
+
+
+def swaps_of(words: set[bytes]) -> Iterator[set[bytes]]:
+    """What a text of the plain ``words`` is scored by with each identity term exchanged for another of its kind, in turn
+    for all others; nothing if there is no term."""
+    for turn in range(max((len(_SWAPS[w]) for w in words & _SWAPS.keys()), default=0)):
+        yield with_beginnings({_SWAPS[w][turn % len(_SWAPS[w])] if w in _SWAPS else w for w in words})
 
 
 @dataclass
@@ -80,7 +91,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
 
 
 def telling_words(sample: DataFrame, most: int) -> list[bytes]:
-    """The words whose presence is least independent of the label (chi-squared), and all identity terms seen."""
+    """The words whose presence is least independent of the label (chi-squared), and, if a term is seen, all identity
+    terms with their beginnings."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -99,11 +111,13 @@ def telling_words(sample: DataFrame, most: int) -> list[bytes]:
     told = counts.withColumn("chi", chi).where(F.col("chi") >= TELLING)
     best = [bytes(r.word) for r in told.orderBy(F.col("chi").desc(), "word").limit(most).collect()]
     terms = counts.where(F.col("word").isin([bytearray(t) for t in _SWAPS])).select("word").collect()
-    return sorted({*best, *(bytes(r.word) for r in terms), *(_SWAPS if terms else ())})
+    return sorted({*best, *(with_beginnings(set(_SWAPS)) if terms else ())})
 
 
 def _fit(rows: list, n_words: int, sizes: dict[int, int], fairness: float, decay: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps; rows are (label, words, words of swapped versions)."""
+    """Logistic regression by accelerated gradient steps; rows are (label, words, changes).
+
+    A change is what a swap takes (word + 1) and brings (-word - 1); words of both versions cancel out."""
 
     def packed(lists: list) -> tuple[np.ndarray, np.ndarray]:
         n = np.array([len(x) for x in lists], dtype=np.int64)
@@ -112,10 +126,9 @@ def _fit(rows: list, n_words: int, sizes: dict[int, int], fairness: float, decay
 
     y = np.array([r[0] for r in rows], dtype=float)
     at, row = packed([r[1] for r in rows])
-    pairs = [(i, other) for i, r in enumerate(rows) for other in r[2]]
-    signed = [(1.0, i, w) for i, (r, _) in enumerate(pairs) for w in rows[r][1]]
-    signed += [(-1.0, i, w) for i, (_, other) in enumerate(pairs) for w in other]
-    sign, pair, word = (np.array(c) for c in zip(*signed)) if signed else (np.empty(0),) * 3
+    pairs = [change for r in rows for change in r[2]]
+    word, pair = packed(pairs)
+    sign, word = np.sign(word).astype(float), np.abs(word) - 1
     share = np.array([sizes.get(int(v), 1) / max((y == v).sum(), 1) for v in y])
     share /= share.mean()
     w, momentum = np.zeros(n_words + 1), np.zeros(n_words + 1)
@@ -126,8 +139,8 @@ def _fit(rows: list, n_words: int, sizes: dict[int, int], fairness: float, decay
         grad = np.r_[np.bincount(at, g[row], n_words), g.sum()]
         grad[:-1] += decay * w[:-1] / len(y)
         if len(pairs):  # the penalty: squared change of the score under a swap
-            change = np.bincount(pair.astype(int), sign * w[word.astype(int)], len(pairs))
-            grad[:-1] += 2 * fairness / len(pairs) * np.bincount(word.astype(int), sign * change[pair.astype(int)], n_words)
+            change = np.bincount(pair, sign * w[word], len(pairs))
+            grad[:-1] += 2 * fairness / len(pairs) * np.bincount(word, sign * change[pair], n_words)
         momentum = 0.9 * momentum + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         w -= 0.1 * (momentum / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9) * (1 - step / (steps + 1))
@@ -151,21 +164,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, others = [], []
+            own, changes = [], []
             for t in b.column(0).cast(pa.binary()).to_pylist():
-                found = index.keys() & words_of(t)
+                plain = plain_words(t)
+                found = index.keys() & with_beginnings(plain)
                 own.append(sorted(index[w] for w in found))
-                swaps = [swapped(found, k) for k in range(3)] if found & _SWAPS.keys() else []
-                others.append([sorted(index[w] for w in s if w in index) for s in swaps])
+                swaps = (index.keys() & s for s in swaps_of(plain))
+                changes.append([sorted([index[w] + 1 for w in found - s] + [-index[w] - 1 for w in s - found]) for s in swaps])
             kinds = [pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-            cols = [b.column(1), b.column(2), *(pa.array(x, k) for x, k in zip((own, others), kinds))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "own", "others"])
+            cols = [b.column(1), b.column(2), *(pa.array(x, k) for x, k in zip((own, changes), kinds))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "own", "changes"])
 
     kinds = dict(sample.dtypes)
     rows = sample.select("text", "doc_id", "toxic").mapInArrow(
-        features, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, own array<int>, others array<array<int>>"
+        features, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, own array<int>, changes array<array<int>>"
     )
-    rows = [(r.toxic, r.own, r.others) for r in rows.orderBy("doc_id").collect()]
+    rows = [(r.toxic, r.own, r.changes) for r in rows.orderBy("doc_id").collect()]
     weights, bias = _fit(rows, len(vocabulary), sizes, fairness, decay, steps)
     return Model({w: float(x) for w, x in zip(vocabulary, weights) if x}, bias)
 

@@ -191,6 +191,21 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert toxicity.train(docs, labels.limit(0)).score(b"x") == 0.5
 
 
+def test_toxicity_is_even_over_identity_terms(spark):
+    """Labels that lean on some groups, in singular and plural, whose words have telling beginnings."""
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        who = (["muslim", "muslims", "women", "lesbian", "lesbians"] if bad else ["christian", "christians", "men", "straight", "garden"])[i % 5]
+        rows.append((i, f"{cases.text(i, 12)} {'vilest' if bad and i % 2 else 'quiet'} {who}", int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    for terms in (toxicity.IDENTITY_TERMS[k] for k in ("gender", "orientation", "religion")):
+        for end in ("", "s"):
+            got = [model.score(f"the {t}{end} read a book".encode()) for t in terms]
+            assert max(got) - min(got) < 0.15
+
+
 # ---- op5 ----
 
 
