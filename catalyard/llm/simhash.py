@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -99,10 +100,16 @@ class Forest:
         order = np.argsort(keys)
         self.children, self.keys = inner[order], keys[order]
 
-    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query number, node) within ``radius``, following only edges that triangle inequality leaves."""
-        who, node = np.arange(len(queries)), roots
-        while len(who):
+    def near(self, queries: np.ndarray, roots: np.ndarray, radius: int, wide: int = 65536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query number, node) within ``radius``, following only edges that triangle inequality leaves.
+
+        At most ``wide`` nodes are looked at in a turn; what more a turn leads to waits."""
+        waiting = [(np.arange(len(queries)), roots)]
+        while waiting:
+            who, node = waiting.pop()
+            if len(who) > wide:
+                waiting += [(who[wide:], node[wide:]), (who[:wide], node[:wide])]
+                continue
             d = _distance(queries[who], self.values[node])
             hit = d <= radius
             if hit.any():
@@ -111,8 +118,8 @@ class Forest:
             a = np.searchsorted(self.keys, base + np.maximum(d - radius, 0))
             b = np.searchsorted(self.keys, base + np.minimum(d + radius, self.span - 1), "right")
             n = b - a
-            who = np.repeat(who, n)
-            node = self.children[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            if n.any():
+                waiting.append((np.repeat(who, n), self.children[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
@@ -325,6 +332,8 @@ def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
+#: A bucket of more sketches makes all of them candidates of each other; no task holds it whole.
+BUCKET = 2048
 #: A cluster of more members or hashes than this is compared in blocks.
 MEMBERS, HASHES = 1024, 500_000
 #: Members of a large cluster that all of its blocks hold.
@@ -408,7 +417,8 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     within clusters. So far apart no band of bits need be equal: tables of sampled bits deal the sketches to BK-trees, as
     many that a pair at ``similarity`` is missed by all tables with a chance of ``missed``; the bits a table samples
     follow the number of sketches, so that chance fills no tree. Equal sketches are one before that. A task returns a
-    spanning forest, never all pairs.
+    spanning forest, never all pairs. A bucket of over BUCKET sketches is no tree but one cluster, whose members
+    ``exact_links`` tells apart.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +467,15 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
 
     parts = max(math.ceil(n * tables / 300_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = distinct.mapInArrow(deal, "t int, key long, id long, " + ", ".join(f"{c} long" for c in names))
-    edges = stored(dealt.repartition(parts, "t", "key").mapInArrow(link, "u long, v long").distinct(), "links")
+    large = dealt.groupBy("t", "key").agg(F.count("*").alias("count"), F.min("id").alias("v")).where(F.col("count") > BUCKET)
+    large = stored(large.select("t", "key", "v"), "large-buckets")
+    links = []
+    if not large.isEmpty():
+        dealt = dealt.join(F.broadcast(large), ["t", "key"], "left")
+        links = [dealt.where("v is not null").select(F.col("id").alias("u"), "v")]
+        dealt = dealt.where("v is null").drop("v")
+    links.append(dealt.repartition(parts, "t", "key").mapInArrow(link, "u long, v long"))
+    edges = stored(reduce(DataFrame.union, links).distinct(), "links")
     clusters = components(edges).withColumnRenamed("component", "cluster")
     members = stored(distinct.join(clusters.hint("merge"), distinct.id == clusters.node).select("id", "h", "cluster"), "members")
     comp = components(exact_links(docs, members, words, similarity))

@@ -381,6 +381,38 @@ def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     assert len(set(want.values())) > 2 and {i: got.get(i, i) for i, _ in rows} == want
 
 
+def test_no_task_holds_a_large_bucket(spark, monkeypatch):
+    """A group of near copies that share buckets: trees get at most BUCKET of them, and classes stay those of all pairs."""
+    monkeypatch.setattr(simhash, "BUCKET", 20)
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    real = simhash._links
+
+    def watched(group, *more):
+        assert np.bincount(group).max() <= 20
+        return real(group, *more)
+
+    monkeypatch.setattr(simhash, "_links", watched)
+    rng, rows = np.random.default_rng(9), []
+    for i in range(90):
+        own = [f"g{k}" for k in range(200)]
+        for at in rng.choice(40, rng.integers(1, 5), replace=False):
+            own[5 * at] = f"c{i}x{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, cases.text(i, 50)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_copies(docs).collect()}
+    assert got == _copies_by_force(rows)
+
+
+def test_search_goes_on_in_narrow_turns():
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 1 << 16, 300)).astype(np.uint64)[:, None]
+    tree = simhash.Forest(values, np.zeros(len(values), dtype=np.int64))
+    roots = np.zeros(len(values), dtype=np.int64)
+    pairs = lambda wide: {(int(a), int(b)) for who, node in tree.near(values, roots, 5, wide) for a, b in zip(who, node)}
+    assert pairs(7) == pairs(1 << 20) == {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i, 0] ^ values[j, 0]).bit_count() <= 5}
+
+
 # ---- op9 ----
 
 
