@@ -37,7 +37,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does: a row for each time."""
-    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid"))  # of rows as they lie in the files
+    # Numbers follow how files are packed into partitions, which may change from job to job: they are given once.
+    numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid")), "numbered")
     sized = stored(mixing.word_counts(numbered, "source", "uid"), "sizes")
     taken = mixing.mix(sized, "uid").where("copies > 0").select("uid", "copies")
     joined = numbered.join(taken.hint("merge"), "uid")  # small as files, but not bounded: no broadcast

@@ -33,6 +33,28 @@ def test_empty_documents(spark):
         assert docs.count() == 0
 
 
+def test_mix_numbers_documents_once(spark, monkeypatch):
+    """Partitions that are packed otherwise after the sizes are counted, as when executors are lost, change nothing."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
+    docs = docs.select("*", F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("doc_id") % 3).alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs = stored(docs.repartition(8), "test-stage")
+    want = sorted(r.doc_id for r in corpus_pipeline.mix(spark, docs, DATA).collect())
+    real, key = corpus_pipeline.mixing.mix, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def lost(*args):
+        out = stored(real(*args), "test-mix")
+        spark.conf.set(key, "100")
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", lost)
+    try:
+        got = sorted(r.doc_id for r in corpus_pipeline.mix(spark, docs, DATA).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == want
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
