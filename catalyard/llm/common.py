@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,10 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share. Only a local session that names none gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -46,9 +49,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel in Arrow batches of so many rows, which bounds a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Whole texts travel in Arrow batches of so many MB or a row more, which bounds a Python worker's memory.
+
+    This session setting stays, as frames are computed later; it is only ever lowered, and every operator sets the same.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))  # with a unit: somebody's own choice, which stays
+    if now and not 0 < int(now[1]) <= mb << 20:
+        spark.conf.set(key, f"{mb << 20}b")
 
 
 def ascii_lower(c: Column) -> Column:

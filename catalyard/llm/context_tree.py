@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, small_batches, stored, table
+from .common import crc_remainder, bounded_batches, stored, table
 
 DEPTH = 5
 #: Bytes of text in a block, and blobs that meet in one group.
@@ -326,12 +326,12 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     probability one half. Words are counted by 64-bit hashes.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n_buckets = int(min(4096, max(48, size // (64 << 20))))
     blocks = stored(_blocks(d, n_buckets), "blocks", "none")
-    small_batches(spark, 64)  # rows are blobs from here
+    bounded_batches(spark)  # rows are blobs from here
     parts, texts = blocks.where("kind is not null"), blocks.where("kind is null")
     n_blocks = max(1, texts.count())
     sums = summed(parts, n_blocks)

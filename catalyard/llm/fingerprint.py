@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, table
+from .common import documents, bounded_batches, table
 
 LANES, WIDE = 128, 2
 #: A line is a paragraph; a longer one is parted after the ends of sentences and clauses.
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = [Fingerprint.of_text(t).hex() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = documents(docs)
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fingerprint string")
 
@@ -189,7 +189,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
                 types = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     schema = f"doc_id {kinds}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(run, schema)
 

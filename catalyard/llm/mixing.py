@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, small_batches, stored, table
+from .common import documents, bounded_batches, stored, table
 
 #: Documents that one flight handles; what it leaves (2 at most) goes to the next level.
 BLOCK = 4000
@@ -35,7 +35,7 @@ def word_counts(docs: DataFrame, *more: str) -> DataFrame:
             cols = [b.column(0), pa.array(sizes, pa.int64()), *b.columns[2:]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "size", *more])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = documents(docs, *more)
     schema = T.StructType([d.schema["doc_id"], T.StructField("size", T.LongType()), *(d.schema[c] for c in more)])
     return d.mapInArrow(run, schema)

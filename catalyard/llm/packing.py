@@ -1,54 +1,54 @@
 """Packing token ids into sequences by cutting-stock column generation.
 
 Documents are cut into full sequences and a rest. A linear program over patterns (lengths of rests that fill a sequence)
-covers the histogram of rests; a knapsack over the dual prices finds the next pattern. Rounded down, the patterns are
-dealt to rests ranked within their length; the few rests left over are laid end to end and cut at sequence ends.
+covers the histogram of rests; a knapsack over the dual prices finds every pattern. Rounded, the patterns are dealt to
+rests ranked within their length; the few rests left over are laid end to end and cut at sequence ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_of, documents, small_batches, stored, table
+from .common import bounded_batches, bucket_of, documents, stored, table
 from .tokens import _restored, encoder, id_width
 
 CAPACITY = 1024
 #: Pieces that one task ranks within a length.
 BUCKET = 5000
+#: Buckets of a length that one task sums.
+GROUP = 4096
 
 
 def pieces(docs: DataFrame, path: str, spaced: bool, end: int, capacity: int) -> DataFrame:
     """doc_id, start, length, doc_tokens and compressed ids of every document, cut at multiples of ``capacity``."""
-    import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, squeeze = encoder(path, spaced), zstandard.ZstdCompressor(1).compress
+        enc, squeeze = encoder(path, spaced), zstandard.ZstdCompressor(1, write_checksum=False).compress
+        w = enc.dtype.itemsize
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, n = enc.encode(b.column(1).cast(pa.binary()).to_pylist())
-            upto = np.cumsum(n)
-            ids = np.insert(ids, upto, end).astype(enc.dtype)
-            n = n + 1
+            ids, n = enc.encode_ended(b.column(1), end)
             count = -(-n // capacity)
             doc = np.repeat(np.arange(len(n)), count)
             start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * capacity
             length = np.minimum(n[doc] - start, capacity)
             at = (np.cumsum(n) - n)[doc] + start
             view = memoryview(ids.tobytes())
-            w = enc.dtype.itemsize
             blob = [squeeze(view[w * a : w * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
             cols = [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(n[doc]), pa.array(blob, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = documents(docs)
     long = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")]
     return d.mapInArrow(run, T.StructType([d.schema["doc_id"], *long, T.StructField("ids", T.BinaryType())]))
@@ -80,79 +80,57 @@ def _pattern(first: int, lengths: np.ndarray, value: np.ndarray, item: np.ndarra
     return out
 
 
-def _first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, list[int]]:
-    """A pattern for each length, how many sequences use it, and an order in which the patterns are triangular.
+@dataclass
+class Program:
+    """What ``solve_patterns`` did: knapsacks solved, columns that they priced into the program, the program's value in
+    sequences, with the price of cuts, and the best bound that prices proved."""
 
-    The longest length left, filled with the longest others that fit, is used until one of its lengths runs out; that
-    length's pattern it is. Together they meet ``demand`` exactly.
-    """
-    left, columns, x, order = demand.copy(), [{} for _ in lengths], np.zeros(len(lengths)), []
-    top = len(lengths) - 1
-    while True:
-        while top >= 0 and left[top] <= 0:
-            top -= 1
-        if top < 0:
-            break
-        column, space, j = {}, capacity, top
-        while j >= 0:
-            if left[j] > 0 and lengths[j] <= space:
-                column[j] = int(min(space // lengths[j], max(1, left[j])))
-                space -= column[j] * int(lengths[j])
-            j = min(j - 1, int(np.searchsorted(lengths, space, "right")) - 1)
-        out = min(column, key=lambda i: (left[i] / column[i], -i))
-        n = left[out] / column[out]
-        for i, times in column.items():
-            left[i] = left[i] - n * times if left[i] - n * times > 1e-7 else 0.0
-        left[out] = 0.0
-        columns[out], x[out] = column, n
-        order.append(out)
-    for i in range(len(lengths)):
-        if not columns[i]:
-            columns[i] = {i: int(max(1, capacity // lengths[i]))}
-            order.append(i)
-    return columns, x, order
-
-
-def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3, most: int = 3000) -> list[tuple[dict[int, int], int]]:
-    """Patterns {length: times} and how many sequences use each, rounded down from the linear program's optimum.
-
-    Rounding down costs up to a sequence for each length, so the program isn't driven nearer to full sequences than a
-    hundredth of that. Patterns that would leave over a 256th of a sequence empty are not used: what they would hold is
-    cut instead. No length gets more places than ``histogram`` has pieces of it. The program starts from patterns filled greedily and
-    takes in patterns whose price is over 1, several for each knapsack, until the bound that the prices prove or full sequences
-    prove, is within ``gap`` (or progress stalls, or after ``most`` exchanges; that costs a little padding at worst).
+    knapsacks: int = 0
+    columns: int = 0
+    value: float = 0.0
+    bound: float = 0.0
+
+
+def solve_patterns(
+    histogram: dict[int, int], capacity: int, gap: float = 2e-4, most: int = 4000, cut: float = 1 / 128, told: Program | None = None
+) -> list[tuple[dict[int, int], int]]:
+    """Patterns {length: times} and how many sequences use each, rounded from the linear program's optimum.
+
+    The program has a row for each length. Its first columns lay one piece of a length end to end with others: that costs
+    the piece's share of a sequence and, as such a piece is cut with that chance, ``cut`` times the square of the share. All
+    patterns come from the knapsack: over the dual prices it finds columns worth more than the sequence they cost, one for
+    each length at a time, each of which takes the place of a column (revised simplex). So a pattern leaves at most ``cut``
+    of a sequence empty, and what no pattern fills is cut. The search ends when the bound that the prices prove is within
+    ``gap`` of the value, or after ``most`` exchanges. Then patterns are rounded down, and up while pieces are left, by
+    falling fractions. No length gets more places than ``histogram`` has pieces of it.
     """
     lengths = np.array(sorted(x for x, n in histogram.items() if 0 < x < capacity and n), dtype=np.int64)
+    told = told or Program()
     if not len(lengths):
         return []
     demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
-    columns, x, order = _first_patterns(lengths, demand, capacity)
-    inverse = np.eye(len(lengths))
-    for r in order:  # forward substitution; a column has few entries
-        inverse[r] /= columns[r][r]
-        for i, times in columns[r].items():
-            if i != r:
-                inverse[i] -= times * inverse[r]
-    prices = inverse.sum(axis=0)
-    exchanges, rounds, mark, filled = 0, 0, np.inf, float((lengths * demand).sum()) / capacity
-    while exchanges < most:
-        value, item = _knapsack(lengths, np.maximum(prices, 0), capacity)
-        if value[capacity] <= 1 + gap or x.sum() <= (1 + gap) * filled + 0.01 * len(lengths):
+    laid = lengths / capacity * (1 + cut * lengths / capacity)
+    columns: list[dict[int, int] | None] = [None] * len(lengths)  # None: laid end to end
+    inverse, prices, x = np.eye(len(lengths)), laid.copy(), demand.copy()
+    value = float(laid @ demand)
+    while told.columns < most:
+        price = np.maximum(prices, 0)
+        worth, item = _knapsack(lengths, price, capacity)
+        told.knapsacks += 1
+        over = prices / laid
+        told.bound = max(told.bound, float(prices @ demand) / max(1.0, worth[capacity], over.max()))
+        if value <= (1 + gap) * told.bound:
             break
-        if rounds % 40 == 0:  # a degenerate program can exchange for long without getting better
-            if mark - x.sum() < gap / 4 * filled:
-                break
-            mark = x.sum()
-        rounds += 1
-        best = np.maximum(prices, 0) + value[capacity - lengths]
+        best = np.r_[price + worth[capacity - lengths], over]  # patterns that hold a length, and lengths laid end to end
         moved = 0
-        for first in np.argsort(-best, kind="stable")[:12]:
+        for first in np.argsort(-best, kind="stable").tolist():
             if best[first] <= 1 + gap / 2:
                 break
-            new = _pattern(int(first), lengths, value, item, capacity)
-            at, times = np.array(list(new)), np.array(list(new.values()), dtype=float)
-            cost = 1 - float((prices[at] * times).sum())
-            if cost > -gap / 4:
+            new = _pattern(first, lengths, worth, item, capacity) if first < len(lengths) else None
+            at = np.array(list(new)) if new else np.array([first - len(lengths)])
+            times = np.array(list(new.values()), dtype=float) if new else np.ones(1)
+            cost = (1 if new else float(laid[at[0]])) - float((prices[at] * times).sum())
+            if cost > -gap / 4 * (1 if new else laid[at[0]]):  # an exchange before has lowered the prices
                 continue
             change = (inverse[:, at] * times).sum(axis=1)
             ratio = np.where(change > 1e-9, x / np.where(change > 1e-9, change, 1), np.inf)
@@ -163,28 +141,34 @@ def solve_patterns(histogram: dict[int, int], capacity: int, gap: float = 1e-3,
             x -= ratio[r] * change
             x[r] = ratio[r]
             np.maximum(x, 0, out=x)
+            value += cost * x[r]
             prices = prices + cost * row
-            change[r] -= 1
+            change[r] = 0
             touched = np.flatnonzero(np.abs(change) > 1e-12)
-            old = inverse[r].copy()
             inverse[touched] -= np.outer(change[touched], row)
-            inverse[r] = old / (change[r] + 1)
+            inverse[r] = row
             columns[r] = new
             moved += 1
-        exchanges += moved
+        told.columns += moved
         if not moved:
             break
-    left, out = demand.astype(np.int64), []
-    for r in np.argsort(-x, kind="stable"):  # rounding errors must not give more places than pieces
-        if sum(int(lengths[i]) * k for i, k in columns[r].items()) < capacity - capacity // 256:
-            continue
-        n = int(np.floor(x[r] + 1e-6))
-        n = min([n, *(int(left[i] // k) for i, k in columns[r].items())])
+    told.value = value
+    used = [r for r in range(len(lengths)) if columns[r]]
+    left, rounded = demand.astype(np.int64), np.zeros(len(lengths), dtype=np.int64)
+
+    def take(r: int, n: int) -> None:
+        n = min([n, *(int(left[i] // k) for i, k in columns[r].items())])  # rounding errors give no places without pieces
         if n > 0:
+            rounded[r] += n
             for i, k in columns[r].items():
                 left[i] -= n * k
-            out.append(({int(lengths[i]): k for i, k in columns[r].items()}, n))
-    return out
+
+    for r in used:
+        take(r, int(x[r] + 1e-6))
+    for r in sorted(used, key=lambda r: (rounded[r] - x[r], r)):
+        if x[r] - rounded[r] > 1e-6:
+            take(r, 1)
+    return [({int(lengths[i]): k for i, k in columns[r].items()}, int(rounded[r])) for r in used if rounded[r]]
 
 
 class Plan:
@@ -235,17 +219,23 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = 0, capacity
     """doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id and offset of each piece.
 
     Every id of every document, and ``end`` after each, is in exactly one piece; offsets within a sequence have no gaps.
-    Null texts are empty (only the end id); repeated rows and ids are packed as often as they come; an empty table gives an
-    empty result. Only the histogram of lengths, at most ``capacity`` numbers, reaches the driver. Ranks within a length
-    are counted in buckets of about ``BUCKET`` pieces, so a length that most documents have is spread like any other.
+    Null texts are empty (only the end id); very long texts are many pieces; repeated rows and ids are packed as often as
+    they come; other columns are not read; an empty table gives an empty result. Only the histogram of lengths, at most
+    ``capacity`` numbers, reaches the driver. Ranks within a length are counted in buckets of about ``BUCKET`` pieces, and
+    buckets before a bucket in groups of GROUP, so a length that most documents have is spread like any other.
     """
     cut = stored(pieces(docs, path, spaced, end, capacity), "pieces", "none")
     total = cut.count()
     cut = cut.withColumn("bucket", bucket_of(max(1, -(-total // BUCKET)), "doc_id", "start"))
-    counts = stored(cut.groupBy("length", "bucket").count(), "length-counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    counts = cut.groupBy("length", "bucket").count().withColumn("group", F.expr(f"bucket div {GROUP}"))
+    counts = stored(counts, "length-counts")
+    groups = stored(counts.groupBy("length", "group").agg(F.sum("count").alias("n")), "group-counts")
+    histogram = {r.length: r.total for r in groups.groupBy("length").agg(F.sum("n").alias("total")).collect()}
     plan, width = Plan(histogram, capacity), id_width(path)
-    before = counts.select("length", "bucket", F.expr("sum(count) over (partition by length order by bucket) - count").alias("before"))
+    above = groups.select("length", "group", F.expr("sum(n) over (partition by length order by group) - n").alias("above"))
+    within = F.expr("sum(count) over (partition by length, group order by bucket) - count")
+    before = counts.withColumn("within", within).join(above, ["length", "group"])
+    before = before.select("length", "bucket", (F.col("within") + F.col("above")).alias("before"))
     inside = F.expr("row_number() over (partition by length, bucket order by doc_id, start, ids) - 1")
     ranked = cut.withColumn("inside", inside).join(before.hint("shuffle_merge"), ["length", "bucket"])
     ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("inside") + F.col("before")).alias("rank"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, small_batches, stored, table
+from .common import discard, documents, bounded_batches, stored, table
 from .components import components
 
 BITS = 64
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fps = [simhash(shingle_hashes(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = documents(docs)
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fp long")
 
@@ -428,7 +428,7 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(s[:, k]) for k in range(SKETCH))], ["doc_id", "h", *names])
 
     names = [f"s{k}" for k in range(SKETCH)]
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = documents(docs).where("doc_id is not null")
     schema = "doc_id long, h long, " + ", ".join(f"{c} long" for c in names)
     d = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))

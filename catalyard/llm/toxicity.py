@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, documents, small_batches, stored, table
+from .common import crc_remainder, documents, bounded_batches, stored, table
 
 #: Identity terms, by kind. Each is swapped for the others of its kind.
 IDENTITY_TERMS = {
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     It learns from at most ``per_class`` rows of each class, weighted so that classes count as in all labelled rows.
     Without rows of both classes every score is the share of toxic labels (one half if there are none).
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, per_class)
     sample = stored(sample, "labelled-sample")
     if len(sizes) < 2:
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [model.score(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = documents(docs)
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, score double")
 
@@ -208,7 +208,7 @@ def keep_clean(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield b.filter(pa.array([model.score(t or b"") < 0.5 for t in texts], pa.bool_()))
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     d = docs.select(*columns)
     return d.mapInArrow(run, d.schema)
 

@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from catalyard.llm import chat_format, components, context_tree, fingerprint, mixing, packing, quality_rules, simhash, tokens, toxicity, url_filter
 
@@ -68,14 +70,26 @@ STRANGE = ["", " ", "a  b\n\n c", "<|endoftext|> x<|endoftext|>", "\ta b  ", "x\
 
 
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_encoder_is_exact(name, spaced, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 200)
-    enc = tokens.Encoder(public_tokenizers.path(name), spaced)
-    texts = [*STRANGE, *(t for _, t in ROWS)]
-    for _ in range(2):
-        ids, n = enc.encode([t.encode() for t in texts])
-        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
-        assert got == [e.ids for e in enc.plain.encode_batch(texts, add_special_tokens=False)]
+@pytest.mark.parametrize("cache", [50, 100_000])
+def test_encoder_is_exact(name, spaced, cache, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", cache)
+    enc, plain = tokens.Encoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    rng = np.random.default_rng(6)
+    signs = list("aZé ÿ'.,;&#<|>-_$0 9\n") + ["'s", "'LL", "x.", "ß", "\u0301", "\u4e2d", "Σ"]
+    odd = ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(400)]
+    texts = [*STRANGE, *odd, "a <|EndOfText|> b", "<|startoftext|>", *(t for _, t in ROWS)]
+    for some in (texts, texts[::-1], texts, ["one, two.", "three###"], ["one"], []):
+        ids, n = enc.encode(pa.array(some, pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if some else []
+        assert got == [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+
+
+def test_encoder_gives_up_stale_words(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 20)
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    for k in range(12):
+        enc.encode(pa.array([" ".join(f"w{k // 6}x{i}" for i in range(30))]))
+    assert b" w1x1" in enc.index and len(enc.index) <= 20
 
 
 def test_rank_coding_round_trip():
@@ -88,7 +102,7 @@ def test_token_files(spark, docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokens.write_tokens(docs, str(tmp_path / "t"), path, block=500)
     got = tokens.read_tokens(spark, str(tmp_path / "t")).collect()
-    plain = tokens.Encoder(path, False).plain
+    plain = Tokenizer.from_file(path)
     want, at = {}, 0
     for i, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = [*plain.encode(t, add_special_tokens=False).ids, 1]
@@ -100,9 +114,22 @@ def test_token_files(spark, docs, tmp_path):
     assert tokens.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_tied_ids_have_an_order(spark, tmp_path, monkeypatch):
+    """Rows of one id are spread over parts, and land alike however they come."""
+    monkeypatch.setattr(tokens, "PART_IDS", 100)
+    rows = [("same", cases.text(i, 30)) for i in range(40)]
+    found = []
+    for n in (1, 5):
+        df = spark.createDataFrame(rows[:: 1 if n == 1 else -1], "doc_id string, text string").repartition(n)
+        tokens.write_tokens(df, str(tmp_path / f"t{n}"), public_tokenizers.path("word_bpe_49k.json"))
+        found.append(sorted((r.start, bytes(r.ids)) for r in tokens.read_tokens(spark, str(tmp_path / f"t{n}")).collect()))
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert spark.read.parquet(str(tmp_path / "t1/blocks")).select("part").distinct().count() > 1
+
+
 def test_packing_covers_every_id_once(spark, docs):
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
-    plain = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True).plain
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in ROWS}
     seen, sequences = Counter(), {}
     for r in got:
@@ -122,20 +149,46 @@ def test_packing_covers_every_id_once(spark, docs):
     assert packing.pack(cases.empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_patterns_fill_sequences():
-    rng = np.random.default_rng(3)
-    histogram = Counter(map(int, rng.integers(1, 1024, 400_000)))
-    found = packing.solve_patterns(histogram, 1024)
+def _held(found):
     used = Counter()
     for pattern, n in found:
         assert sum(k * t for k, t in pattern.items()) <= 1024
         used.update({k: t * n for k, t in pattern.items()})
+    return used
+
+
+def test_patterns_fill_sequences():
+    rng = np.random.default_rng(3)
+    histogram, told = Counter(map(int, rng.integers(1, 1024, 400_000))), packing.Program()
+    found = packing.solve_patterns(histogram, 1024, told=told)
+    used = _held(found)
     assert all(used[k] <= histogram[k] for k in used)
     held = sum(k * n for k, n in used.items())
     assert held / (1024 * sum(n for _, n in found)) > 0.995 and held > 0.9 * sum(k * n for k, n in histogram.items())
+    assert told.columns > 1000 and told.bound <= told.value <= 1.004 * told.bound
     assert packing.solve_patterns({}, 1024) == [] and packing.solve_patterns({1024: 5}, 1024) == []
 
 
+def test_the_knapsack_prices_columns_of_real_lengths(spark):
+    """On the lengths of given documents all patterns come from the knapsack, and hold most of the pieces."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 0, 1024)
+    told, histogram = packing.Program(), {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
+    used = _held(packing.solve_patterns(histogram, 1024, told=told))
+    assert told.columns > 500 and told.value <= 1.006 * told.bound
+    assert sum(used.values()) > 0.5 * sum(n for k, n in histogram.items() if k < 1024)
+
+
+def test_the_program_reaches_the_optimum():
+    """Against the best of all mixtures of maximal patterns, for a few lengths: full sequences where they exist."""
+    told = packing.Program()
+    found = packing.solve_patterns({7: 30, 5: 20, 3: 50}, 10, told=told)
+    # 7 + 3 holds thirty of each; 5 + 5 the twenty; the twenty 3s left go three to a sequence (9 of 10) or are laid.
+    square = lambda n: n / 10 * (1 + n / 10 / 128)
+    assert abs(told.value - (30 + 10 + min(20 / 3, 20 * square(3)))) < 1e-6 and abs(told.value - told.bound) < 1e-6
+    assert dict((tuple(sorted(p.items())), n) for p, n in found) == {((3, 1), (7, 1)): 30, ((5, 2),): 10}
+
+
 # ---- op3 ----
 
 
