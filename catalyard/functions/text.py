@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
@@ -21,9 +22,10 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(text(c), f"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def is_blank(c: Column, numeric: bool = False) -> Column:
-    """Null, empty, or the number zero. White space alone is not blank."""
-    return c.isNull() | ((c == 0) if numeric else (c == ""))
+def blank(df: DataFrame, column: str) -> Column:
+    """Null, empty, or the number zero, by the column's type. White space and the text 0 are not blank."""
+    c = F.col(column)
+    return c.isNull() | ((c == 0) if isinstance(df.schema[column].dataType, T.NumericType) else (c.cast("string") == ""))
 
 
 def title_case(c: Column) -> Column:
@@ -51,28 +53,35 @@ def parse_battery(c: Column) -> Column:
     return F.nullif(F.regexp_extract(text(c), "[0-9]+", 0), F.lit("")).try_cast("int")
 
 
+#: What is cut off the name of a known maker's product, in this order.
+PRODUCT_JUNK = [
+    r"^\s*[-–]\s*",
+    r"\s*\(.*?\)$",
+    r"(?i)\s+dual band.*$",
+    r"\s+–.*$",
+    r"(?i)\s+vhf.*$",
+]
+
+
 def split_product_name(name: Column, brands: Sequence[str]) -> Column:
-    """struct(manufacturer, model). Names with spelling rules of their own come first, then known ``brands`` at the
-    start, then the first word."""
+    """struct(manufacturer, model). Two makers of two words are found anywhere in a name, then the joint brand, then the
+    first of ``brands`` at the start (as the name spells it, whatever its case), then the first word."""
     name = strip_ws(name)
-    pattern = "(?i)^(" + "|".join(re.escape(b) for b in sorted(brands, key=lambda b: (-len(b), b))) + r")\b"
-    rest = F.regexp_replace(name, pattern, "")
-    for junk in (r"^\s*-\s*", r"\s*\([^)]*\)\s*$", r"(?i)\s+dual\s*band.*$", r"\s+–.*$", r"\s+VHF.*$"):
-        rest = F.regexp_replace(strip_ws(rest), junk, "")
+    pattern = "(?i)^(" + "|".join(re.escape(b) for b in brands) + r")(?![\p{L}\p{N}_])"
     hit = F.regexp_extract(name, pattern, 1)
-    named = {b.lower(): b for b in brands}
-    canonical = F.coalesce(F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.lower(hit)], hit)
-    joint = r"(?i)^\s*Bao[Ff]eng/Pofung\s*"
+    rest = strip_ws(F.substr(name, F.length(hit) + 1))
+    for junk in PRODUCT_JUNK:
+        rest = F.regexp_replace(rest, junk, "")
 
     def pair(a: Column, b: Column) -> Column:
         return F.struct(a.alias("manufacturer"), strip_ws(b).alias("model"))
 
-    out = F.when(name.rlike(r"^\S+\s+"), pair(F.regexp_extract(name, r"^(\S+)\s+", 1), F.regexp_extract(name, r"(?s)^\S+\s+(.*)$", 1)))
-    out = F.when(hit != "", pair(canonical, rest)).otherwise(out.otherwise(pair(name, F.lit(""))))
-    for brand in ("Connect Systems", "Radio Shack"):
-        out = F.when(name.contains(brand), pair(F.lit(brand), F.replace(name, F.lit(brand), F.lit("")))).otherwise(
-            F.when(name.rlike(joint), pair(F.lit("Baofeng"), F.regexp_replace(name, joint, ""))).otherwise(out)
-        )
+    split = pair(F.regexp_extract(name, r"^(\S+)\s+", 1), F.regexp_extract(name, r"(?s)^\S+\s+(.*)$", 1))
+    out = F.when(hit != "", pair(hit, rest)).when(name.rlike(r"^\S+\s+"), split).otherwise(pair(name, F.lit("")))
+    joint = name.contains("Baofeng/Pofung") | name.contains("BaoFeng/Pofung")
+    out = F.when(joint, pair(F.lit("Baofeng"), F.regexp_replace(name, r"(?i)^baofeng/pofung\s+", ""))).otherwise(out)
+    for maker in ("Connect Systems", "Radio Shack"):
+        out = F.when(name.contains(maker), pair(F.lit(maker), F.replace(name, F.lit(maker), F.lit("")))).otherwise(out)
     return out
 
 
@@ -108,11 +117,15 @@ def compose_id(code: Column, model: Column) -> Column:
     return F.when(model.contains("-"), F.concat(code, F.lit("-"), model)).otherwise(F.concat(code, model))
 
 
-def bands_of(lower: Column, upper: Column) -> Column:
-    """Sorted array of the bands HF (to 30 MHz), VHF (to 300) and UHF (to 1000) that a range touches; empty if a limit
-    is no number."""
-    number = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-    lo, hi = (F.when(c.rlike(number), F.trim(c).try_cast("double")) for c in (lower, upper))
+def frequency(c: Column) -> Column:
+    """A limit in MHz; null if it is no number."""
+    return F.when(c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"), F.trim(c).try_cast("double"))
+
+
+def bands_between(lo: Column, hi: Column) -> Column:
+    """Sorted array of the bands HF (to 30 MHz), VHF (to 300) and UHF (to 1000) that a range touches; empty if a limit is null.
+
+    Both limits are used often: project ``frequency`` first (``with_bands``), or it is computed as often."""
 
     def touches(a: float, b: float) -> Column:
         return ((lo < b) & (hi > a)) | ((lo <= b) & (hi >= b)) | ((lo >= a) & (hi <= b))
@@ -122,6 +135,12 @@ def bands_of(lower: Column, upper: Column) -> Column:
     return F.coalesce(F.when(lo.isNotNull() & hi.isNotNull(), F.array_compact(found)), F.array().cast("array<string>"))
 
 
+def with_bands(df: DataFrame, lower: str, upper: str, name: str = "bands") -> DataFrame:
+    """``df`` with the bands between two text columns; each limit is read once."""
+    read = df.withColumns({"_lo": frequency(F.col(lower)), "_hi": frequency(F.col(upper))})
+    return read.withColumn(name, bands_between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
 def grant_note(date: Column, purpose: Column, lower: Column, upper: Column) -> Column:
     return F.format_string("FCC Grant Date: %s; Purpose: %s; Freq: %s-%s MHz", text(date), text(purpose), text(lower), text(upper))
 
@@ -148,6 +167,8 @@ def registry_url(base: str, code: Column, product: Column) -> Column:
     return F.when((text(code) != "") & (text(product) != ""), F.concat(F.lit(base), code, product))
 
 
-def import_message(**counts: Column) -> Column:
-    """The counts that aren't zero, as ``3 created • 1 skipped``."""
-    return F.concat_ws(" • ", *(F.when(c != 0, F.concat(c.cast("string"), F.lit(f" {n}"))) for n, c in counts.items()))
+def import_message(code: Column, name: Column, total: Column, created: Column, updated: Column, skipped: Column) -> Column:
+    """What an import did: the grantee, the number of records, and the counts that aren't zero (wordings are fixed values)."""
+    head = F.format_string("Grantee %s (%s): Processed %s records", text(code), text(name), total.cast("string"))
+    said = {"new radios added": created, "existing radios updated": updated, "duplicates skipped": skipped}
+    return F.concat_ws(" • ", head, *(F.when(n != 0, F.concat(n.cast("string"), F.lit(f" {what}"))) for what, n in said.items()))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_code_prefix, text
-from .matching import most_complete
+from ..functions.text import blank, strip_code_prefix, text
+from .matching import completeness, most_complete
 
 #: The columns that a merge fills.
 MERGE_FIELDS = [
@@ -17,73 +17,74 @@ MERGE_FIELDS = [
 ]
 
 
-def _filled(mine: Column, other: Column) -> Column:
-    return F.when(text(mine).isin("", "0"), other).otherwise(mine)
-
-
 def _notes(mine: Column, other: Column) -> Column:
     """Other notes go below one's own unless they are part of them."""
     new = (text(other) != "") & ~F.contains(text(mine), text(other))
     return F.when(text(mine) == "", text(other)).when(new, F.concat(mine, F.lit("\n"), other)).otherwise(mine)
 
 
-def merge_brand(radio: DataFrame, source: str, target: str, fields: Sequence[str]) -> DataFrame:
+def merge_brand(radio: DataFrame, source: str, target: str, fields: Sequence[str] = MERGE_FIELDS) -> DataFrame:
     """``radio`` (brand, model, fields, notes) with ``source``'s models moved to ``target``.
 
-    Where the target has the model, its blank fields take the source's values and the source's notes are appended.
+    Where the target has the model, its blank fields take the source's values and the source's notes are appended. Rows of
+    other brands, or none, stay. (brand, model) is unique in the two brands.
     """
     if source == target:
         raise ValueError("source and target are the same brand")
     cols = [c for c in radio.columns if c not in ("brand", "model")]
-    rest = radio.where(~F.col("brand").isin(source, target))
+    rest = radio.where(F.col("brand").isNull() | ~F.col("brand").isin(source, target))
     s = radio.where(F.col("brand") == source).select("model", *(F.col(c).alias(f"_s_{c}") for c in cols), F.lit(True).alias("_s"))
     t = radio.where(F.col("brand") == target).select("model", *cols, F.lit(True).alias("_t"))
     both = t.join(s, "model", "full_outer")
 
     def value(c: str) -> Column:
         mine, other = F.col(c), F.col(f"_s_{c}")
-        merged = _notes(mine, other) if c == "notes" else _filled(mine, other) if c in fields else mine
+        merged = _notes(mine, other) if c == "notes" else F.when(blank(radio, c), other).otherwise(mine) if c in fields else mine
         return F.when(F.col("_t").isNull(), other).when(F.col("_s").isNull(), mine).otherwise(merged).alias(c)
 
     moved = both.select(F.lit(target).alias("brand"), "model", *map(value, cols))
     return rest.unionByName(moved.select(*radio.columns))
 
 
-def clean_prefix(radio: DataFrame, brand: str, code: str, fields: Sequence[str], order: str = "id") -> DataFrame:
+def clean_prefix(radio: DataFrame, brand: str, code: str, fields: Sequence[str] = MERGE_FIELDS, order: str = "id") -> DataFrame:
     """``radio`` where models of ``brand`` that begin with ``code`` lose it. Rows that come to one name become one: the
-    row that had the name, else the first by model, with blanks filled from the others in that order and notes added."""
+    row that had the name, else the first by model, with blanks filled from the others in that order and notes added.
+
+    One aggregate by name; of the rows of a name only notes are collected, as they all go into the result.
+    """
     if not code:
         raise ValueError("a code is needed")
     mine = F.col("brand") == brand
     has = F.startswith(F.col("model"), F.lit(code))
-    named = radio.withColumn("_had", has).withColumn("_name", F.when(has, strip_code_prefix(F.col("model"), F.lit(code))).otherwise(F.col("model")))
-    w = Window.partitionBy("_name").orderBy("_had", "model", order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    part = named.where(mine).withColumn("_n", F.row_number().over(w))
-    for c in fields:
-        if c != "notes":
-            known = F.when(~text(F.col(c)).isin("", "0"), F.col(c))
-            part = part.withColumn(c, F.coalesce(F.first(known, ignorenulls=True).over(whole), F.col(c)))
-    if "notes" in radio.columns:
-        notes = F.transform(F.sort_array(F.collect_list(F.struct("_n", text(F.col("notes")).alias("t"))).over(whole)), lambda x: x.t)
-        fold = F.aggregate(notes, F.lit(""), lambda a, t: F.when(t == "", a).when(a == "", t).when(F.contains(a, t), a).otherwise(F.concat(a, F.lit("\n"), t)))
-        part = part.withColumn("notes", fold)
-    part = part.where("_n = 1").withColumn("model", F.col("_name")).select(*radio.columns)
-    return radio.where(~mine | mine.isNull()).unionByName(part)
-
-
-def dedupe_catalog(radio: DataFrame, fields: Sequence[str], order: str = "id") -> DataFrame:
+    part = radio.where(mine).withColumn("_name", F.when(has, strip_code_prefix(F.col("model"), F.lit(code))).otherwise(F.col("model")))
+    at = F.struct(has.alias("had"), "model", order)
+    filled = [c for c in fields if c in radio.columns and c != "notes"]
+    first = {c: F.min_by(F.col(c), F.when(~blank(radio, c), at)).alias(f"_f_{c}") for c in filled}
+    told = text(F.col("notes")) if "notes" in radio.columns else F.lit("")
+    notes = F.sort_array(F.collect_list(F.when(told != "", F.struct(at.alias("at"), told.alias("t")))))
+    one = part.groupBy("_name").agg(F.min_by(F.struct(*radio.columns), at).alias("_row"), notes.alias("_notes"), *first.values())
+    fold = F.aggregate("_notes", F.lit(""), lambda a, x: F.when(a == "", x.t).when(F.contains(a, x.t), a).otherwise(F.concat(a, F.lit("\n"), x.t)))
+
+    def value(c: str) -> Column:
+        own = F.col(f"_row.{c}")
+        return (F.col("_name") if c == "model" else fold if c == "notes" else F.coalesce(f"_f_{c}", own) if c in filled else own).alias(c)
+
+    return radio.where(~mine | mine.isNull()).unionByName(one.select(*map(value, radio.columns)))
+
+
+def dedupe_catalog(radio: DataFrame, fields: Sequence[str] = MERGE_FIELDS, order: str = "id") -> DataFrame:
     """The most complete row of each (brand, model), ties to the lowest id. Where rows go, their notes stay: all notes
-    that aren't blank, in rank order, one below the other."""
-    filled = sum(((~text(F.col(c)).isin("", "0")).cast("int") for c in fields), F.lit(0))
+    that aren't blank, in rank order, one below the other.
+
+    One aggregate; of the rows of a key only notes are collected, as they all go into the result.
+    """
     keys = ["brand", "model"]
-    w = Window.partitionBy(*keys).orderBy(filled.desc(), order)
-    rows = radio.withColumn("_n", F.row_number().over(w))
-    notes = F.when(text(F.col("notes")) != "", F.struct("_n", "notes"))
-    joined = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), F.sort_array(F.collect_list(notes)).alias("_notes"))
-    lines = F.array_join(F.transform("_notes", lambda x: x.notes), "\n")
-    out = rows.where("_n = 1").join(joined, keys)
-    return out.withColumn("notes", F.when(F.col("_rows") > 1, lines).otherwise(F.col("notes"))).select(*radio.columns)
+    rank = F.struct((-completeness(radio, fields)).alias("less"), order)
+    notes = F.sort_array(F.collect_list(F.when(text(F.col("notes")) != "", F.struct(rank.alias("at"), F.col("notes").alias("t")))))
+    one = radio.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min_by(F.struct(*radio.columns), rank).alias("_row"), notes.alias("_notes"))
+    lines = F.array_join(F.transform("_notes", lambda x: x.t), "\n")
+    kept = F.when(F.col("_rows") > 1, lines).otherwise(F.col("_row.notes"))
+    return one.select(*(kept.alias(c) if c == "notes" else F.col(f"_row.{c}") for c in radio.columns))
 
 
 def rename_brands(df: DataFrame, mapping: DataFrame, column: str = "brand") -> DataFrame:
@@ -94,16 +95,20 @@ def rename_brands(df: DataFrame, mapping: DataFrame, column: str = "brand") -> D
 
 
 def merge_selected(radio: DataFrame, groups: DataFrame, picks: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The survivor of each group: its first row by (brand, model, id), where ``picks`` (group_id, field, id) name the row
-    that supplies a field; other fields are the survivor's own. groups: (group_id, id). Values are strings."""
+    """``radio`` after merges of the ``groups`` (group_id, id): of each only the survivor stays, its first row by (brand, model,
+    id), where ``picks`` (group_id, field, id) name the row that supplies a field; other fields are the survivor's own.
+    Rows in no group stay as they are.
+    """
     rows = groups.join(radio, "id")
-    w = Window.partitionBy("group_id").orderBy("brand", "model", "id")
-    survivor = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("group_id", "id", *(F.col(c).cast("string").alias(c) for c in fields))
+    first = F.min_by(F.struct(*radio.columns), F.struct("brand", "model", "id"))
+    survivor = rows.groupBy("group_id").agg(first.alias("_row")).select("group_id", "_row.*")
     long = rows.select("group_id", "id", *(F.col(c).cast("string").alias(c) for c in fields)).unpivot(["group_id", "id"], list(fields), "field", "value")
     of = lambda c: F.max(F.when(F.col("field") == c, F.struct(F.col("value").alias("v")))).alias(f"_p_{c}")
     picked = picks.join(long, ["group_id", "id", "field"]).groupBy("group_id").agg(*map(of, fields))
-    out = survivor.join(picked, "group_id", "left")
-    return out.select("group_id", "id", *(F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v")).otherwise(F.col(c)).alias(c) for c in fields))
+    kinds = dict(radio.dtypes)
+    chosen = {c: F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v").cast(kinds[c])).otherwise(F.col(c)).alias(c) for c in fields}
+    merged = survivor.join(picked, "group_id", "left").select(*(chosen.get(c, F.col(c)) for c in radio.columns))
+    return radio.join(groups.select("id").distinct(), "id", "left_anti").select(*radio.columns).unionByName(merged)
 
 
 def delete_ids(df: DataFrame, ids: DataFrame) -> DataFrame:

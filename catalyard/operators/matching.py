@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import coded
-from ..functions.text import make_id, normalize_model, strip_ws, text, title_case
+from ..functions.text import blank, make_id, normalize_model, strip_code_prefix, strip_ws, text, title_case
 
 
 def keyed(df: DataFrame, brand: str = "brand", model: str = "model") -> DataFrame:
@@ -28,22 +28,28 @@ def new_models(products: DataFrame, master: DataFrame) -> DataFrame:
     return keyed(products).join(keyed(master).select("_b", "_m").distinct(), ["_b", "_m"], "left_anti").drop("_b", "_m")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "_rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key in ``order``, nulls first. An aggregate: rows are combined before the shuffle, so
+    a key that most rows have is no task's load."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    pick = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))))
+    return df.groupBy(*keys).agg(pick.alias("_row")).select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns))
 
 
-def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return ranked(df, keys, order).where("_rank = 1").drop("_rank")
+def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return first_wins(df, keys, [F.col(c) for c in order], last=True)
 
 
-def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return first_wins(df, keys, [F.col(c).desc() for c in order])
+def completeness(df: DataFrame, fields: Sequence[str]) -> Column:
+    """How many of ``fields`` aren't blank."""
+    return sum(((~blank(df, c)).cast("int") for c in fields), F.lit(0))
 
 
 def most_complete(df: DataFrame, keys: Sequence[str], fields: Sequence[str], tie: str) -> DataFrame:
     """The row of each key with the most non-blank ``fields``; ties go to the lowest ``tie``."""
-    filled = sum(((text(F.col(c)) != "").cast("int") for c in fields), F.lit(0))
-    return first_wins(df.withColumn("_filled", filled), keys, [F.col("_filled").desc(), F.col(tie)]).drop("_filled")
+    return first_wins(df, keys, [-completeness(df, fields), F.col(tie)])
 
 
 def union_catalogs(*frames: DataFrame) -> DataFrame:
@@ -56,14 +62,24 @@ def union_catalogs(*frames: DataFrame) -> DataFrame:
     return out.select(*(text(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in out.columns))
 
 
+def _both(master: DataFrame, additions: DataFrame) -> DataFrame:
+    both = union_catalogs(master, additions)
+    return both.withColumn("_b", title_case(F.col("brand"))).withColumn("_m", normalize_model(F.col("model")))
+
+
 def merge_catalogs(master: DataFrame, additions: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """First row of each (title-case brand, upper-case model); the master goes before the additions."""
-    both = union_catalogs(master, additions)
-    both = both.withColumn("_b", title_case(F.col("brand"))).withColumn("_m", normalize_model(F.col("model")))
-    out = first_wins(both, ["_b", "_m"], [F.col("source_no"), F.col(ordinal)])
+    out = first_wins(_both(master, additions), ["_b", "_m"], [F.col("source_no"), F.col(ordinal)])
     return out.withColumn("brand", F.col("_b")).drop("_b", "_m")
 
 
+def merge_counts(master: DataFrame, additions: DataFrame) -> DataFrame:
+    """rows, kept and removed of ``merge_catalogs``."""
+    n = _both(master, additions).groupBy("_b", "_m").agg(F.count("*").alias("n"))
+    rows, kept = F.coalesce(F.sum("n"), F.lit(0)).cast("long"), F.count("*")
+    return n.agg(rows.alias("rows"), kept.alias("kept"), (rows - kept).alias("removed"))
+
+
 def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     """(brand, model, side) of the keys that only one of two catalogues has."""
     ka, kb = (keyed(x).select(F.col("_b").alias("brand"), F.col("_m").alias("model")).distinct() for x in (a, b))
@@ -75,11 +91,18 @@ def attach_code(models: DataFrame, codes: DataFrame) -> DataFrame:
     return coded(models, codes).withColumn("fcc_id", text(make_id(F.col("code"), F.col("model"))))
 
 
-def flag_exists(models: DataFrame, registry: DataFrame) -> DataFrame:
-    """``exists``: Yes or No by the registry's (fcc_id); empty where no id was generated."""
-    known = registry.select("fcc_id").distinct().withColumn("_known", F.lit(True))
+def flag_exists(models: DataFrame, registry: DataFrame, codes: DataFrame) -> DataFrame:
+    """``exists``: Yes or No by the ``registry`` (fcc_id); empty where no id was generated.
+
+    Generated ids have a hyphen after the code, registry ids often none: both are compared as (code, product), the
+    registry's being split by the longest of ``codes`` (code). models: code, fcc_id.
+    """
+    found = resolve_grantee(registry.select("fcc_id").distinct(), codes).where("grantee_code is not null")
+    known = found.select(F.col("grantee_code").alias("_c"), F.col("product").alias("_p"), F.lit(True).alias("_known")).distinct()
+    product = strip_code_prefix(F.col("fcc_id"), F.col("code"))
+    joined = models.withColumn("_product", product).join(known, (F.col("code") == F.col("_c")) & (F.col("_product") == F.col("_p")), "left")
     flag = F.when(text(F.col("fcc_id")) == "", "").when(F.col("_known"), "Yes").otherwise("No")
-    return models.join(known, "fcc_id", "left").withColumn("exists", flag).drop("_known")
+    return joined.withColumn("exists", flag).drop("_known", "_c", "_p", "_product")
 
 
 def resolve_grantee(ids: DataFrame, codes: DataFrame) -> DataFrame:

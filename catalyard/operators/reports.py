@@ -37,6 +37,13 @@ def facets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def facet_filter(df: DataFrame, **values: object) -> DataFrame:
+    """Rows that have each named column's value; None asks for null."""
+    for c, v in values.items():
+        df = df.where(F.col(c).eqNullSafe(F.lit(v)))
+    return df
+
+
 def select_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("id").distinct(), "id", "left_semi")
 
@@ -62,16 +69,24 @@ def totals(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct("brand").alias("n_brands"))
 
 
+def models_without_code(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose brand lacks a code: the list of models, as rows."""
+    return df.join(codes.select("brand").distinct(), "brand", "left_anti")
+
+
 def brands_without_code(df: DataFrame, codes: DataFrame, ordinal: str) -> DataFrame:
-    """(brand, n, example) for brands that lack a code; example: the first model."""
-    lack = df.join(codes.select("brand").distinct(), "brand", "left_anti")
-    return lack.groupBy("brand").agg(F.count("*").alias("n"), F.min_by("model", ordinal).alias("example"))
+    """(brand, n, example) for brands that lack a code; example: the first model. ``models_without_code`` lists them."""
+    return models_without_code(df, codes).groupBy("brand").agg(F.count("*").alias("n"), F.min_by("model", ordinal).alias("example"))
+
+
+#: Fixed value: what an id looks like in a text.
+ID_IN_TEXT = r"(?i)\b([A-Z0-9]{3,5})-([A-Z0-9\-]+)\b"
 
 
 def most_common_code(pages: DataFrame, key: str, body: str) -> DataFrame:
     """(key, code): the most frequent code-like first part of ids in the texts of a key, as counted before upper-casing,
     the smallest of the most frequent. Partial counts are combined before the shuffle."""
-    found = F.regexp_extract_all(F.col(body), F.lit(r"(?i)\b([A-Z0-9]{3,5})-([A-Z0-9\-]+)\b"), 1)
+    found = F.regexp_extract_all(F.col(body), F.lit(ID_IN_TEXT), 1)
     n = pages.select(key, F.explode(found).alias("code")).groupBy(key, "code").agg(F.count("*").alias("n"))
     best = n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "code")).alias("b"))
     return best.select(key, F.upper("b.code").alias("code"))
@@ -88,9 +103,10 @@ def generation_tally(df: DataFrame, codes: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("processed"), F.count("_id").alias("generated"), F.count_if(F.col("code").isNull()).alias("without_code"))
 
 
-def manual_queue(df: DataFrame, codes: DataFrame, found: DataFrame, ordinal: str, base: str) -> DataFrame:
-    """Brands without a code, known or ``found`` (brand), with a search link for their first model."""
-    lack = brands_without_code(df, codes, ordinal).join(found.select("brand").distinct(), "brand", "left_anti")
+def manual_queue(df: DataFrame, codes: DataFrame, pages: DataFrame, ordinal: str, base: str) -> DataFrame:
+    """Brands without a code, for which ``pages`` (brand, body) show none either, with a search link for their first model."""
+    found = most_common_code(pages, "brand", "body").where("code is not null")
+    lack = brands_without_code(df, codes, ordinal).join(found.select("brand"), "brand", "left_anti")
     return lack.withColumn("url", search_url(base, F.col("brand"), F.col("example")))
 
 
@@ -107,4 +123,11 @@ def recent(df: DataFrame, n: int = 10, at: str = "created_at", tie: str = "id")
 
 
 def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
+    """A page by its number. Everything before it is sorted too: ``page_after`` does without for deep pages."""
     return df.orderBy("brand", "model", "id").offset((number - 1) * size).limit(size)
+
+
+def page_after(df: DataFrame, brand: str, model: str, id_: int, size: int = 50) -> DataFrame:
+    """The page after the row (brand, model, id), which is the last of the page before: a filter and the first rows."""
+    past = (F.col("brand") > brand) | ((F.col("brand") == brand) & ((F.col("model") > model) | ((F.col("model") == model) & (F.col("id") > id_))))
+    return df.where(past).orderBy("brand", "model", "id").limit(size)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bad_year, text
+from ..functions.text import bad_year, parse_battery, parse_year, strip_ws, text
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[str], overwrite: bool = True) -> DataFrame:
@@ -17,10 +17,10 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
     Otherwise the first row of a key makes a new row and existing rows stay. ``batch`` has ``target``'s columns and
     those of ``order``.
     """
-    by = [F.col(c).desc() if overwrite else F.col(c) for c in order]
-    w = Window.partitionBy(*keys)
-    one = batch.withColumn("_n", F.row_number().over(w.orderBy(*by))).withColumn("times", F.count("*").over(w)).where("_n = 1")
-    one = one.select(*keys, "times", *(F.col(c).alias(f"_new_{c}") for c in target.columns if c not in keys), F.lit(True).alias("_in"))
+    rest = [c for c in target.columns if c not in keys]
+    pick = (F.max_by if overwrite else F.min_by)(F.struct(F.lit(True).alias("_in"), *rest), F.struct(*order))
+    one = batch.groupBy(*keys).agg(pick.alias("_row"), F.count("*").alias("times"))  # combined before the shuffle
+    one = one.select(*keys, "times", "_row._in", *(F.col(f"_row.{c}").alias(f"_new_{c}") for c in rest))
     old = target.withColumn("_was", F.lit(True))
     both = old.join(one, list(keys), "full_outer")
     was, inn = F.col("_was").isNotNull(), F.col("_in").isNotNull()
@@ -33,18 +33,18 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
     return both.select(*keys, *(value(c) for c in target.columns if c not in keys), action.alias("action"), F.coalesce("times", F.lit(0)).cast("long").alias("times"))
 
 
-def tally(upserted: DataFrame, overwrite: bool = True) -> DataFrame:
-    """created, updated, skipped and total rows; repeats of a key in the batch count as updates or as skips."""
-    created = F.sum((F.col("action") == "created").cast("long"))
-    total = F.sum("times")
-    rest = total - created
+def tally(upserted: DataFrame, overwrite: bool = True, errors: DataFrame | None = None) -> DataFrame:
+    """created, updated, skipped, errors and total rows; repeats of a key in the batch count as updates or as skips, rows of
+    ``errors`` as errors."""
+    rows = upserted.select("action", "times")
+    if errors is not None:
+        rows = rows.union(errors.select(F.lit("error"), F.lit(1).cast("long")))
     zero = F.lit(0).cast("long")
-    return upserted.agg(
-        F.coalesce(created, zero).alias("created"),
-        F.coalesce(rest if overwrite else zero, zero).alias("updated"),
-        F.coalesce(zero if overwrite else rest, zero).alias("skipped"),
-        F.coalesce(total, zero).alias("total"),
-    )
+    created, bad = (F.count_if(F.col("action") == a) for a in ("created", "error"))
+    total = F.coalesce(F.sum("times"), zero)
+    rest = total - created - bad
+    updated, skipped = (rest, zero) if overwrite else (zero, rest)
+    return rows.agg(created.alias("created"), updated.alias("updated"), skipped.alias("skipped"), bad.alias("errors"), total.alias("total"))
 
 
 def stamp_times(upserted: DataFrame, now: Column) -> DataFrame:
@@ -70,21 +70,74 @@ def check_row(df: DataFrame, lengths: Mapping[str, int], year: str | None = None
     return df.withColumn("error", error)
 
 
+#: The catalogue's columns by their names in files, and how long each may be.
+RADIO_COLUMNS = {
+    "FCC_ID": ("fcc_id", 50), "Freq. Bands (TX)": ("freq_bands_tx", 200), "Power (W)": ("power_watts", 100),
+    "Satellite Tracking": ("satellite_tracking", 50), "Harmonic Suppression Status": ("harmonic_suppression", 100),
+    "GPS": ("gps", 50), "APRS": ("aprs", 100), "Air Band": ("air_band", 50), "DMR": ("dmr", 50), "Display": ("display", 200),
+    "Cost (Approx)": ("cost_approx", 100), "Known Rebadges / Clones": ("rebadges_clones", None), "Website": ("website", 500),
+}
+RADIO_LENGTHS = {"brand": 100, "model": 200, **{c: n for c, n in RADIO_COLUMNS.values() if n}}
+RADIO_FIELDS = ["fcc_id", "intro_year", "battery_mah", *(c for c, _ in RADIO_COLUMNS.values() if c != "fcc_id"), "notes"]
+
+
+def radio_rows(rows: DataFrame, order: str) -> DataFrame:
+    """Rows of a catalogue file (Brand, Model and other headers, all text) as catalogue rows with ``order`` and ``error``.
+
+    Values are stripped, rows without a brand or model left out, absent columns empty; year and battery are numbers or null.
+    """
+    have = {c: strip_ws(F.col(f"`{c}`")) if c in rows.columns else F.lit("") for c in (*RADIO_COLUMNS, "Brand", "Model", "Intro Year", "Battery (mAh)")}
+    out = rows.select(have["Brand"].alias("brand"), have["Model"].alias("model"), *(have[c].alias(n) for c, (n, _) in RADIO_COLUMNS.items()), have["Intro Year"].alias("_year"), have["Battery (mAh)"].alias("_mah"), order)
+    out = check_row(out.where("brand <> '' and model <> ''"), RADIO_LENGTHS, "_year")
+    numbers = {"intro_year": parse_year(F.col("_year")), "battery_mah": parse_battery(F.col("_mah")), "notes": F.lit("")}
+    return out.withColumns(numbers).select("brand", "model", *RADIO_FIELDS, order, "error")
+
+
+def import_radios(target: DataFrame, rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """``target`` (brand, model, RADIO_FIELDS) after a catalogue file, with action and times, and the rows with errors.
+
+    Keys are only stripped. The last row of a key sets all fields; notes are emptied.
+    """
+    read = radio_rows(rows, order)
+    good = read.where("error is null").drop("error")
+    table = target.select("brand", "model", *RADIO_FIELDS)
+    return upsert(table, good, ["brand", "model"], RADIO_FIELDS, [order]), read.where("error is not null")
+
+
+def _name_owners(df: DataFrame) -> DataFrame:
+    """``df`` (code, name, _seen) where a name belongs to the code that had it first: ``error`` marks the other codes."""
+    first = df.where("name <> ''").groupBy("name").agg(F.min(F.struct("_seen", "code")).alias("_owner"))
+    error = F.coalesce(F.col("code") != F.col("_owner.code"), F.lit(False))
+    return df.join(first, "name", "left").withColumn("error", error).drop("_owner", "_seen")
+
+
+BRAND_FIELDS = ["name", "full_name", "website", "country", "notes"]
+
+
 def import_brands(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
-    """``batch`` (code, name) over ``target``: the last row of a code wins; then a name belongs to the code that had it
-    first, and other codes of that name become errors. Returns code, name, status."""
-    one = batch.where("code <> '' and name <> ''")
-    first = one.groupBy("code").agg(F.min(order).alias("_first"), F.max_by("name", order).alias("_name"))
-    old = target.select("code", F.col("name").alias("_old"), F.lit(-1).cast("long").alias("_seen"))
-    both = old.join(first, "code", "full_outer")
-    name = F.coalesce("_name", "_old")
-    out = both.select("code", name.alias("name"), F.col("_old"), "_name", F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("_seen", "_first"), "code")).alias("_n"))
-    status = F.when(F.col("_n") > 1, "error").when(F.col("_old").isNull(), "created").when(F.col("_name").isNull(), "kept").otherwise("updated")
-    return out.select("code", "name", status.alias("status"))
-
-
-def import_grantees(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """New codes of ``batch`` (code, name) are added; a blank name in ``target`` is filled."""
-    one = batch.where("code <> ''").groupBy("code").agg(F.max("name").alias("_name"))
-    both = target.join(one, "code", "full_outer")
-    return both.select("code", F.when(text(F.col("name")) == "", text(F.col("_name"))).otherwise(F.col("name")).alias("name"))
+    """``batch`` (code, BRAND_FIELDS, order) over ``target`` (code, BRAND_FIELDS), with status and times.
+
+    Rows without a code or name are left out; the last row of a code sets all its fields. Then a name belongs to the code
+    that had it first: other codes of that name have the status error, and are no rows of the table.
+    """
+    b = batch.select(strip_ws(F.col("code")).alias("code"), *(strip_ws(F.col(c)).alias(c) for c in BRAND_FIELDS), order).where("code <> '' and name <> ''")
+    both = upsert(target.select("code", *BRAND_FIELDS), b, ["code"], BRAND_FIELDS, [order])
+    seen = b.groupBy("code").agg(F.min(order).cast("long").alias("_first"))
+    both = both.join(seen, "code", "left").withColumn("_seen", F.when(F.col("action") == "created", F.col("_first")).otherwise(F.lit(-1).cast("long")))
+    out = _name_owners(both.drop("_first"))
+    return out.select("code", *BRAND_FIELDS, F.when(F.col("error"), "error").otherwise(F.col("action")).alias("status"), "times")
+
+
+def import_grantees(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
+    """``target`` (code, name) with the new codes of ``batch`` (code, name, order), and status.
+
+    Rows without a code or name are left out. The first row of a code adds it, or fills its blank name; a name that another
+    code had first makes the row an error.
+    """
+    b = batch.select(strip_ws(F.col("code")).alias("code"), strip_ws(F.col("name")).alias("name"), order).where("code <> '' and name <> ''")
+    one = b.groupBy("code").agg(F.min_by("name", order).alias("_name"), F.min(order).cast("long").alias("_first"))
+    both = target.select("code", F.col("name").alias("_old"), F.lit(True).alias("_was")).join(one, "code", "full_outer")
+    fills = (text(F.col("_old")) == "") & F.col("_name").isNotNull()
+    status = F.when(F.col("_was").isNull(), "created").when(fills, "filled").otherwise("kept")
+    out = both.select("code", F.when(fills, F.col("_name")).otherwise(F.col("_old")).alias("name"), status.alias("status"), F.when(fills, F.col("_first")).otherwise(F.lit(-1).cast("long")).alias("_seen"))
+    return _name_owners(out).select("code", "name", F.when(F.col("error"), "error").otherwise(F.col("status")).alias("status"))

@@ -14,7 +14,8 @@ from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import upsert as U
 from ..sources import readers as S
-from .tables import ADDITIONS, BATCH, CODES, GRANTEES, GRANTS, MASTER, RADIO, STATE, view
+from . import workloads as W
+from .tables import ADDITIONS, BATCH, CATALOG, CODES, FILE, FINDS, GRANTED, GRANTEES, GRANTS, MASTER, NEW_BRANDS, OLD_BRANDS, RADIO, REGISTRY, STATE, UNIQUE, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,8 +39,17 @@ _TITLE = "list_aggregate(list_transform(regexp_extract_all(lower(trim({})), '[a-
 _B, _M = _TITLE.format("brand"), "upper(trim(model))"
 PAGES = "SELECT page_id, url, html FROM pages"
 DOCS = "SELECT doc_id, source, text FROM documents"
-NAMES = f"SELECT id, concat(brand, ' ', model, CASE WHEN id % 3 = 0 THEN ' (x)' WHEN id % 3 = 1 THEN ' Dual Band radio' ELSE '' END) AS name FROM ({RADIO}) r"
-FIELDS = ["fcc_id", "intro_year", "battery_mah", "dmr", "gps", "notes"]
+NAMES = f"""SELECT id, CASE WHEN id % 31 = 0 THEN concat('Radio Shack ', model) WHEN id % 37 = 0 THEN concat('BaoFeng/Pofung ', model) WHEN id % 41 = 0 THEN brand ELSE
+  concat(CASE WHEN id % 2 = 0 THEN lower(brand) ELSE brand END, CASE WHEN id % 7 = 0 THEN ' – ' WHEN id % 7 = 1 THEN ' - ' ELSE ' ' END, model,
+  CASE id % 6 WHEN 0 THEN ' (x)' WHEN 1 THEN ' Dual Band radio' WHEN 2 THEN ' (a) b (c)' WHEN 3 THEN ' vhf mobile' WHEN 4 THEN ' – new' ELSE '' END) END AS name FROM ({RADIO}) r"""
+NUMBERS = ["intro_year", "battery_mah"]
+
+
+def _blank(c: str) -> str:
+    name = c.split(".")[-1]
+    return f"({c} IS NULL OR {c} = {0 if name in NUMBERS else repr('')})"
+
+
 
 
 # ---- scalar functions ----
@@ -61,11 +71,18 @@ def _(r: DataFrame) -> DataFrame:
     return r.select("id", X.parse_year(F.col("intro_year")).alias("year"), X.parse_battery(F.col("battery_mah")).alias("battery"))
 
 
-@query("p5_split_product_name", f"""SELECT id, CASE WHEN regexp_matches(name, '(?i)^brand-1\\b') THEN 'Brand-1' ELSE regexp_extract(name, '^(\\S+)\\s', 1) END AS manufacturer,
-    CASE WHEN regexp_matches(name, '(?i)^brand-1\\b') THEN regexp_replace(regexp_replace(trim(name[8:]), '\\s*\\([^)]*\\)\\s*$', ''), '(?i)\\s+dual\\s*band.*$', '')
-    ELSE regexp_extract(name, '^\\S+\\s+(.*)$', 1) END AS model FROM ({NAMES}) n""", NAMES)
+_KNOWN = "(?i)^(Brand-1|Brand-2|Brand-3)\\b"
+_REST = f"trim(substr(name, length(regexp_extract(name, '{_KNOWN}')) + 1))"
+for _junk in X.PRODUCT_JUNK:
+    _REST = f"regexp_replace({_REST}, '{_junk}', '')"
+_JOINT = "contains(name, 'Baofeng/Pofung') OR contains(name, 'BaoFeng/Pofung')"
+
+
+@query("p5_split_product_name", f"""SELECT id, CASE WHEN contains(name, 'Radio Shack') THEN 'Radio Shack' WHEN {_JOINT} THEN 'Baofeng' WHEN regexp_matches(name, '{_KNOWN}') THEN regexp_extract(name, '{_KNOWN}')
+    ELSE regexp_extract(name, '^\\S+') END AS manufacturer, CASE WHEN contains(name, 'Radio Shack') THEN trim(replace(name, 'Radio Shack', '')) WHEN {_JOINT} THEN trim(regexp_replace(name, '(?i)^baofeng/pofung\\s+', ''))
+    WHEN regexp_matches(name, '{_KNOWN}') THEN trim({_REST}) ELSE trim(regexp_extract(name, '^\\S+\\s+(.*)$', 1)) END AS model FROM ({NAMES}) n""", NAMES)
 def _(n: DataFrame) -> DataFrame:
-    return n.withColumn("p", X.split_product_name(F.col("name"), ["Brand-1"])).select("id", "p.manufacturer", "p.model")
+    return n.withColumn("p", X.split_product_name(F.col("name"), ["Brand-1", "Brand-2", "Brand-3"])).select("id", "p.manufacturer", "p.model")
 
 
 @query("p6_p7_make_id", f"""SELECT id, upper(regexp_replace(model, '[^A-Za-z0-9-]', '', 'g')) AS clean, code || '-' || upper(regexp_replace(model, '[^A-Za-z0-9-]', '', 'g')) AS fcc_id
@@ -97,8 +114,9 @@ def _(r: DataFrame) -> DataFrame:
       CASE WHEN (l < 1000 AND u > 300) OR (l <= 1000 AND u >= 1000) OR (l >= 300 AND u <= 1000) THEN 'UHF' END,
       CASE WHEN (l < 300 AND u > 30) OR (l <= 300 AND u >= 300) OR (l >= 30 AND u <= 300) THEN 'VHF' END) END AS bands FROM g) GROUP BY bands""", GRANTS)
 def _(g: DataFrame) -> DataFrame:
-    bands = F.array_join(X.bands_of(F.col("lower_freq_mhz"), F.col("upper_freq_mhz")), ",")
-    return g.groupBy(bands.alias("bands")).agg(F.count("*").alias("n"))
+    ranges = g.groupBy("lower_freq_mhz", "upper_freq_mhz").agg(F.count("*").alias("n"))
+    found = X.with_bands(ranges, "lower_freq_mhz", "upper_freq_mhz")
+    return found.groupBy(F.array_join("bands", ",").alias("bands")).agg(F.sum("n").alias("n"))
 
 
 @query("p13_grant_note", f"""SELECT fcc_id, max('FCC Grant Date: ' || grant_date || '; Purpose: ' || application_purpose || '; Freq: ' || lower_freq_mhz || '-' || upper_freq_mhz || ' MHz') AS note
@@ -156,6 +174,11 @@ def _(r: DataFrame) -> DataFrame:
     return R.facets(r, ["brand", "intro_year", "dmr", "gps"])
 
 
+@query("f5_facet_filter", f"SELECT id FROM ({CATALOG}) r WHERE brand = 'Brand-7' AND intro_year IS NULL AND gps = ''", CATALOG)
+def _(r: DataFrame) -> DataFrame:
+    return R.facet_filter(r, brand="Brand-7", intro_year=None, gps="").select("id")
+
+
 @query("f6_select_ids", f"SELECT * FROM ({RADIO}) r WHERE id IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49)", RADIO, "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 49")
 def _(r: DataFrame, ids: DataFrame) -> DataFrame:
     return R.select_ids(r, ids)
@@ -182,9 +205,13 @@ def _(r: DataFrame, c: DataFrame) -> DataFrame:
     return M.attach_code(r.drop("fcc_id"), c).select("id", "code", "fcc_id")
 
 
-@query("j3_flag_exists", f"""SELECT id, CASE WHEN fcc_id = '' THEN '' WHEN EXISTS (SELECT 1 FROM ({RADIO}) k WHERE k.id % 2 = 0 AND k.fcc_id = r.fcc_id) THEN 'Yes' ELSE 'No' END AS exists FROM ({RADIO}) r""", RADIO)
-def _(r: DataFrame) -> DataFrame:
-    return M.flag_exists(r, r.where("id % 2 = 0")).select("id", "exists")
+_CLEAN = "upper(regexp_replace(model, '[^A-Za-z0-9-]', '', 'g'))"
+
+
+@query("j3_flag_exists", f"""SELECT id, CASE WHEN code IS NULL THEN '' WHEN EXISTS (SELECT 1 FROM ({REGISTRY}) k WHERE substr(k.fcc_id, 1, length(c.code)) = c.code
+    AND regexp_replace(substr(k.fcc_id, length(c.code) + 1), '^-+', '') = {_CLEAN}) THEN 'Yes' ELSE 'No' END AS exists FROM ({RADIO}) r LEFT JOIN ({CODES}) c USING (brand)""", RADIO, CODES, REGISTRY)
+def _(r: DataFrame, c: DataFrame, k: DataFrame) -> DataFrame:
+    return M.flag_exists(M.attach_code(r.drop("fcc_id"), c), k, c.select("code")).select("id", "exists")
 
 
 _RESOLVED = f"""SELECT g.fcc_id, arg_max(c.code, length(c.code)) AS grantee_code, max(c.code) AS c2 FROM (SELECT DISTINCT fcc_id FROM ({GRANTS}) g) g
@@ -217,6 +244,11 @@ def _(m: DataFrame, a: DataFrame) -> DataFrame:
     return M.merge_catalogs(m, a)
 
 
+@query("u3_merge_counts", f"SELECT count(*) AS rows, count(DISTINCT (b, m)) AS kept, count(*) - count(DISTINCT (b, m)) AS removed FROM (SELECT b, m FROM {_MK} UNION ALL SELECT b, m FROM {_AK})", MASTER, ADDITIONS)
+def _(m: DataFrame, a: DataFrame) -> DataFrame:
+    return M.merge_counts(m, a)
+
+
 @query("u1_union_catalogs", f"SELECT ordinal, brand, model, dmr, '' AS gps, 0 AS source_no FROM ({MASTER}) m UNION ALL SELECT ordinal, brand, model, '', gps, 1 FROM ({ADDITIONS}) a", MASTER, ADDITIONS)
 def _(m: DataFrame, a: DataFrame) -> DataFrame:
     return M.union_catalogs(m, a)
@@ -232,7 +264,7 @@ def _(e: DataFrame) -> DataFrame:
     return M.last_wins(e, ["user_id", "event_type"], ["event_id"])
 
 
-_FILLED = " + ".join(f"CAST({c} <> '' AS INTEGER)" for c in FIELDS)
+_FILLED = " + ".join(f"CAST(NOT {_blank(c)} AS INTEGER)" for c in D.MERGE_FIELDS)
 
 
 @query("w1_first_wins", f"SELECT brand, model, min(id) AS id FROM ({RADIO}) r GROUP BY 1, 2", RADIO)
@@ -240,9 +272,9 @@ def _(r: DataFrame) -> DataFrame:
     return M.first_wins(r.select("brand", "model", "id"), ["brand", "model"], [F.col("id")])
 
 
-@query("w3_most_complete", f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY brand, model ORDER BY {_FILLED} DESC, id) AS k FROM ({RADIO}) r) WHERE k = 1", RADIO)
+@query("w3_most_complete", f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY brand, model ORDER BY {_FILLED} DESC, id) AS k FROM ({CATALOG}) r) WHERE k = 1", CATALOG)
 def _(r: DataFrame) -> DataFrame:
-    return D.best_rows(r, FIELDS)
+    return D.best_rows(r, D.MERGE_FIELDS)
 
 
 # ---- aggregations and lists ----
@@ -276,6 +308,11 @@ def _(r: DataFrame, c: DataFrame) -> DataFrame:
     return R.brands_without_code(r, c, "id")
 
 
+@query("a5_models_without_code", f"SELECT brand, model, id FROM ({RADIO}) r WHERE brand NOT IN (SELECT brand FROM ({CODES}) c)", RADIO, CODES)
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return R.models_without_code(r, c).select("brand", "model", "id")
+
+
 PAPERS = "SELECT source, concat(source, '-', lang, ' ', text) AS body FROM documents"
 
 
@@ -307,17 +344,24 @@ def _(s: DataFrame, b: DataFrame) -> DataFrame:
     return _upserted(s, b, False).select("user_id", "event_type", "version", "origin", "action")
 
 
-@query("a7_import_tally", f"""SELECT count(*) FILTER (action = 'created') AS created, CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS updated, CAST(0 AS BIGINT) AS skipped,
-    CAST(sum(times) AS BIGINT) AS total FROM ({_UPSERT}) u""", STATE, BATCH)
+_TALLY = f"""SELECT count(*) FILTER (action = 'created') AS created, CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS updated, CAST(0 AS BIGINT) AS skipped,
+    (SELECT count(*) FROM ({BATCH}) b WHERE user_id % 10 = 0) AS errors, CAST(sum(times) AS BIGINT) + (SELECT count(*) FROM ({BATCH}) b WHERE user_id % 10 = 0) AS total FROM ({_UPSERT}) u"""
+
+
+def _tallied(s: DataFrame, b: DataFrame) -> DataFrame:
+    return U.tally(_upserted(s, b, True), errors=b.where("user_id % 10 = 0"))
+
+
+@query("a7_import_tally", _TALLY, STATE, BATCH)
 def _(s: DataFrame, b: DataFrame) -> DataFrame:
-    return U.tally(_upserted(s, b, True))
+    return _tallied(s, b)
 
 
-@query("p17_import_message", f"""SELECT CAST(count(*) FILTER (action = 'created') AS STRING) || ' created • ' || CAST(CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS STRING) || ' updated' AS message
-    FROM ({_UPSERT}) u""", STATE, BATCH)
+@query("p17_import_message", f"""SELECT 'Grantee AB1 (Some Maker): Processed ' || CAST(total AS STRING) || ' records • ' || CAST(created AS STRING) || ' new radios added • ' || CAST(updated AS STRING) || ' existing radios updated' AS message
+    FROM ({_TALLY}) t""", STATE, BATCH)
 def _(s: DataFrame, b: DataFrame) -> DataFrame:
-    t = U.tally(_upserted(s, b, True))
-    return t.select(X.import_message(**{c: F.col(c) for c in ("created", "updated", "skipped")}).alias("message"))
+    counts = [F.col(c) for c in ("total", "created", "updated", "skipped")]
+    return _tallied(s, b).select(X.import_message(F.lit("AB1"), F.lit("Some Maker"), *counts).alias("message"))
 
 
 @query("a8_models_by_manufacturer", f"SELECT brand, count(*) AS n, string_agg(model, ', ' ORDER BY model) AS models FROM ({RADIO}) r GROUP BY 1", RADIO)
@@ -330,14 +374,15 @@ def _(r: DataFrame, c: DataFrame) -> DataFrame:
     return R.generation_tally(r, c)
 
 
-@query("a10_manual_queue", f"SELECT *, 'https://search.example/?q=' || replace(brand || ' ' || example, ' ', '%20') AS url FROM ({_LACK}) l WHERE brand NOT LIKE '%2_'", RADIO, CODES)
-def _(r: DataFrame, c: DataFrame) -> DataFrame:
-    return R.manual_queue(r, c, r.where("brand like '%2_'").select("brand"), "id", "https://search.example/?q=")
+@query("a10_manual_queue", f"""SELECT *, 'https://search.example/?q=' || replace(brand || ' ' || example, ' ', '%20') AS url FROM ({_LACK}) l
+    WHERE brand NOT IN (SELECT brand FROM ({FINDS}) f WHERE regexp_matches(body, '(?i)\\b([A-Z0-9]{{3,5}})-([A-Z0-9\\-]+)\\b'))""", RADIO, CODES, FINDS)
+def _(r: DataFrame, c: DataFrame, f: DataFrame) -> DataFrame:
+    return R.manual_queue(r, c, f, "id", "https://search.example/?q=")
 
 
 @query("a11_dedupe_batch", f"SELECT DISTINCT grantee_code, product FROM ({_SPLIT}) s", GRANTS, GRANTEES)
 def _(g: DataFrame, c: DataFrame) -> DataFrame:
-    return R.dedupe_batch(M.resolve_grantee(g, c), ["grantee_code", "product"])
+    return R.dedupe_batch(M.resolve_grantee(g.select("fcc_id").distinct(), c), ["grantee_code", "product"])
 
 
 @query("t1_sort_catalog", f"SELECT id, brand, model FROM ({RADIO}) r", RADIO)
@@ -355,32 +400,50 @@ def _(r: DataFrame) -> DataFrame:
     return R.page(r, 2).select("id", "brand", "model")
 
 
+@query("t3_page_after", f"SELECT id, brand, model FROM ({RADIO}) r WHERE (brand, model, id) > ('Brand-14', 'm', 0) ORDER BY brand, model, id LIMIT 50", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.page_after(r, "Brand-14", "m", 0).select("id", "brand", "model")
+
+
 # ---- maintenance ----
 
-_SMALL = ["dmr", "gps"]
+_OTHERS = [c for c in D.MERGE_FIELDS if c != "notes"]
+
+
+def _merge_sql(rows: str, source: str, target: str) -> str:
+    fields = ", ".join(f"CASE WHEN t.id IS NULL THEN s.{c} WHEN s.id IS NULL THEN t.{c} WHEN {_blank('t.' + c)} THEN s.{c} ELSE t.{c} END AS {c}" for c in _OTHERS)
+    return f"""SELECT id, brand, model, {", ".join(_OTHERS)}, notes FROM ({rows}) r WHERE brand IS NULL OR brand NOT IN ('{source}', '{target}') UNION ALL
+    SELECT coalesce(t.id, s.id), '{target}', model, {fields}, CASE WHEN t.id IS NULL THEN s.notes WHEN s.id IS NULL THEN t.notes WHEN coalesce(t.notes, '') = '' THEN coalesce(s.notes, '')
+      WHEN coalesce(s.notes, '') = '' OR contains(t.notes, s.notes) THEN t.notes ELSE t.notes || chr(10) || s.notes END
+    FROM (SELECT * FROM ({rows}) a WHERE brand = '{target}') t FULL JOIN (SELECT * FROM ({rows}) b WHERE brand = '{source}') s USING (model)"""
+
+
+def _clean_sql(rows: str, brand: str, code: str) -> str:
+    first = ", ".join(f"coalesce(arg_min({c}, (had, model, id)) FILTER (NOT {_blank(c)}), arg_min({c}, (had, model, id)), any_value({c})) AS {c}" for c in _OTHERS)
+    return f"""SELECT id, brand, model, {", ".join(_OTHERS)}, notes FROM ({rows}) r WHERE brand IS DISTINCT FROM '{brand}' UNION ALL
+    SELECT arg_min(id, (had, model, id)), '{brand}', name, {first}, coalesce(list_reduce(array_agg(notes ORDER BY had, model, id) FILTER (notes <> ''), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || chr(10) || x END), '')
+    FROM (SELECT *, starts_with(model, '{code}') AS had, CASE WHEN starts_with(model, '{code}') THEN trim(regexp_replace(substr(model, {len(code) + 1}), '^-+', '')) ELSE model END AS name FROM ({rows}) r WHERE brand = '{brand}') b GROUP BY name"""
+
 
+def _dedupe_sql(rows: str) -> str:
+    return f"""SELECT id, brand, model, {", ".join(_OTHERS)}, CASE WHEN n > 1 THEN coalesce(all_notes, '') ELSE notes END AS notes FROM
+    (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY brand, model) AS n, string_agg(CASE WHEN notes <> '' THEN notes END, chr(10)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS all_notes
+     FROM ({rows}) r WINDOW w AS (PARTITION BY brand, model ORDER BY {_FILLED} DESC, id)) WHERE k = 1"""
 
-@query("m4_merge_brand", f"""WITH r AS (SELECT model, brand, min(id) AS id, max(dmr) AS dmr, max(gps) AS gps, max(notes) AS notes FROM ({RADIO}) r GROUP BY 1, 2), s AS (SELECT * FROM r WHERE brand = 'Brand-7'), t AS (SELECT * FROM r WHERE brand = 'Brand-8')
-    SELECT * FROM r WHERE brand NOT IN ('Brand-7', 'Brand-8') UNION ALL
-    SELECT model, 'Brand-8', coalesce(t.id, s.id), CASE WHEN coalesce(t.dmr, '') IN ('', '0') THEN coalesce(s.dmr, t.dmr) ELSE t.dmr END, CASE WHEN coalesce(t.gps, '') IN ('', '0') THEN coalesce(s.gps, t.gps) ELSE t.gps END,
-    CASE WHEN t.id IS NULL OR t.notes = '' THEN coalesce(s.notes, t.notes) WHEN s.notes IS NULL OR s.notes = '' OR contains(t.notes, s.notes) THEN t.notes ELSE t.notes || chr(10) || s.notes END FROM t FULL JOIN s USING (model)""",
-    f"SELECT model, brand, min(id) AS id, max(dmr) AS dmr, max(gps) AS gps, max(notes) AS notes FROM ({RADIO}) r GROUP BY 1, 2")
+
+@query("m4_merge_brand", _merge_sql(UNIQUE, "Brand-7", "Brand-8"), UNIQUE)
 def _(r: DataFrame) -> DataFrame:
-    return D.merge_brand(r, "Brand-7", "Brand-8", _SMALL)
+    return D.merge_brand(r, "Brand-7", "Brand-8")
 
 
-@query("m5_clean_prefix", f"""WITH b AS (SELECT id, brand, model, starts_with(model, 's') AS had, CASE WHEN starts_with(model, 's') THEN regexp_replace(model[2:], '^-+', '') ELSE model END AS name, dmr FROM ({RADIO}) r WHERE brand = 'Brand-7'),
-    k AS (SELECT id, name, first_value(dmr IGNORE NULLS) OVER (PARTITION BY name ORDER BY dmr = '', had, model, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dmr, row_number() OVER (PARTITION BY name ORDER BY had, model, id) AS n FROM b)
-    SELECT id, 'Brand-7' AS brand, name AS model, dmr FROM k WHERE n = 1 UNION ALL SELECT id, brand, model, dmr FROM ({RADIO}) r WHERE brand <> 'Brand-7'""", f"SELECT id, brand, model, dmr FROM ({RADIO}) r")
+@query("m5_clean_prefix", _clean_sql(CATALOG, "Brand-7", "s"), CATALOG)
 def _(r: DataFrame) -> DataFrame:
-    return D.clean_prefix(r, "Brand-7", "s", ["dmr"])
+    return D.clean_prefix(r, "Brand-7", "s")
 
 
-@query("m6_dedupe_catalog", f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY brand, model ORDER BY {_FILLED} DESC, id) AS k FROM ({RADIO}) r),
-    n AS (SELECT brand, model, coalesce(string_agg(notes, chr(10) ORDER BY k) FILTER (notes <> ''), '') AS all_notes FROM k GROUP BY 1, 2)
-    SELECT k.id, brand, model, fcc_id, intro_year, battery_mah, dmr, gps, all_notes AS notes FROM k JOIN n USING (brand, model) WHERE k.k = 1""", RADIO)
+@query("m6_dedupe_catalog", _dedupe_sql(CATALOG), CATALOG)
 def _(r: DataFrame) -> DataFrame:
-    return D.dedupe_catalog(r, FIELDS)
+    return D.dedupe_catalog(r)
 
 
 @query("m7_rename_brands", f"SELECT id, CASE WHEN brand IN ('Brand-7', 'Brand-9') THEN 'Other' ELSE brand END AS brand, brand IN ('Brand-7', 'Brand-9') AS renamed FROM ({RADIO}) r", RADIO,
@@ -389,15 +452,16 @@ def _(r: DataFrame, m: DataFrame) -> DataFrame:
     return D.rename_brands(r.select("id", "brand"), m)
 
 
-_GROUPS = "SELECT p_partkey AS id, p_partkey % 100 AS group_id FROM part"
-_PICKS = "SELECT p_partkey % 100 AS group_id, CASE WHEN p_partkey % 3 = 0 THEN 'dmr' ELSE 'gps' END AS field, max(p_partkey) AS id FROM part WHERE p_partkey % 100 < 50 GROUP BY 1, 2"
+_GROUPS = "SELECT p_partkey AS id, p_partkey % 100 AS group_id FROM part WHERE p_partkey % 10 < 5"
+_PICKS = "SELECT p_partkey % 100 AS group_id, CASE WHEN p_partkey % 3 = 0 THEN 'dmr' ELSE 'intro_year' END AS field, max(p_partkey) AS id FROM part WHERE p_partkey % 10 < 3 GROUP BY 1, 2"
 
 
-@query("m8_merge_selected", f"""WITH x AS (SELECT r.*, group_id FROM ({_GROUPS}) g JOIN ({RADIO}) r USING (id)),
-    s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY brand, model, id) AS n FROM x) WHERE n = 1), p AS (SELECT p.group_id, p.field, CASE WHEN p.field = 'dmr' THEN x.dmr ELSE x.gps END AS v FROM ({_PICKS}) p JOIN x USING (group_id, id))
-    SELECT group_id, s.id, coalesce((SELECT max(v) FROM p WHERE p.group_id = s.group_id AND field = 'dmr'), dmr) AS dmr, coalesce((SELECT max(v) FROM p WHERE p.group_id = s.group_id AND field = 'gps'), gps) AS gps FROM s""", RADIO, _GROUPS, _PICKS)
+@query("m8_merge_selected", f"""WITH c AS (SELECT * FROM ({CATALOG}) c), g AS (SELECT * FROM ({_GROUPS}) g), x AS (SELECT c.*, group_id FROM g JOIN c USING (id)),
+    s AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY brand NULLS FIRST, model, id) AS n FROM x) WHERE n = 1), p AS (SELECT p.group_id, p.field, x.dmr, x.intro_year FROM ({_PICKS}) p JOIN x USING (group_id, id))
+    SELECT * FROM c WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT s.* EXCLUDE (group_id) REPLACE (CASE WHEN d.field IS NULL THEN s.dmr ELSE d.dmr END AS dmr, CASE WHEN y.field IS NULL THEN s.intro_year ELSE y.intro_year END AS intro_year)
+    FROM s LEFT JOIN (SELECT * FROM p WHERE field = 'dmr') d ON d.group_id = s.group_id LEFT JOIN (SELECT * FROM p WHERE field = 'intro_year') y ON y.group_id = s.group_id""", CATALOG, _GROUPS, _PICKS)
 def _(r: DataFrame, g: DataFrame, p: DataFrame) -> DataFrame:
-    return D.merge_selected(r, g, p, _SMALL)
+    return D.merge_selected(r, g, p, D.MERGE_FIELDS)
 
 
 @query("m9_stamp_times", f"""SELECT user_id, event_type, CASE WHEN action = 'created' THEN TIMESTAMP '2022-02-02' ELSE created_at END AS created_at,
@@ -421,28 +485,43 @@ def _(r: DataFrame) -> DataFrame:
     return U.check_row(r, {"fcc_id": 12, "model": 10}, "intro_year").select("id", "error")
 
 
-@query("m2_import_radios", f"""WITH b AS (SELECT trim(brand) AS brand, trim(model) AS model, arg_max(gps, ordinal) AS gps, count(*) AS times FROM ({ADDITIONS}) a WHERE trim(brand) <> '' AND trim(model) <> '' GROUP BY 1, 2), t AS (SELECT brand, model, max(dmr) AS gps FROM ({MASTER}) m GROUP BY 1, 2)
-    SELECT brand, model, coalesce(b.gps, t.gps) AS gps, CASE WHEN t.gps IS NULL THEN 'created' WHEN b.gps IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(times, 0) AS times FROM b FULL JOIN t USING (brand, model)""",
-    f"SELECT brand, model, max(dmr) AS gps FROM ({MASTER}) m GROUP BY 1, 2", ADDITIONS)
-def _(t: DataFrame, a: DataFrame) -> DataFrame:
-    batch = M.drop_blank_keys(a, "brand", "model").select(X.strip_ws(F.col("brand")).alias("brand"), X.strip_ws(F.col("model")).alias("model"), "gps", "ordinal")
-    return U.upsert(t, batch, ["brand", "model"], ["gps"], ["ordinal"])
+_YEAR = "regexp_matches(year, '^[0-9.]*[0-9][0-9.]*$') AND TRY_CAST(year AS DOUBLE) IS NULL"
+_READ = f"""SELECT trim(brand) AS brand, trim(model) AS model, trim(fcc_id) AS fcc_id, CASE WHEN regexp_matches(year, '^[0-9.]*[0-9][0-9.]*$') THEN CAST(TRY_CAST(year AS DOUBLE) AS INTEGER) END AS intro_year,
+    TRY_CAST(nullif(regexp_extract(mah, '[0-9]+'), '') AS INTEGER) AS battery_mah, trim(dmr) AS dmr, trim(gps) AS gps, ordinal,
+    CASE WHEN length(trim(fcc_id)) > 50 THEN 'fcc_id is too long' WHEN {_YEAR} THEN '_year is no year' END AS error FROM ({FILE}) f WHERE trim(brand) <> '' AND trim(model) <> ''"""
+_NAMED = {"brand": "Brand", "model": "Model", "year": "Intro Year", "mah": "Battery (mAh)", "dmr": "DMR", "gps": "GPS", "fcc_id": "FCC_ID"}
+_SET = ", ".join(f"CASE WHEN b.row IS NOT NULL THEN {f'b.row.{c}' if c in ('fcc_id', 'intro_year', 'battery_mah', 'dmr', 'gps') else repr('')} ELSE t.{c} END AS {c}" for c in U.RADIO_FIELDS)
+
+
+@query("m2_import_radios", f"""WITH b AS (SELECT brand, model, arg_max(r, r.ordinal) AS row, count(*) AS times FROM ({_READ}) r WHERE error IS NULL GROUP BY 1, 2), t AS (SELECT * FROM ({UNIQUE}) u)
+    SELECT brand, model, {_SET}, CASE WHEN t.id IS NULL THEN 'created' WHEN b.row IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(times, 0) AS times FROM b FULL JOIN t USING (brand, model)""", UNIQUE, FILE)
+def _(t: DataFrame, f: DataFrame) -> DataFrame:
+    return U.import_radios(t, f.withColumnsRenamed(_NAMED), "ordinal")[0]
 
 
-_BRANDS = "SELECT concat('C', CAST(s_suppkey % 40 AS STRING)) AS code, concat('N', CAST(s_suppkey % 30 AS STRING)) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey % 5 > 0"
-_OLD_BRANDS = "SELECT concat('C', CAST(s_suppkey AS STRING)) AS code, concat('N', CAST(s_suppkey AS STRING)) AS name FROM supplier WHERE s_suppkey < 10"
+@query("m2_import_errors", f"SELECT ordinal, error FROM ({_READ}) r WHERE error IS NOT NULL", UNIQUE, FILE)
+def _(t: DataFrame, f: DataFrame) -> DataFrame:
+    return U.import_radios(t, f.withColumnsRenamed(_NAMED), "ordinal")[1].select("ordinal", "error")
 
 
-@query("m3_import_brands", f"""WITH f AS (SELECT code, min(pos) AS pos, arg_max(name, pos) AS name FROM ({_BRANDS}) b GROUP BY 1),
-    x AS (SELECT code, coalesce(f.name, o.name) AS name, o.name AS old, f.name AS new, CASE WHEN o.name IS NOT NULL THEN -1 ELSE f.pos END AS "at" FROM f FULL JOIN ({_OLD_BRANDS}) o USING (code))
-    SELECT code, name, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY x."at", code) > 1 THEN 'error' WHEN old IS NULL THEN 'created' WHEN new IS NULL THEN 'kept' ELSE 'updated' END AS status FROM x""", _OLD_BRANDS, _BRANDS)
+_OWNED = "CASE WHEN name <> '' AND row_number() OVER (PARTITION BY name ORDER BY seen, code) > 1 THEN 'error' ELSE action END AS status"
+_KEPT = "(SELECT trim(code) AS code, trim(name) AS name, trim(full_name) AS full_name, trim(website) AS website, trim(country) AS country, trim(notes) AS notes, pos FROM ({new}) n WHERE trim(code) <> '' AND trim(name) <> '')".format(new=NEW_BRANDS)
+
+
+@query("m3_import_brands", f"""WITH f AS (SELECT code, min(pos) AS pos, arg_max(b, b.pos) AS r, count(*) AS times FROM {_KEPT} b GROUP BY 1), o AS (SELECT * FROM ({OLD_BRANDS}) o),
+    x AS (SELECT code, {", ".join(f"CASE WHEN f.r IS NULL THEN o.{c} ELSE f.r.{c} END AS {c}" for c in U.BRAND_FIELDS)}, CASE WHEN o.name IS NULL THEN 'created' WHEN f.r IS NULL THEN 'kept' ELSE 'updated' END AS action,
+      CASE WHEN o.name IS NULL THEN f.pos ELSE -1 END AS seen, coalesce(times, 0) AS times FROM f FULL JOIN o USING (code))
+    SELECT code, {", ".join(U.BRAND_FIELDS)}, {_OWNED}, times FROM x""", OLD_BRANDS, NEW_BRANDS)
 def _(o: DataFrame, b: DataFrame) -> DataFrame:
     return U.import_brands(o, b, "pos")
 
 
-@query("m3_import_grantees", f"SELECT code, CASE WHEN coalesce(o.name, '') = '' THEN coalesce(b.name, '') ELSE o.name END AS name FROM ({_OLD_BRANDS}) o FULL JOIN (SELECT code, max(name) AS name FROM ({_BRANDS}) x GROUP BY 1) b USING (code)", _OLD_BRANDS, _BRANDS)
+@query("m3_import_grantees", f"""WITH f AS (SELECT code, min(pos) AS pos, arg_min(name, pos) AS new FROM {_KEPT} b GROUP BY 1),
+    x AS (SELECT code, CASE WHEN coalesce(o.name, '') = '' AND new IS NOT NULL THEN new ELSE o.name END AS name, CASE WHEN o.code IS NULL THEN 'created' WHEN o.name = '' AND new IS NOT NULL THEN 'filled' ELSE 'kept' END AS action,
+      CASE WHEN coalesce(o.name, '') = '' AND new IS NOT NULL THEN pos ELSE -1 END AS seen FROM f FULL JOIN (SELECT code AS code, name FROM ({OLD_BRANDS}) q) o USING (code))
+    SELECT code, name, {_OWNED} FROM x""", OLD_BRANDS, NEW_BRANDS)
 def _(o: DataFrame, b: DataFrame) -> DataFrame:
-    return U.import_grantees(o, b)
+    return U.import_grantees(o, b, "pos")
 
 
 # ---- pages ----
@@ -458,7 +537,32 @@ def _(p: DataFrame) -> DataFrame:
     return S.extract_named_column(p, "Product Name", "/")
 
 
-@query("wl2_ingest_grants", f"""SELECT DISTINCT coalesce(grantee_code, fcc_id) AS code, CASE WHEN contains(product, '-') THEN grantee_code || '-' || product ELSE grantee_code || product END AS composed FROM ({_SPLIT}) s WHERE grantee_code IS NOT NULL""", GRANTS, GRANTEES)
-def _(g: DataFrame, c: DataFrame) -> DataFrame:
-    r = R.dedupe_batch(M.resolve_grantee(g, c), ["grantee_code", "product"]).where("grantee_code is not null")
-    return r.select(F.col("grantee_code").alias("code"), X.compose_id(F.col("grantee_code"), F.col("product")).alias("composed")).distinct()
+# ---- flows ----
+
+_BUILT = f"""SELECT f.*, coalesce(code, '') AS code, coalesce(code || '-' || {_CLEAN}, '') AS fcc_id, CASE WHEN code IS NULL THEN '' WHEN EXISTS (SELECT 1 FROM ({REGISTRY}) k
+    WHERE substr(k.fcc_id, 1, length(c.code)) = c.code AND regexp_replace(substr(k.fcc_id, length(c.code) + 1), '^-+', '') = {_CLEAN}) THEN 'Yes' ELSE 'No' END AS exists FROM ({_FIRST}) f LEFT JOIN ({CODES}) c USING (brand)"""
+
+
+@query("wl1_build_master", _BUILT, MASTER, ADDITIONS, CODES, REGISTRY)
+def _(m: DataFrame, a: DataFrame, c: DataFrame, k: DataFrame) -> DataFrame:
+    return W.build_master(m, a, c, k)
+
+
+_INGESTED = f"""WITH g AS (SELECT DISTINCT s.grantee_code, s.product, n.name FROM ({_SPLIT}) s JOIN ({GRANTEES}) n ON n.code = s.grantee_code WHERE product <> ''),
+    b AS (SELECT name AS brand, product AS model, max(CASE WHEN contains(product, '-') THEN grantee_code || '-' || product ELSE grantee_code || product END) AS fcc_id, count(*) AS times FROM g GROUP BY 1, 2)
+    SELECT brand, model, coalesce(b.fcc_id, t.fcc_id) AS fcc_id, CASE WHEN t.fcc_id IS NULL THEN 'created' WHEN b.fcc_id IS NULL THEN 'kept' ELSE 'updated' END AS action, coalesce(times, 0) AS times FROM b FULL JOIN ({GRANTED}) t USING (brand, model)"""
+
+
+@query("wl2_ingest_grants", _INGESTED, GRANTED, GRANTS, GRANTEES)
+def _(t: DataFrame, g: DataFrame, c: DataFrame) -> DataFrame:
+    return W.ingest_grants(t, g, c)
+
+
+@query("wl2_tally", f"SELECT count(*) FILTER (action = 'created') AS created, CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS updated, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors, CAST(sum(times) AS BIGINT) AS total FROM ({_INGESTED}) i", GRANTED, GRANTS, GRANTEES)
+def _(t: DataFrame, g: DataFrame, c: DataFrame) -> DataFrame:
+    return U.tally(W.ingest_grants(t, g, c))
+
+
+@query("wl3_clean_up", _dedupe_sql(_merge_sql(_clean_sql(CATALOG, "Brand-7", "s"), "Brand-7", "Brand-99")), CATALOG)
+def _(r: DataFrame) -> DataFrame:
+    return W.clean_up(r, "Brand-7", "s", "Brand-99")

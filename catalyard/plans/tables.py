@@ -41,6 +41,35 @@ STATE = """SELECT user_id, event_type, max(event_id) AS version, 'old' AS origin
 BATCH = """SELECT user_id, event_type, event_id AS version, 'new' AS origin, TIMESTAMP '2021-01-01 00:00:00' AS created_at,
   TIMESTAMP '2021-01-01 00:00:00' AS updated_at, event_id AS at FROM events WHERE event_id % 10 >= 3"""
 
+#: The catalogue with all columns that a merge fills, of their types: blanks are null, empty or 0; the text 0 is none.
+CATALOG = f"""SELECT id, CASE WHEN id % 97 = 0 THEN NULL ELSE brand END AS brand, model, fcc_id,
+  CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 0 ELSE 1990 + id % 30 END AS intro_year,
+  CASE WHEN id % 2 = 0 THEN 'VHF' ELSE '' END AS freq_bands_tx, CASE WHEN id % 3 = 0 THEN '0' WHEN id % 3 = 1 THEN '' ELSE '5' END AS power_watts,
+  CASE WHEN id % 4 = 0 THEN 'yes' END AS satellite_tracking, CASE WHEN id % 6 < 2 THEN 'ok' ELSE '' END AS harmonic_suppression, gps,
+  CASE WHEN id % 9 = 0 THEN ' ' ELSE '' END AS aprs, CASE WHEN id % 10 < 3 THEN 'AM' ELSE '' END AS air_band, dmr,
+  CASE WHEN id % 11 < 4 THEN concat('d', CAST(id % 11 AS STRING)) ELSE '' END AS display, CASE WHEN id % 6 = 0 THEN 0 ELSE id % 50 * 100 END AS battery_mah,
+  CASE WHEN id % 13 < 6 THEN concat('$', CAST(id % 13 AS STRING)) ELSE '' END AS cost_approx, '' AS rebadges_clones,
+  CASE WHEN id % 15 < 5 THEN concat('w', CAST(id AS STRING)) ELSE '' END AS website, notes FROM ({RADIO}) r"""
+#: The same with one row for each brand and model.
+UNIQUE = f"SELECT * FROM ({CATALOG}) c WHERE id IN (SELECT min(id) FROM ({RADIO}) r GROUP BY brand, model)"
+#: Rows of a catalogue file: blank models, bad years, ids that are too long.
+FILE = f"""SELECT id AS ordinal, concat(' ', brand, ' ') AS brand, CASE WHEN id % 50 = 0 THEN ' ' ELSE model END AS model,
+  CASE WHEN id % 11 = 0 THEN '1.2.3' ELSE intro_year END AS year, battery_mah AS mah, concat(dmr, ' ') AS dmr, gps,
+  CASE WHEN id % 13 = 0 THEN repeat('x', 51) ELSE fcc_id END AS fcc_id FROM ({RADIO}) r WHERE id % 3 > 0"""
+#: Ids of a registry, most without a hyphen after the code.
+REGISTRY = f"""SELECT concat(c.code, CASE WHEN r.id % 4 = 0 THEN '-' ELSE '' END, upper(replace(r.model, ' ', ''))) AS fcc_id
+  FROM ({RADIO}) r JOIN ({CODES}) c ON r.brand = c.brand WHERE r.id % 2 = 0"""
+#: Texts found for brands: some show an id.
+FINDS = f"""SELECT brand, CASE WHEN id % 2 = 0 THEN concat('see ', model, ' or AB12-', model, '.') ELSE model END AS body FROM ({RADIO}) r WHERE brand LIKE '%2_'"""
+#: Products that a catalogue has of the grantees whose grants are taken in.
+GRANTED = f"""SELECT DISTINCT c.name AS brand, CAST(l.pk AS STRING) AS model, 'old' AS fcc_id FROM
+  (SELECT DISTINCT l_suppkey % 100 AS sk, l_partkey AS pk FROM lineitem WHERE l_partkey % 2 = 0) l JOIN ({GRANTEES}) c ON c.code = concat('S', right(concat('0', CAST(l.sk AS STRING)), 2))"""
+#: A registry of brands, and a file over it in which codes and names repeat and some are blank.
+OLD_BRANDS = """SELECT concat('C', CAST(s_suppkey AS STRING)) AS code, CASE WHEN s_suppkey % 4 = 1 THEN '' ELSE concat('N', CAST(s_suppkey AS STRING)) END AS name,
+  'f' AS full_name, '' AS website, 'x' AS country, 'kept' AS notes FROM supplier WHERE s_suppkey % 3 = 0"""
+NEW_BRANDS = """SELECT concat('C', CAST(s_suppkey - s_suppkey % 2 AS STRING)) AS code, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE concat('N', CAST(s_suppkey - s_suppkey % 5 AS STRING)) END AS name,
+  s_name AS full_name, concat(s_name, ' ') AS website, '' AS country, '' AS notes, s_suppkey AS pos FROM supplier WHERE s_suppkey % 11 > 0"""
+
 _TABLES = re.compile(r"\b(?:FROM|JOIN)\s+(part|supplier|lineitem|events|pages|documents|nation|customer)\b")
 
 

@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sanitize_xml, split_product_name, strip_ws, text, title_case
 
+#: The tags of a registry grant.
 GRANT_FIELDS = [
     "applicant_name", "address", "city", "state", "country", "zip_code", "fcc_id", "application_purpose", "grant_date",
     "lower_freq_mhz", "upper_freq_mhz",
@@ -25,41 +26,61 @@ def read_catalog_csv(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return raw.select(*(text(F.col(c)).alias(c) for c in columns))
 
 
+#: The unreadable records of ``_rows``.
+BAD = "bad_record"
+
+
+def _in_file_order(df: DataFrame) -> Column:
+    """Sorts rows by file, then by their place in it, however files are split and dealt."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def _rows(spark: SparkSession, path: str, fields: Sequence[str], encoding: str) -> DataFrame:
-    """A record for each ``<Row>``; the file is split at the end tags, so a large one is read by many tasks."""
-    raw = spark.read.option("lineSep", "</Row>").option("encoding", encoding).text(path) if encoding == "UTF-8" else (
-        spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", encoding), "</Row>")).alias("value"))
-    )
-    body = F.regexp_extract(sanitize_xml(F.col("value")), r"(?s)<Row>(.*)$", 0)
-    record = F.from_xml(F.concat(body, F.lit("</Row>")), T.StructType([T.StructField(f, T.StringType()) for f in fields]))
-    found = raw.where(F.contains("value", F.lit("<Row>"))).select(record.alias("r"))
-    return found.select(*(strip_ws(F.col(f"r.{f}")).alias(f) for f in fields))
+    """A record for each ``<Row>``, its place (``at``), and its text if it can't be read (BAD).
+
+    Files are split at the end tags, so a large one is read by many tasks; ``encoding`` is any that extends ASCII.
+    """
+    raw = spark.read.option("lineSep", "</Row>").text(path)
+    raw = raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"), _in_file_order(raw).alias("at"))
+    body = F.concat(F.regexp_extract(sanitize_xml(F.col("value")), r"(?s)<Row>(.*)$", 0), F.lit("</Row>"))
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in (*fields, BAD)])
+    record = F.from_xml(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    found = raw.where(F.contains("value", F.lit("<Row>"))).select(record.alias("r"), "at")
+    return found.select(*(strip_ws(F.col(f"r.{f}")).alias(f) for f in fields), F.col(f"r.{BAD}").alias(BAD), "at")
 
 
 def read_grants_xml(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Registry grants, a row for each ``<Row>``; absent or empty tags are empty, bare ampersands are taken as such."""
-    return _rows(spark, path, GRANT_FIELDS, encoding)
+    """Registry grants, a row for each ``<Row>``; absent or empty tags are empty, bare ampersands are taken as such.
+    Records that aren't XML are left out: ``read_bad_grants`` has them."""
+    return _rows(spark, path, GRANT_FIELDS, encoding).where(F.col(BAD).isNull()).select(*GRANT_FIELDS)
+
+
+def read_bad_grants(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(bad_record) of the records that ``read_grants_xml`` leaves out."""
+    return _rows(spark, path, GRANT_FIELDS, encoding).where(F.col(BAD).isNotNull()).select(BAD)
 
 
 def read_grantee_map(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(code, name), one row for each code, the last in the file; blank codes are dropped."""
-    rows = _rows(spark, path, ["grantee_code", "grantee_name"], encoding).withColumn("at", F.monotonically_increasing_id())
+    """(code, name), one row for each code, the last by file and place in it; blank codes are dropped."""
+    rows = _rows(spark, path, ["grantee_code", "grantee_name"], encoding)
     return rows.where("grantee_code <> ''").groupBy(F.col("grantee_code").alias("code")).agg(F.max_by("grantee_name", "at").alias("name"))
 
 
-def read_markdown_table(spark: SparkSession, path: str, columns: Sequence[str], compat: bool = False) -> DataFrame:
-    """Data rows of a Markdown table. compat: empty cells are left out, so that later cells move to the left, and any line
-    with ``---`` is dropped; else cells stay in place and only separator rows are dropped."""
-    lines = spark.read.text(path).select(strip_ws(F.col("value")).alias("line"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.where("line like '|%'")
+def read_markdown_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, compat: bool = False) -> DataFrame:
+    """Data rows of a Markdown table, with ``at``, their place. Columns are named by its header, or by ``columns``; each file may
+    repeat the header. compat: empty cells are left out, so that later cells move to the left, and any line with ``---``
+    is dropped; else cells stay in place and only separator rows are dropped."""
+    raw = spark.read.text(path)
+    lines = raw.select(strip_ws(F.col("value")).alias("line"), _in_file_order(raw).alias("at")).where("line like '|%'")
     drop = F.contains("line", F.lit("---")) if compat else F.col("line").rlike(r"^\|[\s:|-]*-[\s:|-]*$")
     lines = lines.where(~drop)
-    head = lines.agg(F.min("at").alias("_first"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), strip_ws)
     if compat:
         cells = F.filter(cells, lambda c: c != "")
-    rows = lines.join(head, F.col("at") > F.col("_first"))
-    return rows.select("at", cells.alias("c")).select("at", *(text(F.get("c", F.lit(i))).alias(c) for i, c in enumerate(columns)))
+    head = lines.agg(F.min_by(F.struct("line", cells.alias("cells")), "at").alias("h")).first().h  # one row
+    names = list(columns or (head.cells if head else []))
+    rows = lines.where(F.col("line") != F.lit(head.line)) if head else lines
+    return rows.select("at", cells.alias("c")).select("at", *(text(F.get("c", F.lit(i))).alias(c) for i, c in enumerate(names)))
 
 
 class _Tables(HTMLParser):

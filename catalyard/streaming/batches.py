@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import upsert
+from ..sources.writers import save_version, versions
 
 
 def upsert_stream(batches: DataFrame, where: str, keys: Sequence[str], update: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Starts a query that upserts every micro-batch into the versions ``where``/v=N; a repeated batch writes the same version."""
+    """Starts a query that upserts every micro-batch into the versions ``where``/v=N, N being the batch's number.
+
+    A repeated batch starts from the version before it again; numbers may have gaps; the last two versions are kept.
+    """
     columns = [c for c in batches.columns if c not in order]
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{where}/v={number - 1}") if number else spark.createDataFrame([], batch.select(*columns).schema)
-        after = upsert(old.select(*columns), batch, keys, update, order)
-        after.select(*columns).write.mode("overwrite").parquet(f"{where}/v={number}")
+        before = [n for n in versions(spark, where) if n < number]
+        old = spark.read.parquet(f"{where}/v={before[-1]}") if before else spark.createDataFrame([], batch.select(*columns).schema)
+        save_version(upsert(old.select(*columns), batch, keys, update, order).select(*columns), where, number)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

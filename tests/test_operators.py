@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import functions as F
+
 from catalyard.operators import maintain, matching, reports, upsert
 
 
@@ -40,8 +42,10 @@ def test_longest_code_wins(spark):
 def test_names_flags_and_brands(spark):
     n = frame(spark, "code string, name string", ("a", None), ("b", "B"))
     assert rows(matching.grantee_name(frame(spark, "code string", ("a",), ("b",), ("c",)), n)) == [("a", None), ("b", "B"), ("c", "c")]
-    reg = frame(spark, "fcc_id string", ("x",), ("x",))
-    assert rows(matching.flag_exists(frame(spark, "fcc_id string", ("x",), ("y",), ("",)), reg)) == [("", ""), ("x", "Yes"), ("y", "No")]
+    reg = frame(spark, "fcc_id string", ("AB1UV5",), ("AB1-X",), ("AB12-Z",), (None,))
+    made = frame(spark, "code string, fcc_id string", ("AB1", "AB1-UV5"), ("AB1", "AB1-X"), ("AB1", "AB1-2-Z"), ("", ""))
+    found = matching.flag_exists(made, reg, frame(spark, "code string", ("AB1",), ("AB12",)))
+    assert rows(found.select("fcc_id", "exists")) == [("", ""), ("AB1-2-Z", "No"), ("AB1-UV5", "Yes"), ("AB1-X", "Yes")]
     got = matching.missing_brands(frame(spark, "brand string", ("p",), ("q",), ("",)), frame(spark, "name string, code string", ("p", "1")))
     assert rows(got) == [("p", "1"), ("q", None)]
 
@@ -51,10 +55,10 @@ def test_upsert_counts_repeats(spark):
     b = frame(spark, "k string, v string, w string, at int", ("a", "1", "1", 1), ("a", "2", "2", 2), ("c", "1", "1", 1), ("c", "2", "2", 2))
     over = upsert.upsert(t, b, ["k"], ["v"], ["at"])
     assert rows(over) == [("a", "2", "0", "updated", 2), ("b", "0", "0", "kept", 0), ("c", "2", "2", "created", 2)]
-    assert rows(upsert.tally(over)) == [(1, 3, 0, 4)]
+    assert rows(upsert.tally(over)) == [(1, 3, 0, 0, 4)] and rows(upsert.tally(over, errors=b.limit(2))) == [(1, 3, 0, 2, 6)]
     kept = upsert.upsert(t, b, ["k"], ["v"], ["at"], overwrite=False)
     assert rows(kept) == [("a", "0", "0", "skipped", 2), ("b", "0", "0", "kept", 0), ("c", "1", "1", "created", 2)]
-    assert rows(upsert.tally(kept, overwrite=False)) == [(1, 0, 3, 4)]
+    assert rows(upsert.tally(kept, overwrite=False)) == [(1, 0, 3, 0, 4)]
 
 
 def test_checks(spark):
@@ -66,6 +70,8 @@ def test_checks(spark):
 
 def test_merge_brand(spark):
     r = frame(spark, "brand string, model string, gps string, notes string", ("s", "x", "yes", "n1"), ("t", "x", "", "n0"), ("s", "y", "no", ""), ("u", "z", "", ""))
+    lone = frame(spark, "brand string, model string, gps string, notes string", (None, "q", "0", None))
+    assert (None, "q", "0", None) in rows(maintain.merge_brand(r.union(lone), "s", "t", ["gps"]))
     got = rows(maintain.merge_brand(r, "s", "t", ["gps", "notes"]))
     assert got == [("t", "x", "yes", "n0\nn1"), ("t", "y", "no", ""), ("u", "z", "", "")]
     with pytest.raises(ValueError):
@@ -84,11 +90,60 @@ def test_dedupe_joins_notes(spark):
     assert rows(maintain.dedupe_catalog(r, ["gps", "notes"])) == [(2, "b", "x", "2", "p\np"), (4, "c", "y", "", "only")]
 
 
+def test_blank_goes_by_type(spark):
+    """The number 0 is blank, the text 0 is not."""
+    r = frame(spark, "id int, brand string, model string, gps string, battery_mah int, notes string", (1, "s", "x", "yes", 5, ""), (2, "t", "x", "0", 0, ""), (3, None, "y", "", 0, "a"), (4, None, "y", "", 7, "b"))
+    assert rows(maintain.merge_brand(r, "s", "t"))[0] == (2, "t", "x", "0", 5, "")
+    assert rows(maintain.best_rows(r, ["gps", "battery_mah"]).select("id")) == [(1,), (2,), (4,)]
+    assert rows(maintain.dedupe_catalog(r, ["gps", "battery_mah"]).where("brand is null").select("id", "notes")) == [(4, "b\na")]
+    c = frame(spark, "id int, brand string, model string, gps string, battery_mah int, notes string", (1, "b", "Px", "0", 0, "n"), (2, "b", "P-x", "1", 9, "n"))
+    assert rows(maintain.clean_prefix(c, "b", "P")) == [(2, "b", "x", "1", 9, "n")]
+    assert rows(maintain.clean_prefix(c.where("id = 1"), "b", "P")) == [(1, "b", "x", "0", 0, "n")]
+
+
+def test_import_brands_and_grantees(spark):
+    old = frame(spark, "code string, name string", ("C0", ""), ("C9", "Nine"))
+    new = frame(spark, "code string, name string, at int", ("C1", "Alpha", 1), ("C1", "Zulu", 2), ("C2", " ", 3), ("C0", "Filled", 4), ("C3", "Nine", 5), ("C9", "Other", 6))
+    want = [("C0", "Filled", "filled"), ("C1", "Alpha", "created"), ("C3", "Nine", "error"), ("C9", "Nine", "kept")]
+    assert rows(upsert.import_grantees(old, new, "at")) == want
+    more = lambda df: df.select("*", *(F.lit("").alias(c) for c in ("full_name", "website", "country", "notes")))
+    got = upsert.import_brands(more(old), more(new), "at").select("code", "name", "status", "times")
+    assert rows(got) == [("C0", "Filled", "updated", 1), ("C1", "Zulu", "created", 2), ("C3", "Nine", "created", 1), ("C9", "Other", "updated", 1)]
+    twice = frame(spark, "code string, name string, at int", ("C4", "Nine", 1), ("C5", "Nine", 2))
+    assert rows(upsert.import_brands(more(old), more(twice), "at").where("status = 'error'").select("code")) == [("C4",), ("C5",)]
+
+
+def test_import_radios(spark):
+    """A file with a repeated key, a bad year, a blank model and columns that are absent."""
+    have = ", ".join(f"{c} {'int' if c in ('intro_year', 'battery_mah') else 'string'}" for c in upsert.RADIO_FIELDS)
+    none = spark.createDataFrame([], f"brand string, model string, {have}")
+    file = frame(spark, "Brand string, Model string, `Intro Year` string, `Battery (mAh)` string, GPS string, at int",
+        ("HongXun ", "DP4801", "2014.0", "4200 (Adv)", "", 1), ("HongXun", " DP4801", "2015", "N/A (Mobile)", " yes ", 2), ("A", "", "", "", "", 3), ("A", "B", "1.2.3", "", "", 4), ("A", "C", "", "", "y" * 51, 5))
+    table, bad = upsert.import_radios(none, file, "at")
+    assert rows(table.select("brand", "model", "intro_year", "battery_mah", "gps", "website", "action", "times")) == [("HongXun", "DP4801", 2015, None, "yes", "", "created", 2)]
+    assert rows(bad.select("at", "error")) == [(4, "_year is no year"), (5, "gps is too long")]
+    assert rows(upsert.tally(table, errors=bad)) == [(1, 1, 0, 2, 4)]
+
+
+def test_merges_count_what_goes(spark):
+    m = frame(spark, "ordinal int, brand string, model string", (1, "icom", "a"), (2, "ICOM", "A "), (3, "K-po", "x"))
+    assert rows(matching.merge_counts(m, m)) == [(6, 2, 4)]
+    assert rows(matching.merge_counts(m.limit(0), m.limit(0))) == [(0, 0, 0)]
+
+
+def test_first_and_last_take_nulls_and_lone_keys(spark):
+    r = frame(spark, "k string, a int, b string", ("x", None, "n"), ("x", 1, "o"), (None, 2, "p"), (None, 3, None))
+    assert rows(matching.first_wins(r, ["k"], [F.col("a")])) == [("x", None, "n"), (None, 2, "p")]
+    assert rows(matching.last_wins(r, ["k"], ["a"])) == [("x", 1, "o"), (None, 3, None)]
+    assert rows(matching.first_wins(r.select("k"), ["k"], [F.col("k")])) == [("x",), (None,)]
+
+
 def test_merge_selected_and_deletes(spark):
     r = frame(spark, "id int, brand string, model string, gps string", (1, "b", "x", "1"), (2, "a", "x", "2"), (3, "c", "z", ""))
     g = frame(spark, "group_id int, id int", (7, 1), (7, 2), (8, 3))
     p = frame(spark, "group_id int, field string, id int", (7, "gps", 1))
-    assert rows(maintain.merge_selected(r, g, p, ["model", "gps"])) == [(7, 2, "x", "1"), (8, 3, "z", "")]
+    more = r.union(frame(spark, "id int, brand string, model string, gps string", (4, "d", "w", "4")))
+    assert rows(maintain.merge_selected(more, g, p, ["model", "gps"])) == [(2, "a", "x", "1"), (3, "c", "z", ""), (4, "d", "w", "4")]
     assert rows(maintain.delete_ids(r, frame(spark, "id int", (1,), (1,))).select("id")) == [(2,), (3,)]
 
 
@@ -99,4 +154,7 @@ def test_reports(spark):
     pages = frame(spark, "k string, t string", ("a", "ab1-x AB1-y zz9-q"), ("a", None), ("b", "none"))
     assert rows(reports.most_common_code(pages, "k", "t")) == [("a", "AB1")]
     assert rows(reports.facets(r, ["brand"]))[0] == ("brand", "Ab%", 1)
-    assert [x.id for x in reports.page(r, 2, 2).collect()] == [3]
+    assert [x.id for x in reports.page(r, 2, 2).collect()] == [3] == [x.id for x in reports.page_after(r, "b", "AB%", 2, 2).collect()]
+    assert rows(reports.facet_filter(r, brand="Ab%", fcc_id=None).select("id")) == [(1,)]
+    finds = frame(spark, "brand string, body string", ("b", "id AB1-X"), ("c", "none"))
+    assert rows(reports.manual_queue(r, r.limit(0).select("brand"), finds, "id", "u?").select("brand")) == [("Ab%",), ("c",)]

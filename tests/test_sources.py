@@ -27,6 +27,43 @@ def test_grants_xml(spark, tmp_path):
     assert readers.read_grants_xml(spark, str(empty)).count() == 0
 
 
+def test_bad_records_are_set_aside(spark, tmp_path):
+    src = tmp_path / "b.xml"
+    src.write_bytes("<R><Row><fcc_id>É1</fcc_id></Row><Row><fcc_id>X<</Row><Row><fcc_id>2</fcc_id></Row></R>".encode("latin-1"))
+    assert rows(readers.read_grants_xml(spark, str(src), "ISO-8859-1").select("fcc_id")) == [("2",), ("É1",)]
+    assert readers.read_bad_grants(spark, str(src), "ISO-8859-1").count() == 1
+
+
+def test_last_code_goes_by_file_and_place(spark, tmp_path):
+    row = "<Row><grantee_code>A</grantee_code><grantee_name>{}</grantee_name></Row>"
+    for name, n in (("b", 50), ("a", 300)):
+        (tmp_path / f"{name}.xml").write_text("<R>" + "".join(row.format(f"{name}{i}") for i in range(n)) + "</R>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert rows(readers.read_grantee_map(spark, str(tmp_path))) == [("A", "b49")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_markdown_header_names_columns(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.md").write_text(f"text\n| Model | Brand |\n| :--- | --- |\n| {name} | x |\n")
+    assert rows(readers.read_markdown_table(spark, str(tmp_path)).select("Model", "Brand")) == [("a", "x"), ("b", "x")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/n.md").write_text("no table\n")
+    assert readers.read_markdown_table(spark, str(tmp_path / "none"), ["m"]).count() == 0
+
+
+def test_reload(spark, tmp_path):
+    where, schema = str(tmp_path / "t"), "k string, v string, at int"
+    go = lambda clear, *r: rows(writers.reload(spark.createDataFrame(list(r), schema), where, ["k"], ["v"], ["at"], clear))
+    assert go(False, ("a", "1", 1), ("b", "1", 1)) == [("a", "1"), ("b", "1")]
+    assert go(False, ("a", "2", 2), ("a", "3", 3)) == [("a", "3"), ("b", "1")]
+    assert go(True, ("c", "1", 1)) == [("c", "1")]
+    assert writers.versions(spark, where) == [1, 2]
+
+
 def test_grantee_map_last_wins(spark, tmp_path):
     src = tmp_path / "r.xml"
     row = "<Row><grantee_code>{}</grantee_code><grantee_name>{}</grantee_name></Row>"

@@ -20,10 +20,25 @@ def test_models_and_numbers(spark):
 
 
 def test_split_product_name(spark):
-    names = ["Radio Shack PRO-1", "BaoFeng/Pofung UV-5R", "yaesu VX-1R (2nd)", "Icom - IC-V80 dual band HT", "Kenwoodish T1", "Puxing", "AnyTone AT-1 – new"]
+    cases = {
+        "Radio Shack PRO-1": ("Radio Shack", "PRO-1"),
+        "New Radio Shack HTX": ("Radio Shack", "New  HTX"),
+        "Connect Systems CS580": ("Connect Systems", "CS580"),
+        "BaoFeng/Pofung UV-5R": ("Baofeng", "UV-5R"),
+        "The Baofeng/Pofung GT-3": ("Baofeng", "The Baofeng/Pofung GT-3"),
+        "yaesu VX-1R (2nd)": ("yaesu", "VX-1R"),
+        "Icom - IC-V80 dual band HT": ("Icom", "IC-V80"),
+        "Icom – IC-2": ("Icom", "IC-2"),
+        "Icom IC-V8 (a) b (c)": ("Icom", "IC-V8"),
+        "Icom IC-3 vhf mobile": ("Icom", "IC-3"),
+        "AnyTone AT-1 – new": ("AnyTone", "AT-1"),
+        "Icom IC-4 dual  band": ("Icom", "IC-4 dual  band"),
+        "Kenwoodish T1": ("Kenwoodish", "T1"),
+        "Puxing": ("Puxing", ""),
+        "": ("", ""),
+    }
     split = lambda c: X.split_product_name(c, ["Yaesu", "Icom", "Kenwood", "Puxing", "AnyTone"])
-    got = [tuple(r) for r in one(spark, split, *names)]
-    assert got == [("Radio Shack", "PRO-1"), ("Baofeng", "UV-5R"), ("Yaesu", "VX-1R"), ("Icom", "IC-V80"), ("Kenwoodish", "T1"), ("Puxing", ""), ("AnyTone", "AT-1")]
+    assert [tuple(r) for r in one(spark, split, *cases)] == list(cases.values())
 
 
 def test_ids(spark):
@@ -37,11 +52,13 @@ def test_ids(spark):
 
 def test_bands(spark):
     rows = spark.createDataFrame([("1.8", "54"), ("136", "174"), ("300", "300"), ("400", "480"), ("x", "1"), ("1d", "2"), (None, "5")], "a string, b string")
-    got = [r[0] for r in rows.select(X.bands_of(F.col("a"), F.col("b"))).collect()]
+    got = [r.bands for r in X.with_bands(rows, "a", "b").collect()]
     assert got == [["HF", "VHF"], ["VHF"], ["UHF", "VHF"], ["UHF"], [], [], []]
 
 
 def test_messages(spark):
-    assert one(spark, lambda c: X.import_message(created=F.lit(3), updated=F.lit(0), skipped=F.lit(1)), "") == ["3 created • 1 skipped"]
+    counts = [F.lit(n) for n in (4, 3, 0, 1)]
+    said = "Grantee X1 (Maker): Processed 4 records • 3 new radios added • 1 duplicates skipped"
+    assert one(spark, lambda c: X.import_message(F.lit("X1"), F.lit("Maker"), *counts), "") == [said]
     assert one(spark, lambda c: X.search_url("u?", c, F.lit("a/b c")), "X Y") == ["u?X%20Y%20a/b%20c"]
     assert one(spark, lambda c: X.default_if_blank(c, "-"), "", None, "x") == ["-", "-", "x"]
