@@ -1,8 +1,10 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A fingerprint is the sum, over a text's pieces, of wide vectors hashed from each: LANES lanes of +1 or -1 modulo 2**16,
-and WIDE lanes of any value modulo 2**64. Sums don't depend on order; a piece is inserted or deleted by adding or
-subtracting its vector. The narrow lanes tell how like two texts are, the wide lanes whether they are equal.
+A fingerprint is the sum, over a text's pieces, of wide vectors hashed from each: LANES lanes of +1 or -1 modulo 2**32,
+and WIDE lanes of any value modulo 2**64, all from one BLAKE2b digest. Sums don't depend on order; a piece is inserted or
+deleted by adding or subtracting its vector. The narrow lanes tell how like two texts are (an estimate, with a standard
+error of about 1 / sqrt(LANES)); the wide lanes, 256 bits, tell whether they are equal. Sums of known hashes don't resist
+somebody who makes up texts to collide; chance doesn't make them collide.
 """
 
 from __future__ import annotations
@@ -15,13 +17,12 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, bounded_batches, table
+from .common import bounded_batches, documents, table
 
-LANES, WIDE = 128, 2
+LANES, WIDE = 256, 4
 #: A line is a paragraph; a longer one is parted after the ends of sentences and clauses.
 _PIECE = re.compile(rb"[^\n.!?;:,]*(?:\n|[.!?;:,]+|$)")
 
@@ -52,25 +53,24 @@ def pieces(text: bytes) -> list[bytes]:
 
 def _digests(parts: Iterable[bytes]) -> np.ndarray:
     """A row of LANES bits and WIDE 64-bit words, as bytes, for each piece."""
-    d128, d64 = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest
-    raw = b"".join([d128(p, 1) + d64(p, 2) + d64(p, 3) for p in parts])
+    raw = b"".join([hashlib.blake2b(p).digest() for p in parts])
     return np.frombuffer(raw, dtype="u1").reshape(-1, LANES // 8 + 8 * WIDE)
 
 
 class Fingerprint:
-    """A sum of piece vectors; ``text`` has an empty text's vector too, so that it isn't zero."""
+    """A sum of piece vectors. As text: a digit for the bytes of a narrow lane, as few as hold them all, then the lanes."""
 
     __slots__ = ("narrow", "wide")
 
     def __init__(self, narrow: np.ndarray | None = None, wide: np.ndarray | None = None):
-        self.narrow = np.zeros(LANES, dtype="i2") if narrow is None else narrow
+        self.narrow = np.zeros(LANES, dtype="i4") if narrow is None else narrow
         self.wide = np.zeros(WIDE, dtype="u8") if wide is None else wide
 
     @classmethod
     def of(cls, parts: Iterable[bytes]) -> Fingerprint:
         rows = _digests(parts)
         bits = np.unpackbits(rows[:, : LANES // 8], axis=1)
-        narrow = (2 * bits.sum(axis=0, dtype=np.int64) - len(rows)).astype("i2")  # modulo 2**16
+        narrow = (2 * bits.sum(axis=0, dtype=np.int64) - len(rows)).astype("i4")  # modulo 2**32
         return cls(narrow, np.ascontiguousarray(rows[:, LANES // 8 :]).view("u8").sum(axis=0, dtype="u8"))
 
     @classmethod
@@ -90,15 +90,16 @@ class Fingerprint:
         return self - Fingerprint.of([part])
 
     def hex(self) -> str:
-        return (self.wide.astype(">u8").tobytes() + self.narrow.astype(">i2").tobytes()).hex()
+        size = next(k for k in (1, 2, 4) if k == 4 or (self.narrow.astype(f"i{k}") == self.narrow).all())
+        return str(size) + (self.wide.astype(">u8").tobytes() + self.narrow.astype(f">i{size}").tobytes()).hex()
 
     @classmethod
     def parse(cls, s: str) -> Fingerprint:
-        raw = bytes.fromhex(s)
-        return cls(np.frombuffer(raw[8 * WIDE :], ">i2").astype("i2"), np.frombuffer(raw[: 8 * WIDE], ">u8").astype("u8"))
+        raw = bytes.fromhex(s[1:])
+        return cls(np.frombuffer(raw[8 * WIDE :], f">i{s[0]}").astype("i4"), np.frombuffer(raw[: 8 * WIDE], ">u8").astype("u8"))
 
     def __eq__(self, other: object) -> bool:
-        return isinstance(other, Fingerprint) and self.hex() == other.hex()
+        return isinstance(other, Fingerprint) and bool((self.wide == other.wide).all() and (self.narrow == other.narrow).all())
 
     __hash__ = None  # type: ignore[assignment]
 
@@ -126,47 +127,68 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fingerprint string")
 
 
-def in_order(docs: DataFrame, part_bytes: int = 4 << 20, max_parts: int = 4096) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text) dealt to numbered parts by descending doc_id (nulls last), and the number of parts.
+#: Text that a task streams, about; parts are a quarter of it.
+TASK_BYTES = 128 << 20
 
-    Each part also gets, marked ``guest``, the first document of the next part that has any; the last part gets the
-    first of all. Parts are cut at quantiles of doc_id so that each has about ``part_bytes`` of text, or more where
-    that takes over ``max_parts``; the driver holds an id for each part.
+
+def in_order(docs: DataFrame, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) dealt to numbered parts by descending doc_id (nulls last, ties by a hash of the text, then the
+    text), as doc_id, text, tie, part and guest; and how many tasks they are for.
+
+    Each part also gets, marked ``guest``, the first document of the next part; the last part gets the first of all. Parts
+    are cut by Spark's range partitioning of ids and hashes, of any orderable type and however often an id comes; the driver
+    holds one id for each part.
     """
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()
-    n = min(max_parts, max(1, -(-(size.b or 0) // part_bytes)))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    steps = np.array(cuts, dtype="f8")
+    spark = docs.sparkSession
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+    cut = docs.select("doc_id", "tie").repartitionByRange(4 * tasks, *order)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "tie"))  # of the rows with the greatest id
+    top = cut.select("doc_id", "tie", F.spark_partition_id().alias("p")).groupBy("p", "doc_id").agg(first.alias("f"))
+    top = top.groupBy("p").agg(F.max_by(F.struct("doc_id", "f.tie"), F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("head"))
+    heads = [(r["head"].doc_id, r["head"].tie) for r in sorted(top.collect())]
+    if not heads:
+        return docs.select("doc_id", "text", "tie", F.lit(0).alias("part"), F.lit(False).alias("guest")), 1
+
+    def before(a: tuple, b: tuple) -> bool:
+        if a[0] == b[0]:
+            return a[1] < b[1]
+        return b[0] is None or (a[0] is not None and a[0] > b[0])
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.to_numpy(dtype="f8", na_value=-np.inf)
-        return pd.Series(len(steps) - np.searchsorted(steps, known, "right"), dtype="int32")
-
-    dealt = docs.withColumn("part", part_of("doc_id"))
-    heads = {r.part: r.doc_id for r in dealt.select("doc_id", "part").groupBy("part").agg(F.max("doc_id").alias("doc_id")).collect()}
-    held = sorted(heads)
-    own = dealt.withColumn("guest", F.lit(False))
-    if not held:
-        return own, 1
-    first = [(heads[held[(i + 1) % len(held)]], p) for i, p in enumerate(held)]
-    to = docs.sparkSession.createDataFrame(first, "doc_id long, part int")
-    texts = docs.join(F.broadcast(to), docs.doc_id.eqNullSafe(to.doc_id))
-    guests = texts.groupBy("part", docs.doc_id).agg(F.min("text").alias("text"), F.lit(True).alias("guest"))
-    return own.unionByName(guests), len(cuts) + 1
+    def part_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        out = []
+        for i, t in zip(ids.tolist(), ties.tolist()):
+            own, low, high = (None if i is None or i != i else i, t), 0, len(heads)
+            while low < high:  # the last head that isn't after the document
+                mid = (low + high) // 2
+                low, high = (low, mid) if before(own, heads[mid]) else (mid + 1, high)
+            out.append(max(low - 1, 0))
+        return pd.Series(out, dtype="int32")
+
+    own = docs.select("doc_id", "text", "tie", part_of("doc_id", "tie").alias("part"), F.lit(False).alias("guest"))
+    kind = dict(docs.dtypes)["doc_id"]
+    to = [(*heads[(p + 1) % len(heads)], p) for p in range(len(heads))]
+    to = spark.createDataFrame(to, f"head {kind}, tie long, part int")  # a row for each part
+    found = docs.join(F.broadcast(to), (docs.doc_id.eqNullSafe(to["head"])) & (docs.tie == to.tie))
+    guests = found.groupBy("part", docs.doc_id, docs.tie).agg(F.min("text").alias("text"), F.lit(True).alias("guest"))
+    return own.unionByName(guests), tasks
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document's, as op3's contract has them.
 
-    The next document is the next in descending doc_id (nulls last, ties by text; after the last, the first), which may be
-    the document itself if it is alone. The parts are sorted and read as streams: a task holds a batch and one document.
+    The next document is the next in descending doc_id (nulls last; rows of one id by a hash of their text, then by text;
+    after the last, the first), which may be the document itself if it is alone. Null texts are empty, repeated rows stay,
+    ids may be of any orderable type, other columns are not read. The parts are sorted and read as streams: a task holds a
+    batch and one document.
     """
     d = documents(docs)
     dealt, n = in_order(d)
-    ordered = dealt.repartition(max(n, 2), "part").sortWithinPartitions(
-        "part", "guest", F.col("doc_id").desc_nulls_last(), "text"
-    )
+    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "tie", "text")
+    ordered = ordered.select("doc_id", "text", "part", "guest")
     kinds = dict(d.dtypes)["doc_id"]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

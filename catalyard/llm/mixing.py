@@ -8,16 +8,14 @@ the source), so that both totals stay what they are, until a handful of fraction
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, bounded_batches, stored, table
+from .common import stored, table
 
 #: Documents that one flight handles; what it leaves (2 at most) goes to the next level.
 BLOCK = 4000
@@ -27,18 +25,9 @@ _NEAR = 1e-9
 
 
 def word_counts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, size (words of the whole text; null: 0) and ``more`` for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = [len(t.split()) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            cols = [b.column(0), pa.array(sizes, pa.int64()), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "size", *more])
-
-    bounded_batches(docs.sparkSession)
-    d = documents(docs, *more)
-    schema = T.StructType([d.schema["doc_id"], T.StructField("size", T.LongType()), *(d.schema[c] for c in more)])
-    return d.mapInArrow(run, schema)
+    """doc_id, size (words of the whole text; null: 0) and ``more`` for each row, in Spark expressions."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return docs.select("doc_id", words.cast("long").alias("size"), *more)
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -46,6 +35,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
 
     Sources in code point order (null last) weigh ``weights``, repeating. They split ``share`` of all sizes by weight; a
     target stops at ``most`` times its source's size and the excess goes to the others by weight, until none is above.
+    The level at which all is given out is the root of a concave function of straight pieces; each round is a Newton step
+    to it, so few rounds do, however many sources there are.
     """
     found = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
     # Ranks in order, without a single task: within range partitions, then from the partitions' counts.
@@ -135,18 +126,23 @@ def settled(sizes: Sequence[float], chances: list[float], rng: random.Random) ->
     return landing(sizes, out)
 
 
-def _flown(key: str, seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One block's flight, and its landing on the last level."""
+def _blocks(n_docs: int, block: int, level: int) -> int:
+    """How many blocks a source of ``n_docs`` is dealt to: at later levels as many fewer as flights leave fractions."""
+    return max(1, -(-n_docs // (block * (block // 2) ** level)))
+
+
+def _flown(key: str, seed: int, level: int, block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One block's flight; where a source is one block, its landing too, whatever other sources need."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "size"], kind="stable", na_position="last")
+        pdf = pdf.iloc[np.lexsort((pdf["size"], pdf["hashed"]))].reset_index(drop=True)
         first = pdf.iloc[0]
         rng = random.Random(f"{seed}/{level}/{first['no_source']}/{first['named']}/{first['block']}")
         sizes = pdf["size"].astype(float).tolist()
         order = list(range(len(pdf)))
         rng.shuffle(order)
         chances = pdf["chance"].tolist()
-        go = settled if last else flight
+        go = settled if _blocks(int(first["n_docs"]), block, level) == 1 else flight
         moved = go([sizes[i] for i in order], [chances[i] for i in order], rng)
         out = [0.0] * len(pdf)
         for i, p in zip(order, moved):
@@ -157,40 +153,40 @@ def _flown(key: str, seed: int, level: int, last: bool) -> Callable[[pd.DataFram
     return fly
 
 
-def mix(docs: DataFrame, key: str, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """(key, size, source, source_size, target, copies) for every row of ``docs`` (key, size, source).
+def mix(
+    docs: DataFrame, key: str, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK, more: Sequence[str] = ()
+) -> DataFrame:
+    """(key, size, source, source_size, target, copies) and ``more`` for every row of ``docs`` (key, size, source).
 
     Levels of flights run over blocks of about ``block`` rows of one source, dealt by hashed key; each leaves at most two
     fractions, which the next level gathers, until a source's fit one block; those land. Large sources are spread over
-    many blocks, and nothing but a block is held in memory. The same rows and seed give the same result; rows with equal
-    keys and sizes are interchangeable. A null source is a source of its own, a source without words has no copies, and an
-    empty table gives an empty result.
+    many blocks, and nothing but a block is held in memory. What a source gets doesn't depend on the others but for its
+    target. The same rows and seed give the same result; rows with equal keys and sizes are interchangeable. A null source
+    is a source of its own, a source without words has no copies, very long texts are sizes like any other, other columns
+    are not read, and an empty table gives an empty result.
     """
-    t = targets(docs.select("source", "size"), weights, share, most)
+    t = stored(targets(docs.select("source", "size"), weights, share, most), "targets")
     # Null-safe join by a pair of columns that are never null.
     named = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("named")]
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    rows = docs.select(key, "size", *named).join(
+    rows = docs.select(key, "size", *more, F.xxhash64(key).alias("hashed"), *named).join(
         t.select("n_docs", "source_size", "target", rate.alias("rate"), *named), ["no_source", "named"]
     )
     whole = F.floor(F.col("rate") + _NEAR)
     chance = F.when(F.col("rate") - whole > _NEAR, F.col("rate") - whole).otherwise(0.0)
     state = rows.withColumn("base", whole.cast("long")).withColumn("chance", chance).drop("rate")
     most_docs = t.agg(F.max("n_docs").alias("n")).first().n or 0
-    blocks, level, done = -(-most_docs // block), 0, None
+    level, done = 0, None
     schema = state.schema
     while True:
-        # A source gets as many blocks as it has documents for; at later levels that many times fewer.
         n = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(block * (block // 2) ** level))).cast("int")
-        dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), key, "size"), n).cast("int"))
-        last = blocks <= 1
-
-        flown = stored(dealt.groupBy("no_source", "named", "block").applyInPandas(_flown(key, seed, level, last), schema), "flight")
+        dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "hashed", "size"), n).cast("int"))
+        flown = stored(dealt.groupBy("no_source", "named", "block").applyInPandas(_flown(key, seed, level, block), schema), "flight")
         fixed = flown.where("chance = 0 or chance = 1")
         done = fixed if done is None else done.unionByName(fixed)
-        if last:
+        if _blocks(most_docs, block, level) == 1:
             break
-        state, blocks, level = flown.where("chance > 0 and chance < 1"), -(-blocks // (block // 2)), level + 1
+        state, level = flown.where("chance > 0 and chance < 1"), level + 1
     return done.select(
         key,
         "size",
@@ -198,6 +194,7 @@ def mix(docs: DataFrame, key: str, weights: Sequence[float] = (5, 2, 1), share:
         "source_size",
         "target",
         (F.col("base") + F.col("chance").cast("long")).alias("copies"),
+        *more,
     )
 
 

@@ -192,36 +192,68 @@ def test_the_program_reaches_the_optimum():
 # ---- op3 ----
 
 
+def _reread(f):
+    return fingerprint.Fingerprint.parse(f.hex())
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8, 0.95])
+@pytest.mark.parametrize("n", [200, 100_000])
+def test_likeness_estimates_the_share_of_common_pieces(share, n):
+    a, b = ([f"{'both' if i < share * n else side} {i}\n".encode() for i in range(n)] for side in "xy")
+    found = [fingerprint.Fingerprint.of_text(b"".join(x)) for x in (a, b)]
+    assert abs(found[0].likeness(found[1]) - share) < 0.2
+
+
 def test_fingerprint_algebra():
     of = fingerprint.Fingerprint.of
     a, b, c = b"one\n", b"two\n", b"three"
     assert of([a, b, c]) == of([c, a, b]) and of([a, a]) != of([a])
     assert of([a, b]).insert(c) == of([a, b, c]) and of([a, b, c]).delete(b) == of([a, c])
     assert fingerprint.Fingerprint.parse(of([a, b]).hex()) == of([a, b])
+    assert of([a] * 40_000).likeness(of([a] * 30_000)) == pytest.approx(2 * 12 / 25) and _reread(of([a] * 40_000)) == of([a] * 40_000)
     long = cases.text(3, 900)
     whole, part, other = (fingerprint.Fingerprint.of_text(t.encode()) for t in (long, long[: len(long) * 3 // 4], "q w e r t y, u i o p; a s d"))
     assert whole.likeness(whole) == 1 and whole.likeness(part) > 0.6 > 0.4 > whole.likeness(other)
 
 
-@pytest.mark.parametrize("size", [500, 1 << 22])
+@pytest.mark.parametrize("size", [500, 1 << 27])
 def test_edits(spark, docs, size, monkeypatch):
     real = fingerprint.in_order
     monkeypatch.setattr(fingerprint, "in_order", lambda d: real(d, size))
     got = fingerprint.with_edits(docs).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    tie = {t: h for t, h in docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]], r[1]))
     want = Counter()
+    of = fingerprint.Fingerprint.of_text
     for k, (i, t) in enumerate(order):
         nxt, cut = order[(k + 1) % len(order)][1], len(t) // 3
-        want[i, len(t), hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        edited = (t[: len(t) - cut] + nxt[:cut]).encode()
+        near = (round(of(t.encode()).likeness(of(x)), 9) for x in (edited, nxt.encode()))
+        want[i, len(t), hashlib.sha256(edited).hexdigest(), of(t.encode()).hex(), of(edited).hex(), *near] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     by_text = {}
     for r in got:
         by_text.setdefault(dict(ROWS)[r.doc_id], set()).add(r.fingerprint)
     assert all(len(x) == 1 for x in by_text.values()) and len({min(x) for x in by_text.values()}) == len(by_text)
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
     assert fingerprint.with_edits(cases.empty(spark)).count() == 0
 
 
+def test_edits_of_text_ids_and_one_hot_id(spark, monkeypatch):
+    real = fingerprint.in_order
+    monkeypatch.setattr(fingerprint, "in_order", lambda d: real(d, 100))
+    rows = [("hot", cases.text(i, 20)) for i in range(30)] + [(f"d{i}", cases.text(50 + i, 5)) for i in range(15)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = fingerprint.with_edits(df).collect()
+    tie = {t: h for t, h in df.select("text", F.xxhash64("text")).collect()}
+    down = sorted((r for r in rows if r[0]), key=lambda r: tie[r[1]])
+    down = [*sorted(down, key=lambda r: r[0], reverse=True), (None, "x")]
+    want = Counter()
+    for (i, t), (_, nxt) in zip(down, [*down[1:], down[0]]):
+        cut = len(t) // 3
+        want[i, hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 # ---- op4 ----
 
 
@@ -310,6 +342,14 @@ def test_mix_meets_targets(spark, docs):
     assert mixing.mix(mixing.word_counts(cases.empty(spark), "source"), "doc_id").count() == 0
 
 
+def test_a_large_source_leaves_small_ones_alone(spark):
+    """Thirty long documents land on their target whatever the other source's size."""
+    for n in (100, 900):
+        rows = [(i, 400 + 37 * i, "small") for i in range(30)] + [(100 + i, 40, "zlarge") for i in range(n)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, size long, source string"), "doc_id", block=100).where("source = 'small'").collect()
+        assert abs(sum(r.copies * r.size for r in got) - got[0].target) < 0.002 * got[0].target
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 50)], "source string, size long")
     got = {r.source: round(r.target, 6) for r in mixing.targets(sizes, (5, 2, 1), 1.5, 2.0).collect()}
