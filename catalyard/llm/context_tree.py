@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, bounded_batches, stored, table
+from .common import bounded_batches, crc_remainder, discard, stored, table
 
 DEPTH = 5
 #: Bytes of text in a block, and blobs that meet in one group.
@@ -314,7 +314,7 @@ def summed(parts: DataFrame, n_blocks: int) -> DataFrame:
         now = now.groupBy("kind", "bucket", "part").applyInPandas(_summed, "kind int, bucket int, part long, keys binary, counts binary")
         now = stored(now, "sums", "none")
         if groups == 1:
-            return now.drop("part")
+            return now
 
 
 def score(docs: DataFrame, held_out: str) -> DataFrame:
@@ -323,7 +323,9 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     docs: doc_id, text (null: empty), and the boolean column ``held_out`` (null: true) naming the texts not learned from.
     ``score`` is log10 of the probability that the context trees give a text and its end. Repeated rows are scored, and
     learned from, as often as they come; an empty table gives an empty result; without training texts every bit has
-    probability one half. Words are counted by 64-bit hashes.
+    probability one half. Words are counted by 64-bit hashes. Very long texts are scored whole (one of over BLOCK bytes is a
+    block by itself, within the 2 GB that a row may have); a byte's log10 probability is rounded to 32 bits before they are
+    added up, which is off by 1e-7 of it; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -331,7 +333,6 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n_buckets = int(min(4096, max(48, size // (64 << 20))))
     blocks = stored(_blocks(d, n_buckets), "blocks", "none")
-    bounded_batches(spark)  # rows are blobs from here
     parts, texts = blocks.where("kind is not null"), blocks.where("kind is null")
     n_blocks = max(1, texts.count())
     sums = summed(parts, n_blocks)
@@ -365,20 +366,31 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"kind": [kind], "bucket": [bucket], "keys": [keys], "answers": [x]}, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("answers", pa.binary())]))
 
     model = stored(sums.mapInArrow(answers, "kind int, bucket int, keys binary, answers binary"), "model", "none")
-    groups = -(-n_blocks // FAN)
-    # Each group of about FAN blocks gets its own copy of a bucket's model.
-    copies = model.select("kind", "bucket", "keys", "answers", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("part"), F.lit(None).cast("string").alias("block"))
-    asked = parts.select("kind", "bucket", "keys", F.lit(None).cast("binary").alias("answers"), F.pmod(F.xxhash64("block"), F.lit(groups)).alias("part"), "block")
-
-    def reply(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["block"].isna()
-        m, out = pdf[known].iloc[0], pdf[~known]
-        keys = unpacked(m["keys"])
-        values = loosened(m["answers"], "f4" if m["kind"] == TREE else "i8")
-        found = [squeezed(values[np.searchsorted(keys, unpacked(k))]) for k in out["keys"]]
-        return pd.DataFrame({"block": out["block"], "kind": out["kind"], "bucket": out["bucket"], "answers": found})
-
-    replies = copies.unionByName(asked).groupBy("kind", "bucket", "part").applyInPandas(reply, "block string, kind int, bucket int, answers binary")
+    discard(sums)
+    model_bytes = model.agg(F.sum(F.octet_length("keys") + F.octet_length("answers"))).first()[0] or 1
+    # A bucket's model is copied for each group of blocks. Groups are few enough that all copies are no more than the texts.
+    groups = int(max(1, min(-(-n_blocks // FAN), size // model_bytes)))
+    copies = model.select("kind", "bucket", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("part"), F.lit(None).cast("string").alias("block"), "keys", "answers")
+    asked = parts.select("kind", "bucket", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("part"), "block", "keys", F.lit(None).cast("binary").alias("answers"))
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each group begins with its model; the blocks' keys are answered one after another as they come."""
+        known = values = None
+        for b in batches:
+            out = []
+            for kind, bucket, _, block, keys, answer in zip(*(c.to_pylist() for c in b.columns)):
+                if block is None:
+                    known, values = unpacked(keys), loosened(answer, "f4" if kind == TREE else "i8")
+                else:
+                    out.append((block, kind, bucket, squeezed(values[np.searchsorted(known, unpacked(keys))])))
+            if out:
+                types = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["block", "kind", "bucket", "answers"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // 8))
+    dealt = copies.unionByName(asked).repartition(tasks, "kind", "bucket", "part")
+    dealt = dealt.sortWithinPartitions("kind", "bucket", "part", F.col("block").asc_nulls_first())
+    replies = dealt.mapInArrow(reply, "block string, kind int, bucket int, answers binary")
     id_type = d.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
 

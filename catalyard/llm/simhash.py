@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, bounded_batches, stored, table
+from .common import bounded_batches, discard, documents, stored, table
 from .components import components
 
 BITS = 64
@@ -174,8 +174,9 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
     """Edges (u, v) whose components are those of all pairs of distinct ``fps`` (fp long) within ``radius`` bits.
 
     Every mask of ``band_masks`` gives each fingerprint a band; two within the radius share one, so nothing is lost.
-    A band is a BK-tree. One with over ``shard`` fingerprints is cut into shard trees, to each of which all of the
-    band's fingerprints are sent as queries. A task returns a spanning forest of what it links, never all pairs.
+    A band is a BK-tree. One with over ``shard`` fingerprints is cut into shard trees and, by another hash, into blocks of
+    queries: each tree is sent to each block of the band, so that a task holds a tree and a block of about ``shard`` rows
+    each, however many share the band. A task returns a spanning forest of what it links, never all pairs.
     """
     spark = fps.sparkSession
     n_fps = fps.count()
@@ -184,32 +185,38 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
     bands = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))
     banded = fps.select("fp", F.explode(bands).alias("band")).select("fp", "band.i", "band.key")
     large = banded.groupBy("i", "key").count().where(F.col("count") > shard)
-    large = large.select("i", "key", F.ceil(F.col("count") / shard).cast("int").alias("n"))
-    large = stored(large, "large-bands")
-    if not large.isEmpty():
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        split = banded.join(large, ["i", "key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        split = split.select("fp", "i", "key", own.alias("home"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tree"))
-        banded = split.select("fp", "i", "key", "tree", (F.col("tree") == F.col("home")).cast("int").alias("own"))
-    else:
-        banded = banded.select("fp", "i", "key", F.lit(0).alias("tree"), F.lit(1).alias("own"))
+    large = stored(large.select("i", "key", F.ceil(F.col("count") / shard).cast("int").alias("n")), "large-bands")
+    whole = banded
+    cuts = []
+    if not large.isEmpty():  # at most a row for each ``shard`` rows of ``banded``
+        split = banded.join(large, ["i", "key"])
+        whole = banded.join(large.select("i", "key"), ["i", "key"], "left_anti")
+        tree, turn = (F.pmod(F.xxhash64("fp", F.lit(k)), F.col("n")).cast("int") for k in (1, 2))
+        every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+        # A member of a tree asks in the block of its own number, so own rows go to all blocks of a tree, guests to all trees.
+        cuts = [
+            split.select("fp", "i", "key", tree.alias("tree"), every.alias("turn"), F.lit(1).alias("own")),
+            split.select("fp", "i", "key", every.alias("tree"), turn.alias("turn"), F.lit(0).alias("own")),
+        ]
+    whole = whole.select("fp", "i", "key", F.lit(0).alias("tree"), F.lit(0).alias("turn"), F.lit(1).alias("own"))
+    banded = reduce(DataFrame.union, cuts, whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        fp, i, key, tree, own = (t.column(c).to_numpy() for c in ("fp", "i", "key", "tree", "own"))
-        order = np.lexsort((fp, -own, tree, key, i))
-        fp, i, key, tree, own = fp[order], i[order], key[order], tree[order], own[order]
-        change = (np.diff(i) != 0) | (np.diff(key) != 0) | (np.diff(tree) != 0)
+        fp, i, key, tree, turn, own = (t.column(c).to_numpy() for c in ("fp", "i", "key", "tree", "turn", "own"))
+        order = np.lexsort((fp, -own, turn, tree, key, i))
+        fp, i, key, tree, turn, own = (x[order] for x in (fp, i, key, tree, turn, own))
+        change = (np.diff(i) != 0) | (np.diff(key) != 0) | (np.diff(tree) != 0) | (np.diff(turn) != 0)
         group = np.r_[0, np.cumsum(change)]
         u, v = _links(group, fp.view(np.uint64)[:, None], own, radius)
         yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
 
     rows = math.ceil(n_fps * len(masks) / 500_000)
     parts = max(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return banded.repartition(parts, "i", "key", "tree").mapInArrow(run, "u long, v long").distinct()
+    return banded.repartition(parts, "i", "key", "tree", "turn").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
@@ -340,10 +347,20 @@ MEMBERS, HASHES = 1024, 500_000
 PIVOTS = 8
 
 
+#: What a text is known by: two 64-bit hashes.
+CONTENT = ["k1", "k2"]
+
+
+def contents(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (null: empty), CONTENT and ``more`` of each row."""
+    d = documents(docs, *more)
+    return d.select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+
+
 def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of a cluster with a Jaccard similarity of ``similarity``.
 
-    ``members`` (id, h, cluster) names texts of ``docs`` by doc_id and xxhash64 of the text. A cluster of over MEMBERS or
+    ``members`` (id long, doc_id, CONTENT, cluster) names texts of ``docs``. A cluster of over MEMBERS or
     HASHES is cut into blocks, each with the same few pivots: what a block links, the pivots join with other blocks.
     Only members outside the cluster's largest class so found then ask the other blocks, in blocks themselves.
     """
@@ -373,8 +390,9 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     def parts(hashes: int) -> int:
         return max(math.ceil(hashes / 2_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    texts = documents(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h"))
-    texts = texts.join(members.hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "cluster", "text")
+    here, named = contents(docs), members.withColumnRenamed("doc_id", "_doc_id").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    same = here.doc_id.eqNullSafe(named["_doc_id"]) & (here.k1 == named["_k1"]) & (here.k2 == named["_k2"])
+    texts = here.join(named.hint("merge"), same).dropDuplicates(["id"]).select("id", "cluster", "text")
     held = stored(texts.mapInArrow(sets, "id long, cluster long, n long, s binary"), "shingle-sets")
     sizes = held.groupBy("cluster").agg(F.sum("n").alias("hashes"), F.count("*").alias("members")).withColumn("blocks", blocks("hashes", "members"))
     large = stored(sizes.where("blocks > 1"), "large-clusters")  # of HASHES or MEMBERS at least: few rows
@@ -409,7 +427,7 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
 
 
 def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: float = 3.0, missed: float = 0.005) -> DataFrame:
-    """(doc_id, component_id) of the documents that have an id, for links of ``similarity`` or more.
+    """(doc_id, CONTENT, component_id, class) of every row, for links of ``similarity`` or more.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more.
     SimHash sketches of 64 * SKETCH bits only say which sets are compared: they cluster texts that differ in at most
@@ -419,22 +437,28 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     follow the number of sketches, so that chance fills no tree. Equal sketches are one before that. A task returns a
     spanning forest, never all pairs. A bucket of over BUCKET sketches is no tree but one cluster, whose members
     ``exact_links`` tells apart.
+
+    Texts are told apart by content, whatever their ids: ids may be null, repeated, or of any type. component_id is the
+    smallest doc_id of the class (null if none has one); ``class`` numbers classes, not alike in all runs. Null texts are
+    empty, and all texts without words are one class; very long texts count whole; an empty table gives an empty result.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [sketch(shingle_hashes(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             s = np.array(rows, dtype=np.uint64).reshape(-1, SKETCH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(s[:, k]) for k in range(SKETCH))], ["doc_id", "h", *names])
+            cols = [b.column(0), b.column(2), b.column(3), *(pa.array(s[:, k]) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *CONTENT, *names])
 
     names = [f"s{k}" for k in range(SKETCH)]
     bounded_batches(docs.sparkSession)
-    d = documents(docs).where("doc_id is not null")
-    schema = "doc_id long, h long, " + ", ".join(f"{c} long" for c in names)
-    d = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    each = stored(d.mapInArrow(sketches, schema), "sketches")
-    distinct = each.groupBy(*names).agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    distinct = stored(distinct.select(*names, F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")), "distinct-sketches")
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, k1 long, k2 long, " + ", ".join(f"{c} long" for c in names)
+    each = stored(contents(docs).mapInArrow(sketches, schema), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *CONTENT)).alias("first")
+    distinct = each.groupBy(*names).agg(first).select(*names, "first.doc_id", *(f"first.{c}" for c in CONTENT))
+    # Numbers are given where the table is written, once, and read from it ever after.
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sketches")
     n = distinct.count()
     bits = max(10, math.ceil(math.log2(max(n, 2))) - 2)
     share = differing(similarity)
@@ -477,18 +501,28 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     links.append(dealt.repartition(parts, "t", "key").mapInArrow(link, "u long, v long"))
     edges = stored(reduce(DataFrame.union, links).distinct(), "links")
     clusters = components(edges).withColumnRenamed("component", "cluster")
-    members = stored(distinct.join(clusters.hint("merge"), distinct.id == clusters.node).select("id", "h", "cluster"), "members")
+    members = distinct.join(clusters.hint("merge"), distinct.id == clusters.node).select("id", "doc_id", *CONTENT, "cluster")
+    members = stored(members, "members")
     comp = components(exact_links(docs, members, words, similarity))
-    named = distinct.join(comp, distinct.id == comp.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    return each.join(named, names).select("doc_id", "component_id")
+    classed = distinct.join(comp, distinct.id == comp.node, "left").select(*names, "doc_id", F.coalesce("component", "id").alias("class"))
+    classed = stored(classed, "classes")
+    least = classed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    named = classed.drop("doc_id").join(least, "class")
+    return each.join(named, names).select("doc_id", *CONTENT, "component_id", "class")
 
 
 def without_copies(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of one document of each class of ``similar_copies``, that of the smallest doc_id; one row of each id.
-    Rows without an id stay."""
-    first = similar_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.select(*columns).join(first, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*columns).where("doc_id is null"))
+    """``columns`` of one row of each class of ``similar_copies``: that of the smallest doc_id (none counts as the greatest),
+    then of the smallest content, then of the smallest other columns. No other row goes, whatever its id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *CONTENT)).alias("first")
+    chosen = similar_copies(docs).groupBy("class").agg(first)
+    chosen = chosen.select(F.col("first.doc_id").alias("_doc_id"), *(F.col(f"first.{c}").alias(f"_{c}") for c in CONTENT))
+    rows = docs.select(*columns).withColumns({"_c1": F.xxhash64(F.coalesce("text", F.lit(""))), "_c2": F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))})
+    same = rows.doc_id.eqNullSafe(chosen["_doc_id"]) & (rows["_c1"] == chosen["_k1"]) & (rows["_c2"] == chosen["_k2"])
+    kept = rows.join(chosen.hint("merge"), same)
+    # Rows alike in id and text are left: one of them.
+    one = F.min_by(F.struct(*columns), F.struct(*(c for c in columns if c not in ("doc_id", "text"))))
+    return kept.groupBy("_c1", "_c2").agg(one.alias("row")).select(*(f"row.{c}" for c in columns))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

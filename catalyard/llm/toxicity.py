@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, documents, bounded_batches, stored, table
+from .common import bounded_batches, crc_remainder, discard, documents, stored, table
 
-#: Identity terms, by kind. Each is swapped for the others of its kind.
+#: Identity terms by language and kind, of one word each. A term is swapped for the others of its kind.
 IDENTITY_TERMS = {
     "gender": ["man", "woman", "men", "women", "male", "female", "transgender", "nonbinary"],
     "orientation": ["gay", "lesbian", "straight", "bisexual", "heterosexual", "homosexual", "queer"],
@@ -22,6 +22,18 @@ IDENTITY_TERMS = {
     "colour": ["black", "white", "brown", "latino", "latina"],
     "age": ["young", "old", "elderly", "teenage"],
     "ability": ["blind", "deaf", "disabled", "autistic"],
+    "gender, de": ["mann", "frau", "männer", "frauen", "männlich", "weiblich"],
+    "orientation, de": ["schwul", "lesbisch", "bisexuell", "heterosexuell"],
+    "religion, de": ["christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "katholisch"],
+    "origin, de": ["afrikanisch", "amerikanisch", "asiatisch", "europäisch", "arabisch", "türkisch", "polnisch"],
+    "gender, fr": ["homme", "femme", "hommes", "femmes", "masculin", "féminine"],
+    "orientation, fr": ["lesbienne", "bisexuel", "hétérosexuel", "homosexuel"],
+    "religion, fr": ["chrétien", "musulman", "juif", "hindou", "bouddhiste", "catholique"],
+    "origin, fr": ["africain", "américain", "asiatique", "européen", "arabe", "turc", "polonais"],
+    "gender, es": ["hombre", "mujer", "hombres", "mujeres", "masculino", "femenino"],
+    "orientation, es": ["lesbiana", "bisexual", "heterosexual", "homosexual"],
+    "religion, es": ["cristiano", "musulmán", "judío", "hindú", "budista", "católico"],
+    "origin, es": ["africano", "americano", "asiático", "europeo", "árabe", "turco", "polaco"],
 }
 #: At most so many labelled rows of each class are learned from: those of the smallest hashed id.
 SAMPLE_PER_CLASS = 6000
@@ -34,8 +46,19 @@ TELLING = 24.0
 STEMS = (4, 6, 8)
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-#: Each term, and its form with an s, and what it is swapped for: the others of its kind in the same form.
-_SWAPS = {(t + s).encode(): [(x + s).encode() for x in ts if x != t] for ts in IDENTITY_TERMS.values() for t in ts for s in ("", "s")}
+
+
+def _swaps() -> dict[bytes, list[bytes]]:
+    """Each term, and its form with an s, and what it is swapped for: the others of its kinds in the same form."""
+    out: dict[bytes, list[bytes]] = {}
+    for terms in IDENTITY_TERMS.values():
+        for t in terms:
+            for end in ("", "s"):
+                out.setdefault((t + end).encode(), []).extend((x + end).encode() for x in terms if x != t)
+    return {t: list(dict.fromkeys(others)) for t, others in out.items()}
+
+
+_SWAPS = _swaps()
 
 
 def plain_words(text: bytes) -> set[bytes]:
@@ -72,9 +95,10 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, toxic) of the rows to learn from, and how many labelled rows each class has.
+    """(doc_id, text, toxic) of the rows to learn from, and how many labelled ids each class has.
 
-    Only ids whose crc32 as text is not 0 modulo 5 count; null, other and contradicting labels are left out.
+    Only ids whose crc32 as text is not 0 modulo 5 count; null, other and contradicting labels are left out. Of several
+    texts of an id the least is learned from.
     """
     one = (
         labels.where("doc_id is not null and toxic in (0, 1)")
@@ -87,7 +111,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     pick = lambda c: one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = pick(0).union(pick(1))
     sizes = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
-    return documents(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), sizes
+    found = documents(docs).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), sizes
 
 
 def telling_words(sample: DataFrame, most: int) -> list[bytes]:
@@ -150,14 +175,15 @@ def _fit(rows: list, n_words: int, sizes: dict[int, int], fairness: float, decay
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, words: int = WORDS, fairness: float = 4.0, decay: float = 0.5, steps: int = 400) -> Model:
     """A model of ``labels`` (doc_id, toxic) over the texts of ``docs``.
 
-    It learns from at most ``per_class`` rows of each class, weighted so that classes count as in all labelled rows.
-    Without rows of both classes every score is the share of toxic labels (one half if there are none).
+    It learns from at most ``per_class`` rows of each class, weighted so that classes count as in all labelled ids. Where
+    ``docs`` has labelled rows of one class only, every score is 0.01 or 0.99; where it has none, one half.
     """
     bounded_batches(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, per_class)
     sample = stored(sample, "labelled-sample")
-    if len(sizes) < 2:
-        rate = {(): 0.5, (0,): 0.01, (1,): 0.99}[tuple(sizes)]
+    seen = sorted(r.toxic for r in sample.select("toxic").distinct().collect())
+    if len(seen) < 2:
+        rate = {(): 0.5, (0,): 0.01, (1,): 0.99}[tuple(seen)]
         return Model({}, float(np.log(rate / (1 - rate))))
     vocabulary = telling_words(sample, words)
     index = {w: i for i, w in enumerate(vocabulary)}
@@ -179,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     rows = sample.select("text", "doc_id", "toxic").mapInArrow(
         features, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, own array<int>, changes array<array<int>>"
     )
-    rows = [(r.toxic, r.own, r.changes) for r in rows.orderBy("doc_id").collect()]
+    rows = [(r.toxic, r.own, r.changes) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]  # the bounded sample
+    discard(sample)
     weights, bias = _fit(rows, len(vocabulary), sizes, fairness, decay, steps)
     return Model({w: float(x) for w, x in zip(vocabulary, weights) if x}, bias)
 
@@ -187,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of ``docs``; null texts are empty, and every text has a score.
 
-    Only the text is an input. Repeated rows stay repeated; an empty table gives an empty result.
+    Only the text is an input, whole however long. Repeated rows stay repeated; other columns are not read; an empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

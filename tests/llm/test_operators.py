@@ -64,6 +64,63 @@ def test_context_tree_is_a_distribution():
     assert abs(math.exp(context_tree.log_kt(np.array([2.0]), np.array([1.0]))[0]) - 0.5 * (1.5 / 2) * (0.5 / 3)) < 1e-9
 
 
+def _scores_by_force(rows, held, depth):
+    """log10 of each text's probability, node by node as the definition has it."""
+    seen = Counter()
+
+    def bits(text):
+        raw = b"\0" * depth + text.encode() + b"\xff"
+        for at in range(depth, len(raw)):
+            for j in range(8):
+                yield raw[at - depth : at][::-1], (1 << j | raw[at] >> (8 - j)), raw[at] >> (7 - j) & 1
+
+    for i, t in rows:
+        if not held(i):
+            for context, begun, bit in bits(t):
+                for d in range(depth + 1):
+                    seen[context[:d], begun, bit] += 1
+    kids = {}
+    for context, begun, _ in seen:
+        if context:
+            kids.setdefault((context[:-1], begun), set()).add(context)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    memo = {}
+
+    def weighted(node, begun):
+        if (node, begun) not in memo:
+            own = kt(seen[node, begun, 0], seen[node, begun, 1])
+            low = sum(weighted(k, begun) for k in kids.get((node, begun), ()))
+            memo[node, begun] = own if len(node) == depth else np.logaddexp(own, low) - math.log(2)
+        return memo[node, begun]
+
+    out = []
+    for i, t in rows:
+        total = 0.0
+        for context, begun, bit in bits(t):
+            mixed = None
+            for d in range(depth, -1, -1):
+                n = [seen[context[:d], begun, b] for b in (0, 1)]
+                if d and not sum(n):
+                    continue
+                own = (n[bit] + 0.5) / (sum(n) + 1)
+                stay = math.exp(kt(*n) - math.log(2) - weighted(context[:d], begun)) if d < depth else 1.0
+                mixed = own if mixed is None else stay * own + (1 - stay) * mixed
+            total += math.log10(mixed)
+        out.append((i, total))
+    return out
+
+
+@pytest.mark.parametrize("fan, block", [(64, 1 << 20), (2, 300)])
+def test_context_tree_scores_match_brute_force(spark, monkeypatch, fan, block):
+    monkeypatch.setattr(context_tree, "FAN", fan)
+    monkeypatch.setattr(context_tree, "BLOCK", block)
+    rows = [(i, cases.text(i % 9, 4 + i)) for i in range(14)] + [(20, ""), (21, "É ß\n"), (22, "zzzz zzzz zzzz")]
+    df = spark.createDataFrame([(i, t, i % 4 == 1) for i, t in rows], "doc_id long, text string, hold boolean").repartition(2)
+    got = {r.doc_id: r.score for r in context_tree.score(df, "hold").collect()}
+    for i, want in _scores_by_force(rows, lambda i: i % 4 == 1, context_tree.DEPTH):
+        assert got[i] == pytest.approx(want, rel=1e-6, abs=1e-5)
+
+
 # ---- op2 and op8 ----
 
 STRANGE = ["", " ", "a  b\n\n c", "<|endoftext|> x<|endoftext|>", "\ta b  ", "x\x1cy z q\n", "É é İ Σας ΑΣ", "\n", "don't  we'll\r\nok", "a \nb", "a\n b", "\x00 a", "a\u2003b \u00a0c", "e\u0301 E\u0301"]
@@ -273,7 +330,20 @@ def test_toxicity_learns_and_ignores_identity(spark):
     swing = lambda m: abs(m.score(b"a muslim reads") - m.score(b"a sikh reads"))
     assert swing(model) <= swing(again) + 1e-9 and model.score(b"a muslim reads") < 0.5
     assert toxicity.score(cases.empty(spark), model).count() == 0
-    assert toxicity.train(docs, labels.limit(0)).score(b"x") == 0.5
+    assert toxicity.train(docs, labels.limit(0)).score(b"x") == 0.5 == toxicity.train(docs.limit(0), labels).score(b"x")
+    assert toxicity.train(docs, labels.where("toxic = 0")).score(b"x") < 0.02
+    # Brute force: the bias and the weight of each word or beginning, once.
+    for i, t, _ in rows[:40]:
+        plain = set(re.findall(r"[0-9a-z]+", lower(t)))
+        features = {w.encode() for w in plain} | {w[:k].encode() + b"*" for w in plain for k in (4, 6, 8) if len(w) > k}
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0.0) for f in features))))
+
+
+def test_one_text_of_a_repeated_id_is_learned(spark):
+    docs = spark.createDataFrame([(i // 2, f"{'b' if i % 2 else 'a'} {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    sample, sizes = toxicity.labelled_sample(docs, labels, 100)
+    assert all(r.text.startswith("a ") for r in sample.collect()) and sample.count() == sum(sizes.values())
 
 
 def test_toxicity_is_even_over_identity_terms(spark):
@@ -424,6 +494,14 @@ def test_one_of_each_group_of_copies_stays(spark, docs):
     assert simhash.without_copies(cases.empty(spark), columns).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    """Repeated, null and text ids: a row goes only as a copy of another."""
+    rows = [("1", "one text of some words", 1), ("1", "quite another text", 2), ("1", "quite another text", 1), (None, "one text of some words", 0), (None, "no id here", 5), ("2", None, 6), ("0", " ", 7)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n int")
+    got = sorted((tuple(r) for r in simhash.without_copies(df, ["doc_id", "text", "n"]).collect()), key=str)
+    assert got == sorted([("1", "one text of some words", 1), ("1", "quite another text", 1), (None, "no id here", 5), ("0", " ", 7)], key=str)
+
+
 def _jaccard_pair(seed, n, similarity):
     """Two texts of ``n`` different five-word shingles each, and their similarity."""
     k = round(2 * n * similarity / (1 + similarity))
@@ -468,7 +546,7 @@ def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
                 own[5 * at] = f"c{g}x{i}x{at}"
             rows.append((60 * g + i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    members = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.lit(0).cast("long").alias("cluster"))
+    members = simhash.contents(docs).select(F.col("doc_id").alias("id"), "doc_id", "k1", "k2", F.lit(0).cast("long").alias("cluster"))
     got = {r.node: r.component for r in components.components(simhash.exact_links(docs, members, 5, 0.8)).collect()}
     want = _copies_by_force(rows)
     assert len(set(want.values())) > 2 and {i: got.get(i, i) for i, _ in rows} == want
