@@ -36,11 +36,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: a row for each time."""
-    # Numbers follow how files are packed into partitions, which may change from job to job: they are given once.
-    numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid")), "numbered")
-    sized = stored(mixing.word_counts(numbered, "source", "uid"), "sizes")
-    taken = mixing.mix(sized, "uid").where("copies > 0").select("uid", "copies")
+    """Takes each document as often as the mix does: a row for each time. Reruns on the same rows agree: the mix goes by what a
+    row holds (``key``); ``uid`` only joins copies to texts, and is given once, as the table is written."""
+    key = F.xxhash64(*COLUMNS).alias("key")
+    numbered = stored(docs.select(*COLUMNS, key, F.monotonically_increasing_id().alias("uid")), "numbered")
+    sized = stored(mixing.word_counts(numbered, "source", "key", "uid"), "sizes")
+    taken = mixing.mix(sized, "key", more=["uid"]).where("copies > 0").select("uid", "copies")
     joined = numbered.join(taken.hint("merge"), "uid")  # small as files, but not bounded: no broadcast
     again = joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return again.select(*COLUMNS)
