@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ def _fixed(df: DataFrame, keep: Sequence[str], cols: Sequence[Column]) -> DataFr
     return df.select(*keep, F.inline(F.array(F.struct(*cols))))
 
 
-def statistics(docs: DataFrame, *more: str, window: int = 5) -> DataFrame:
-    """doc_id, ``more``, the base columns (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and FEATURES.
+def statistics(docs: DataFrame, *more: str, window: int = 5, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+    """doc_id, ``more``, the base columns (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and ``features``.
 
     Every whole text counts (null: none); a row's statistics come from that row alone, so nothing is shuffled. Words
     in repeated windows are found by hashing each window in place; the sort that locates them runs only for texts
@@ -57,19 +58,23 @@ def statistics(docs: DataFrame, *more: str, window: int = 5) -> DataFrame:
         n.cast("long").alias("n_words"),
         F.length(F.translate("text", WORD_GAP_CHARS, "")).cast("long").alias("word_chars"),
         _length_of(F.col("text"), SYMBOLS).alias("n_symbols"),
-        _length_of(F.col("text"), UPPER).alias("_upper"),
-        _length_of(F.col("text"), "0123456789").alias("_digits"),
-        _length_of(F.col("text"), "!?").alias("_shouts"),
-        F.size(F.array_distinct("words")).alias("_distinct"),
         lines.alias("_lines"),
         hashes.alias("_hashes"),
     ]
+    own = {  # what only one feature needs
+        "upper_share": _length_of(F.col("text"), UPPER).alias("_upper"),
+        "digit_share": _length_of(F.col("text"), "0123456789").alias("_digits"),
+        "shout_share": _length_of(F.col("text"), "!?").alias("_shouts"),
+        "distinct_share": F.size(F.array_distinct("words")).alias("_distinct"),
+    }
+    extra = {"upper_share": "_upper", "digit_share": "_digits", "shout_share": "_shouts", "distinct_share": "_distinct"}
+    first += [c for f, c in own.items() if f in features]
     a = _fixed(a, ["doc_id", *more], first)
     repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     at = F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     n_lines = F.size("_lines")
     dups = (n_lines - F.size(F.array_distinct("_lines"))).cast("long")
-    carried = ["n_words", "word_chars", "n_symbols", "_upper", "_digits", "_shouts", "_distinct"]
+    carried = ["n_words", "word_chars", "n_symbols", *(c for f, c in extra.items() if f in features)]
     a = _fixed(a, ["doc_id", *more, *carried], [at.alias("_at"), n_lines.alias("_n_lines"), dups.alias("n_dup_lines")])
     same = lambda x, j: F.coalesce(F.get("_at", j).h == x.h, F.lit(False))
     found = F.array_sort(
@@ -87,53 +92,57 @@ def statistics(docs: DataFrame, *more: str, window: int = 5) -> DataFrame:
         ["doc_id", *more, *carried, "_n_lines", "n_dup_lines"],
         [F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words")],
     )
-    return a.select(
-        "doc_id",
-        *more,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        share("word_chars", "n_words").alias("word_length"),
-        share("n_symbols", "n_words").alias("symbol_share"),
-        share("n_dup_lines", "_n_lines").alias("dup_line_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"),
-        share("_upper", "word_chars").alias("upper_share"),
-        share("_digits", "word_chars").alias("digit_share"),
-        share("_shouts", "n_words").alias("shout_share"),
-        share("_distinct", "n_words").alias("distinct_share"),
-        share("n_words", "_n_lines").alias("line_words"),
-    )
+    shares = {
+        "word_length": ("word_chars", "n_words"),
+        "symbol_share": ("n_symbols", "n_words"),
+        "dup_line_share": ("n_dup_lines", "_n_lines"),
+        "repeat_share": ("n_repeat_words", "n_words"),
+        "upper_share": ("_upper", "word_chars"),
+        "digit_share": ("_digits", "word_chars"),
+        "shout_share": ("_shouts", "n_words"),
+        "distinct_share": ("_distinct", "n_words"),
+        "line_words": ("n_words", "_n_lines"),
+    }
+    base = ["doc_id", *more, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return a.select(*base, *(share(*shares[f]).alias(f) for f in features if f in shares))
 
 
 Condition = tuple[str, str, float]
 Rule = list[Condition]
 
 
-def _holds(row: Sequence, conditions: Rule) -> bool:
-    return all(row[f] >= t if op == ">=" else row[f] <= t for f, op, t in conditions)
+class _Column:
+    """A feature's values over some rows, sorted, and how many bad rows lie at or below each place."""
+
+    def __init__(self, values: np.ndarray, bad: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, self.bad = values[order], np.r_[0, np.cumsum(bad[order])]
 
+    def covered(self, op: str, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows, and bad rows, that ``op`` a cut lets in."""
+        if op == "<=":
+            n = np.searchsorted(self.values, cuts, "right")
+            return n, self.bad[n]
+        n = np.searchsorted(self.values, cuts, "left")
+        return len(self.values) - n, self.bad[-1] - self.bad[n]
 
-def _best(grow: list, candidates: list[Condition], conditions: Rule) -> tuple[float, Condition | None]:
-    """The condition with the largest gain of information on bad rows (FOIL's measure)."""
-    from math import log2
 
-    base_bad = sum(r["bad"] for r in grow)
-    base = log2(base_bad / len(grow)) if base_bad else 0.0
+def _best(grow: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray], conditions: Rule) -> Condition | None:
+    """The condition with the largest gain of information on bad rows (FOIL's measure), the first of equals."""
+    base = np.log2(bad.mean()) if bad.any() else 0.0
     best, gain = None, 1e-9
-    for c in candidates:
-        if c in conditions:
-            continue
-        bad = every = 0
-        f, op, t = c
-        for r in grow:
-            if (r[f] >= t) if op == ">=" else (r[f] <= t):
-                every += 1
-                bad += r["bad"]
-        if bad and (g := bad * (log2(bad / every) - base)) > gain:
-            best, gain = c, g
-    return gain, best
+    for f, c in cuts.items():
+        column = _Column(grow[f], bad)
+        found = {}
+        for op in (">=", "<="):
+            every, hit = column.covered(op, c)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found[op] = np.where(hit > 0, hit * (np.log2(hit / every) - base), -1.0)
+        for i, cut in enumerate(c.tolist()):
+            for op in (">=", "<="):
+                if found[op][i] > gain and (f, op, cut) not in conditions:
+                    best, gain = (f, op, cut), float(found[op][i])
+    return best
 
 
 def learn_rules(rows: list, features: Sequence[str], max_rules: int = 8, max_terms: int = 4, precision: float = 0.97, steps: int = 24) -> list[Rule]:
@@ -144,36 +153,43 @@ def learn_rules(rows: list, features: Sequence[str], max_rules: int = 8, max_ter
     and covers at least 3 bad ones; what it covers is then taken out. The search ends at the first rule that fails
     or when no bad row is left. No rows, or rows of one class, give no rules.
     """
-    left, rules = list(rows), []
+    left = {f: np.array([r[f] for r in rows], dtype=float) for f in features}
+    bad, rules = np.array([r["bad"] for r in rows], dtype=bool), []
+
+    def holds(data: dict[str, np.ndarray], conditions: Rule) -> np.ndarray:
+        return reduce(lambda x, y: x & y, (data[f] >= t if op == ">=" else data[f] <= t for f, op, t in conditions))
+
     for _ in range(max_rules):
-        if sum(r["bad"] for r in left) < 3:
+        if bad.sum() < 3:
             break
-        grow, prune = [r for i, r in enumerate(left) if i % 3], [r for i, r in enumerate(left) if not i % 3]
-        bad_rows = [r for r in grow if r["bad"]]
-        candidates: list[Condition] = []
+        growing = np.arange(len(bad)) % 3 > 0
+        grow, grown = {f: x[growing] for f, x in left.items()}, bad[growing]
+        prune, pruned = {f: x[~growing] for f, x in left.items()}, bad[~growing]
+        cuts = {}
         for f in features:
-            values = sorted(r[f] for r in bad_rows)
-            cuts = sorted({values[(len(values) - 1) * k // steps] for k in range(steps + 1)}) if values else []
-            candidates += [(f, op, float(v)) for v in cuts for op in (">=", "<=")]
+            values = np.sort(grow[f][grown])
+            cuts[f] = np.unique(values[(len(values) - 1) * np.arange(steps + 1) // steps]) if len(values) else values
         conditions: Rule = []
-        while len(conditions) < max_terms and any(not r["bad"] for r in grow):
-            _, best = _best(grow, candidates, conditions)
+        while len(conditions) < max_terms and not grown.all():
+            best = _best(grow, grown, cuts, conditions)
             if best is None:
                 break
             conditions.append(best)
-            grow = [r for r in grow if _holds(r, [best])]
+            inside = holds(grow, [best])
+            grow, grown = {f: x[inside] for f, x in grow.items()}, grown[inside]
 
-        def worth(c: Rule, prune: list = prune) -> float:
-            hit = [r["bad"] for r in prune if _holds(r, c)]
-            return (2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0
+        def worth(c: Rule, prune: dict = prune, pruned: np.ndarray = pruned) -> float:
+            hit = pruned[holds(prune, c)]
+            return float((2 * hit.sum() - len(hit)) / len(hit)) if len(hit) else -1.0
 
         while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
             conditions.pop()
-        hit = [r["bad"] for r in left if conditions and _holds(r, conditions)]
-        if sum(hit) < 3 or sum(hit) < precision * len(hit):
+        covered = holds(left, conditions) if conditions else np.zeros(len(bad), dtype=bool)
+        hit = bad[covered]
+        if hit.sum() < 3 or hit.sum() < precision * len(hit):
             break
         rules.append(conditions)
-        left = [r for r in left if not _holds(r, conditions)]
+        left, bad = {f: x[~covered] for f, x in left.items()}, bad[~covered]
     return rules
 
 
@@ -195,7 +211,8 @@ def base_failed() -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list:
     """Statistics of at most ``per_class`` labelled rows of each quality, chosen by hashed id from rows whose
-    crc32(doc_id as text) mod 5 is not 0. Null or contradicting labels are left out."""
+    crc32(doc_id as text) mod 5 is not 0. Null or contradicting labels are left out; of several texts of an id the least
+    is learned from."""
     one = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id")
@@ -206,9 +223,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list:
     )
     pick = lambda q: one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = pick(0).union(pick(1))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     stats = statistics(found, "quality").where(~base_failed())
-    return stats.select(*FEATURES, (1 - F.col("quality")).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = stats.select(F.xxhash64("doc_id").alias("_h"), "doc_id", *FEATURES, (1 - F.col("quality")).alias("bad")).collect()
+    return sorted(rows, key=lambda r: (r["_h"], r["doc_id"]))  # the bounded sample
 
 
 def learned(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[Rule]:
@@ -217,12 +235,14 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLAS
 
 
 def judge_quality(docs: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
-    """``statistics`` with base_failed, rule (the number of the first rule that holds, else null) and kept.
+    """The base statistics with base_failed, rule (the number of the first rule that holds, else null) and kept; other
+    statistics are computed only where a rule tests them.
 
     Rows stay as they are: repeated ids stay repeated, a null or empty text fails the base test. Empty tables give
     empty results. A document is kept unless the base test or a rule rejects it.
     """
-    out = statistics(docs, *more).withColumn("base_failed", base_failed()).withColumn("rule", rule_number(rules))
+    tested = [f for f in FEATURES if any(f == c[0] for r in rules for c in r)]
+    out = statistics(docs, *more, features=tested).withColumn("base_failed", base_failed()).withColumn("rule", rule_number(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

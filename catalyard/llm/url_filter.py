@@ -24,7 +24,7 @@ _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -37,37 +37,51 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _ADDRESS, 2), F.lit(""))
 
 
-def resolved(target: Column, host: Column, path: Column) -> Column:
-    """A link's target as a url: absolute, ``//host``, ``/path``, or relative to the folder of the page."""
+def without_dots(path: Column) -> Column:
+    """``path`` with ``.`` and ``..`` segments taken out."""
+    kept = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+    )
+    whole = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), whole).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as a url: absolute, ``//host``, ``/path``, ``?query``, or relative to the folder of the page ``url``."""
+    path = path_of(url)
     folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
-    base = F.concat(F.lit("http://"), host)
+    base = F.concat(F.lit("http://"), host_of(url))
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
         .when(target.startswith("/"), F.concat(base, target))
-        .when(target.rlike(r"^[?#]"), F.concat(base, path))
+        .when(target.rlike(r"^[?#]"), F.concat(base, path, target))
         .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
 
 
+def node_of(url: Column) -> Column:
+    """What aliases are classes of: host, path without dot segments (none: ``/``) and query; neither scheme nor fragment. Urls
+    that differ in their query are different nodes. Null without a host."""
+    path = without_dots(path_of(url))
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src_host, src_path, dst_host, dst_path) for each canonical link and each refresh redirect in ``html``."""
-    found = pages.select(
-        host_of(F.col("url")).alias("src_host"),
-        path_of(F.col("url")).alias("src_path"),
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.nullif(F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1), F.lit("")),
-                    F.nullif(F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1), F.lit("")),
-                )
-            )
-        ).alias("target"),
-    ).where("src_host <> ''")
-    to = resolved(F.col("target"), F.col("src_host"), F.col("src_path"))
-    return found.select("src_host", "src_path", host_of(to).alias("dst_host"), path_of(to).alias("dst_path")).where(
-        "dst_host <> ''"
-    )
+    """(src, dst), urls, for each canonical link and each refresh redirect in ``html``, however many a page has.
+
+    ``&amp;`` in a target is read as ``&``. Null, empty, very long and broken pages give the edges that they show.
+    """
+
+    def targets(tag: str, address: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda t: F.replace(F.regexp_extract(t, address, 1), F.lit("&amp;"), F.lit("&")))
+
+    found = F.concat(targets(_LINK, _HREF), targets(_REFRESH, _TARGET))
+    links = pages.where("html is not null").select("url", F.explode(F.filter(found, lambda t: t != "")).alias("target"))
+    return links.where(host_of(F.col("url")) != "").select(F.col("url").alias("src"), resolved(F.col("target"), F.col("url")).alias("dst"))
 
 
 def match_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -107,37 +121,29 @@ def match_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule, verdict and how the verdict came about (``reason``).
 
-    A page's own rule decides first ("rule"). Otherwise its address takes the verdict of its class of aliases, the
-    connected component over ``edges`` (src_host, src_path, dst_host, dst_path): allow if a rule allows any member,
-    else block if a rule blocks any ("alias"); addresses with neither are allowed ("default"). Members need not be
-    in ``pages``. Null, empty and malformed urls have an empty host and path and are allowed. Repeated rows stay
-    repeated; an empty table gives an empty result; columns other than those named are not read.
+    A page's own rule decides first ("rule"). Otherwise it takes the verdict of its class of aliases, the connected component
+    of its ``node_of`` over ``edges`` (src, dst: urls): allow if a rule allows any member, else block if a rule blocks any
+    ("alias"); addresses with neither are allowed ("default"). Members need not be in ``pages``. Null, empty and malformed
+    urls have an empty host and path and are allowed; edges with such an end are ignored. Repeated rows stay repeated; an
+    empty table gives an empty result; columns other than those named are not read.
     """
     seen = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     addresses = seen.select("host", "path")
     classes = None
     if edges is not None:
-        key = lambda side: F.concat_ws("\x00", f"{side}_host", f"{side}_path")
-        edges = stored(edges.select("src_host", "src_path", "dst_host", "dst_path").distinct(), "links")
-        ends = edges.select(F.col("src_host").alias("host"), F.col("src_path").alias("path")).union(
-            edges.select("dst_host", "dst_path")
-        )
-        addresses = addresses.union(ends)
-        classes = components(edges.select(key("src").alias("u"), key("dst").alias("v")))
+        edges = stored(edges.select("src", "dst").where((host_of(F.col("src")) != "") & (host_of(F.col("dst")) != "")).distinct(), "links")
+        ends = edges.select(F.col("src").alias("url")).union(edges.select("dst")).distinct()
+        ends = ends.select(node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), without_dots(path_of(F.col("url"))).alias("path"))
+        addresses = addresses.union(ends.select("host", "path"))
+        classes = components(edges.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v")))
     ruled = match_rules(addresses.distinct(), rules)
     out = seen.join(ruled, ["host", "path"], "left")
     inherited = F.lit(None).cast("string")
     if classes is not None:
-        ruled_key = ruled.select(F.concat_ws("\x00", "host", "path").alias("node"), "action")
-        decided = (
-            classes.join(ruled_key, "node")
-            .groupBy("component")
-            .agg(F.min("action").alias("inherited"))  # "allow" comes before "block"
-        )
-        alias = classes.join(decided, "component").select(
-            F.split("node", "\x00")[0].alias("host"), F.split("node", "\x00")[1].alias("path"), "inherited"
-        )
-        out = out.join(alias, ["host", "path"], "left")
+        acted = ends.join(ruled, ["host", "path"]).select("node", "action").distinct()
+        decided = classes.join(acted, "node").groupBy("component").agg(F.min("action").alias("inherited"))  # allow before block
+        alias = classes.join(decided, "component").select("node", "inherited")
+        out = out.withColumn("node", node_of(F.col("url"))).join(alias, "node", "left")
         inherited = F.col("inherited")
     return out.select(
         "page_id",

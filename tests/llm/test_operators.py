@@ -371,8 +371,9 @@ def test_url_rules_and_aliases(spark):
     ]
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = spark.createDataFrame([*url_filter.RULES, (None, "/", "block"), ("org", "/", "allow")], "rule_host string, rule_path string, action string")
-    edges = [("alias.net", "/p", "b.com", "/de/9"), ("other.net", "/q", "alias.net", "/p"), ("both.net", "/", "b.com", "/de/7"), ("both.net", "/", "b.com", "/fr/7")]
-    edges = spark.createDataFrame(edges, "src_host string, src_path string, dst_host string, dst_path string")
+    edges = [("x://alias.net/p", "http://b.com/de/9"), ("http://other.net/q", "http://alias.net/p#f"), ("http://both.net", "http://b.com/de/7"), ("http://both.net/", "http://b.com/fr/7"),
+             ("http://other.net/q?1", "http://b.com/fr/"), (None, "http://b.com/de/1"), ("http://x.net", "nothing")]
+    edges = spark.createDataFrame(edges, "src string, dst string")
     got = sorted(tuple(r) for r in url_filter.judge(pages, rules, edges).select("page_id", "host", "path", F.coalesce("rule", F.lit("-")), "verdict", "reason").collect())
     assert got == [
         (1, "a.example.org", "/en/12", "example.org/en/1", "block", "rule"), (2, "b.com", "/fr/", "com/fr/", "allow", "rule"), (3, "b.com", "/de", "-", "allow", "default"),
@@ -385,11 +386,23 @@ def test_url_rules_and_aliases(spark):
 
 def test_page_edges(spark):
     html = [
-        ("http://a.net/x/y", '<link rel="stylesheet" href="/s"><link rel="canonical" href="../z"> <meta http-equiv="refresh" content="0; url=https://B.net/q?1">'),
-        ("http://a.net/x", "<LINK href='//c.net/k#f' rel=canonical>"), ("http://a.net/x", None), (None, '<link rel="canonical" href="/x">'),
+        ("http://a.net/x/y", '<link rel="stylesheet" href="/s"><link rel="canonical" href="../z"> <meta http-equiv="refresh" content="0; url=https://B.net/q?1&amp;2"><link rel=canonical href=?k>'),
+        ("http://a.net/x", "<LINK href='//c.net/k#f' rel=canonical>"), ("http://a.net/x", None), (None, '<link rel="canonical" href="/x">'), ("http://a.net", "<link rel=canonical href=../w/./v/..>"),
     ]
-    got = url_filter.page_edges(spark.createDataFrame(html, "url string, html string")).collect()
-    assert sorted(tuple(r)[2:] for r in got) == [("a.net", "/x/../z"), ("b.net", "/q"), ("c.net", "/k")]
+    got = url_filter.page_edges(spark.createDataFrame(html, "url string, html string"))
+    got = got.select(url_filter.node_of(F.col("src")).alias("s"), url_filter.node_of(F.col("dst")).alias("d")).collect()
+    assert sorted(tuple(r) for r in got) == [("a.net/", "a.net/w/"), ("a.net/x", "c.net/k"), ("a.net/x/y", "a.net/x/y?k"), ("a.net/x/y", "a.net/z"), ("a.net/x/y", "b.net/q?1&2")]
+
+
+def test_pages_inherit_through_the_query(spark, tmp_path):
+    """A chain of canonical links and redirects in pages, through the registered query itself."""
+    rows = [
+        (1, "http://a.net/1", '<link rel="canonical" href="http://b.net/2">'), (2, "http://b.net/2", '<meta http-equiv="refresh" content="0; url=http://shop.com/de/3">'),
+        (3, "http://c.net/4", '<link rel="canonical" href="http://shop.com/de/9"><link rel="canonical" href="http://shop.com/fr/9">'), (4, "http://lone.net/", ""), (5, None, "<link"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id, r.verdict, r.reason) for r in url_filter.op5_url_filter(spark, str(tmp_path)).collect())
+    assert got == [(1, "block", "alias"), (2, "block", "alias"), (3, "allow", "alias"), (4, "allow", "default"), (5, "allow", "default")]
 
 
 # ---- op6 ----
@@ -626,8 +639,28 @@ def test_decision_list(spark):
         a, b, c = rng.random(3).tolist()
         rows.append({"a": a, "b": b, "c": c, "bad": int(a > 0.8 or (b < 0.3 and c > 0.6))})
     rules = quality_rules.learn_rules(rows, ["a", "b", "c"], precision=0.95)
-    hit = [any(quality_rules._holds(r, x) for x in rules) for r in rows]
+    holds = lambda r, x: all(r[f] >= t if op == ">=" else r[f] <= t for f, op, t in x)
+    hit = [any(holds(r, x) for x in rules) for r in rows]
     assert np.mean([h == bool(r["bad"]) for h, r in zip(hit, rows)]) > 0.95
     df = spark.createDataFrame([(r["a"], r["b"], r["c"]) for r in rows], "a double, b double, c double")
     assert [x[0] is not None for x in df.select(quality_rules.rule_number(rules)).collect()] == hit
     assert quality_rules.learn_rules([], ["a"]) == [] and quality_rules.learn_rules([{"a": 1.0, "bad": 0}] * 9, ["a"]) == []
+
+
+def test_kept_documents_match_brute_force(spark):
+    """Rules learned and applied through the operator, against the rules read as plain comparisons of plain statistics."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(rng.permutation(cases.text(i, 40).split()).tolist() + ([f"A{k}!" for k in range(15)] if bad else [])), int(not bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    rules = quality_rules.learned(docs, labels)
+    assert rules and all(c[0] in quality_rules.FEATURES for r in rules for c in r)
+    plain = {r.doc_id: r for r in quality_rules.statistics(docs).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs, rules).collect()}
+    for i, t, q in rows:
+        first = next((n for n, r in enumerate(rules, 1) if all(plain[i][f] >= x if op == ">=" else plain[i][f] <= x for f, op, x in r)), None)
+        assert got[i].rule == first and got[i].kept == (first is None and not got[i].base_failed)
+    assert np.mean([got[i].kept == bool(q) for i, _, q in rows if not got[i].base_failed]) > 0.95
