@@ -268,10 +268,11 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = 0, capacity
     return ranked.mapInArrow(run, schema)
 
 
-def packed_digest(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """``pack`` with the byte-level vocabulary: the pieces with their ids, and ids_crc32."""
     found = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return found.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digest(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
