@@ -1,7 +1,8 @@
 """The corpus pipeline. Each stage is one operator over all that the stage before kept, and reads what that wrote.
 
-All stages but the last return the columns of ``documents``. Nulls, empty texts, repeated rows and empty tables are
-handled as the operators' docstrings say.
+All stages but the last return the columns of ``documents``, and read no others. Null texts are empty texts; rows with null
+or repeated ids are rows like any other; an empty table gives an empty result. Reruns on the same rows agree, but for the
+order of rows and the sequences that equal pieces land in.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the base tests and the learned decision list keep."""
+    """Keeps the documents that the base tests and the learned decision list keep; so none of under ten words."""
     rules = quality_rules.learned(docs, table(spark, sf_dir, "labels"))
     carried = [c for c in COLUMNS if c != "doc_id"]
     kept = docs.select("doc_id", "text", *(F.col(c).alias(f"kept_{c}") for c in carried))
@@ -25,13 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with a toxicity score under 0.5."""
+    """Keeps the documents with a toxicity score under 0.5; the model is learned from labelled rows among ``docs``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model, COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """Keeps one row of each class of near copies (five-word shingles, a similarity of 0.8 or more), told apart by text: the
+    one of the smallest doc_id."""
     return simhash.without_copies(docs, COLUMNS)
 
 
@@ -48,8 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 token ids."""
-    return packing.packed_digest(docs)
+    """Pieces of sequences of at most 1024 token ids, with the ids: what training reads."""
+    return packing.packed(docs)
 
 
 STAGES = [
