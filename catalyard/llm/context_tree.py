@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 from .common import bounded_batches, crc_remainder, discard, stored, table
 
 DEPTH = 5
+#: Nearest bytes of context that name a bucket; the nodes above that depth are summed over all buckets. With so many fixed,
+#: a bucket's strings of one such context are 256 ** (DEPTH + 1 - NEAR) at most, however large the corpus.
+NEAR = 3
 #: Bytes of text in a block, and blobs that meet in one group.
 BLOCK, FAN = 8 << 20, 64
 #: Ends each text; no UTF-8 text holds it. Before a text stand zero bytes.
@@ -91,9 +94,9 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def bucket_of_keys(keys: np.ndarray, kind: int, n: int) -> np.ndarray:
-    """Byte strings with the same two nearest bytes of context are in one bucket."""
+    """Byte strings with the same NEAR nearest bytes of context are in one bucket."""
     if kind == TREE:
-        keys = (keys >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        keys = (keys >> np.uint64(8) & np.uint64((1 << 8 * NEAR) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
     return (keys % np.uint64(n)).astype(np.int64)
 
 
@@ -137,11 +140,11 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """The nodes of depth 2 to DEPTH of the trees of one bucket, for one of the eight decisions at a time."""
+    """The nodes of depth NEAR to DEPTH of the trees of one bucket, for one of the eight decisions at a time."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts, self.up = {DEPTH: keys}, {DEPTH: counts.astype(float)}, {}
-        for d in range(DEPTH - 1, 1, -1):
+        for d in range(DEPTH - 1, NEAR - 2, -1):
             shorter = self.keys[d + 1] & np.uint64((1 << 8 * (d + 1)) - 1)
             self.keys[d], self.up[d + 1] = np.unique(shorter, return_inverse=True)
             self.counts[d] = np.bincount(self.up[d + 1], self.counts[d + 1], len(self.keys[d]))
@@ -149,7 +152,7 @@ class Levels:
     def decision(self, j: int) -> dict:
         out: dict = {}
         kids = None
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, NEAR - 1, -1):
             keys, counts = self.keys[d], self.counts[d]
             name = keys >> np.uint64(8 - j)
             new = np.r_[True, name[1:] != name[:-1]]
@@ -165,49 +168,57 @@ class Levels:
                 weighted = np.logaddexp(own, below) - math.log(2)
                 stay = np.exp(own - math.log(2) - weighted)
             out[d] = {"node": node, "start": start, "ones": ones, "both": both, "weighted": weighted, "stay": stay}
-            if d > 2:
+            if d > NEAR:
                 kids = weighted, self.up[d][start]
         return out
 
 
+def _node(keys: np.ndarray, j: int) -> np.ndarray:
+    """The node above depth NEAR that a key's first ``j`` decisions lead to: its nearest NEAR - 1 bytes of context, then the
+    beginning of its byte behind a one."""
+    byte = keys & np.uint64(255)
+    near = keys & np.uint64((1 << 8 * NEAR) - 256)
+    return (near | np.uint64(1 << j) | byte >> np.uint64(8 - j)).astype(np.int64)
+
+
 def top_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes of depth 1 (context byte and beginning of the next byte): zeros, ones and the children's weighted
-    logarithms, as far as one bucket knows them."""
-    levels, out = Levels(keys, counts), np.zeros((3, 1 << 16))
+    """For nodes of depth NEAR - 1 (numbered as by ``_node``): zeros, ones and the children's weighted logarithms, as far
+    as one bucket knows them."""
+    levels, nodes, sums = Levels(keys, counts), [], []
     for j in range(8):
-        n = levels.decision(j)[2]
-        key = levels.keys[2][n["start"]]
-        at = ((key >> np.uint64(8) & np.uint64(255)) << np.uint64(8) | np.uint64(1 << j) | (key & np.uint64(255)) >> np.uint64(8 - j)).astype(np.int64)
-        for row, x in zip(out, (n["both"] - n["ones"], n["ones"], n["weighted"])):
-            row += np.bincount(at, x, 1 << 16)
-    at = np.flatnonzero(out[:2].any(axis=0))
-    return at, out[:, at]
-
-
-def top_levels(at: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple:
-    """(stay, share of ones) at depth 1 and 0, and which nodes of depth 1 were seen, from the sums of all buckets."""
-    full = np.zeros((3, 1 << 16))
-    full[:, at] = zeros, ones, below
-    n0, n1, low = full
-    own = log_kt(n0, n1)
-    weighted = np.logaddexp(own, low) - math.log(2)
-    stay1 = np.exp(own - math.log(2) - weighted)
-    m0, m1, low0 = (x.reshape(256, 256).sum(axis=0) for x in (n0, n1, weighted))
-    own0 = log_kt(m0, m1)
-    stay0 = np.exp(own0 - np.logaddexp(own0, low0))
-    return stay1, (n1 + 0.5) / (n0 + n1 + 1), n0 + n1 > 0, stay0, (m1 + 0.5) / (m0 + m1 + 1)
-
-
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: tuple) -> np.ndarray:
+        n = levels.decision(j)[NEAR]
+        nodes.append(_node(levels.keys[NEAR][n["start"]], j))
+        sums.append((n["both"] - n["ones"], n["ones"], n["weighted"]))
+    at, where = np.unique(np.concatenate(nodes), return_inverse=True)
+    out = np.array([np.bincount(where, np.concatenate(x), len(at)) for x in zip(*sums)])
+    known = out[:2].any(axis=0)
+    return at[known], out[:, known]
+
+
+def top_levels(at: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[tuple]:
+    """(node, stay, share of ones) of the seen nodes of depths NEAR - 1 to 0, from the sums of all buckets; nodes ascend."""
+    order = np.argsort(at)
+    at, zeros, ones, below = (x[order] for x in (at, zeros, ones, below))
+    out = []
+    for d in range(NEAR - 1, -1, -1):
+        own = log_kt(zeros, ones)
+        weighted = np.logaddexp(own, below) - math.log(2)
+        out.append((at, np.exp(own - math.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1)))
+        if d:
+            at, up = np.unique(at & (1 << 8 * d) - 1, return_inverse=True)
+            zeros, ones, below = (np.bincount(up, x, len(at)) for x in (zeros, ones, weighted))
+    return out
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: list[tuple]) -> np.ndarray:
     """log10 of the probability of each key's byte after its context."""
-    stay1, share1, seen1, stay0, share0 = top
     levels, out = Levels(keys, counts), np.zeros(len(keys))
-    byte, near = (keys & np.uint64(255)).astype(np.int64), (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+    byte = (keys & np.uint64(255)).astype(np.int64)
     for j in range(8):
         nodes = levels.decision(j)
         one = byte >> (7 - j) & 1
         at, mixed, seen = np.arange(len(keys)), None, None
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, NEAR - 1, -1):
             n = nodes[d]
             i = n["node"][at]
             share = (n["ones"] + 0.5) / (n["both"] + 1)
@@ -215,13 +226,16 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: tuple) -> np.nd
             stay = n["stay"][i]
             mixed = own if mixed is None else np.where(seen, stay * own + (1 - stay) * mixed, own)
             seen = n["both"][i] > 0
-            if d > 2:
-                at = levels.up[d][at]
-        begin = 1 << j | byte >> (8 - j)
-        for stay, share, known, i in ((stay1, share1, seen1, near << 8 | begin), (stay0, share0, None, begin)):
-            own = np.where(one == 1, share[i], 1 - share[i])
-            mixed = np.where(seen, stay[i] * own + (1 - stay[i]) * mixed, own)
-            seen = known[i] if known is not None else None
+            at = levels.up[d][at]
+        node = _node(levels.keys[NEAR - 1], j)
+        for d, (names, stays, shares) in zip(range(NEAR - 1, -1, -1), top):
+            name = node & (1 << 8 * (d + 1)) - 1
+            i = np.searchsorted(names, name).clip(max=max(len(names) - 1, 0))
+            known = names[i] == name if len(names) else np.zeros(len(name), dtype=bool)
+            stay, share = (np.where(known, x[i] if len(x) else 0.5, 0.5)[at] for x in (stays, shares))
+            own = np.where(one == 1, share, 1 - share)
+            mixed = np.where(seen, stay * own + (1 - stay) * mixed, own)
+            seen = known[at]
         out += np.log10(mixed)
     return out
 
@@ -353,8 +367,9 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
 
     trees = sums.where(F.col("kind") == TREE)
     top = trees.select("keys", "counts").mapInArrow(tops, "at long, zeros double, ones double, below double")
-    rows = top.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).collect()  # 65,536 at most
-    levels = top_levels(*(np.array([r[i] for r in rows], dtype=k) for i, k in enumerate(("i8", "f8", "f8", "f8"))))
+    # A row for each pair of bytes and beginning of a byte that was seen: under 2 ** 24, in text some hundred thousands.
+    rows = top.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toArrow()
+    levels = top_levels(*(rows.column(c).to_numpy() for c in ("at", "zeros", "ones", "below")))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
