@@ -27,13 +27,31 @@ words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
 lower = lambda t: t.encode().lower().decode()
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("hub", [2, 256])
+def test_components_of_paths_and_stars(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(5, 5), (None, 7), (3, None)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_hubs_edges_are_dealt_to_many_tasks(spark):
+    """What meets in a task after the join is no hub's whole star, and nothing is lost."""
+    star = spark.range(1, 4001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    least = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a sort-merge join, as between large tables
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = components._with_least(star, least, 256).select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.u, r.v, r.m) for r in rows) == [(0, v, 1) for v in range(1, 4001)]
+    assert max(Counter(r.p for r in rows).values()) < 2000
+
+
 # ---- op1 ----
 
 
