@@ -43,7 +43,7 @@ def statistics(docs: DataFrame, *more: str, window: int = 5, features: Sequence[
     whose window hashes repeat.
     """
     text = F.coalesce("text", F.lit(""))
-    core = F.expr(f"trim(BOTH '{WORD_GAP_CHARS.encode('unicode_escape').decode()}' FROM coalesce(text, ''))")
+    core = F.trim(text, F.lit(WORD_GAP_CHARS))
     nothing = F.array().cast("array<string>")
     a = docs.select("doc_id", *more, text.alias("text"), core.alias("_core"))
     split = F.when(F.col("_core") == "", nothing).otherwise(F.split("_core", WORD_GAP))
