@@ -31,8 +31,9 @@ _ODD_WHITE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 _UNIT = re.compile(f"[ \n{_ODD_WHITE}]*[^ \n{_ODD_WHITE}]+|[ \n{_ODD_WHITE}]+")
 #: Texts with other white space than single spaces and line ends between words (RE2 syntax).
 _ODD = "[ \\n][ \\n]|^[ \\n]|[ \\n]$|[\\x00\\t\\x0b-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-#: A letter and a sign after it, between which both vocabularies always part; for fewer distinct units.
-_SIGNED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~])"
+#: A letter and a sign after it, between which all vocabularies part; for fewer distinct units. Without U+0130, which in lower
+#: case ends in a mark that goes with the sign.
+_SIGNED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([!-&(-/:-@\[-`{-~])"
 #: Units that a worker remembers.
 CACHE = 800_000
 
@@ -114,8 +115,11 @@ class Encoder:
             cut = pc.replace_substring_regex(texts, _SIGNED, "\\1\0\\2")
             lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n"), "\0")
         else:
-            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _SIGNED, "\\1 \\2"))
-        return lists.flatten(), np.diff(lists.offsets.to_numpy())
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _SIGNED, "\\1 \\2"))
+        units, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        if not self.spaced:  # the tokenizer composes letters and marks before it lowers them, so only ASCII is lowered here
+            units = pc.if_else(pc.string_is_ascii(units), pc.ascii_lower(units), units)
+        return units, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the ``texts`` (strings, no nulls), one text after another, and the number of each text's."""
