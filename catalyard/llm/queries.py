@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_tree, fingerprint, mixing, negatives, packing, quality_rules, simhash, tokens, toxicity, url_filter
+from . import chat_format, context_tree, fingerprint, language_id, mixing, negatives, packing, quality_rules, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_language_id": language_id.op13_language_id,
 }
 ORACLE_SQL = {"op5_url_filter": url_filter.ORACLE, "op9_chat_format": chat_format.ORACLE, "op12_hard_negatives": negatives.ORACLE}
