@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_tree, fingerprint, language_id, mixing, negatives, packing, quality_rules, simhash, tokens, toxicity, url_filter
+from . import alignment, chat_format, context_tree, fingerprint, language_id, mixing, negatives, packing, quality_rules, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_context_tree": context_tree.op1_context_tree,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_alignment": alignment.op11_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_language_id": language_id.op13_language_id,
 }

@@ -30,7 +30,10 @@ from .common import bounded_batches, discard, documents, shared_dir, stored, tab
 _ODD_WHITE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[ \n{_ODD_WHITE}]*[^ \n{_ODD_WHITE}]+|[ \n{_ODD_WHITE}]+")
 #: Texts with other white space than single spaces and line ends between words (RE2 syntax).
-_ODD = "[ \\n][ \\n]|^[ \\n]|[ \\n]$|[\\x00\\t\\x0b-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_ODD_INSIDE = "[ \\n][ \\n]|[ \\n]$|[\\x00\\t\\x0b-\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_ODD = "^[ \\n]|" + _ODD_INSIDE
+#: The same for texts that all begin with a space of their own.
+_ODD_LED = "^\\n|" + _ODD_INSIDE
 #: A letter and a sign after it, between which all vocabularies part; for fewer distinct units. Without U+0130, which in lower
 #: case ends in a mark that goes with the sign.
 _SIGNED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([!-&(-/:-@\[-`{-~])"
@@ -44,10 +47,13 @@ class Encoder:
     A unit is a word with the white space before it (``spaced``: for vocabularies whose pieces keep white space) or a
     word alone (for those that drop it and lower-case). No piece crosses a unit's ends, so the ids of its units are the
     ids of a text. Texts that hold the string of a special token, in any case, are given to the tokenizer whole.
+    ``cache``: units that are remembered (CACHE).
     """
 
-    def __init__(self, path: str, spaced: bool):
-        self.spaced, self.plain = spaced, Tokenizer.from_file(path)
+    odd = _ODD
+
+    def __init__(self, path: str, spaced: bool, cache: int | None = None):
+        self.spaced, self.plain, self.cache = spaced, Tokenizer.from_file(path), cache
         added = self.plain.get_added_tokens_decoder()
         self.marks = sorted({t.content.lower() for t in added.values()})
         self.mark_id, self.mark = next(((i, t.content) for i, t in added.items() if t.special), (None, ""))
@@ -84,20 +90,20 @@ class Encoder:
             self.n += len(some)
 
     def _numbers(self, distinct: list[bytes]) -> np.ndarray:
-        """Numbers of units, which are all encoded now. What goes over CACHE is forgotten at the next call."""
-        index, kept = self.index, len(self.index)
+        """Numbers of units, which are all encoded now. What goes over the cache is forgotten at the next call."""
+        index, kept, most = self.index, len(self.index), self.cache or CACHE
         self.n = kept
         number = np.fromiter(map(index.get, distinct, repeat(-1)), dtype=np.int32, count=len(distinct))
         at = np.flatnonzero(number < 0)
         new = [distinct[i] for i in at.tolist()]
         # A cache of words that most texts no longer have is given up.
-        self.strange = self.strange + 1 if kept + len(new) > CACHE and 3 * len(new) > 2 * len(distinct) else 0
+        self.strange = self.strange + 1 if kept + len(new) > most and 3 * len(new) > 2 * len(distinct) else 0
         if self.strange > 4:
             self._start()
             return self._numbers(distinct)
         self._learn(new)
         number[at] = np.arange(kept, self.n)
-        index.update(zip(new[: max(CACHE - kept, 0)], range(kept, self.n)))
+        index.update(zip(new[: max(most - kept, 0)], range(kept, self.n)))
         return number
 
     def _of_units(self, units: pa.Array, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +135,7 @@ class Encoder:
         whole = np.zeros(len(texts), dtype=bool)
         for m in self.marks:
             whole |= pc.match_substring(lower, m).to_numpy(False)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(False) & ~whole if self.spaced else np.zeros_like(whole)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(False) & ~whole if self.spaced else np.zeros_like(whole)
         usual = ~(whole | odd)
         if usual.all():
             return self._of_units(*self._split(texts))
