@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bad_year, parse_battery, parse_year, strip_ws, text
+from .conflicts import first_claims, renames
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[str], overwrite: bool = True) -> DataFrame:
@@ -104,40 +105,37 @@ def import_radios(target: DataFrame, rows: DataFrame, order: str) -> tuple[DataF
     return upsert(table, good, ["brand", "model"], RADIO_FIELDS, [order]), read.where("error is not null")
 
 
-def _name_owners(df: DataFrame) -> DataFrame:
-    """``df`` (code, name, _seen) where a name belongs to the code that had it first: ``error`` marks the other codes."""
-    first = df.where("name <> ''").groupBy("name").agg(F.min(F.struct("_seen", "code")).alias("_owner"))
-    error = F.coalesce(F.col("code") != F.col("_owner.code"), F.lit(False))
-    return df.join(first, "name", "left").withColumn("error", error).drop("_owner", "_seen")
-
-
 BRAND_FIELDS = ["name", "full_name", "website", "country", "notes"]
 
 
-def import_brands(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
-    """``batch`` (code, BRAND_FIELDS, order) over ``target`` (code, BRAND_FIELDS), with status and times.
+def import_brands(target: DataFrame, batch: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """``target`` (code, BRAND_FIELDS) after ``batch`` (code, BRAND_FIELDS, order), with action and times, and the rows that
+    fail (order, code, name).
 
-    Rows without a code or name are left out; the last row of a code sets all its fields. Then a name belongs to the code
-    that had it first: other codes of that name have the status error, and are no rows of the table.
+    Rows come one after another: each sets all fields of its code or adds it. One whose name another code has at that time
+    fails and changes nothing, so no stored row is lost. Rows without a code or name are left out. order: unique whole numbers
+    from 0, dense in runs. Stored rows without a code stay, and keep their names.
     """
     b = batch.select(strip_ws(F.col("code")).alias("code"), *(strip_ws(F.col(c)).alias(c) for c in BRAND_FIELDS), order).where("code <> '' and name <> ''")
-    both = upsert(target.select("code", *BRAND_FIELDS), b, ["code"], BRAND_FIELDS, [order])
-    seen = b.groupBy("code").agg(F.min(order).cast("long").alias("_first"))
-    both = both.join(seen, "code", "left").withColumn("_seen", F.when(F.col("action") == "created", F.col("_first")).otherwise(F.lit(-1).cast("long")))
-    out = _name_owners(both.drop("_first"))
-    return out.select("code", *BRAND_FIELDS, F.when(F.col("error"), "error").otherwise(F.col("action")).alias("status"), "times")
+    verdict = renames(target, b.select(F.col(order).alias("pos"), "code", "name")).select(F.col("pos").alias("_pos"), F.col("status").alias("_status"))
+    judged = b.join(verdict, F.col(order) == F.col("_pos")).drop("_pos")
+    table = upsert(target.select("code", *BRAND_FIELDS), judged.where("_status = 'ok'").drop("_status"), ["code"], BRAND_FIELDS, [order])
+    return table, judged.where("_status = 'error'").select(order, "code", "name")
 
 
-def import_grantees(target: DataFrame, batch: DataFrame, order: str) -> DataFrame:
-    """``target`` (code, name) with the new codes of ``batch`` (code, name, order), and status.
+def import_grantees(target: DataFrame, batch: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """``target`` (code, name) with the new codes of ``batch`` (code, name, order), and action (created, filled, kept), and the
+    rows that fail (order, code, name).
 
-    Rows without a code or name are left out. The first row of a code adds it, or fills its blank name; a name that another
-    code had first makes the row an error.
+    Rows come one after another: one of a new code adds it, one of a code with a blank name fills it, any other changes nothing.
+    One that would take another code's name fails: its code stays as it was. Rows without a code or name are left out.
     """
-    b = batch.select(strip_ws(F.col("code")).alias("code"), strip_ws(F.col("name")).alias("name"), order).where("code <> '' and name <> ''")
-    one = b.groupBy("code").agg(F.min_by("name", order).alias("_name"), F.min(order).cast("long").alias("_first"))
-    both = target.select("code", F.col("name").alias("_old"), F.lit(True).alias("_was")).join(one, "code", "full_outer")
-    fills = (text(F.col("_old")) == "") & F.col("_name").isNotNull()
-    status = F.when(F.col("_was").isNull(), "created").when(fills, "filled").otherwise("kept")
-    out = both.select("code", F.when(fills, F.col("_name")).otherwise(F.col("_old")).alias("name"), status.alias("status"), F.when(fills, F.col("_first")).otherwise(F.lit(-1).cast("long")).alias("_seen"))
-    return _name_owners(out).select("code", "name", F.when(F.col("error"), "error").otherwise(F.col("status")).alias("status"))
+    b = batch.select(strip_ws(F.col("code")).alias("code"), strip_ws(F.col("name")).alias("name"), F.col(order).alias("pos")).where("code <> '' and name <> ''")
+    has = text(F.col("name")) != ""
+    known = target.where(has & F.col("code").isNotNull()).select("code")
+    judged = first_claims(target.where(has).select("name"), known, b)
+    new = judged.where("status = 'ok'").select("code", F.col("name").alias("_name"))
+    both = target.select("code", F.col("name").alias("_old"), F.lit(True).alias("_was")).join(new, "code", "full_outer")
+    action = F.when(F.col("_was").isNull(), "created").when(F.col("_name").isNotNull(), "filled").otherwise("kept")
+    table = both.select("code", F.coalesce("_name", "_old").alias("name"), action.alias("action"))
+    return table, judged.where("status = 'error'").select(F.col("pos").alias(order), "code", "name")

@@ -504,24 +504,42 @@ def _(t: DataFrame, f: DataFrame) -> DataFrame:
     return U.import_radios(t, f.withColumnsRenamed(_NAMED), "ordinal")[1].select("ordinal", "error")
 
 
-_OWNED = "CASE WHEN name <> '' AND row_number() OVER (PARTITION BY name ORDER BY seen, code) > 1 THEN 'error' ELSE action END AS status"
 _KEPT = "(SELECT trim(code) AS code, trim(name) AS name, trim(full_name) AS full_name, trim(website) AS website, trim(country) AS country, trim(notes) AS notes, pos FROM ({new}) n WHERE trim(code) <> '' AND trim(name) <> '')".format(new=NEW_BRANDS)
+#: The file row by row: s is the state (code, name) after row i, ok whether the row stands.
+_REPLAYED = f"""f AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM {_KEPT} b), r AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS pos, true AS ok, (SELECT list({{'code': code, 'name': name}}) FROM ({OLD_BRANDS}) o WHERE name <> '') AS s UNION ALL
+      SELECT i, pos, NOT clash, CASE WHEN clash THEN s ELSE list_append(list_filter(s, lambda x: x.code <> code), {{'code': code, 'name': name}}) END FROM
+        (SELECT f.*, r.s, len(list_filter(r.s, lambda x: x.name = f.name AND x.code <> f.code)) > 0 AS clash FROM r JOIN f ON f.i = r.i + 1))"""
+_BRANDED = f"""WITH RECURSIVE {_REPLAYED}, g AS (SELECT f.code, arg_max(f, f.pos) AS row, count(*) AS times FROM f JOIN r USING (i) WHERE r.ok GROUP BY 1)
+    SELECT code, {", ".join(f"CASE WHEN g.row IS NULL THEN o.{c} ELSE g.row.{c} END AS {c}" for c in U.BRAND_FIELDS)}, CASE WHEN o.name IS NULL THEN 'created' WHEN g.row IS NULL THEN 'kept' ELSE 'updated' END AS action,
+      coalesce(times, 0) AS times FROM g FULL JOIN ({OLD_BRANDS}) o USING (code)"""
 
 
-@query("m3_import_brands", f"""WITH f AS (SELECT code, min(pos) AS pos, arg_max(b, b.pos) AS r, count(*) AS times FROM {_KEPT} b GROUP BY 1), o AS (SELECT * FROM ({OLD_BRANDS}) o),
-    x AS (SELECT code, {", ".join(f"CASE WHEN f.r IS NULL THEN o.{c} ELSE f.r.{c} END AS {c}" for c in U.BRAND_FIELDS)}, CASE WHEN o.name IS NULL THEN 'created' WHEN f.r IS NULL THEN 'kept' ELSE 'updated' END AS action,
-      CASE WHEN o.name IS NULL THEN f.pos ELSE -1 END AS seen, coalesce(times, 0) AS times FROM f FULL JOIN o USING (code))
-    SELECT code, {", ".join(U.BRAND_FIELDS)}, {_OWNED}, times FROM x""", OLD_BRANDS, NEW_BRANDS)
+@query("m3_import_brands", _BRANDED, OLD_BRANDS, NEW_BRANDS)
 def _(o: DataFrame, b: DataFrame) -> DataFrame:
-    return U.import_brands(o, b, "pos")
+    return U.import_brands(o, b, "pos")[0]
 
 
-@query("m3_import_grantees", f"""WITH f AS (SELECT code, min(pos) AS pos, arg_min(name, pos) AS new FROM {_KEPT} b GROUP BY 1),
-    x AS (SELECT code, CASE WHEN coalesce(o.name, '') = '' AND new IS NOT NULL THEN new ELSE o.name END AS name, CASE WHEN o.code IS NULL THEN 'created' WHEN o.name = '' AND new IS NOT NULL THEN 'filled' ELSE 'kept' END AS action,
-      CASE WHEN coalesce(o.name, '') = '' AND new IS NOT NULL THEN pos ELSE -1 END AS seen FROM f FULL JOIN (SELECT code AS code, name FROM ({OLD_BRANDS}) q) o USING (code))
-    SELECT code, name, {_OWNED} FROM x""", OLD_BRANDS, NEW_BRANDS)
+@query("m3_brand_errors", f"WITH RECURSIVE {_REPLAYED} SELECT f.pos, f.code, f.name FROM f JOIN r USING (i) WHERE NOT r.ok", OLD_BRANDS, NEW_BRANDS)
 def _(o: DataFrame, b: DataFrame) -> DataFrame:
-    return U.import_grantees(o, b, "pos")
+    return U.import_brands(o, b, "pos")[1]
+
+
+_GRANTED_NAMES = f"""f AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM {_KEPT} b), r AS (
+      SELECT CAST(0 AS BIGINT) AS i, '' AS did, (SELECT list({{'code': code, 'name': name}}) FROM ({OLD_BRANDS}) o WHERE name <> '') AS s UNION ALL
+      SELECT i, did, CASE WHEN did = 'ok' THEN list_append(s, {{'code': code, 'name': name}}) ELSE s END FROM (SELECT f.*, r.s, CASE WHEN len(list_filter(r.s, lambda x: x.code = f.code)) > 0 THEN 'kept'
+        WHEN len(list_filter(r.s, lambda x: x.name = f.name)) > 0 THEN 'error' ELSE 'ok' END AS did FROM r JOIN f ON f.i = r.i + 1))"""
+
+
+@query("m3_import_grantees", f"""WITH RECURSIVE {_GRANTED_NAMES}, g AS (SELECT f.code, f.name FROM f JOIN r USING (i) WHERE did = 'ok')
+    SELECT code, coalesce(g.name, o.name) AS name, CASE WHEN o.name IS NULL THEN 'created' WHEN g.name IS NULL THEN 'kept' ELSE 'filled' END AS action FROM g FULL JOIN ({OLD_BRANDS}) o USING (code)""", OLD_BRANDS, NEW_BRANDS)
+def _(o: DataFrame, b: DataFrame) -> DataFrame:
+    return U.import_grantees(o, b, "pos")[0]
+
+
+@query("m3_grantee_errors", f"WITH RECURSIVE {_GRANTED_NAMES} SELECT f.pos, f.code, f.name FROM f JOIN r USING (i) WHERE did = 'error'", OLD_BRANDS, NEW_BRANDS)
+def _(o: DataFrame, b: DataFrame) -> DataFrame:
+    return U.import_grantees(o, b, "pos")[1]
 
 
 # ---- pages ----

@@ -101,18 +101,6 @@ def test_blank_goes_by_type(spark):
     assert rows(maintain.clean_prefix(c.where("id = 1"), "b", "P")) == [(1, "b", "x", "0", 0, "n")]
 
 
-def test_import_brands_and_grantees(spark):
-    old = frame(spark, "code string, name string", ("C0", ""), ("C9", "Nine"))
-    new = frame(spark, "code string, name string, at int", ("C1", "Alpha", 1), ("C1", "Zulu", 2), ("C2", " ", 3), ("C0", "Filled", 4), ("C3", "Nine", 5), ("C9", "Other", 6))
-    want = [("C0", "Filled", "filled"), ("C1", "Alpha", "created"), ("C3", "Nine", "error"), ("C9", "Nine", "kept")]
-    assert rows(upsert.import_grantees(old, new, "at")) == want
-    more = lambda df: df.select("*", *(F.lit("").alias(c) for c in ("full_name", "website", "country", "notes")))
-    got = upsert.import_brands(more(old), more(new), "at").select("code", "name", "status", "times")
-    assert rows(got) == [("C0", "Filled", "updated", 1), ("C1", "Zulu", "created", 2), ("C3", "Nine", "created", 1), ("C9", "Other", "updated", 1)]
-    twice = frame(spark, "code string, name string, at int", ("C4", "Nine", 1), ("C5", "Nine", 2))
-    assert rows(upsert.import_brands(more(old), more(twice), "at").where("status = 'error'").select("code")) == [("C4",), ("C5",)]
-
-
 def test_import_radios(spark):
     """A file with a repeated key, a bad year, a blank model and columns that are absent."""
     have = ", ".join(f"{c} {'int' if c in ('intro_year', 'battery_mah') else 'string'}" for c in upsert.RADIO_FIELDS)
