@@ -14,6 +14,8 @@ from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import upsert as U
 from ..sources import readers as S
+from ..sources.parted import PartedTable
+from ..sources.scratch import new_path
 from . import workloads as W
 from .tables import ADDITIONS, BATCH, CATALOG, CODES, FILE, FINDS, GRANTED, GRANTEES, GRANTS, MASTER, NEW_BRANDS, OLD_BRANDS, RADIO, REGISTRY, STATE, UNIQUE, view
 
@@ -344,6 +346,14 @@ def _(s: DataFrame, b: DataFrame) -> DataFrame:
     return _upserted(s, b, False).select("user_id", "event_type", "version", "origin", "action")
 
 
+@query("s12_upsert_parts", f"SELECT user_id, event_type, version, origin, created_at, updated_at FROM ({_UPSERT}) u", STATE, BATCH)
+def _(s: DataFrame, b: DataFrame) -> DataFrame:
+    table = PartedTable(new_path(s.sparkSession, "parted"), ("user_id", "event_type"), 64)
+    table.create(s)
+    table.upsert(b, ["version", "updated_at"], ["at"])
+    return table.read(s.sparkSession)
+
+
 _TALLY = f"""SELECT count(*) FILTER (action = 'created') AS created, CAST(sum(times) AS BIGINT) - count(*) FILTER (action = 'created') AS updated, CAST(0 AS BIGINT) AS skipped,
     (SELECT count(*) FROM ({BATCH}) b WHERE user_id % 10 = 0) AS errors, CAST(sum(times) AS BIGINT) + (SELECT count(*) FROM ({BATCH}) b WHERE user_id % 10 = 0) AS total FROM ({_UPSERT}) u"""
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..operators.upsert import upsert
+from .parted import PartedTable
 
 
 def write_csv(df: DataFrame, path: str, first: tuple[str, ...] = ("Brand", "Model")) -> None:
@@ -29,39 +29,15 @@ def save_table(df: DataFrame, path: str, clear: bool = False) -> None:
     df.write.mode("overwrite" if clear else "append").parquet(path)
 
 
-def _folder(spark: SparkSession, path: str) -> tuple:
-    """The file system of ``path`` and the path for it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions (``path``/v=N) of a table, ascending."""
-    fs, where = _folder(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-    numbers = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
-    return [n for n in numbers if fs.exists(_folder(spark, f"{path}/v={n}/_SUCCESS")[1])]
-
-
-def save_version(df: DataFrame, path: str, number: int, keep: int = 2) -> None:
-    """Writes ``df`` as version ``number`` of the table and deletes versions that are older than the last ``keep``."""
-    df.write.mode("overwrite").parquet(f"{path}/v={number}")
-    spark = df.sparkSession
-    for old in [n for n in versions(spark, path) if n <= number][:-keep]:
-        fs, where = _folder(spark, f"{path}/v={old}")
-        fs.delete(where, True)
-
-
-def reload(batch: DataFrame, path: str, keys: Sequence[str], update: Sequence[str], order: Sequence[str], clear: bool = False) -> DataFrame:
-    """The table of versions in ``path`` after ``batch`` is upserted, or put in place of it all (``clear``); returns what is
-    stored. A failed write leaves the version before in force."""
+def reload(batch: DataFrame, table: PartedTable, update: Sequence[str], order: Sequence[str], clear: bool = False) -> DataFrame:
+    """``table`` after ``batch`` is upserted, or put in place of it all (``clear``); returns what is stored. Without ``clear`` only
+    the parts that the batch touches are read and written."""
     spark = batch.sparkSession
     columns = [c for c in batch.columns if c not in order]
-    now = versions(spark, path)
-    old = spark.read.parquet(f"{path}/v={now[-1]}") if now and not clear else spark.createDataFrame([], batch.select(*columns).schema)
-    number = now[-1] + 1 if now else 0
-    save_version(upsert(old.select(*columns), batch, keys, update, order).select(*columns), path, number)
-    return spark.read.parquet(f"{path}/v={number}")
+    if clear or not table.exists(spark):
+        table.create(batch.select(*columns).limit(0))
+    table.upsert(batch, update, order)
+    return table.read(spark)
 
 
 def preview(df: DataFrame, ordinal: str, n: int = 5) -> tuple[int, DataFrame]:

@@ -1,4 +1,11 @@
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from catalyard.operators.upsert import upsert
 from catalyard.sources import readers, writers
+from catalyard.sources.parted import PartedTable
 from catalyard.streaming.batches import upsert_stream
 
 
@@ -55,13 +62,54 @@ def test_markdown_header_names_columns(spark, tmp_path):
     assert readers.read_markdown_table(spark, str(tmp_path / "none"), ["m"]).count() == 0
 
 
+def files(where):
+    """Names and sizes of the data files of each part."""
+    return {d.name: {(f.name, f.stat().st_size) for f in d.glob("*.parquet")} for d in Path(where).iterdir() if d.name.startswith("part=")}
+
+
 def test_reload(spark, tmp_path):
-    where, schema = str(tmp_path / "t"), "k string, v string, at int"
-    go = lambda clear, *r: rows(writers.reload(spark.createDataFrame(list(r), schema), where, ["k"], ["v"], ["at"], clear))
-    assert go(False, ("a", "1", 1), ("b", "1", 1)) == [("a", "1"), ("b", "1")]
-    assert go(False, ("a", "2", 2), ("a", "3", 3)) == [("a", "3"), ("b", "1")]
+    table, schema = PartedTable(str(tmp_path / "t"), ("k",), 4), "k string, v string, at int"
+    go = lambda clear, *r: rows(writers.reload(spark.createDataFrame(list(r), schema), table, ["v"], ["at"], clear))
+    assert go(False, ("a", "1", 1), ("b", "1", 1), (None, "0", 1)) == [("a", "1"), ("b", "1"), (None, "0")]
+    assert go(False, ("a", "2", 2), ("a", "3", 3)) == [("a", "3"), ("b", "1"), (None, "0")]
     assert go(True, ("c", "1", 1)) == [("c", "1")]
-    assert writers.versions(spark, where) == [1, 2]
+    assert go(True) == []
+
+
+def test_an_upsert_touches_its_own_parts(spark, tmp_path):
+    table = PartedTable(str(tmp_path / "t"), ("k", "j"), 32)
+    old = spark.range(20_000).select(F.concat(F.lit("key "), "id").alias("k"), (F.col("id") % 3).alias("j"), F.lit("old").alias("v"), F.col("id").alias("w"))
+    table.create(old)
+    before = files(table.path)
+    assert len(before) == 32 and all(len(f) == 1 for f in before.values())
+    batch = spark.createDataFrame([("key 7", 1, "new", 0, 1), ("key 7", 1, "newer", 0, 2), ("key 20000", 2, "new", 5, 1)], "k string, j long, v string, w long, at int")
+    tally = table.upsert(batch, ["v"], ["at"])
+    after = files(table.path)
+    changed = {p for p in before if before[p] != after[p]}
+    assert {k: tally[k] for k in ("created", "updated", "skipped", "total")} == {"created": 1, "updated": 2, "skipped": 0, "total": 3}
+    assert len(changed) == tally["parts"] == len(table.touched(batch)) <= 2
+    assert sum(n for p in changed for _, n in after[p]) < 0.1 * sum(n for f in before.values() for _, n in f)
+    want = rows(upsert(old, batch, ["k", "j"], ["v"], ["at"]).select("k", "j", "v", "w"))
+    assert rows(table.read(spark)) == want
+    assert table.upsert(batch, ["v"], ["at"])["created"] == 0 and rows(table.read(spark)) == want  # a repeated batch changes nothing
+    assert table.upsert(batch.withColumn("v", F.lit("x")), ["v"], ["at"], overwrite=False)["skipped"] == 3 and rows(table.read(spark)) == want
+    assert table.upsert(batch.limit(0), ["v"], ["at"])["total"] == 0 and rows(table.read(spark)) == want
+    plan = table._stored(spark).where(F.col("part").isin([3]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+
+
+def test_a_failed_batch_can_be_given_again(spark, tmp_path):
+    """Parts that were replaced before a failure are brought to the same state."""
+    table = PartedTable(str(tmp_path / "t"), ("k",), 8)
+    table.create(spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    batch = spark.range(50, 150).select(F.col("id").alias("k"), F.lit("new").alias("v"), F.lit(1).alias("at"))
+    bad = batch.withColumn("v", F.when(F.col("k") == 149, F.raise_error(F.lit("stop"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="stop"):
+        table.upsert(bad, ["v"], ["at"])
+    assert {r.v for r in table.read(spark).collect()} == {"old"} and table.read(spark).count() == 100
+    table.upsert(batch.where("k < 100"), ["v"], ["at"])  # as if some parts had been replaced
+    table.upsert(batch, ["v"], ["at"])
+    assert rows(table.read(spark)) == sorted([(k, "old" if k < 50 else "new") for k in range(150)], key=str)
 
 
 def test_grantee_map_last_wins(spark, tmp_path):
@@ -113,8 +161,11 @@ def test_upsert_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "k string, v string, at int"
     spark.createDataFrame([("a", "1", 1), ("a", "2", 2)], schema).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(schema).parquet(src)
-    upsert_stream(stream, out, ["k"], ["v"], ["at"], str(tmp_path / "cp")).awaitTermination(60)
+    stream, table, told = spark.readStream.schema(schema).parquet(src), PartedTable(out, ("k",), 16), []
+    go = lambda: upsert_stream(stream, table, ["v"], ["at"], str(tmp_path / "cp"), lambda n, t: told.append((n, t["created"], t["total"]))).awaitTermination(60)
+    go()
+    before = files(out)
     spark.createDataFrame([("a", "3", 3), ("b", "1", 3)], schema).coalesce(1).write.mode("append").parquet(src)
-    upsert_stream(stream, out, ["k"], ["v"], ["at"], str(tmp_path / "cp")).awaitTermination(60)
-    assert rows(spark.read.parquet(f"{out}/v=1").select("k", "v")) == [("a", "3"), ("b", "1")]
+    go()
+    assert rows(table.read(spark)) == [("a", "3"), ("b", "1")] and told == [(0, 1, 2), (1, 1, 2)]
+    assert sum(before.get(p) != f for p, f in files(out).items()) <= 2
