@@ -215,13 +215,16 @@ def has_letter(text: Column) -> Column:
 
 def train(docs: DataFrame, families: Mapping[str, str] = FAMILIES, per_language: int = SAMPLE_PER_LANGUAGE, most: int = LANGUAGES) -> Model:
     """Learns from the rows of ``docs`` (doc_id, text, lang) with a language and a letter whose crc32(doc_id as text) mod 5 is
-    not 0: of each of the ``most`` most frequent languages the ``per_language`` rows of the smallest hashes of id and text.
+    not 0: of each of the ``most`` most frequent languages the ``per_language`` rows of the smallest hashes of id and text
+    (of those under a bound that holds about twice as many).
     Equal rows count once. What reaches the driver are these rows' shares of grams, at most DIM numbers each."""
     usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")) & (crc_remainder(F.col("doc_id"), 5) != 0))
     marked = usable.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    known = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
+    known = marked.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    # Hashes under this hold about twice as many rows as are taken: few enough to be ranked.
+    under = (F.least(F.lit(2.0 * per_language) / F.col("n"), F.lit(1.0)) * 2.0**64 - 2.0**63).alias("under")
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    hashes = marked.select("lang", "h").distinct().join(F.broadcast(known), "lang")
+    hashes = marked.join(F.broadcast(known.select("lang", under)), "lang").where("h <= under").select("lang", "h").distinct()
     chosen = hashes.withColumn("k", order).where(F.col("k") <= per_language).select("lang", "h")  # at most most x per_language
     sample = marked.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
