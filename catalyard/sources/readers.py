@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sanitize_xml, split_product_name, strip_ws, text, title_case
+from .csv import read_csv
 
 #: The tags of a registry grant.
 GRANT_FIELDS = [
@@ -19,11 +20,9 @@ GRANT_FIELDS = [
 ]
 
 
-def read_catalog_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A CSV with a header, all strings; short rows are filled and missing values are empty."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=True, enforceSchema=False, ignoreLeadingWhiteSpace=False)
-    return raw.select(*(text(F.col(c)).alias(c) for c in columns))
+def read_catalog_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, place: str | None = None) -> DataFrame:
+    """CSV files with headers, all strings: columns by name, short rows filled, missing values empty, as ``read_csv`` does."""
+    return read_csv(spark, path, columns=columns, place=place)
 
 
 #: The unreadable records of ``_rows``.
