@@ -106,8 +106,8 @@ def test_named_columns_only(spark, tmp_path):
 def test_two_catalogues_of_known_sizes_merge(spark, tmp_path):
     """A master of 153 rows and 601 ragged additions with other columns: 712 rows stay, 42 go, 74 brands, and known largest."""
     largest = {"Icom": 126, "Kenwood": 75, "Baofeng": 63, "Yaesu": 58, "Alinco": 50, "Radtel": 29, "Wouxun": 23, "Puxing": 20, "Retevis": 19, "Anytone": 15}
-    others = {f"Maker-{chr(65 + i % 26)}{chr(97 + i // 26)}": 3 + (i < 35) for i in range(64)}
-    keys = [(b, f"{b[:2].upper()}-{k}") for b, n in (largest | others).items() for k in range(n)]
+    others = {f"Maker-{chr(65 + i // 8)}{chr(97 + i % 8)}": 3 + (i < 42) for i in range(64)}
+    keys = [(b, f"{b[:2]}-{k}") for b, n in (largest | others).items() for k in range(n)]
     rng = random.Random(2)
     rng.shuffle(keys)
     assert len(keys) == 712 and len(largest | others) == 74
