@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,39 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     return ka.exceptAll(kb).withColumn("side", F.lit("first")).union(kb.exceptAll(ka).withColumn("side", F.lit("second")))
 
 
+def key_digests(keys: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, and four sums of hashes) of the rows of ``keys``: equal for equal rows in any order. Rows combine before the
+    shuffle, which carries at most ``buckets`` rows a task."""
+    cols = [F.col(c) for c in keys.columns]
+    one, two = F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)
+    lanes = [F.sum(F.pmod(F.shiftright(h, by), F.lit(1 << 32))).alias(f"lane_{i}") for i, (h, by) in enumerate([(one, 0), (one, 32), (two, 0), (two, 32)])]
+    return keys.groupBy(F.pmod(one, F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"), *lanes)
+
+
+def differing_buckets(a: DataFrame, b: DataFrame, buckets: int) -> DataFrame:
+    """(bucket) of the buckets of keys that two catalogues don't have the same rows of."""
+    da, db = key_digests(a, buckets), key_digests(b, buckets)
+    lanes = [c for c in da.columns if c != "bucket"]
+    db = db.withColumnsRenamed({c: f"{c}_b" for c in lanes})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in lanes]
+    joined = da.join(db, "bucket", "full_outer")
+    return joined.where(~reduce(lambda x, y: x & y, same)).select("bucket")
+
+
+def reconcile_by_digest(a: DataFrame, b: DataFrame, buckets: int = 1 << 14) -> DataFrame:
+    """As ``reconcile``, for catalogues that are mostly alike: both are summed up in ``buckets`` of keys, and only rows of buckets
+    that differ are compared. Repeated rows can make a bucket differ, which then turns out to have the same keys.
+
+    Equal catalogues shuffle digests alone. Both are read twice. Two differing buckets look alike with a chance of 2^-128.
+    """
+    ka, kb = (keyed(x).select(F.col("_b").alias("brand"), F.col("_m").alias("model")) for x in (a, b))
+    differ = differing_buckets(ka, kb, buckets)
+    bucket = F.pmod(F.xxhash64("brand", "model"), F.lit(buckets))
+    # at most ``buckets`` numbers
+    ka, kb = (k.join(F.broadcast(differ), bucket == F.col("bucket"), "left_semi").distinct() for k in (ka, kb))
+    return ka.exceptAll(kb).withColumn("side", F.lit("first")).union(kb.exceptAll(ka).withColumn("side", F.lit("second")))
+
+
 def attach_code(models: DataFrame, codes: DataFrame) -> DataFrame:
     """``models`` with code and generated id; both empty where the brand has no code."""
     return coded(models, codes).withColumn("fcc_id", text(make_id(F.col("code"), F.col("model"))))

@@ -14,8 +14,10 @@ from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import upsert as U
 from ..sources import readers as S
+from ..sources.paged import PagedTable
 from ..sources.parted import PartedTable
 from ..sources.scratch import new_path
+from ..sources.search_index import TrigramIndex
 from . import workloads as W
 from .tables import ADDITIONS, BATCH, CATALOG, CODES, FILE, FINDS, GRANTED, GRANTEES, GRANTS, MASTER, NEW_BRANDS, OLD_BRANDS, RADIO, REGISTRY, STATE, UNIQUE, view
 
@@ -161,6 +163,17 @@ def _(r: DataFrame) -> DataFrame:
     return R.search(r, "ab1").select("id")
 
 
+def _indexed(r: DataFrame, words: list[str], columns: list[str]) -> DataFrame:
+    index = TrigramIndex(new_path(r.sparkSession, "grams"))
+    index.create(r)
+    return index.search(r.sparkSession, words, r, columns)
+
+
+@query("f2_search_index", f"SELECT id FROM ({RADIO}) r WHERE contains(upper(brand), 'AB1') OR contains(upper(model), 'AB1') OR contains(upper(fcc_id), 'AB1')", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return _indexed(r, ["ab1"], ["brand", "model", "fcc_id"])
+
+
 @query("f3_filter_brand", f"SELECT id FROM ({RADIO}) r WHERE upper(brand) = 'BRAND-7'", RADIO)
 def _(r: DataFrame) -> DataFrame:
     return R.filter_brand(r, "brand-7").select("id")
@@ -171,6 +184,11 @@ def _(r: DataFrame) -> DataFrame:
     return R.admin_search(r, " brand ring", ["brand", "model"]).select("id")
 
 
+@query("f4_search_index", f"SELECT id FROM ({RADIO}) r WHERE (contains(upper(brand), 'BRAND') OR contains(upper(model), 'BRAND')) AND (contains(upper(brand), 'RING') OR contains(upper(model), 'RING')) AND (contains(upper(brand), '-1') OR contains(upper(model), '-1'))", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return _indexed(r, ["brand", "ring", "-1"], ["brand", "model"])
+
+
 @query("f5_facets", " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM ({RADIO}) r GROUP BY 2" for c in ("brand", "intro_year", "dmr", "gps")), RADIO)
 def _(r: DataFrame) -> DataFrame:
     return R.facets(r, ["brand", "intro_year", "dmr", "gps"])
@@ -256,11 +274,19 @@ def _(m: DataFrame, a: DataFrame) -> DataFrame:
     return M.union_catalogs(m, a)
 
 
-@query("u2_reconcile", f"(SELECT b AS brand, m AS model, 'first' AS side FROM {_MK} EXCEPT SELECT b, m, 'first' FROM {_AK}) UNION ALL (SELECT b, m, 'second' FROM {_AK} EXCEPT SELECT b, m, 'second' FROM {_MK})", MASTER, ADDITIONS)
+_ONLY = f"(SELECT b AS brand, m AS model, 'first' AS side FROM {_MK} EXCEPT SELECT b, m, 'first' FROM {_AK}) UNION ALL (SELECT b, m, 'second' FROM {_AK} EXCEPT SELECT b, m, 'second' FROM {_MK})"
+
+
+@query("u2_reconcile", _ONLY, MASTER, ADDITIONS)
 def _(m: DataFrame, a: DataFrame) -> DataFrame:
     return M.reconcile(m, a)
 
 
+@query("u2_reconcile_by_digest", _ONLY, MASTER, ADDITIONS)
+def _(m: DataFrame, a: DataFrame) -> DataFrame:
+    return M.reconcile_by_digest(m, a)
+
+
 @query("w2_last_wins", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2", "SELECT user_id, event_type, event_id FROM events")
 def _(e: DataFrame) -> DataFrame:
     return M.last_wins(e, ["user_id", "event_type"], ["event_id"])
@@ -410,6 +436,13 @@ def _(r: DataFrame) -> DataFrame:
     return R.page(r, 2).select("id", "brand", "model")
 
 
+@query("t3_page_stored", f"SELECT id, brand, model FROM ({RADIO}) r ORDER BY brand, model, id LIMIT 5 OFFSET 150", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    table = PagedTable(new_path(r.sparkSession, "pages"))
+    table.create(r.select("id", "brand", "model"), 16)
+    return table.page(r.sparkSession, 31, 5)
+
+
 @query("t3_page_after", f"SELECT id, brand, model FROM ({RADIO}) r WHERE (brand, model, id) > ('Brand-14', 'm', 0) ORDER BY brand, model, id LIMIT 50", RADIO)
 def _(r: DataFrame) -> DataFrame:
     return R.page_after(r, "Brand-14", "m", 0).select("id", "brand", "model")

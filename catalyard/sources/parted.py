@@ -20,6 +20,15 @@ def part_of(keys: Sequence[str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys)), F.lit(parts)).cast("int")
 
 
+def store_schema(df: DataFrame, path: str) -> None:
+    """Writes the columns of ``df`` to ``path``/_table: a table of parts without a row doesn't show them."""
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "columns string").coalesce(1).write.mode("overwrite").text(f"{path}/_table")
+
+
+def stored_schema(spark: SparkSession, path: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_table").first().value))
+
+
 @dataclass(frozen=True)
 class PartedTable:
     """The rows of ``path``/part=N, N by the hash of ``keys``, one row a key; ``path``/_table holds the columns.
@@ -41,11 +50,10 @@ class PartedTable:
         """Stores ``df`` in place of all that was there, a file for each part."""
         placed = df.withColumn(PART, part_of(self.keys, self.parts)).repartition(PART)
         placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(self.path)
-        df.sparkSession.createDataFrame([(df.schema.json(),)], "columns string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_table")
+        store_schema(df, self.path)
 
     def _stored(self, spark: SparkSession) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(spark.read.text(f"{self.path}/_table").first().value))
-        return spark.read.schema(schema.add(PART, T.IntegerType())).parquet(self.path)
+        return spark.read.schema(stored_schema(spark, self.path).add(PART, T.IntegerType())).parquet(self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self._stored(spark).drop(PART)
