@@ -25,61 +25,57 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import bounded_batches, documents, stored, table
 from .tokens import _ODD_LED, Encoder, decode_ranks, encode_ranks
 
-#: Bytes of text in a block, and of those that are aligned together; words that each encoder of a worker remembers.
-BLOCK, STEP, CACHE = 12 << 20, 1 << 19, 300_000
+#: Bytes of text in a block, and of those that are aligned together; words that a worker remembers.
+BLOCK, STEP, CACHE = 12 << 20, 1 << 19, 600_000
 
 
-class BytesEncoder(Encoder):
-    """A byte-level vocabulary over texts with a space before them. Strings of special tokens are plain text; units whose
-    tokens don't spell their bytes have the one id ``bad``."""
+class BothEncoder(Encoder):
+    """Encodes a space and a text by both vocabularies at once: A's ids, and B's after A's last id. Strings of special tokens are
+    plain text. A unit whose tokens don't spell its bytes has the one id ``bad``."""
 
-    odd = _ODD_LED
+    odd, step = _ODD_LED, 1000
 
-    def __init__(self, path: str):
-        super().__init__(path, True, CACHE)
-        self.bad, self.marks, self.mark = self.mark_id, [], ""
-        self.plain.encode_special_tokens = True
-        vocab = self.plain.get_vocab()
-        self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        self.size[list(vocab.values())] = list(map(len, vocab))  # a character stands for a byte
-
-    def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.plain.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        return _checked(ids, texts, self.size, self.bad)
-
-
-class PieceEncoder(Encoder):
-    """The same for a vocabulary of pieces with byte fallback, which puts a space before a text itself."""
-
-    odd = _ODD_LED
-
-    def __init__(self, path: str):
-        self.spaced, self.cache, self.marks, self.mark = True, CACHE, [], ""
-        self.plain = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.plain.get_piece_size()
-        self.bad, self.dtype = self.plain.unk_id(), np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        pieces = map(self.plain.id_to_piece, range(n))
-        self.size = np.array([1 if self.plain.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)])
+    def __init__(self, path_a: str, path_b: str):
+        super().__init__(path_a, True, CACHE)
+        self.marks, self.mark, self.plain.encode_special_tokens = [], "", True
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        vocab, n_b = self.plain.get_vocab(), self.pieces.get_piece_size()
+        self.n_a, self.n_b = max(vocab.values()) + 1, n_b
+        self.bad, self.dtype = self.n_a + n_b, np.dtype("<u4")
+        #: Bytes of each id: a character of A's entries stands for a byte.
+        self.size = np.zeros(self.n_a + n_b, dtype=np.int64)
+        self.size[list(vocab.values())] = list(map(len, vocab))
+        names = map(self.pieces.id_to_piece, range(n_b))
+        self.size[self.n_a :] = [1 if self.pieces.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(names)]
         self._start()
 
+    def _pieces_of(self, texts: list[bytes]) -> list[list[int]]:
+        """B puts a space before a text, so a unit's own is left to it; other units, and a lone space, stand after a line end,
+        whose tokens are cut off."""
+        own = [t[:1] == b" " and len(t) > 1 for t in texts]
+        ids = self.pieces.encode([t[1:].decode() if o else "\n" + t.decode() for t, o in zip(texts, own)], num_threads=1)
+        return [x if o else x[2:] for x, o in zip(ids, own)]
+
     def _encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """A unit's own space is left to the tokenizer; before others stands a line end, whose tokens are cut off."""
-        asked = [t[1:].decode() if t[:1] == b" " else "\n" + t.decode() for t in texts]
-        ids = self.plain.encode(asked)
-        # A lone space is a text that the tokenizer takes as nothing: after a line end it is one.
-        alone = [i for i, t in enumerate(texts) if t == b" "]
-        for i, x in zip(alone, self.plain.encode(["\n "] * len(alone))):
-            ids[i] = x[2:]
-        ids = [x if t[:1] == b" " else x[2:] for x, t in zip(ids, texts)]
+        a = [e.ids for e in self.plain.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        b = self._pieces_of(texts)
+        want = np.array(list(map(len, texts)))
+        n_a, n_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        flat_a, flat_b = np.array([i for x in a for i in x], dtype=np.int64), np.array([i for x in b for i in x], dtype=np.int64) + self.n_a
+        spelled = [np.diff(np.r_[0, np.cumsum(self.size[x])][np.r_[0, np.cumsum(n)]]) for x, n in ((flat_a, n_a), (flat_b, n_b))]
         # U+2581 reads as a space, which is shorter: such units differ in size.
-        return _checked(ids, texts, self.size, self.bad)
-
-
-def _checked(ids: list[list[int]], texts: list[bytes], size: np.ndarray, bad: int) -> tuple[np.ndarray, np.ndarray]:
-    for i, (x, t) in enumerate(zip(ids, texts)):
-        if bad in x or int(size[x].sum() if x else 0) != len(t):
-            ids[i] = [bad]
-    return np.array([i for x in ids for i in x], dtype=np.int64), np.array([len(x) for x in ids])
+        good = (spelled[0] == want) & (spelled[1] == want)
+        if (unknown := flat_b == self.n_a + self.pieces.unk_id()).any():
+            good[np.repeat(np.arange(len(texts)), n_b)[unknown]] = False
+        if good.all():
+            at_b = np.repeat(np.cumsum(n_a), n_b) + np.arange(len(flat_b))  # a unit's ids of B come after its ids of A
+            out = np.empty(len(flat_a) + len(flat_b), dtype=np.int64)
+            rest = np.ones(len(out), dtype=bool)
+            rest[at_b] = False
+            out[at_b], out[rest] = flat_b, flat_a
+            return out, n_a + n_b
+        ids = [[*x, *(i + self.n_a for i in y)] if g else [self.bad] for x, y, g in zip(a, b, good.tolist())]
+        return np.array([i for x in ids for i in x], dtype=np.int64), np.array(list(map(len, ids)))
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -140,30 +136,31 @@ class Digits:
 
 
 class Aligner:
-    """Both encoders of a worker."""
+    """A worker's encoder, and its table of digits."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = BytesEncoder(path_a), PieceEncoder(path_b)
-        self.digits = Digits(max(len(self.a.size), len(self.b.size)) - 1)
-        self.n_b = len(self.b.size)
+        self.both = BothEncoder(path_a, path_b)
+        self.digits = Digits(max(self.both.n_a, self.both.n_b) - 1)
 
     def align(self, texts: pa.Array) -> dict[str, np.ndarray | list[str]]:
         """n_a, n_b, n_groups, n_links and sha of each text (strings, no nulls), and ``pairs`` (A id x ids of B + B id) of all
         links, text after text. Texts that are empty or whose tokens spell other bytes have none."""
-        n = len(texts)
-        led = pc.binary_join_element_wise(pa.scalar(""), texts, pa.scalar(" "))
-        (ids_a, n_a), (ids_b, n_b) = self.a.encode(led), self.b.encode(led)
-        doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
-        none = np.bincount(doc_a[ids_a == self.a.bad], minlength=n) + np.bincount(doc_b[ids_b == self.b.bad], minlength=n) > 0
-        none |= np.asarray(texts.to_numpy(zero_copy_only=False) == "", dtype=bool)
+        n, both = len(texts), self.both
+        ids, count = both.encode(pc.binary_join_element_wise(pa.scalar(""), texts, pa.scalar(" ")))
+        doc = np.repeat(np.arange(n), count)
+        none = np.bincount(doc[ids == both.bad], minlength=n) > 0
+        none |= pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         if none.any():
-            ids_a, ids_b = ids_a[~none[doc_a]], ids_b[~none[doc_b]]
-            n_a, n_b = np.where(none, 0, n_a), np.where(none, 0, n_b)
+            left = ~none[doc]
+            ids, doc = ids[left], doc[left]
+        of_b = ids >= both.n_a
+        ids_a, ids_b = ids[~of_b].astype(np.int64), ids[of_b].astype(np.int64) - both.n_a
+        n_a, n_b = np.bincount(doc[~of_b], minlength=n), np.bincount(doc[of_b], minlength=n)
         out = {"n_a": n_a, "n_b": n_b, "n_groups": np.zeros(n, np.int64), "n_links": np.zeros(n, np.int64), "sha": [""] * n, "pairs": np.empty(0, np.uint32)}
         full = np.flatnonzero(n_a)
         if not len(full):
             return out
-        a, b = np.cumsum(self.a.size[ids_a]), np.cumsum(self.b.size[ids_b])
+        a, b = np.cumsum(both.size[ids_a]), np.cumsum(both.size[ids_b + both.n_a])
         last = np.cumsum(n_a[full]) - 1
         cut = shared_cuts(a, b, last)
         cuts = np.flatnonzero(cut)
@@ -171,13 +168,18 @@ class Aligner:
         groups = np.diff(np.r_[0, np.searchsorted(cuts, last) + 1])
         out["n_groups"][full] = groups
         out["n_links"][full] = n_a[full] + n_b[full] - groups
-        ends = np.union1d(a, b)  # between neighbours, one token of each covers the bytes: a link
-        pair_a, pair_b = ids_a[np.searchsorted(a, ends)].astype(np.uint64), ids_b[np.searchsorted(b, ends)]
-        out["pairs"] = pair_a * np.uint64(self.n_b) + pair_b
-        # In writing, a group's tokens of A come before its tokens of B.
-        place_a = np.arange(len(a)) + np.r_[0, cuts_b + 1][np.cumsum(cut) - cut]
         cut_b = np.zeros(len(b), dtype=bool)
         cut_b[cuts_b] = True
+        # All ends in order, each once: those of A, and B's own. Between neighbours, one token of each covers the bytes: a link.
+        own = np.flatnonzero(~cut_b)
+        from_b = np.zeros(len(a) + len(own), dtype=bool)
+        from_b[np.searchsorted(a, b[own]) + np.arange(len(own))] = True
+        ends_b = from_b.copy()
+        ends_b[~from_b] = cut
+        place = lambda ends: np.cumsum(ends) - ends  # noqa: E731  how many ends come before: the token that covers the bytes
+        out["pairs"] = ids_a[place(~from_b)].astype(np.uint64) * np.uint64(both.n_b) + ids_b[place(ends_b)].astype(np.uint64)
+        # In writing, a group's tokens of A come before its tokens of B.
+        place_a = np.arange(len(a)) + np.r_[0, cuts_b + 1][np.cumsum(cut) - cut]
         place_b = np.arange(len(b)) + (cuts + 1)[np.cumsum(cut_b) - cut_b]
         ids = np.empty(len(a) + len(b), dtype=np.int64)
         ids[place_a], ids[place_b] = ids_a, ids_b

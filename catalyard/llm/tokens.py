@@ -50,7 +50,7 @@ class Encoder:
     ``cache``: units that are remembered (CACHE).
     """
 
-    odd = _ODD
+    odd, step = _ODD, 100  # units that are encoded in one call
 
     def __init__(self, path: str, spaced: bool, cache: int | None = None):
         self.spaced, self.plain, self.cache = spaced, Tokenizer.from_file(path), cache
@@ -77,8 +77,8 @@ class Encoder:
         return np.array([i for x in ids for i in x], dtype=np.int64), np.array([len(x) for x in ids])
 
     def _learn(self, new: list[bytes]) -> None:
-        for a in range(0, len(new), 100):
-            some = new[a : a + 100]
+        for a in range(0, len(new), self.step):
+            some = new[a : a + self.step]
             ids, n = self._encoded(some)
             used = int(self.ends[self.n])
             while used + len(ids) > len(self.flat):
