@@ -22,6 +22,10 @@ def escape(c: Column) -> Column:
     return c
 
 
+#: Pieces that lengths are added up over at a time.
+RUN = 128
+
+
 def unescape(c: Column) -> Column:
     for i, control in enumerate(CONTROLS):
         c = F.replace(c, F.lit(f"&c{i};"), F.lit(control))
@@ -48,19 +52,22 @@ def format_conversations(conversations: DataFrame, learn: str = "assistant") ->
         return F.struct(mark.alias("mark"), escape(t.text).alias("text"), (t.role == learn).alias("learn"))
 
     pieces = kept.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-
-    def add(acc: Column, p: Column) -> Column:
-        start = acc.at + F.length(p.mark)
-        span = F.struct(start.cast("bigint").alias("start"), F.length(p.text).cast("bigint").alias("length"))
-        return F.struct(
-            (start + F.length(p.text)).cast("bigint").alias("at"),
-            F.when(p.learn, F.concat(acc.spans, F.array(span))).otherwise(acc.spans).alias("spans"),
-        )
+    zero = F.lit(0).cast("bigint")
+    added = lambda x: F.aggregate(x, zero, lambda a, n: a + n)
+    pieces = pieces.withColumn("sizes", F.transform("pieces", lambda p: (F.length(p.mark) + F.length(p.text)).cast("bigint")))
+    # Where a piece begins: what earlier runs of RUN pieces take, and the pieces before it in its own.
+    runs = F.sequence(F.lit(0), F.expr(f"(size(pieces) - 1) div {RUN}").cast("int"))
+    pieces = pieces.withColumn("runs", F.transform(runs, lambda r: added(F.slice("sizes", r * RUN + 1, RUN))))
+    upto = F.aggregate("runs", F.array(zero), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    pieces = pieces.withColumn("before", upto)
+
+    def span(p: Column, i: Column) -> Column:
+        run = F.floor(i / RUN).cast("int")
+        start = F.get("before", run) + added(F.slice("sizes", run * RUN + 1, i - run * RUN)) + F.length(p.mark)
+        return F.when(p.learn, F.struct(start.cast("bigint").alias("start"), F.length(p.text).cast("bigint").alias("length")))
 
-    spans = F.aggregate("pieces", F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), add)
     joined = F.array_join(F.transform("pieces", lambda p: F.concat(p.mark, p.text)), "")
-    return pieces.select("conv_id", F.concat(joined, F.lit(END)).alias("formatted"), spans.spans.alias("loss_spans"))
+    return pieces.select("conv_id", F.concat(joined, F.lit(END)).alias("formatted"), F.array_compact(F.transform("pieces", span)).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
