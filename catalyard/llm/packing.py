@@ -222,11 +222,12 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = 0, capacity
     Null texts are empty (only the end id); very long texts are many pieces; repeated rows and ids are packed as often as
     they come; other columns are not read; an empty table gives an empty result. Only the histogram of lengths, at most
     ``capacity`` numbers, reaches the driver. Ranks within a length are counted in buckets of about ``BUCKET`` pieces, and
-    buckets before a bucket in groups of GROUP, so a length that most documents have is spread like any other.
+    buckets before a bucket in groups of GROUP, so a length or an id that most documents have is spread like any other; only
+    rows equal in id and text share a bucket.
     """
     cut = stored(pieces(docs, path, spaced, end, capacity), "pieces", "none")
     total = cut.count()
-    cut = cut.withColumn("bucket", bucket_of(max(1, -(-total // BUCKET)), "doc_id", "start"))
+    cut = cut.withColumn("tie", F.xxhash64("ids")).withColumn("bucket", bucket_of(max(1, -(-total // BUCKET)), "doc_id", "start", "tie"))
     counts = cut.groupBy("length", "bucket").count().withColumn("group", F.expr(f"bucket div {GROUP}"))
     counts = stored(counts, "length-counts")
     groups = stored(counts.groupBy("length", "group").agg(F.sum("count").alias("n")), "group-counts")
@@ -236,7 +237,7 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = 0, capacity
     within = F.expr("sum(count) over (partition by length, group order by bucket) - count")
     before = counts.withColumn("within", within).join(above, ["length", "group"])
     before = before.select("length", "bucket", (F.col("within") + F.col("above")).alias("before"))
-    inside = F.expr("row_number() over (partition by length, bucket order by doc_id, start, ids) - 1")
+    inside = F.expr("row_number() over (partition by length, bucket order by doc_id, start, tie) - 1")
     ranked = cut.withColumn("inside", inside).join(before.hint("shuffle_merge"), ["length", "bucket"])
     ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("inside") + F.col("before")).alias("rank"))
 
