@@ -8,9 +8,10 @@ from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, documents, stored, table
@@ -19,6 +20,8 @@ from .components import components
 BITS = 64
 #: A band's tree that would hold more fingerprints is split into shards; each fingerprint asks all of them.
 SHARD = 8192
+#: Fingerprints of a large band that all others are first compared with; rows that a task holds at a time.
+PIVOTS, HELD = 16, 200_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -170,13 +173,29 @@ def _links(group: np.ndarray, value: np.ndarray, own: np.ndarray, radius: int, b
     return linked, label[linked]
 
 
+def _core(band: pd.DataFrame) -> pd.DataFrame:
+    """The largest class of a band's pivots: rows tie u to v, and say how many u has."""
+    label: dict[int, int] = {}
+    top = lambda x: x if label.setdefault(x, x) == x else top(label[x])
+    for u, v in zip(band["u"].tolist(), band["v"].tolist()):
+        a, b = top(u), top(v)
+        label[max(a, b)] = min(a, b)
+    size: dict[int, int] = {}
+    for u, n in zip(band["u"].tolist(), band["n"].tolist()):
+        size[top(u)] = size.get(top(u), 0) + n
+    best = min(size, key=lambda c: (-size[c], c))
+    return pd.DataFrame({"i": [band["i"].iloc[0]], "key": [band["key"].iloc[0]], "core": [[x for x in list(label) if top(x) == best]]})
+
+
 def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of distinct ``fps`` (fp long) within ``radius`` bits.
 
     Every mask of ``band_masks`` gives each fingerprint a band; two within the radius share one, so nothing is lost.
-    A band is a BK-tree. One with over ``shard`` fingerprints is cut into shard trees and, by another hash, into blocks of
-    queries: each tree is sent to each block of the band, so that a task holds a tree and a block of about ``shard`` rows
-    each, however many share the band. A task returns a spanning forest of what it links, never all pairs.
+    A band is a BK-tree. One with over ``shard`` fingerprints is cut: those within the radius of one of its PIVOTS are linked to
+    that, pivots that share one to each other, and of the largest class of these, the core, no two need a look at each other.
+    The rest are cut into blocks of queries, all into shard trees of about ``shard``, and each tree meets each block. What is cut grows with the rest's square, not the band's; a task reads its
+    groups, of a tree and a block of about ``shard`` rows each, one after another, holding ``HELD`` rows or a group more.
+    A task returns a spanning forest of what it links, never all pairs.
     """
     spark = fps.sparkSession
     n_fps = fps.count()
@@ -186,37 +205,65 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
     banded = fps.select("fp", F.explode(bands).alias("band")).select("fp", "band.i", "band.key")
     large = banded.groupBy("i", "key").count().where(F.col("count") > shard)
     large = stored(large.select("i", "key", F.ceil(F.col("count") / shard).cast("int").alias("n")), "large-bands")
-    whole = banded
-    cuts = []
+    whole, cuts, found, rows = banded, [], None, n_fps * len(masks)
     if not large.isEmpty():  # at most a row for each ``shard`` rows of ``banded``
         split = banded.join(large, ["i", "key"])
         whole = banded.join(large.select("i", "key"), ["i", "key"], "left_anti")
-        tree, turn = (F.pmod(F.xxhash64("fp", F.lit(k)), F.col("n")).cast("int") for k in (1, 2))
-        every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        # A member of a tree asks in the block of its own number, so own rows go to all blocks of a tree, guests to all trees.
+        order = F.row_number().over(Window.partitionBy("i", "key").orderBy(F.xxhash64("fp"), "fp"))
+        chosen = split.withColumn("k", order).where(F.col("k") <= PIVOTS).groupBy("i", "key").agg(F.array_sort(F.collect_list("fp")).alias("pivots"))
+        near = F.filter("pivots", lambda p: F.bit_count(p.bitwiseXOR(F.col("fp"))) <= radius)
+        split = stored(split.join(chosen, ["i", "key"]).select("fp", "i", "key", "n", near.alias("near")), "cut-bands")
+        first = F.get("near", F.lit(0))
+        tied = split.where("size(near) > 1").select("i", "key", first.alias("u"), F.explode(F.slice("near", 2, PIVOTS)).alias("v")).distinct()
+        weight = split.where("size(near) > 0").groupBy("i", "key", first.alias("u")).agg(F.count("*").alias("n"))
+        about = weight.withColumn("v", F.col("u")).unionByName(tied.withColumn("n", F.lit(0).cast("long")))  # a band has at most PIVOTS squared rows here
+        core = about.groupBy("i", "key").applyInPandas(_core, "i int, key long, core array<long>")
+        found = split.where("size(near) > 0").select(F.col("fp").alias("u"), first.alias("v")).where("u <> v").union(tied.select("u", "v"))
+        inside = F.size(F.array_intersect("near", "core")) > 0
+        split = stored(split.join(core, ["i", "key"]).select("fp", "i", "key", "n", (~inside).alias("asks")), "asking")
+        rest = split.where("asks").groupBy("i", "key").agg(F.ceil(F.count("*") / shard).cast("int").alias("turns"))
+        split = split.join(rest, ["i", "key"])  # bands without a rest are done
+        tree, turn = (F.pmod(F.xxhash64("fp", F.lit(k)), F.col(n)).cast("int") for k, n in ((1, "n"), (2, "turns")))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        # All stand in a tree, which goes to all blocks of the rest; the rest ask in every tree.
         cuts = [
-            split.select("fp", "i", "key", tree.alias("tree"), every.alias("turn"), F.lit(1).alias("own")),
-            split.select("fp", "i", "key", every.alias("tree"), turn.alias("turn"), F.lit(0).alias("own")),
+            split.select("fp", "i", "key", tree.alias("tree"), every("turns").alias("turn"), F.lit(1).alias("own")),
+            split.where("asks").select("fp", "i", "key", every("n").alias("tree"), turn.alias("turn"), F.lit(0).alias("own")),
         ]
+        rows += split.agg(F.sum(F.col("turns") + F.when(F.col("asks"), F.col("n")).otherwise(0))).first()[0] or 0
     whole = whole.select("fp", "i", "key", F.lit(0).alias("tree"), F.lit(0).alias("turn"), F.lit(1).alias("own"))
     banded = reduce(DataFrame.union, cuts, whole)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
+    def linked(t: pa.Table) -> pa.RecordBatch:
         fp, i, key, tree, turn, own = (t.column(c).to_numpy() for c in ("fp", "i", "key", "tree", "turn", "own"))
         order = np.lexsort((fp, -own, turn, tree, key, i))
         fp, i, key, tree, turn, own = (x[order] for x in (fp, i, key, tree, turn, own))
         change = (np.diff(i) != 0) | (np.diff(key) != 0) | (np.diff(tree) != 0) | (np.diff(turn) != 0)
         group = np.r_[0, np.cumsum(change)]
         u, v = _links(group, fp.view(np.uint64)[:, None], own, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], ["u", "v"])
 
-    rows = math.ceil(n_fps * len(masks) / 500_000)
-    parts = max(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return banded.repartition(parts, "i", "key", "tree", "turn").mapInArrow(run, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if sum(x.num_rows for x in held) >= HELD:  # whole groups go; the last may go on in this batch
+                t = pa.Table.from_batches(held)
+                ids = [t.column(c).to_numpy() for c in ("i", "key", "tree", "turn")]
+                last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in ids]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield linked(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+            held.append(b)
+        if held:
+            yield linked(pa.Table.from_batches(held))
+
+    groups = ["i", "key", "tree", "turn"]
+    parts = max(math.ceil(rows / 500_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    links = banded.repartition(parts, *groups).sortWithinPartitions(*groups).mapInArrow(run, "u long, v long")
+    return (links if found is None else links.union(found)).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:

@@ -510,6 +510,38 @@ def test_sharded_bands_lose_no_link(spark):
     assert {x: got.get(x, x) for x in fps} == label
 
 
+def test_a_large_band_is_cut_evenly(spark, monkeypatch):
+    """50,000 fingerprints around two centres and between: no group over a tree and a block, and the classes are right."""
+    rng = np.random.default_rng(9)
+    one = int(rng.integers(0, 1 << 62))
+    flips = lambda base, most, n: {base ^ sum(1 << int(b) for b in rng.choice(range(10, 62), rng.integers(0, most + 1), replace=False)) for _ in range(n)}
+    far = one ^ (0xFFFFF << 20)
+    fps = sorted(flips(one, 3, 34_000) | flips(far, 2, 1600) | {one ^ sum(1 << b for b in range(20, 20 + k)) for k in range(20) if k % 4 == 3} | {int(x) for x in rng.integers(0, 1 << 62, 300)})
+    sizes = []
+    real = simhash._links
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(group, value, own, radius, block=4096):
+        most = int(np.unique(group, return_counts=True)[1].max())
+        if most > 2 * 1024 + 600:
+            seen.add(1)
+        return real(group, value, own, radius, block)
+
+    monkeypatch.setattr(simhash, "_links", watched)
+    edges = simhash.link_fingerprints(df, 4, shard=1024).cache()
+    assert edges.count() < 60 * len(fps) and seen.value == 0 and not sizes
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    value = np.array(fps, dtype=np.uint64)[:, None]
+    u, v = real(np.zeros(len(fps), dtype=np.int64), value, np.ones(len(fps), dtype=np.int64), 4)
+    label = {x: x for x in fps}
+    top = lambda x: x if label[x] == x else top(label[x])
+    for a, b in zip(u.tolist(), v.tolist()):
+        x, y = sorted((top(fps[a]), top(fps[b])))
+        label[y] = x
+    assert {x: got.get(x, x) for x in fps} == {x: top(x) for x in fps}
+
+
 def test_guests_near_a_root_ask_the_tree():
     """b-G-T-a, each 4 bits from the next, in the shard trees (a, G) and (b, T); T and G are guests near the other's root."""
     a, t, g, b = 0x0, 0xF, 0xFF, 0xFFF
