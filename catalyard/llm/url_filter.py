@@ -21,10 +21,15 @@ RULES = [
 ]
 
 _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: What holds no tags: comments (to the end where unclosed), scripts and styles.
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
+#: A tag with its attributes: a value is quoted, or goes up to white space; quotes elsewhere are characters.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_TAGS = rf"(?is)<(?:link|meta|base)(?=[\s/>])(?:[^>=]++|=\s*+{_VALUE}?+)*+>"
+_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+_REFRESH = r"(?is)^\s*[0-9.]+\s*[;,\s]\s*(?:url\s*=\s*)?(.+)$"
+#: Entities that are read in addresses, the ampersand last.
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 
 
 def host_of(url: Column) -> Column:
@@ -63,25 +68,79 @@ def resolved(target: Column, url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What aliases are classes of: host, path without dot segments (none: ``/``) and query; neither scheme nor fragment. Urls
-    that differ in their query are different nodes. Null without a host."""
+    """What aliases are classes of: host without its scheme's own port, path without dot segments (none: ``/``) and query; neither
+    scheme nor fragment. Urls that differ in their query are different nodes. Null without a host."""
     path = without_dots(path_of(url))
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query))
+    port = F.when(url.rlike("(?i)^http:"), ":(80)?$").when(url.rlike("(?i)^https:"), ":(443)?$").otherwise(":$")
+    host = F.regexp_replace(host_of(url), port, "")
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
+
+
+def _decoded(value: Column) -> Column:
+    """``value`` with numeric and the common named entities read, once."""
+    numbers = F.regexp_extract_all(value, F.lit(r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), 0)
+
+    def char(e: Column) -> Column:
+        digits = F.regexp_extract(e, "(?i)&#x?([0-9a-f]+);", 1)
+        code = F.when(e.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        code = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    # An ampersand that a number spells begins no entity, so it waits under a sign that is no part of an address.
+    out = F.aggregate(F.array_distinct(numbers), value, lambda v, e: F.replace(v, e, F.replace(char(e), F.lit("&"), F.lit("\0"))))
+    for entity, sign in _ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return F.replace(out, F.lit("\0"), F.lit("&"))
+
+
+def _attributes(tag: Column) -> Column:
+    """The attributes of a tag, (name in lower case, value), in order."""
+    parts = [F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), k) for k in range(1, 5)]
+    zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "nabc")))
+    return F.transform(zipped, lambda x: F.struct(ascii_lower(x["n"]).alias("name"), F.concat(x["a"], x["b"], x["c"]).alias("value")))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst), urls, for each canonical link and each refresh redirect in ``html``, however many a page has.
 
-    ``&amp;`` in a target is read as ``&``. Null, empty, very long and broken pages give the edges that they show.
+    Tags in comments, scripts and styles don't count. ``rel`` is a list of words, of which one is ``canonical``; of an attribute
+    given twice the first counts; entities in values are read. Targets are resolved against the first ``<base href>``, or the
+    page's url; those of other schemes than http and https are no edges. Null, empty, very long and broken pages give the
+    edges that they show.
     """
-
-    def targets(tag: str, address: str) -> Column:
-        return F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda t: F.replace(F.regexp_extract(t, address, 1), F.lit("&amp;"), F.lit("&")))
-
-    found = F.concat(targets(_LINK, _HREF), targets(_REFRESH, _TARGET))
-    links = pages.where("html is not null").select("url", F.explode(F.filter(found, lambda t: t != "")).alias("target"))
-    return links.where(host_of(F.col("url")) != "").select(F.col("url").alias("src"), resolved(F.col("target"), F.col("url")).alias("dst"))
+    shown = F.regexp_replace("html", _HIDDEN, " ")
+    tags = pages.where(F.col("html").isNotNull() & (host_of(F.col("url")) != "")).select("url", F.regexp_extract_all(shown, F.lit(_TAGS), 0).alias("tags"))
+    kind = lambda t: ascii_lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1))
+    read = F.transform("tags", lambda t: F.struct(kind(t).alias("kind"), _attributes(t).alias("has")))
+    tags = tags.where("size(tags) > 0").select("url", read.alias("tags"))
+
+    def value(tag: Column, name: str) -> Column:
+        return F.get(F.filter(tag.has, lambda x: x["name"] == name), F.lit(0)).value
+
+    def address(v: Column) -> Column:
+        return F.trim(F.regexp_replace(_decoded(v), r"[\t\r\n]", ""))
+
+    tags = tags.select("url", F.transform("tags", lambda t: F.struct(t.kind.alias("kind"), value(t, "href").alias("href"), value(t, "rel").alias("rel"), value(t, "http-equiv").alias("equiv"), value(t, "content").alias("content"))).alias("tags"))
+    base = F.get(F.filter("tags", lambda t: (t.kind == "base") & t.href.isNotNull()), F.lit(0)).href
+    based = tags.select("url", F.coalesce(address(base), F.lit("")).alias("base"), F.explode("tags").alias("t"))
+    rel = F.split(F.trim(ascii_lower(F.col("t.rel"))), r"\s+")
+    told = F.regexp_extract(_decoded(F.col("t.content")), _REFRESH, 1)
+    quoted = F.regexp_extract(told, r"""(?s)^(["'])(.*?)(?:\1|$)""", 2)
+    refresh = F.trim(F.regexp_replace(F.when(told.rlike("""^["']"""), quoted).otherwise(told), r"[\t\r\n]", ""))
+    target = F.when((F.col("t.kind") == "link") & F.array_contains(rel, "canonical"), address(F.col("t.href")))
+    target = target.when((F.col("t.kind") == "meta") & (F.trim(ascii_lower(F.col("t.equiv"))) == "refresh"), refresh)
+    links = based.select("url", "base", target.alias("target")).where("target <> ''")
+    web = ~F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | F.col("target").rlike("(?i)^https?://")
+    against = F.when((F.col("base") == "") | ~(~F.col("base").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | F.col("base").rlike("(?i)^https?://")), F.col("url")).otherwise(resolved(F.col("base"), F.col("url")))
+    links = links.where(web).select("url", "target", against.alias("against"))
+    return links.select(F.col("url").alias("src"), resolved(F.col("target"), F.col("against")).alias("dst"))
+
+
+#: Rules that are sent to all tasks, at most; more are met in tasks by suffix, each suffix in so many parts.
+BROADCAST_RULES, PARTS = 100_000, 16
+#: Classes of more nodes than this, or one in so many of all, are decided by a broadcast: there are at most LARGE_SHARE.
+LARGE_CLASS, LARGE_SHARE = 100_000, 1000
 
 
 def match_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -94,6 +153,16 @@ def match_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rules = rules.select("rule_host", "rule_path", "action").dropna().distinct()
     lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    few = rules.count() <= BROADCAST_RULES
+    part = F.pmod(F.xxhash64("host", "path"), F.lit(PARTS)).cast("int")
+
+    def met(asked: DataFrame, by: DataFrame, keys: list[str]) -> DataFrame:
+        """An equality join in which no suffix, however common, is one task's: all rules go along, or a copy to each part."""
+        if few:
+            return asked.join(F.broadcast(by), keys)
+        copies = by.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        return asked.withColumn("part", part).join(copies, [*keys, "part"]).drop("part")
+
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
@@ -101,7 +170,7 @@ def match_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     asked = (
         addresses.where("host <> ''")
         .select("host", "path", F.explode(suffixes).alias("rule_host"))
-        .join(lengths, "rule_host")
+        .transform(met, lengths, ["rule_host"])
         .select("host", "path", "rule_host", F.explode("lengths").alias("n"))
         .where("length(path) >= n")
         .select("host", "path", "rule_host", F.expr("substr(path, 1, n)").alias("rule_path"))
@@ -111,7 +180,7 @@ def match_rules(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     )
     best = F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "action"), rank)
     return (
-        asked.join(rules, ["rule_host", "rule_path"])
+        met(asked, rules, ["rule_host", "rule_path"])
         .groupBy("host", "path")
         .agg(best.alias("best"))
         .select("host", "path", "best.rule", "best.action")
@@ -142,7 +211,12 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) ->
     if classes is not None:
         acted = ends.join(ruled, ["host", "path"]).select("node", "action").distinct()
         decided = classes.join(acted, "node").groupBy("component").agg(F.min("action").alias("inherited"))  # allow before block
-        alias = classes.join(decided, "component").select("node", "inherited")
+        sizes = stored(classes.groupBy("component").count(), "class-sizes")
+        most = F.greatest(F.lit(LARGE_CLASS), F.floor(F.sum("count") / LARGE_SHARE)).alias("most")
+        large = sizes.where(F.col("count") > (sizes.agg(most).first().most or LARGE_CLASS)).select("component")
+        giant = decided.join(F.broadcast(large), "component")  # at most LARGE_SHARE rows
+        small = classes.join(F.broadcast(large), "component", "left_anti").join(decided, "component")
+        alias = small.select("node", "inherited").unionByName(classes.join(F.broadcast(giant), "component").select("node", "inherited"))
         out = out.withColumn("node", node_of(F.col("url"))).join(alias, "node", "left")
         inherited = F.col("inherited")
     return out.select(

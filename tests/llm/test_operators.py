@@ -427,6 +427,43 @@ def test_page_edges(spark):
     assert sorted(tuple(r) for r in got) == [("a.net/", "a.net/w/"), ("a.net/x", "c.net/k"), ("a.net/x/y", "a.net/x/y?k"), ("a.net/x/y", "a.net/z"), ("a.net/x/y", "b.net/q?1&2")]
 
 
+LINKS = [
+    ('<link rel="alternate canonical" href=/a>', ["p.net/a"]), ('<link rel=canonical data-href="/no" href="/a">', ["p.net/a"]), ('<link rel=canonical data-href="/no">', []),
+    ('<!-- <link rel=canonical href=/no> --><link rel=canonical href=/a>', ["p.net/a"]), ('<link rel=canonical href=/a><!-- <link rel=canonical href=/no>', ["p.net/a"]),
+    ('<script>"<link rel=canonical href=/no>"</script><style>x</style ><link href=/a rel=canonical>', ["p.net/a"]), ('<base target=x><base href="//b.net/d/e"><base href=/n><link rel=canonical href=f>', ["b.net/d/f"]),
+    ('<link rel=canonical href="/q?a=1&#38;b=2&#x26;c&amp;d&#38;amp;">', ["p.net/q?a=1&b=2&c&d&amp;"]), ('<link rel=canonical href="&#104;&#x74;tp://é.net/&#8364;&#0;">', ["é.net/€\ufffd"]),
+    ('<link rel=canonical href="mailto:x@y.net"><link rel=canonical href="javascript:a://b">', []), ('<link rel=canonical href=http://h.net:80/a><link rel=canonical href=https://h.net:443/a><link rel=canonical href=http://h.net:443/a>', ["h.net/a", "h.net/a", "h.net:443/a"]),
+    ("""<meta http-equiv=refresh content="0; url='/b c'">""", ["p.net/b c"]), ('<META content="5;URL=http://r.net/x" HTTP-EQUIV="Refresh">', ["r.net/x"]), ('<meta http-equiv="refresh" content="3">', []), ('<meta http-equiv=refresh content="0;/z">', ["p.net/z"]),
+    ("<link rel='canonical' title='a > b' href='/a'>", ["p.net/a"]), ("<link title=it's rel=canonical href=/a>", ["p.net/a"]), ('<link title="rel=canonical" href=/no>', []), ('<linker rel=canonical href=/no>', []), ('<link rel="canonicals" href=/no>', []),
+    ('<link rel=canonical href="/a" href="/b">', ["p.net/a"]), ('<link rel=canonical href="\n /a\t">', ["p.net/a"]), ('<link rel=canonical href="">', []), ('<link rel=canonical href="/never closed', []), ('<base href="mailto:x"><link rel=canonical href=a/>', ["p.net/d/a/"]), ("<link " + "x=1 " * 300 + "rel=canonical href=/a>", ["p.net/a"]),
+]
+
+
+def test_links_as_html_has_them(spark):
+    pages = spark.createDataFrame([(f"http://p.net:80/d/{k}", h) for k, (h, _) in enumerate(LINKS)], "url string, html string")
+    got = {}
+    for r in url_filter.page_edges(pages).select("src", url_filter.node_of(F.col("dst")).alias("d")).collect():
+        got.setdefault(int(r.src.rsplit("/", 1)[1]), []).append(r.d)
+    assert {k: sorted(got.get(k, [])) for k in range(len(LINKS))} == {k: sorted(want) for k, (_, want) in enumerate(LINKS)}
+
+
+@pytest.mark.parametrize("rules", [100_000, 0])
+def test_a_giant_class_is_decided_in_many_tasks(spark, monkeypatch, rules):
+    monkeypatch.setattr(url_filter, "LARGE_CLASS", 50)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", rules)
+    urls = [f"http://n{i}.net/" for i in range(300)] + ["http://m1.net/", "http://m2.net/", "http://lone.net/"]
+    edges = [(urls[i], urls[i + 1 if i % 7 else 0]) for i in range(299)] + [(urls[298], urls[299]), (urls[5], "http://b.com/de/1"), ("http://m1.net/", "http://m2.net/"), ("http://m2.net", "http://b.com/fr/2")]
+    judged = url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), spark.createDataFrame(url_filter.RULES, "rule_host string, rule_path string, action string"), spark.createDataFrame(edges, "src string, dst string"))
+    label = {u: u for e in edges for u in (e[0].rstrip("/"), e[1].rstrip("/"))}
+    for _ in range(400):
+        for u, v in edges:
+            u, v = u.rstrip("/"), v.rstrip("/")
+            label[u] = label[v] = min(label[u], label[v])
+    block, allow = label["http://b.com/de/1"], label["http://b.com/fr/2"]
+    want = {i: "block" if label.get(u.rstrip("/")) == block != allow else "allow" for i, u in enumerate(urls)}
+    assert {r.page_id: r.verdict for r in judged.collect()} == want and list(want.values()).count("block") > 200
+
+
 def test_pages_inherit_through_the_query(spark, tmp_path):
     """A chain of canonical links and redirects in pages, through the registered query itself."""
     rows = [
