@@ -17,7 +17,7 @@ MERGE_FIELDS = [
 ]
 
 
-def _notes(mine: Column, other: Column) -> Column:
+def joined_notes(mine: Column, other: Column) -> Column:
     """Other notes go below one's own unless they are part of them."""
     new = (text(other) != "") & ~F.contains(text(mine), text(other))
     return F.when(text(mine) == "", text(other)).when(new, F.concat(mine, F.lit("\n"), other)).otherwise(mine)
@@ -39,7 +39,7 @@ def merge_brand(radio: DataFrame, source: str, target: str, fields: Sequence[str
 
     def value(c: str) -> Column:
         mine, other = F.col(c), F.col(f"_s_{c}")
-        merged = _notes(mine, other) if c == "notes" else F.when(blank(radio, c), other).otherwise(mine) if c in fields else mine
+        merged = joined_notes(mine, other) if c == "notes" else F.when(blank(radio, c), other).otherwise(mine) if c in fields else mine
         return F.when(F.col("_t").isNull(), other).when(F.col("_s").isNull(), mine).otherwise(merged).alias(c)
 
     moved = both.select(F.lit(target).alias("brand"), "model", *map(value, cols))
@@ -57,19 +57,24 @@ def clean_prefix(radio: DataFrame, brand: str, code: str, fields: Sequence[str]
     mine = F.col("brand") == brand
     has = F.startswith(F.col("model"), F.lit(code))
     part = radio.where(mine).withColumn("_name", F.when(has, strip_code_prefix(F.col("model"), F.lit(code))).otherwise(F.col("model")))
-    at = F.struct(has.alias("had"), "model", order)
+    return radio.where(~mine | mine.isNull()).unionByName(fold_prefixed(part.withColumn("_had", has), radio, ["_name"], fields, order))
+
+
+def fold_prefixed(part: DataFrame, radio: DataFrame, by: Sequence[str], fields: Sequence[str], order: str) -> DataFrame:
+    """Rows of ``part`` (columns of ``radio``, _name, _had) that share ``by`` as one, named _name: those that had the name go first."""
+    at = F.struct(F.col("_had").alias("had"), "model", order)
     filled = [c for c in fields if c in radio.columns and c != "notes"]
     first = {c: F.min_by(F.col(c), F.when(~blank(radio, c), at)).alias(f"_f_{c}") for c in filled}
     told = text(F.col("notes")) if "notes" in radio.columns else F.lit("")
     notes = F.sort_array(F.collect_list(F.when(told != "", F.struct(at.alias("at"), told.alias("t")))))
-    one = part.groupBy("_name").agg(F.min_by(F.struct(*radio.columns), at).alias("_row"), notes.alias("_notes"), *first.values())
+    one = part.groupBy(*by).agg(F.min_by(F.struct(*radio.columns), at).alias("_row"), notes.alias("_notes"), *first.values())
     fold = F.aggregate("_notes", F.lit(""), lambda a, x: F.when(a == "", x.t).when(F.contains(a, x.t), a).otherwise(F.concat(a, F.lit("\n"), x.t)))
 
     def value(c: str) -> Column:
         own = F.col(f"_row.{c}")
         return (F.col("_name") if c == "model" else fold if c == "notes" else F.coalesce(f"_f_{c}", own) if c in filled else own).alias(c)
 
-    return radio.where(~mine | mine.isNull()).unionByName(one.select(*map(value, radio.columns)))
+    return one.select(*map(value, radio.columns))
 
 
 def dedupe_catalog(radio: DataFrame, fields: Sequence[str] = MERGE_FIELDS, order: str = "id") -> DataFrame:

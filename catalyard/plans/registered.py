@@ -11,6 +11,7 @@ from ..functions import codes as C
 from ..functions import text as X
 from ..operators import maintain as D
 from ..operators import matching as M
+from ..operators import renames as N
 from ..operators import reports as R
 from ..operators import upsert as U
 from ..sources import readers as S
@@ -495,6 +496,45 @@ def _(r: DataFrame, m: DataFrame) -> DataFrame:
     return D.rename_brands(r.select("id", "brand"), m)
 
 
+#: Merges by turn: a chain, two into one, and one out of a brand before another comes in.
+_TURNS = [("Brand-11", "Brand-12"), ("Brand-12", "Brand-13"), ("Brand-14", "Brand-13"), ("Brand-21", "Brand-22"), ("Brand-23", "Brand-21"), ("Brand-24", "New")]
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS source, '{b}' AS target, {i} AS at" for i, (a, b) in enumerate(_TURNS))
+_PREFIXES = [("Brand-7", "s"), ("Brand-8", "me"), ("Brand-9", "la")]
+
+
+def _stepwise(first: str, *steps: Callable[[str], str]) -> str:
+    """SQL of one step after another over ``first``."""
+    parts = [f"r0 AS ({first})"] + [f"r{i} AS ({step(f'SELECT * FROM r{i - 1}')})" for i, step in enumerate(steps, 1)]
+    return f"WITH {', '.join(parts)} SELECT * FROM r{len(steps)}"
+
+
+@query("m4_merge_brands", _stepwise(UNIQUE, *(lambda rows, a=a, b=b: _merge_sql(rows, a, b) for a, b in _TURNS)), UNIQUE, _PAIRS)
+def _(r: DataFrame, p: DataFrame) -> DataFrame:
+    return N.merge_brands(r, p)
+
+
+@query("m5_clean_prefixes", _stepwise(CATALOG, *(lambda rows, b=b, c=c: _clean_sql(rows, b, c) for b, c in _PREFIXES)), CATALOG, " UNION ALL ".join(f"SELECT '{b}' AS brand, '{c}' AS code" for b, c in _PREFIXES))
+def _(r: DataFrame, c: DataFrame) -> DataFrame:
+    return N.clean_prefixes(r, c)
+
+
+#: Old and new names, with chains.
+_CHAINED = """SELECT replace(p_brand, '#', '-') AS source, CASE WHEN max(p_size) % 2 = 0 THEN 'Even' ELSE concat('Odd ', right(p_brand, 1)) END AS target FROM part WHERE p_brand <> 'Brand#11' GROUP BY p_brand
+  UNION ALL SELECT 'Even', 'Odd 2' UNION ALL SELECT 'Odd 2', 'Last' UNION ALL SELECT 'Odd 1', 'Brand-11'"""
+_NAMED_BRANDS = f"SELECT brand AS name, code FROM ({CODES}) c"
+
+
+@query("m7_rename_chains", f"""WITH RECURSIVE m AS ({_CHAINED}), w(source, name) AS (SELECT source, target FROM m UNION ALL SELECT w.source, m.target FROM w JOIN m ON m.source = w.name),
+    e AS (SELECT source, name FROM w WHERE name NOT IN (SELECT source FROM m)) SELECT id, coalesce(e.name, brand) AS brand FROM ({RADIO}) r LEFT JOIN e ON e.source = r.brand""", RADIO, _NAMED_BRANDS, _CHAINED)
+def _(r: DataFrame, b: DataFrame, m: DataFrame) -> DataFrame:
+    return N.rename_in_both(r.select("id", "brand"), b, m)[0]
+
+
+@query("m7_rename_counts", f"SELECT (SELECT count(*) FROM ({RADIO}) r WHERE brand IN (SELECT source FROM ({_CHAINED}) m)) AS radios, (SELECT count(*) FROM ({_NAMED_BRANDS}) b WHERE name IN (SELECT source FROM ({_CHAINED}) m)) AS brands", RADIO, _NAMED_BRANDS, _CHAINED)
+def _(r: DataFrame, b: DataFrame, m: DataFrame) -> DataFrame:
+    return N.rename_counts(r, b, m)
+
+
 _GROUPS = "SELECT p_partkey AS id, p_partkey % 100 AS group_id FROM part WHERE p_partkey % 10 < 5"
 _PICKS = "SELECT p_partkey % 100 AS group_id, CASE WHEN p_partkey % 3 = 0 THEN 'dmr' ELSE 'intro_year' END AS field, max(p_partkey) AS id FROM part WHERE p_partkey % 10 < 3 GROUP BY 1, 2"
 
