@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.codes import coded
@@ -74,6 +74,17 @@ def merge_catalogs(master: DataFrame, additions: DataFrame, ordinal: str = "ordi
     return out.withColumn("brand", F.col("_b")).drop("_b", "_m")
 
 
+def merge_counted(master: DataFrame, additions: DataFrame, ordinal: str = "ordinal") -> tuple[DataFrame, Observation]:
+    """``merge_catalogs``, and what tells ``rows``, ``kept`` and ``removed`` once the frame has been written: nothing is read for it."""
+    both, order, seen = _both(master, additions), [F.col("source_no"), F.col(ordinal)], Observation()
+    rest = [c for c in both.columns if c not in ("_b", "_m")]
+    pick = F.min_by(F.struct(*rest), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))))
+    one = both.groupBy("_b", "_m").agg(pick.alias("_row"), F.count("*").alias("_times"))
+    rows = F.coalesce(F.sum("_times"), F.lit(0))
+    one = one.observe(seen, rows.alias("rows"), F.count("*").alias("kept"), (rows - F.count("*")).alias("removed"))
+    return one.select(*(F.col("_b").alias(c) if c == "brand" else F.col(f"_row.{c}") for c in rest)), seen
+
+
 def merge_counts(master: DataFrame, additions: DataFrame) -> DataFrame:
     """rows, kept and removed of ``merge_catalogs``."""
     n = _both(master, additions).groupBy("_b", "_m").agg(F.count("*").alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import make_id, search_url, text
+from ..sources.scratch import written
 
 
 def search(df: DataFrame, query: str, columns: Sequence[str] = ("brand", "model", "fcc_id")) -> DataFrame:
@@ -96,6 +97,61 @@ def models_by_manufacturer(df: DataFrame) -> DataFrame:
     return df.groupBy("brand").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("models"))
 
 
+def first_models(df: DataFrame, n: int = 100) -> DataFrame:
+    """(brand, n, models) as ``models_by_manufacturer``, with the first ``n`` models at most; n counts all. Each task sends a
+    brand's first ``n`` on, so no brand is one task's load. ``models_of`` has the whole list, as rows."""
+    place = F.row_number().over(Window.partitionBy("brand").orderBy("model"))
+    some = df.where("model is not null").select("brand", "model").withColumn("place", place).where(F.col("place") <= n)
+    listed = some.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("place", "model"))).alias("some"))  # at most n
+    counts = df.groupBy("brand").agg(F.count("*").alias("n"))
+    models = F.array_join(F.transform("some", lambda x: x.model), ", ")
+    joined = counts.withColumnRenamed("brand", "_brand").join(listed, F.col("_brand").eqNullSafe(F.col("brand")), "left")
+    return joined.select(F.col("_brand").alias("brand"), "n", text(models).alias("models"))
+
+
+def models_of(df: DataFrame) -> DataFrame:
+    """(brand, place, model): the whole lists, sorted, as rows; places count from 1 in each brand. Rows are dealt by ranges, so a
+    brand of any size is many tasks'; what is before a range comes from a row for each range and brand."""
+    ordered = df.select("brand", "model").repartitionByRange("brand", "model").sortWithinPartitions("brand", "model")
+    ordered = written(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ordered")
+    counts = ordered.groupBy("brand", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("brand").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("brand").alias("_b"), F.col("part").alias("_p"), "first", before.alias("before"))
+    joined = ordered.join(starts, F.col("brand").eqNullSafe(F.col("_b")) & (F.col("part") == F.col("_p")))
+    return joined.select("brand", (F.col("before") + F.col("row") - F.col("first") + 1).alias("place"), "model")
+
+
+#: Size of a sketch of distinct values: 2^14 registers, an error of 0.8 %.
+SKETCH = 14
+
+
+def part_sketches(df: DataFrame, part: str) -> DataFrame:
+    """(part, n_rows, brands): how many rows each part has, and a sketch of its distinct brands. Kept beside the parts, it is made
+    anew for those that change."""
+    return df.groupBy(part).agg(F.count("*").alias("n_rows"), F.hll_sketch_agg("brand", SKETCH).alias("brands"))
+
+
+def totals_of(sketches: DataFrame) -> DataFrame:
+    """``totals`` from sketches of parts, without a row being read: n_rows is exact, n_brands within about 2 %."""
+    rows = F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")
+    brands = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("brands")), F.lit(0)).alias("n_brands")
+    return sketches.agg(rows, brands)
+
+
+def part_counts(df: DataFrame, part: str) -> DataFrame:
+    """(part, brand, n), which ``counts_of`` adds up to ``count_by_brand``."""
+    return df.groupBy(part, "brand").agg(F.count("*").alias("n"))
+
+
+def counts_of(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("brand").agg(F.sum("n").alias("n")).orderBy("brand")
+
+
+def renewed(stored: DataFrame, changed: DataFrame, part: str) -> DataFrame:
+    """Sketches or counts of parts after some parts were written anew: those of ``changed`` in place of the old."""
+    return stored.join(changed.select(part).distinct(), part, "left_anti").unionByName(changed)
+
+
 def generation_tally(df: DataFrame, codes: DataFrame) -> DataFrame:
     """processed, generated and without_code rows."""
     one = codes.groupBy("brand").agg(F.max("code").alias("code"))

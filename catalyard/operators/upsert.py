@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import bad_year, parse_battery, parse_year, strip_ws, text
@@ -48,6 +48,16 @@ def tally(upserted: DataFrame, overwrite: bool = True, errors: DataFrame | None
     return rows.agg(created.alias("created"), updated.alias("updated"), skipped.alias("skipped"), bad.alias("errors"), total.alias("total"))
 
 
+def counted(upserted: DataFrame, overwrite: bool = True) -> tuple[DataFrame, Observation]:
+    """``upserted`` itself, and what tells created, updated, skipped and total once it has been written: the counts of ``tally``
+    in the same pass."""
+    seen = Observation()
+    created, total = F.count_if(F.col("action") == "created"), F.coalesce(F.sum("times"), F.lit(0))
+    again, none = total - created, F.count_if(F.lit(False))
+    updated, skipped = (again, none) if overwrite else (none, again)
+    return upserted.observe(seen, created.alias("created"), updated.alias("updated"), skipped.alias("skipped"), total.alias("total")), seen
+
+
 def stamp_times(upserted: DataFrame, now: Column) -> DataFrame:
     """created_at and updated_at: an insert sets both, an update the second."""
     return upserted.withColumn("created_at", F.when(F.col("action") == "created", now).otherwise(F.col("created_at"))).withColumn(

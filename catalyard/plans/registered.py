@@ -17,7 +17,7 @@ from ..operators import upsert as U
 from ..sources import readers as S
 from ..sources.paged import PagedTable
 from ..sources.parted import PartedTable
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, written
 from ..sources.search_index import TrigramIndex
 from . import workloads as W
 from .tables import ADDITIONS, BATCH, CATALOG, CODES, FILE, FINDS, GRANTED, GRANTEES, GRANTS, MASTER, NEW_BRANDS, OLD_BRANDS, RADIO, REGISTRY, STATE, UNIQUE, view
@@ -406,6 +406,26 @@ def _(r: DataFrame) -> DataFrame:
     return R.models_by_manufacturer(r)
 
 
+@query("a8_first_models", f"SELECT brand, count(*) AS n, string_agg(model, ', ' ORDER BY model) FILTER (k <= 20) AS models FROM (SELECT brand, model, row_number() OVER (PARTITION BY brand ORDER BY model) AS k FROM ({RADIO}) r) GROUP BY 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.first_models(r, 20)
+
+
+@query("a8_models_of", f"SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY model) AS place, model FROM ({RADIO}) r", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.models_of(r)
+
+
+@query("a4_totals_of_sketches", f"SELECT count(*) AS n_rows, count(DISTINCT brand) AS n_brands FROM ({RADIO}) r", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.totals_of(written(R.part_sketches(r.withColumn("part", F.col("id") % 16), "part"), "sketches"))
+
+
+@query("a1_counts_of_parts", f"SELECT brand, CAST(count(*) AS BIGINT) AS n FROM ({RADIO}) r GROUP BY 1", RADIO)
+def _(r: DataFrame) -> DataFrame:
+    return R.counts_of(written(R.part_counts(r.withColumn("part", F.col("id") % 16), "part"), "counts"))
+
+
 @query("a9_generation_tally", f"SELECT count(*) AS processed, count(code) AS generated, count(*) - count(code) AS without_code FROM ({RADIO}) r LEFT JOIN ({CODES}) c USING (brand)", RADIO, CODES)
 def _(r: DataFrame, c: DataFrame) -> DataFrame:
     return R.generation_tally(r, c)

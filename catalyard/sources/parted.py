@@ -6,11 +6,11 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.upsert import upsert
+from ..operators.upsert import counted, upsert
 
 PART = "part"
 
@@ -73,10 +73,7 @@ class PartedTable:
         some = self.touched(batch)
         old = self._stored(spark).where(F.col(PART).isin(some)).drop(PART)
         new = upsert(old, batch.select(*old.columns, *(c for c in order if c not in old.columns)), self.keys, update, order, overwrite)
-        seen = Observation()
-        counts = [F.count_if(F.col("action") == "created").alias("created"), F.coalesce(F.sum("times"), F.lit(0)).alias("total")]
-        placed = new.observe(seen, *counts).select(*old.columns, part_of(self.keys, self.parts).alias(PART)).repartition(PART)
+        new, seen = counted(new, overwrite)
+        placed = new.select(*old.columns, part_of(self.keys, self.parts).alias(PART)).repartition(PART)
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
-        created, total = seen.get["created"], seen.get["total"]
-        again = total - created
-        return {"created": created, "updated": again * overwrite, "skipped": again * (not overwrite), "total": total, "parts": len(some)}
+        return {**seen.get, "parts": len(some)}
