@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return back
 
 
+def sent_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a hint to broadcast it, if it has so many short rows at most; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm

@@ -14,14 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, documents, stored, table
+from .common import bounded_batches, discard, documents, sent_if_small, stored, table
 from .components import components
 
 BITS = 64
 #: A band's tree that would hold more fingerprints is split into shards; each fingerprint asks all of them.
 SHARD = 8192
 #: Fingerprints of a large band that all others are first compared with; rows that a task holds at a time.
-PIVOTS, HELD = 16, 200_000
+BAND_PIVOTS, HELD = 16, 200_000
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
     """Edges (u, v) whose components are those of all pairs of distinct ``fps`` (fp long) within ``radius`` bits.
 
     Every mask of ``band_masks`` gives each fingerprint a band; two within the radius share one, so nothing is lost.
-    A band is a BK-tree. One with over ``shard`` fingerprints is cut: those within the radius of one of its PIVOTS are linked to
+    A band is a BK-tree. One with over ``shard`` fingerprints is cut: those within the radius of one of its BAND_PIVOTS are linked to
     that, pivots that share one to each other, and of the largest class of these, the core, no two need a look at each other.
     The rest are cut into blocks of queries, all into shard trees of about ``shard``, and each tree meets each block. What is cut grows with the rest's square, not the band's; a task reads its
     groups, of a tree and a block of about ``shard`` rows each, one after another, holding ``HELD`` rows or a group more.
@@ -210,13 +210,13 @@ def link_fingerprints(fps: DataFrame, radius: int, shard: int = SHARD) -> DataFr
         split = banded.join(large, ["i", "key"])
         whole = banded.join(large.select("i", "key"), ["i", "key"], "left_anti")
         order = F.row_number().over(Window.partitionBy("i", "key").orderBy(F.xxhash64("fp"), "fp"))
-        chosen = split.withColumn("k", order).where(F.col("k") <= PIVOTS).groupBy("i", "key").agg(F.array_sort(F.collect_list("fp")).alias("pivots"))
+        chosen = split.withColumn("k", order).where(F.col("k") <= BAND_PIVOTS).groupBy("i", "key").agg(F.array_sort(F.collect_list("fp")).alias("pivots"))
         near = F.filter("pivots", lambda p: F.bit_count(p.bitwiseXOR(F.col("fp"))) <= radius)
         split = stored(split.join(chosen, ["i", "key"]).select("fp", "i", "key", "n", near.alias("near")), "cut-bands")
         first = F.get("near", F.lit(0))
-        tied = split.where("size(near) > 1").select("i", "key", first.alias("u"), F.explode(F.slice("near", 2, PIVOTS)).alias("v")).distinct()
+        tied = split.where("size(near) > 1").select("i", "key", first.alias("u"), F.explode(F.slice("near", 2, BAND_PIVOTS)).alias("v")).distinct()
         weight = split.where("size(near) > 0").groupBy("i", "key", first.alias("u")).agg(F.count("*").alias("n"))
-        about = weight.withColumn("v", F.col("u")).unionByName(tied.withColumn("n", F.lit(0).cast("long")))  # a band has at most PIVOTS squared rows here
+        about = weight.withColumn("v", F.col("u")).unionByName(tied.withColumn("n", F.lit(0).cast("long")))  # a band has at most BAND_PIVOTS squared rows here
         core = about.groupBy("i", "key").applyInPandas(_core, "i int, key long, core array<long>")
         found = split.where("size(near) > 0").select(F.col("fp").alias("u"), first.alias("v")).where("u <> v").union(tied.select("u", "v"))
         inside = F.size(F.array_intersect("near", "core")) > 0
@@ -442,9 +442,9 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     texts = here.join(named.hint("merge"), same).dropDuplicates(["id"]).select("id", "cluster", "text")
     held = stored(texts.mapInArrow(sets, "id long, cluster long, n long, s binary"), "shingle-sets")
     sizes = held.groupBy("cluster").agg(F.sum("n").alias("hashes"), F.count("*").alias("members")).withColumn("blocks", blocks("hashes", "members"))
-    large = stored(sizes.where("blocks > 1"), "large-clusters")  # of HASHES or MEMBERS at least: few rows
+    large = stored(sizes.where("blocks > 1"), "large-clusters")
     hashes = held.agg(F.sum("n")).first()[0] or 0
-    cut = held.join(F.broadcast(large.select("cluster", "blocks", "members")), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = held.join(sent_if_small(large.select("cluster", "blocks", "members")), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.col("members")) < PIVOTS)
     where = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))
@@ -458,14 +458,15 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     of = stored(of.select("cluster", "blocks", "id", "n", "s", F.coalesce("component", "id").alias("class")), "classed-sets")
     classes = of.groupBy("cluster", "class").count()
     most = classes.groupBy("cluster").agg(F.max_by("class", F.struct("count", "class")).alias("most"))
-    of = of.join(F.broadcast(most), "cluster")
+    of = of.join(sent_if_small(most), "cluster")
     asking = of.where("class <> most")
     rounds = asking.groupBy("cluster").agg(F.sum("n").alias("hashes"), F.count("*").alias("members"))
     rounds = stored(rounds.select("cluster", blocks("hashes", "members").alias("rounds")), "asking")
     if rounds.isEmpty():
         return first
     turn = F.pmod(F.xxhash64("id", F.lit(2)), F.col("rounds")).cast("int")
-    of, asking = (x.join(F.broadcast(rounds), "cluster") for x in (of, asking))
+    rounds = sent_if_small(rounds)
+    of, asking = (x.join(rounds, "cluster") for x in (of, asking))
     asks = asking.select("cluster", turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(1).alias("asks"), "class", "s")
     rest = of.select("cluster", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("turn"), home.alias("block"), "id", F.lit(0).alias("asks"), "class", "s")
     n = of.agg(F.sum(F.col("n") * F.col("rounds"))).first()[0] + asking.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
@@ -528,8 +529,13 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
         if not got:
             return
         all_ = pa.Table.from_batches(got)
-        t, key, i = (all_.column(c).to_numpy() for c in ("t", "key", "id"))
-        order = np.lexsort((i, key, t))
+        t, key, i, v = (all_.column(c).to_numpy() for c in ("t", "key", "id", "v"))
+        tied = v >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(i[tied]), pa.array(v[tied])], ["u", "v"])
+        rest = np.flatnonzero(~tied)
+        if not len(rest):
+            return
+        order = rest[np.lexsort((i[rest], key[rest], t[rest]))]
         t, key, i = t[order], key[order], i[order]
         value = np.stack([all_.column(c).to_numpy()[order] for c in names], axis=1).view(np.uint64)
         group = np.r_[0, np.cumsum((np.diff(t) != 0) | (np.diff(key) != 0))]
@@ -540,13 +546,10 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     dealt = distinct.mapInArrow(deal, "t int, key long, id long, " + ", ".join(f"{c} long" for c in names))
     large = dealt.groupBy("t", "key").agg(F.count("*").alias("count"), F.min("id").alias("v")).where(F.col("count") > BUCKET)
     large = stored(large.select("t", "key", "v"), "large-buckets")
-    links = []
-    if not large.isEmpty():
-        dealt = dealt.join(F.broadcast(large), ["t", "key"], "left")
-        links = [dealt.where("v is not null").select(F.col("id").alias("u"), "v")]
-        dealt = dealt.where("v is null").drop("v")
-    links.append(dealt.repartition(parts, "t", "key").mapInArrow(link, "u long, v long"))
-    edges = stored(reduce(DataFrame.union, links).distinct(), "links")
+    # A large bucket's rows go to many tasks, each with what it is linked to.
+    dealt = dealt.join(sent_if_small(large), ["t", "key"], "left").withColumn("v", F.coalesce("v", F.lit(-1).cast("long")))
+    salt = F.when(F.col("v") >= 0, F.col("id"))
+    edges = stored(dealt.repartition(parts, "t", "key", salt).mapInArrow(link, "u long, v long").distinct(), "links")
     clusters = components(edges).withColumnRenamed("component", "cluster")
     members = distinct.join(clusters.hint("merge"), distinct.id == clusters.node).select("id", "doc_id", *CONTENT, "cluster")
     members = stored(members, "members")

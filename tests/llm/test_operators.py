@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -609,6 +610,34 @@ def test_one_of_each_group_of_copies_stays(spark, docs):
     assert simhash.without_copies(cases.empty(spark), columns).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_copies_among_given_documents_are_found(spark):
+    """Classes of near copies of real tables against all pairs of shingle sets: at least 0.98 of the links, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets, at = {}, {}
+    for i, t in texts.items():
+        w = words(lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        for g in sets[i]:
+            at.setdefault(g, []).append(i)
+    links = set()
+    for i, s in sets.items():
+        common = Counter(j for g in s for j in at[g] if j < i)
+        links |= {(j, i) for j, n in common.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)}
+    empty = sorted(i for i, s in sets.items() if not s)
+    links |= set(zip(empty, empty[1:]))
+    label = {i: i for i in texts}
+    top = lambda x: x if label[x] == x else top(label[x])
+    for j, i in sorted(links):
+        a, b = sorted((top(j), top(i)))
+        label[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.similar_copies(docs).collect()}
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 30 and found >= 0.98 * len(links)
+    assert all(top(i) == top(c) for i, c in got.items())
+
+
 def test_rows_of_one_id_are_told_apart_by_text(spark):
     """Repeated, null and text ids: a row goes only as a copy of another."""
     rows = [("1", "one text of some words", 1), ("1", "quite another text", 2), ("1", "quite another text", 1), (None, "one text of some words", 0), (None, "no id here", 5), ("2", None, 6), ("0", " ", 7)]
