@@ -64,7 +64,8 @@ def fold_prefixed(part: DataFrame, radio: DataFrame, by: Sequence[str], fields:
     """Rows of ``part`` (columns of ``radio``, _name, _had) that share ``by`` as one, named _name: those that had the name go first."""
     at = F.struct(F.col("_had").alias("had"), "model", order)
     filled = [c for c in fields if c in radio.columns and c != "notes"]
-    first = {c: F.min_by(F.col(c), F.when(~blank(radio, c), at)).alias(f"_f_{c}") for c in filled}
+    # Of nothing but blanks the last stays, as each takes the place of the one before.
+    first = {c: F.coalesce(F.min_by(F.col(c), F.when(~blank(radio, c), at)), F.max_by(c, at)).alias(f"_f_{c}") for c in filled}
     told = text(F.col("notes")) if "notes" in radio.columns else F.lit("")
     notes = F.sort_array(F.collect_list(F.when(told != "", F.struct(at.alias("at"), told.alias("t")))))
     one = part.groupBy(*by).agg(F.min_by(F.struct(*radio.columns), at).alias("_row"), notes.alias("_notes"), *first.values())
@@ -72,7 +73,7 @@ def fold_prefixed(part: DataFrame, radio: DataFrame, by: Sequence[str], fields:
 
     def value(c: str) -> Column:
         own = F.col(f"_row.{c}")
-        return (F.col("_name") if c == "model" else fold if c == "notes" else F.coalesce(f"_f_{c}", own) if c in filled else own).alias(c)
+        return (F.col("_name") if c == "model" else fold if c == "notes" else F.col(f"_f_{c}") if c in filled else own).alias(c)
 
     return one.select(*map(value, radio.columns))
 

@@ -78,8 +78,8 @@ def _(r: DataFrame) -> DataFrame:
 
 _KNOWN = "(?i)^(Brand-1|Brand-2|Brand-3)\\b"
 _REST = f"trim(substr(name, length(regexp_extract(name, '{_KNOWN}')) + 1))"
-for _junk in X.PRODUCT_JUNK:
-    _REST = f"regexp_replace({_REST}, '{_junk}', '')"
+for _cut in ("^\\s*[-–]\\s*", "\\s*\\(.*?\\)$", "(?i)\\s+dual band.*$", "\\s+–.*$", "(?i)\\s+vhf.*$"):  # the survey's five, by hand
+    _REST = f"regexp_replace({_REST}, '{_cut}', '')"
 _JOINT = "contains(name, 'Baofeng/Pofung') OR contains(name, 'BaoFeng/Pofung')"
 
 
@@ -483,7 +483,7 @@ def _merge_sql(rows: str, source: str, target: str) -> str:
 
 
 def _clean_sql(rows: str, brand: str, code: str) -> str:
-    first = ", ".join(f"coalesce(arg_min({c}, (had, model, id)) FILTER (NOT {_blank(c)}), arg_min({c}, (had, model, id)), any_value({c})) AS {c}" for c in _OTHERS)
+    first = ", ".join(f"coalesce(arg_min({c}, (had, model, id)) FILTER (NOT {_blank(c)}), arg_max_null({c}, (had, model, id))) AS {c}" for c in _OTHERS)
     return f"""SELECT id, brand, model, {", ".join(_OTHERS)}, notes FROM ({rows}) r WHERE brand IS DISTINCT FROM '{brand}' UNION ALL
     SELECT arg_min(id, (had, model, id)), '{brand}', name, {first}, coalesce(list_reduce(array_agg(notes ORDER BY had, model, id) FILTER (notes <> ''), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || chr(10) || x END), '')
     FROM (SELECT *, starts_with(model, '{code}') AS had, CASE WHEN starts_with(model, '{code}') THEN trim(regexp_replace(substr(model, {len(code) + 1}), '^-+', '')) ELSE model END AS name FROM ({rows}) r WHERE brand = '{brand}') b GROUP BY name"""
