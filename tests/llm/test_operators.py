@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -504,6 +506,33 @@ def test_a_large_source_leaves_small_ones_alone(spark):
         assert abs(sum(r.copies * r.size for r in got) - got[0].target) < 0.002 * got[0].target
 
 
+def test_flights_keep_their_totals():
+    """Both sums stay, two fractions are left at most, and over many flights each chance is its share of ones."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 40):
+        sizes, chances = rng.integers(0, 9, n).astype(float).tolist(), rng.random(n).tolist()
+        moved = mixing.flight(sizes, chances, random.Random(n))
+        assert sum(moved) == pytest.approx(sum(chances)) and np.dot(moved, sizes) == pytest.approx(np.dot(chances, sizes))
+        assert sum(0 < p < 1 for p in moved) <= 2 and all(0 <= p <= 1 for p in moved)
+    sizes, chances = [1.0, 5.0, 2.0, 8.0, 3.0, 3.0, 1.0], [0.1, 0.5, 0.3, 0.7, 0.6, 0.2, 0.9]
+    mean = np.mean([mixing.flight(sizes, chances, random.Random(k)) for k in range(6000)], axis=0)
+    assert np.abs(mean - chances).max() < 0.02
+
+
+def test_landings_are_the_nearest_of_all():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(0, 9))
+        sizes = rng.integers(0, 50, n).astype(float).tolist()
+        chances = [float(rng.choice([0.0, 1.0, rng.random()])) for _ in range(n)]
+        got = mixing.landing(sizes, chances)
+        left = [i for i, p in enumerate(chances) if 0 < p < 1]
+        assert all(g == c for i, (g, c) in enumerate(zip(got, chances)) if i not in left) and set(got) <= {0.0, 1.0}
+        mean = np.mean([sizes[i] for i in left]) if left else 0
+        cost = lambda way: abs(sum((w - chances[i]) * sizes[i] for w, i in zip(way, left))) + 0.05 * mean * abs(sum(w - chances[i] for w, i in zip(way, left)))  # noqa: B023, E731
+        assert cost([got[i] for i in left]) == pytest.approx(min(cost(w) for w in itertools.product((0, 1), repeat=len(left))))
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 50)], "source string, size long")
     got = {r.source: round(r.target, 6) for r in mixing.targets(sizes, (5, 2, 1), 1.5, 2.0).collect()}
