@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,15 @@ def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
         spark.conf.set(key, f"{mb << 20}b")
 
 
+def forget_words() -> None:
+    """In a Python worker: gives back what an earlier stage's tokenizer remembered, and Arrow's unused memory."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens and tokens._encoders:
+        tokens._encoders.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

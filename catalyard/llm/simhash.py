@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, documents, sent_if_small, stored, table
+from .common import bounded_batches, discard, documents, forget_words, sent_if_small, stored, table
 from .components import components
 
 BITS = 64
@@ -414,12 +414,14 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     spark = docs.sparkSession
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for b in batches:
             each = [np.unique(shingle_hashes(t, words)).astype(np.uint64) for t in b.column(2).cast(pa.binary()).to_pylist()]
             cols = [b.column(0), b.column(1), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "cluster", "n", "s"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for rows in _each_group(batches, 2):
             if edges := [(rows[x][0], rows[y][0]) for x, y in _exact_links([r[1] for r in rows], similarity)]:
                 yield _edges_batch(edges)
@@ -492,6 +494,7 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for b in batches:
             rows = [sketch(shingle_hashes(t, words)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             s = np.array(rows, dtype=np.uint64).reshape(-1, SKETCH).view(np.int64)
