@@ -23,10 +23,10 @@ RULES = [
 _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: What holds no tags: comments (to the end where unclosed), scripts and styles.
 _HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
-#: A tag with its attributes: a value is quoted, or goes up to white space; quotes elsewhere are characters.
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
-_TAGS = rf"(?is)<(?:link|meta|base)(?=[\s/>])(?:[^>=]++|=\s*+{_VALUE}?+)*+>"
-_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+#: Where a tag begins; what follows is its name. Then each attribute, from the end of the one before: what stands up to ``=``, the
+#: last word of which is its name, and its value, which is quoted or goes up to white space. Quotes elsewhere are characters.
+_TAG = r"(?i)<(?=(?:link|meta|base)[\s/>])"
+_ATTRIBUTE = r"""\G([^>=]*+)=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?+)"""
 _REFRESH = r"(?is)^\s*[0-9.]+\s*[;,\s]\s*(?:url\s*=\s*)?(.+)$"
 #: Entities that are read in addresses, the ampersand last.
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
@@ -98,7 +98,14 @@ def _attributes(tag: Column) -> Column:
     """The attributes of a tag, (name in lower case, value), in order."""
     parts = [F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), k) for k in range(1, 5)]
     zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "nabc")))
-    return F.transform(zipped, lambda x: F.struct(ascii_lower(x["n"]).alias("name"), F.concat(x["a"], x["b"], x["c"]).alias("value")))
+    name = lambda x: ascii_lower(F.regexp_extract(x["n"], r"""([^\s"'<>/]+)\s*+$""", 1))
+    return F.transform(zipped, lambda x: F.struct(name(x).alias("name"), F.concat(x["a"], x["b"], x["c"]).alias("value")))
+
+
+def _closed(tag: Column) -> Column:
+    """Whether a tag ends, after its last attribute."""
+    read = F.aggregate(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 0), F.lit(0), lambda n, x: n + F.length(x))
+    return F.regexp_like(F.substr(tag, read + 1), F.lit("^[^>=]*+>"))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -110,8 +117,9 @@ def page_edges(pages: DataFrame) -> DataFrame:
     edges that they show.
     """
     shown = F.regexp_replace("html", _HIDDEN, " ")
-    tags = pages.where(F.col("html").isNotNull() & (host_of(F.col("url")) != "")).select("url", F.regexp_extract_all(shown, F.lit(_TAGS), 0).alias("tags"))
-    kind = lambda t: ascii_lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1))
+    parts = F.split(shown, _TAG, -1)
+    tags = pages.where(F.col("html").isNotNull() & (host_of(F.col("url")) != "")).select("url", F.filter(F.slice(parts, 2, F.size(parts)), _closed).alias("tags"))
+    kind = lambda t: ascii_lower(F.regexp_extract(t, "^([A-Za-z]+)", 1))
     read = F.transform("tags", lambda t: F.struct(kind(t).alias("kind"), _attributes(t).alias("has")))
     tags = tags.where("size(tags) > 0").select("url", read.alias("tags"))
 

@@ -438,7 +438,8 @@ LINKS = [
     ('<link rel=canonical href="mailto:x@y.net"><link rel=canonical href="javascript:a://b">', []), ('<link rel=canonical href=http://h.net:80/a><link rel=canonical href=https://h.net:443/a><link rel=canonical href=http://h.net:443/a>', ["h.net/a", "h.net/a", "h.net:443/a"]),
     ("""<meta http-equiv=refresh content="0; url='/b c'">""", ["p.net/b c"]), ('<META content="5;URL=http://r.net/x" HTTP-EQUIV="Refresh">', ["r.net/x"]), ('<meta http-equiv="refresh" content="3">', []), ('<meta http-equiv=refresh content="0;/z">', ["p.net/z"]),
     ("<link rel='canonical' title='a > b' href='/a'>", ["p.net/a"]), ("<link title=it's rel=canonical href=/a>", ["p.net/a"]), ('<link title="rel=canonical" href=/no>', []), ('<linker rel=canonical href=/no>', []), ('<link rel="canonicals" href=/no>', []),
-    ('<link rel=canonical href="/a" href="/b">', ["p.net/a"]), ('<link rel=canonical href="\n /a\t">', ["p.net/a"]), ('<link rel=canonical href="">', []), ('<link rel=canonical href="/never closed', []), ('<base href="mailto:x"><link rel=canonical href=a/>', ["p.net/d/a/"]), ("<link " + "x=1 " * 300 + "rel=canonical href=/a>", ["p.net/a"]),
+    ('<link rel=canonical href="/a" href="/b">', ["p.net/a"]), ('<link rel=canonical href="\n /a\t">', ["p.net/a"]), ('<link rel=canonical href="">', []), ('<link rel=canonical href="/never closed', []), ('<base href="mailto:x"><link rel=canonical href=a/>', ["p.net/d/a/"]), ("<link " + "x=1 " * 60_000 + "rel=canonical href=/a>", ["p.net/a"]),
+    ("<link " + "x='1' " * 60_000 + "y" * 100_000, []), ("<link rel=canonical href='/a' title='never closed>", ["p.net/a"]), ("<link rel=canonical href=/a/>", ["p.net/a/"]), ("<link/rel=canonical href=/a b = c>", ["p.net/a"]), ("<LINK\nREL = 'canonical'\nHREF = '/a'\n/>", ["p.net/a"]),
 ]
 
 
