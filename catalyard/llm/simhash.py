@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -388,6 +388,8 @@ def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 #: A bucket of more sketches makes all of them candidates of each other; no task holds it whole.
 BUCKET = 2048
+#: Tables whose links are classes before the other tables are read, which then link classes.
+FIRST = 4
 #: A cluster of more members or hashes than this is compared in blocks.
 MEMBERS, HASHES = 1024, 500_000
 #: Members of a large cluster that all of its blocks hold.
@@ -456,6 +458,8 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     if large.isEmpty():
         return first
     found = components(first)
+    discard(first)
+    first = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     of = cut.where("blocks > 1").join(found.hint("merge"), F.col("id") == F.col("node"), "left")
     of = stored(of.select("cluster", "blocks", "id", "n", "s", F.coalesce("component", "id").alias("class")), "classed-sets")
     classes = of.groupBy("cluster", "class").count()
@@ -486,7 +490,8 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     many that a pair at ``similarity`` is missed by all tables with a chance of ``missed``; the bits a table samples
     follow the number of sketches, so that chance fills no tree. Equal sketches are one before that. A task returns a
     spanning forest, never all pairs. A bucket of over BUCKET sketches is no tree but one cluster, whose members
-    ``exact_links`` tells apart.
+    ``exact_links`` tells apart. Each table would link the copies of a large group once more; so FIRST tables come first, and
+    in the others a sketch stands for its class so far: only links between classes leave a task, none is lost.
 
     Texts are told apart by content, whatever their ids: ids may be null, repeated, or of any type. component_id is the
     smallest doc_id of the class (null if none has one); ``class`` numbers classes, not alike in all runs. Null texts are
@@ -518,12 +523,12 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     rng = np.random.default_rng(5)
     samples = [rng.choice(BITS * SKETCH, bits, replace=False) for _ in range(tables)]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], tables: range) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [b.column(c).to_numpy() for c in names]
             bit = np.unpackbits(np.stack(s, axis=1).view("u1"), axis=1)
-            for t, sample in enumerate(samples):
-                key = bit[:, sample].astype(np.int64) @ (1 << np.arange(bits))
+            for t in tables:
+                key = bit[:, samples[t]].astype(np.int64) @ (1 << np.arange(bits))
                 cols = [pa.array(np.full(len(key), t, dtype=np.int32)), pa.array(key), b.column("id"), *(pa.array(x) for x in s)]
                 yield pa.RecordBatch.from_arrays(cols, ["t", "key", "id", *names])
 
@@ -542,18 +547,28 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
         t, key, i = t[order], key[order], i[order]
         value = np.stack([all_.column(c).to_numpy()[order] for c in names], axis=1).view(np.uint64)
         group = np.r_[0, np.cumsum((np.diff(t) != 0) | (np.diff(key) != 0))]
-        u, v = _links(group, value, np.ones(len(i), dtype=np.int64), radius)
-        yield pa.RecordBatch.from_arrays([pa.array(i[u]), pa.array(i[v])], ["u", "v"])
-
-    parts = max(math.ceil(n * tables / 300_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = distinct.mapInArrow(deal, "t int, key long, id long, " + ", ".join(f"{c} long" for c in names))
-    large = dealt.groupBy("t", "key").agg(F.count("*").alias("count"), F.min("id").alias("v")).where(F.col("count") > BUCKET)
-    large = stored(large.select("t", "key", "v"), "large-buckets")
-    # A large bucket's rows go to many tasks, each with what it is linked to.
-    dealt = dealt.join(sent_if_small(large), ["t", "key"], "left").withColumn("v", F.coalesce("v", F.lit(-1).cast("long")))
-    salt = F.when(F.col("v") >= 0, F.col("id"))
-    edges = stored(dealt.repartition(parts, "t", "key", salt).mapInArrow(link, "u long, v long").distinct(), "links")
-    clusters = components(edges).withColumnRenamed("component", "cluster")
+        u, v = (i[x] for x in _links(group, value, np.ones(len(i), dtype=np.int64), radius))
+        yield pa.RecordBatch.from_arrays([pa.array(x[u != v]) for x in (u, v)], ["u", "v"])
+
+    def met(nodes: DataFrame, tables: range) -> DataFrame:
+        """Edges (u, v) between ids of ``nodes`` (id, names) that ``tables`` link; one id may have many sketches."""
+        parts = max(math.ceil(n * len(tables) / 300_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = nodes.mapInArrow(partial(deal, tables=tables), "t int, key long, id long, " + ", ".join(f"{c} long" for c in names))
+        large = dealt.groupBy("t", "key").agg(F.count("*").alias("count"), F.min("id").alias("v")).where(F.col("count") > BUCKET)
+        large = stored(large.select("t", "key", "v"), "large-buckets")
+        # A large bucket's rows go to many tasks, each with what it is linked to.
+        dealt = dealt.join(sent_if_small(large), ["t", "key"], "left").withColumn("v", F.coalesce("v", F.lit(-1).cast("long"))).where("v <> id")
+        salt = F.when(F.col("v") >= 0, F.xxhash64(*names))
+        return stored(dealt.repartition(parts, "t", "key", salt).mapInArrow(link, "u long, v long").distinct(), "links")
+
+    begun = components(links := met(distinct.select("id", *names), range(min(FIRST, tables))))
+    discard(links)
+    nodes = distinct.join(begun.hint("merge"), distinct.id == begun.node, "left").select(F.coalesce("component", "id").alias("id"), *names)
+    nodes = stored(nodes, "classed-sketches")
+    links = met(nodes, range(FIRST, tables))
+    discard(nodes)
+    clusters = components(begun.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)).withColumnRenamed("component", "cluster")
+    discard(links)
     members = distinct.join(clusters.hint("merge"), distinct.id == clusters.node).select("id", "doc_id", *CONTENT, "cluster")
     members = stored(members, "members")
     comp = components(exact_links(docs, members, words, similarity))

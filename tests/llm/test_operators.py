@@ -749,6 +749,28 @@ def test_no_task_holds_a_large_bucket(spark, monkeypatch):
     assert got == _copies_by_force(rows)
 
 
+def test_tables_link_a_large_group_once(spark, monkeypatch):
+    """Links follow the members of a group of near copies, not members times tables of sampled bits; classes stay whole."""
+    real, links = simhash.components, []
+
+    def counted(edges):
+        links.append(edges.where("u <> v").distinct().count())
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    monkeypatch.setattr(simhash, "BUCKET", 150)  # some buckets of the group are large, some are trees
+    rng, rows, members = np.random.default_rng(3), [], 400
+    for i in range(members):
+        own = [f"g{k}" for k in range(200)]
+        for at in rng.choice(200, rng.integers(1, 4), replace=False):
+            own[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, cases.text(i, 50)) for i in range(200)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i >= 1000 else 0 for i, _ in rows}
+    assert max(links) <= (simhash.FIRST + 1) * members
+
+
 def test_search_goes_on_in_narrow_turns():
     rng = np.random.default_rng(4)
     values = np.unique(rng.integers(0, 1 << 16, 300)).astype(np.uint64)[:, None]
