@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, words: int, radius: int) -> DataFrame:
 
 #: 64-bit words of a sketch. Shingle sets of similarity J have sketches that differ in acos(2J / (1 + J)) / pi of the bits.
 SKETCH = 4
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -480,8 +481,11 @@ def exact_links(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     return first.union(stored(pairs.mapInArrow(across, "u long, v long"), "links"))
 
 
-def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: float = 3.0, missed: float = 0.005) -> DataFrame:
-    """(doc_id, CONTENT, component_id, class) of every row, for links of ``similarity`` or more.
+def classed_sketches(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: float = 3.0, missed: float = 0.005
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, CONTENT, sketch) of every row, and (sketch, doc_id, class) of every sketch, for links of ``similarity`` or more;
+    a sketch is in SKETCH_COLUMNS, and the doc_id beside its class is the smallest (null if none) of its rows.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more.
     SimHash sketches of 64 * SKETCH bits only say which sets are compared: they cluster texts that differ in at most
@@ -493,9 +497,9 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     ``exact_links`` tells apart. Each table would link the copies of a large group once more; so FIRST tables come first, and
     in the others a sketch stands for its class so far: only links between classes leave a task, none is lost.
 
-    Texts are told apart by content, whatever their ids: ids may be null, repeated, or of any type. component_id is the
-    smallest doc_id of the class (null if none has one); ``class`` numbers classes, not alike in all runs. Null texts are
-    empty, and all texts without words are one class; very long texts count whole; an empty table gives an empty result.
+    Texts are told apart by content, whatever their ids: ids may be null, repeated, or of any type. ``class`` numbers classes,
+    not alike in all runs. Null texts are empty, and all texts without words are one class; very long texts count whole; an
+    empty table gives an empty result.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +510,7 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
             cols = [b.column(0), b.column(2), b.column(3), *(pa.array(s[:, k]) for k in range(SKETCH))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *CONTENT, *names])
 
-    names = [f"s{k}" for k in range(SKETCH)]
+    names = SKETCH_COLUMNS
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, k1 long, k2 long, " + ", ".join(f"{c} long" for c in names)
@@ -573,17 +577,26 @@ def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spr
     members = stored(members, "members")
     comp = components(exact_links(docs, members, words, similarity))
     classed = distinct.join(comp, distinct.id == comp.node, "left").select(*names, "doc_id", F.coalesce("component", "id").alias("class"))
-    classed = stored(classed, "classes")
-    least = classed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return each, stored(classed, "classes")
+
+
+def similar_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: float = 3.0, missed: float = 0.005) -> DataFrame:
+    """(doc_id, CONTENT, component_id, class) of every row: the classes of ``classed_sketches``; component_id is
+    the smallest doc_id of the class (null if none has one)."""
+    each, classed = classed_sketches(docs, words, similarity, spread, missed)
+    # Stored, so that Spark can split a large class's rows in the join.
+    least = stored(classed.groupBy("class").agg(F.min("doc_id").alias("component_id")), "least-ids")
     named = classed.drop("doc_id").join(least, "class")
-    return each.join(named, names).select("doc_id", *CONTENT, "component_id", "class")
+    return each.join(named, SKETCH_COLUMNS).select("doc_id", *CONTENT, "component_id", "class")
 
 
 def without_copies(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of one row of each class of ``similar_copies``: that of the smallest doc_id (none counts as the greatest),
+    """``columns`` of one row of each class of ``classed_sketches``: that of the smallest doc_id (none counts as the greatest),
     then of the smallest content, then of the smallest other columns. No other row goes, whatever its id."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *CONTENT)).alias("first")
-    chosen = similar_copies(docs).groupBy("class").agg(first)
+    each, classed = classed_sketches(docs)
+    # A class's rows meet in a minimum alone, which combines before the shuffle.
+    chosen = each.join(classed.select(*SKETCH_COLUMNS, "class"), SKETCH_COLUMNS).groupBy("class").agg(first)
     chosen = chosen.select(F.col("first.doc_id").alias("_doc_id"), *(F.col(f"first.{c}").alias(f"_{c}") for c in CONTENT))
     rows = docs.select(*columns).withColumns({"_c1": F.xxhash64(F.coalesce("text", F.lit(""))), "_c2": F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))})
     same = rows.doc_id.eqNullSafe(chosen["_doc_id"]) & (rows["_c1"] == chosen["_k1"]) & (rows["_c2"] == chosen["_k2"])

@@ -771,6 +771,12 @@ def test_tables_link_a_large_group_once(spark, monkeypatch):
     assert max(links) <= (simhash.FIRST + 1) * members
 
 
+def test_rows_of_a_class_meet_only_in_a_minimum(spark, docs):
+    """No join deals rows by class: a large class would lie in one task."""
+    plan = simhash.without_copies(docs, ["doc_id", "text"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search(r"Join[^\n]*class#", plan)
+
+
 def test_search_goes_on_in_narrow_turns():
     rng = np.random.default_rng(4)
     values = np.unique(rng.integers(0, 1 << 16, 300)).astype(np.uint64)[:, None]
